@@ -26,7 +26,7 @@ from tidecast.llm.licenses import words_of
 from tidecast.llm.neardup import roots
 from tidecast.llm.repeats import among, mix
 
-N, THRESHOLD, RECALL, MAX_HASHES, TILE = 5, 0.8, 0.9999, 128, 512
+N, THRESHOLD, RECALL, MAX_HASHES, TILE = 5, 0.8, 0.9999, 128, 256
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15 | 1)
 
@@ -54,7 +54,7 @@ class Shingler:
         words, known = words_of(text), self.known
         if not words:
             return np.zeros(0, U)
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         for w in words:
             if w not in known:
