@@ -253,7 +253,7 @@ def resolve_large(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
     """docs(k1, k2, text) -> (k1, k2, ranges array<struct<lo,hi>>): the window starts of each text that are repeats."""
     every = materialise(find_runs(docs, length, k), "runs")
-    shared = every.groupBy("a").agg(F.count(F.lit(1)).alias("n_a")).where("n_a > 1").select("a")
+    shared = materialise(every.groupBy("a").agg(F.count(F.lit(1)).alias("n_a")).where("n_a > 1").select("a"), "shared")
     alive = materialise(every.join(shared, "a"), "alive")
 
     place = F.struct("k1", "k2", "lo", "hi")
