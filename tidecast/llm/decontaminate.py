@@ -38,24 +38,34 @@ def grams(data: bytes) -> np.ndarray:
     return np.ndarray((n,), "<u8", data, strides=(1,)).copy() if n > 0 else np.zeros(0, "<u8")
 
 
-def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Least edits of the whole item against a stretch of text on diagonals low..high (text index less item index), and its end."""
-    width = high - low + 1
-    steps, inf = np.arange(width), 1 << 20
-    at = low + steps
-    row = np.where((at >= 0) & (at <= len(text)), 0, inf)
-    padded = np.concatenate([text, [-1]])
+def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, limit: int) -> tuple[int, int]:
+    """Least edits of the whole item against a stretch of text on diagonals low..high (text index less item index), and its end.
+
+    Stops with limit + 1 edits as soon as no alignment can be within the limit. Outside the text stands a character that is
+    equal to none: to use it costs as much as to drop a character of the item.
+    """
+    width, m = high - low + 1, len(item)
+    before, after = max(0, -low), max(0, high + m - len(text))
+    padded = np.concatenate([np.full(before, -1), text, np.full(after, -1)])
+    steps, row, at = np.arange(width), np.zeros(width, np.int64), low + before
+    for i in range(m):
+        new = row + (padded[at + i : at + i + width] != item[i])
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        row = np.minimum.accumulate(new - steps) + steps
+        if i & 7 == 7 and row.min() > limit:
+            return limit + 1, -1
+    best = int(row.argmin())
+    return int(row[best]), min(len(text), max(0, low + best + m))
+
+
+def backwards(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """Least edits of the whole item against a prefix of text, and the length of that prefix."""
+    steps, row = np.arange(len(text) + 1), np.arange(len(text) + 1)
     for i, c in enumerate(item):
-        end = at + i + 1  # text consumed after this row
-        ok = (end >= 1) & (end <= len(text))
-        same = padded[np.clip(end - 1, 0, len(text))] == c
-        new = np.where(ok, row + ~same, inf)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.where((end >= 0) & (end <= len(text)), new, inf)
+        new = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (text != c))])
         row = np.minimum.accumulate(new - steps) + steps
-        row = np.where((end >= 0) & (end <= len(text)), row, inf)
     best = int(row.argmin())
-    return int(row[best]), int(low + best + len(item))
+    return int(row[best]), best
 
 
 class Index:
@@ -104,7 +114,6 @@ class Index:
         keys, counts = np.unique(item * (1 << 40) + band, return_counts=True)
         upper = np.searchsorted(keys, keys + 1)
         both = counts + np.where((upper < len(keys)) & (keys[np.minimum(upper, len(keys) - 1)] == keys + 1), counts[np.minimum(upper, len(keys) - 1)], 0)
-        # a band alone also counts as the upper one of a pair whose lower one is empty
         own = keys >> 40
         good = both >= self.needs[own]
         return [(int(i), int((b & ((1 << 40) - 1)) * (self.edits[i] + 1) - shift), int(c)) for i, b, c in zip(own[good], keys[good], both[good], strict=True)]
@@ -124,14 +133,16 @@ class Index:
             if start >= 0:
                 edits, end = 0, start + m
             else:
-                begin, stop = max(0, low), max(0, low + 2 * wide + m)
-                edits, end = aligned(np.frombuffer(item, np.uint8).astype(np.int64), data[begin:stop], low - begin, low - begin + 2 * wide - 1)
-                if edits > self.edits[i]:
+                own, most = np.frombuffer(item, np.uint8).astype(np.int64), int(self.edits[i])
+                left, right = low - most, low + 2 * wide - 1 + most  # parts without a shared q-gram may lie beyond the bands
+                begin = max(0, left)
+                edits, end = aligned(own, data[begin : max(0, right + m)], left - begin, right - begin, most)
+                if edits > most:
                     continue
                 end += begin
                 back = data[max(0, end - m - wide) : end][::-1]
-                _, length = aligned(np.frombuffer(item, np.uint8).astype(np.int64)[::-1], back, 0, 0) if not self.edits[i] else aligned(np.frombuffer(item, np.uint8).astype(np.int64)[::-1], np.concatenate([back, np.full(wide, -2)]), -wide, wide)
-                start = max(0, end - min(length, len(back)))
+                _, length = backwards(own[::-1], back)
+                start = max(0, end - length)
             taken.setdefault(i, []).append(low)
             found.append({"item_id": self.ids[i], "start": start, "end": end, "edits": edits, "shared": shared})
         for i in self.short:
