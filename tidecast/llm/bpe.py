@@ -20,10 +20,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm.common import table
+from tidecast.llm.common import slices, table
 
 #: Entries a worker's cache of pre-tokens may hold before it starts anew.
-CACHE = 400_000
+CACHE = 150_000
 MASK = (1 << 64) - 1
 #: Refused above this, as the vocabulary is sent to every worker.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = codec.value.ready()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for text in batch.column(1):
                 ids = worker.encode(text.as_py() or "")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that a worker holds what it makes of those alone."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def fingerprint(*cols) -> list:
     """Two 64-bit hashes with different seeds, named k1 and k2; equal inputs only, but for odds of 2**-128 a pair."""
     return [F.xxhash64(F.lit(seed), *cols).alias(name) for seed, name in ((11, "k1"), (29, "k2"))]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import table
+from tidecast.llm.common import slices, table
 from tidecast.llm.licenses import FOLD
 
 Q, EDITS, BLOCK_BYTES = 8, 0.1, 8 << 20
@@ -172,7 +172,7 @@ def scan_block(docs: DataFrame, index: Index, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [index.hits(text.as_py()) for text in batch.column(where)]
             before = batch.column(last)
             if any(found):

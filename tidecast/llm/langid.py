@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import table
+from tidecast.llm.common import slices, table
 
 #: Rows of each language that training may use, at most and on average; longer texts than TRAIN_CHARS are not drawn.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
 PIECE, HIDDEN, EMBED = 32, 24, 16
-CACHE = 250_000
+CACHE = 150_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -225,11 +225,9 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                found = scorer.score(batch.column(where).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        for batch in slices(batches):
+            found = scorer.score(batch.column(where).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 

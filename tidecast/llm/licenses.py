@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm.common import table
+from tidecast.llm.common import slices, table
 
 #: Every byte of a word as it counts, the others as a space. Bytes from 128 on belong to non-ASCII characters.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, templates)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scanner.scan(text.as_py()) for text in batch.column(1)]
             columns = [pa.array([x[name] for x in found], kind) for name, kind in FIELDS]
             marks = pa.array([[dict(zip(("label", "start", "end"), m, strict=True)) for m in x["matches"]] for x in found], MATCHES)

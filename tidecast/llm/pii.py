@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import fingerprint, materialise, table
+from tidecast.llm.common import fingerprint, materialise, slices, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What a span becomes in the sanitised text.
@@ -117,7 +117,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     schema = f"`{id_col}` {id_type}, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<struct<c:long,ctx:long,terms:array<struct<t:long,s:long,e:long>>>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, base, entities = [], [], []
             for text in batch.column(3):
                 text = text.as_py() or ""
@@ -152,18 +152,18 @@ def term_counts(docs: DataFrame, candidates: DataFrame, text_col: str = "text")
             b = (t & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
             return t if int(bits[b >> 6]) >> (b & 63) & 1 else None
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0):
                 own = set()
                 for word in set(TERM.findall((text.as_py() or "").lower())):
                     if word not in known:
-                        if len(known) > 500_000:
+                        if len(known) > 100_000:
                             known.clear()
                         known[word] = candidate(word)
                     if known[word] is not None:
                         own.add(known[word])
                 counts.update(own)
-            if len(counts) > 200_000:
+            if len(counts) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["t", "n"])
                 counts.clear()
         if counts:
@@ -226,7 +226,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
         return "".join([*out, text[last:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [clean(t.as_py(), p.as_py()) for t, p in zip(batch.column(where), batch.column(batch.num_columns - 1), strict=True)]
             columns = [pa.array(texts, batch.schema.field(where).type) if k == where else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
