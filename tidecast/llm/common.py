@@ -50,6 +50,31 @@ def fingerprint(*cols) -> list:
     return [F.xxhash64(F.lit(seed), *cols).alias(name) for seed, name in ((11, "k1"), (29, "k2"))]
 
 
+#: Bits of the filter that among() and apart() send to the workers: 2 MB however many keys there are.
+FILTER_BITS = 24
+
+
+def may_have(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows(k1, ...) with a column `may`: true where k1 is in keys(k1), and for a few others; false only where it is not.
+
+    The filter is a table of 2**(FILTER_BITS - 6) words at most, whatever the number of keys, and may therefore be broadcast.
+    """
+    slot = F.shiftrightunsigned("k1", 64 - FILTER_BITS)
+    words = keys.select(slot.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
+    bit = F.expr(f"(shiftrightunsigned(bits, cast(shiftrightunsigned(k1, {64 - FILTER_BITS}) & 63 as int)) & 1) = 1")
+    return rows.withColumn("w", F.shiftright(slot, 6)).join(F.broadcast(words), "w", "left").withColumn("may", F.coalesce(bit, F.lit(False))).drop("w", "bits")
+
+
+def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose k1 may be in keys(k1): all that have it there, and few others. A join with keys then shuffles those alone."""
+    return may_have(rows, keys).where("may").drop("may")
+
+
+def apart(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The other rows, none of which has its k1 in keys(k1)."""
+    return may_have(rows, keys).where("not may").drop("may")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): rows (id, component), component the smallest id reachable.
 

@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import components, fingerprint, materialise, table
+from tidecast.llm.common import among, apart, components, fingerprint, materialise, table
 from tidecast.llm.licenses import words_of
 from tidecast.llm.neardup import roots
-from tidecast.llm.repeats import among, mix
+from tidecast.llm.repeats import mix
 
 N, THRESHOLD, RECALL, MAX_HASHES, TILE = 5, 0.8, 0.9999, 128, 256
 U = np.uint64
@@ -189,14 +189,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs with one row of each group of near copies: the one with the smallest id (any one of several with that id)."""
     found = materialise(near_texts(docs, id_col, text_col, **options).select(F.col(id_col).alias("_id"), "k1", "k2", "group", "kept").where("group is not null"), "near")
     gone = found.where("not kept").select("_id", "k1", "k2").distinct()
-    keyed = docs.withColumns({"_id": F.col(id_col), **dict(zip(("_k1", "_k2"), fingerprint(F.coalesce(text_col, F.lit(""))), strict=True))})
-    left = keyed.join(gone, (keyed["_id"].eqNullSafe(gone["_id"]) & (keyed["_k1"] == gone["k1"]) & (keyed["_k2"] == gone["k2"])), "left_anti")
-    # rows that share both group and smallest id are rare: only they are met again
-    twice = materialise(found.where("kept").groupBy("group").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("group").join(found.where("kept"), "group").select("group", "_id", "k1", "k2").distinct(), "twice")
-    if twice.isEmpty():
-        return left.select(*docs.columns)
-    met = left.join(twice.select("group", F.col("_id").alias("_i"), F.col("k1").alias("_a"), F.col("k2").alias("_b")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left")
-    return met.where("group is null").select(*docs.columns).unionByName(met.where("group is not null").dropDuplicates(["group"]).select(*docs.columns))
+    k1, k2 = fingerprint(F.coalesce(text_col, F.lit("")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_id"), k1, k2)
+    # rows that share both group and smallest id are rare, but may be there: of those one stays
+    kept = found.where("kept")
+    twice = kept.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("group")
+    again = materialise(kept.join(twice, "group").select("_id", "k1", "k2", "group").distinct(), "twice")
+    judged = gone.withColumn("group", F.lit(None).cast("long")).withColumn("gone", F.lit(True)).unionByName(again.withColumn("gone", F.lit(False)))
+    judged = materialise(judged, "judged").withColumnsRenamed({"_id": "j_id", "k1": "j1", "k2": "j2"})
+    # few rows may be concerned: only their texts are shuffled
+    met = among(keyed, judged.select(F.col("j1").alias("k1"))).join(judged, F.col("_id").eqNullSafe(F.col("j_id")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")), "left").where("gone is null or not gone")
+    untouched = apart(keyed, judged.select(F.col("j1").alias("k1"))).select("row.*").unionByName(met.where("group is null").select("row.*"))
+    if again.isEmpty():
+        return untouched
+    return untouched.unionByName(met.where("group is not null").dropDuplicates(["group"]).select("row.*"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

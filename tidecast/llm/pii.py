@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import fingerprint, materialise, slices, table
+from tidecast.llm.common import among, apart, fingerprint, materialise, slices, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What a span becomes in the sanitised text.
@@ -207,9 +207,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """docs with every span of the text replaced by its mask; other columns stay. A null text stays null."""
     found = materialise(detect(docs, id_col, text_col), "pii")
-    terms = term_spans(found, disclosing(docs, found, text_col, support, disclosed)).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("terms").alias("_terms"))
-    k1, k2 = fingerprint(id_col, text_col)
-    marked = docs.withColumns({"_a": k1, "_b": k2}).join(terms, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left").select(*docs.columns, "_terms")
+    terms = materialise(term_spans(found, disclosing(docs, found, text_col, support, disclosed)), "terms")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *fingerprint(id_col, text_col))
+    # only texts that may hold a telling term are shuffled
+    met = among(keyed, terms.select("k1")).join(terms, ["k1", "k2"], "left").select("row.*", F.col("terms").alias("_terms"))
+    marked = apart(keyed, terms.select("k1")).select("row.*", F.lit(None).cast(terms.schema["terms"].dataType).alias("_terms")).unionByName(met)
     where = docs.columns.index(text_col)
 
     def clean(text: str | None, terms: list | None) -> str | None:

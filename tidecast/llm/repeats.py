@@ -26,14 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import fingerprint, materialise, table
+from tidecast.llm.common import among, fingerprint, materialise, table
 
 LENGTH, K, GROUP = 400, 64, 20_000
 #: Bytes that are hashed at once in a task; longer texts are taken in pieces that overlap.
 CHUNK = 1 << 20
-#: Bits of the filter of texts that is sent to the workers, 2 MB however many texts there are.
-FILTER_BITS = 24
-
 U = np.uint64
 #: Two bases with their inverses modulo 2**64, and a random odd number for each byte value.
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 5)
@@ -161,16 +158,6 @@ def find_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "k1 long, k2 long, lo long, hi long, a long, s1 long, s2 long")
 
 
-def among(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs(k1, ...) that may have their k1 in keys(k1): all that have, and few others.
-
-    The filter is a table of 2**(FILTER_BITS - 6) words at most, whatever the number of keys, and may therefore be broadcast.
-    """
-    slot = F.shiftrightunsigned("k1", 64 - FILTER_BITS)
-    words = keys.select(slot.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
-    return docs.withColumn("w", F.shiftright(slot, 6)).join(F.broadcast(words), "w").where(F.expr(f"(shiftrightunsigned(bits, cast(shiftrightunsigned(k1, {64 - FILTER_BITS}) & 63 as int)) & 1) = 1")).drop("w", "bits")
-
-
 CONTEXT = "a long, large boolean, k1 long, k2 long, lo long, hi long, open boolean, bytes binary"
 
 
