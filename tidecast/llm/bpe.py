@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidecast.llm.common import slices, table
 
 #: Entries a worker's cache of pre-tokens may hold before it starts anew.
-CACHE = 150_000
+CACHE = 250_000
 MASK = (1 << 64) - 1
 #: Refused above this, as the vocabulary is sent to every worker.
 MAX_VOCABULARY_BYTES = 64 << 20
