@@ -1,13 +1,16 @@
 """Every registered query of the forecasting engine, and the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from tidecast.plans.ensembles import ENSEMBLES
+from tidecast.plans.native import NATIVE, ar1_forecast
 
+flagship = ar1_forecast
 
-def queries():
-    return {}
 
+def queries() -> dict:
+    return {name: run for name, (run, _) in NATIVE.items()} | ENSEMBLES
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in NATIVE.items()}
