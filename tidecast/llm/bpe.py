@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidecast.llm.common import slices, table
 
-#: Entries a worker's cache of pre-tokens may hold before it starts anew.
-CACHE = 250_000
+#: Entries of a worker's cache of pre-tokens before it is set aside and a new one begun; what comes up again moves over.
+CACHE = 100_000
 MASK = (1 << 64) - 1
 #: Refused above this, as the vocabulary is sent to every worker.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -97,16 +97,21 @@ class Worker(dict):
         self.codec, self.split = codec, regex.compile(codec.pattern).findall
         self.ranks = dict(zip(codec.keys, codec.ids, strict=True))
         self.bytes_of = {i: k for k, i in self.ranks.items()}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, token: str) -> bytes:
-        raw, codec = token.encode("utf-8", "surrogatepass"), self.codec
-        at = codec.hash.slot(raw)
-        ids = [codec.ids[at]] if codec.keys[at] == raw else merge(raw, self.ranks)
-        found = np.array(ids, "<u4").tobytes()
+        found = self.older.get(token)
+        if found is None:
+            raw, codec = token.encode("utf-8", "surrogatepass"), self.codec
+            at = codec.hash.slot(raw)
+            ids = [codec.ids[at]] if codec.keys[at] == raw else merge(raw, self.ranks)
+            found = np.array(ids, "<u4").tobytes()
+            if len(raw) > 256:
+                return found
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        if len(raw) <= 256:
-            self[token] = found
+        self[token] = found
         return found
 
     def encode(self, text: str) -> bytes:
