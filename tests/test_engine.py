@@ -5,10 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.functions import nets, stats
+from tidecast.functions import nets, stats, unitroots
 from tidecast.functions import transforms as T
 from tidecast.operators import forecasting as fc
+from tidecast.operators import hierarchy, regression, reports
 from tidecast.sources.series import series_from
+from tidecast.streaming import scoring
 
 
 def frame(spark, **series):
@@ -60,43 +62,169 @@ def test_tails_and_selection():
     held = stats.backward(x, y, [[j] for j in range(5)])
     assert {1, 3} <= set(held)
     assert 0 in stats.backward(x, y, [[j] for j in range(5)], {0})
-    w = stats.lasso(x, y, 0.5)
-    assert set(np.flatnonzero(w[1:])) == {1, 3}
-    assert np.allclose(stats.ridge(x, y, 1e-12)[1:], np.linalg.lstsq(np.hstack([np.ones((200, 1)), x]), y, rcond=None)[0][1:], atol=1e-6)
+    m = stats.moments(x, y)[None]
+    assert set(np.flatnonzero(stats.lasso_path(m, np.array([0.5]))[0, 0, 1:])) == {1, 3}
+    exact = np.linalg.lstsq(np.hstack([np.ones((200, 1)), x]), y, rcond=None)[0]
+    assert np.allclose(stats.ridge_path(m, np.array([1e-12]))[0, 0], exact, atol=1e-6)
+    assert np.allclose(stats.lasso_path(m, np.array([1e-12]))[0, 0], exact, atol=1e-3)
+    w, p = stats.least_squares(m[0])
+    assert np.allclose(w, exact, atol=1e-6) and p[1] < 1e-9 and p[3] < 1e-9
+    w, _ = stats.least_squares(stats.moments(np.hstack([x, x[:, :1] + x[:, 1:2]]), y), step=True)
+    assert w[-1] == 0 and abs(w[2] - 3) < 0.01
+    assert math.isclose(stats.t_tail(2.2281388519649385, 10), 0.05, rel_tol=1e-8) and math.isclose(stats.t_tail(12.706204736432095, 1), 0.05, rel_tol=1e-8)
+
+
+def test_the_density_width_solves_its_equation_and_the_mode_is_where_the_values_are():
+    v = np.concatenate([np.random.default_rng(3).normal(0, 1, 60), np.random.default_rng(4).normal(9, 0.2, 100)])
+    assert abs(stats.density_mode(v) - 9) < 0.3 and 0 < stats.bandwidth(v) < v.std()
+    assert stats.density_mode([2.0, 2.0]) == 2.0
+
+
+def test_differences_and_dummies_are_found():
+    t, rng = np.arange(120), np.random.default_rng(6)
+    wave = 10 * np.sin(2 * np.pi * t / 12)
+    noise = rng.normal(0, 1, 120)
+    assert unitroots.seasonal(100 + wave + noise, 12) and not unitroots.seasonal(100 + noise, 12) and not unitroots.seasonal(noise, 1)
+    assert unitroots.difference_orders(100 + wave + noise, 12) == ()
+    assert 1 in unitroots.difference_orders(100 + 3.0 * t + noise, 12)
+    walk = np.zeros(480)
+    for i in range(480):
+        walk[i] = (walk[i - 12] if i >= 12 else 20 * np.sin(i)) + rng.normal(0, 4)
+    assert unitroots.seasonal_root(walk, 12) and not unitroots.seasonal_root(wave + noise, 12)
+    assert 12 in unitroots.difference_orders(walk, 12, strict=False)
+    assert np.allclose(unitroots.centred_average(np.arange(20.0), 4)[2:-2], np.arange(2, 18))
 
 
 def test_resilient_propagation_learns_and_dead_nodes_go():
     rng = np.random.default_rng(2)
     x = rng.uniform(-1, 1, (150, 2))
     y = np.sin(2 * x[:, 0]) * x[:, 1]
-    w_in, w_out = nets.mlp(x, y, 6, rng)
-    assert ((nets.forward(x, w_in, w_out, "logistic") - y) ** 2).mean() < 0.1 * y.var()
-    w_in, w_out = nets.elm(x, y, 30, "lasso", True, rng)
-    assert w_in.shape[1] + 1 + 2 == len(w_out) and (w_out[1 : 1 + w_in.shape[1]] != 0).all()
+    for hidden in ((6,), (6, 4)):
+        layers = nets.mlp(x, y, hidden, rng)
+        assert ((nets.forward(x, layers, (), "logistic") - y) ** 2).mean() < 0.1 * y.var()
+    layers, direct = nets.elm(x, y, (30,), "lasso", True, rng)
+    assert layers[0].shape[1] + 1 == len(layers[1]) and len(direct) == 2 and (layers[1][1:] != 0).all()
+    w = nets.random_layer(5, 4, True, rng)
+    assert np.allclose(w.T @ w, np.eye(4))
 
 
 @pytest.mark.parametrize("kind", ["ridge", "ls", "step", "lasso"])
 def test_a_seasonal_series_with_trend_is_carried_on(spark, kind):
     y = [10 + 0.5 * t + 4 * math.sin(2 * math.pi * t / 12) for t in range(1, 97)]
-    s, spec = frame(spark, a=y[:84], flat=[3.0] * 84, short=[1.0, 2.0]), fc.Spec(type=kind, hidden=10, direct=True, reps=3)
-    models = fc.fit(s, spec).cache()
-    assert {r.series_id: r.status for r in models.select("series_id", "status").distinct().collect()} == {"a": "ok", "flat": "constant", "short": "too short or with gaps"}
-    got = {(r.series_id, r.h): r.yhat for r in fc.ensemble(fc.predict(s, models, spec, 12), ["series_id", "h"]).collect()}
+    s, spec = frame(spark, a=y[:84], flat=[3.0] * 84, short=[1.0, 2.0]), fc.Spec(type=kind, hidden=10, direct=True, reps=3, difforder=(1,), barebone=True)
+    plans = fc.specify(s, spec).cache()
+    assert {r.series_id: r.status for r in plans.collect()} == {"a": "ok", "flat": "constant", "short": "too short or with gaps"}
+    models = fc.fit(s, plans, spec).cache()
+    got = {(r.series_id, r.h): r.yhat for r in fc.ensemble(fc.predict(s, plans, models, spec), ["series_id", "h"]).collect()}
     assert np.allclose([got["a", h] for h in range(1, 13)], y[84:], atol=1.5)
-    assert [got["flat", h] for h in (1, 12)] == [3.0, 3.0] and got["short", 1] is None
-    f = fc.fitted(s, models, spec).where("series_id = 'a'")
-    assert f.where("abs(fitted - y) > 1").count() == 0
+    assert [got["flat", h] for h in (1, 12)] == [3.0, 3.0] and got["short", 1] is None and len(got) == 36
+    f = fc.residuals(s, fc.fitted(s, plans, models, spec), spec)
+    assert f.count() == 170 and f.where("series_id = 'a' and abs(residual) > 1").count() == 0
+    again = fc.reuse(s, plans, spec, frozen=True)
+    assert sorted(map(str, again.select("series_id", "low", "lags").collect())) == sorted(map(str, plans.select("series_id", "low", "lags").collect()))
+
+
+def test_regressors_are_used_and_a_missing_future_is_null(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=90)
+    y = 5 + 2 * x + np.r_[0, -1.5 * x[:-1]]
+    rows = [("a", t + 1, float(y[t]) if t < 80 else None, [float(x[t])]) for t in range(88)]
+    s = spark.createDataFrame(rows, "series_id string, t int, y double, x array<double>")
+    spec = fc.Spec(periods=(1,), lags=(0,), xreg_lags=((0, 1, 2),), difforder=(0,), type="ls", hidden=4, direct=True, reps=2, barebone=True)
+    plans = fc.specify(s, spec).cache()
+    assert plans.first().xreg_lags == [[0, 1]] and plans.first().lags == []
+    got = [r.yhat for r in fc.ensemble(fc.predict(s, plans, fc.fit(s, plans, spec), spec, 10), ["series_id", "h"]).orderBy("h").collect()]
+    assert np.allclose(got[:8], y[80:88], atol=0.05) and got[8:] == [None, None]
+    assert fc.specify(s, fc.Spec(xreg_lags=())).first().status == "regressors and their lags don't match"
+
+
+def test_hidden_sizes_come_from_the_data(spark):
+    y = list(np.sin(np.arange(70) / 3) + np.random.default_rng(1).normal(0, 0.05, 70))
+    for how in ("cv", "valid", "elm"):
+        spec = fc.Spec(kind="mlp", periods=(4,), lags=(1, 2), difforder=(0,), hidden_type=how, hidden_max=2, reps=2)
+        (size,) = fc.specify(frame(spark, a=y), spec).first().hidden
+        assert 1 <= size <= (2 if how != "elm" else 4)
+
+
+def test_two_seasons_take_waves_and_plans_are_kept_or_refused(spark):
+    t = np.arange(300)
+    y = 3 * np.sin(2 * np.pi * t / 7) + 2 * np.cos(2 * np.pi * t / 30.5) + np.random.default_rng(2).normal(0, 0.1, 300)
+    spec = fc.Spec(periods=(7, 30.5), lags=(1,), difforder=(0,), type="ridge", reps=2)
+    s = frame(spark, a=list(y))
+    plans = fc.specify(s, spec).cache()
+    p = plans.first()
+    assert p.det_type == "trg" and p.periods == [7.0, 30.5] and p.inputs == 5
+    other = frame(spark, a=list(np.random.default_rng(3).normal(size=300)), b=[1.0, 2.0])
+    assert {r.series_id: r.status for r in fc.reuse(other, plans, spec).collect()} == {"a": "the plan's season isn't in the data", "b": "no saved plan"}
+
+
+def test_reports_agree_with_the_model(spark):
+    y = list(np.random.default_rng(5).normal(size=60).cumsum())
+    s, spec = frame(spark, a=y), fc.Spec(type="ridge", hidden=(5, 3), reps=2, periods=(4,), lags=(1, 2), direct=True, select=False, difforder=(1,))
+    plans = fc.specify(s, spec).cache()
+    models = fc.fit(s, plans, spec).cache()
+    nodes = reports.network_nodes(plans, models).groupBy("rep", "layer").count().orderBy("rep", "layer").collect()
+    width = plans.first().inputs
+    assert [r["count"] for r in nodes][:4] == [width, 5, 3, 1]
+    edges = {r.layer: r["count"] for r in reports.network_edges(models).where("rep = 0").groupBy("layer").count().collect()}
+    assert edges == {0: width, 1: (width + 1) * 5, 2: 18, 3: 4}
+    members = fc.predict(s, plans, models, spec)
+    assert reports.forecast_lines(s, members, fc.ensemble(members, ["series_id", "h"])).count() == 60 + 8 + 4
+    one = reports.summary(plans, models, spark.createDataFrame([("a", 1.23456)], "series_id string, mse double"), spec).first()
+    assert (one.differences, one.lags, one.widths, one.mse, one.reps) == ("D1", "1,2", "5,3,1", 1.2346, 2)
+
+
+def test_regression_on_a_table_uses_all_rows_and_both_ways_of_scoring_agree(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (400, 2))
+    y = np.sin(2 * x[:, 0]) + x[:, 1]
+    rows = [("a" if i % 3 else "b", float(x[i, 0]), float(x[i, 1]), float(y[i])) for i in range(400)] + [("a", None, 1.0, 2.0), ("c", 1.0, 1.0, None)]
+    table = spark.createDataFrame(rows, "grp string, u double, v double, y double").repartition(5)
+    for kind in ("ridge", "lasso", "ls", "step"):
+        models = regression.fit(table, "grp", "y", ["u", "v"], hidden=15, kind=kind, reps=2, direct=True).cache()
+        scored = regression.predict(table, models, "grp", ["u", "v"]).cache()
+        assert scored.count() == 402 and scored.where("yhat is null").count() == 2
+        assert scored.select(F.avg(F.pow(F.col("yhat") - F.col("y"), 2))).first()[0] < 0.05 * y.var()
+    joined = regression.scored_by_join(table, models, "grp", ["u", "v"]).select("u", "v", F.col("yhat_members").alias("b"))
+    assert scored.join(joined, ["u", "v"]).where("abs(yhat_members[1] - b[1]) > 1e-9").count() == 0
+    assert regression.predict(table, models, "grp", ["u", "v"], "mode").where("yhat is not null").count() == 400
+
+
+def test_reconciled_levels_add_up(spark):
+    base = [("a", k, h + 1, float(10 * k + h)) for k in (4, 2, 1) for h in range(8 // k)] + [("b", 4, 1, 1.0)]
+    got = {(r.series_id, r.k, r.h): r.yhat for r in hierarchy.reconcile(spark.createDataFrame(base, "series_id string, k int, h int, yhat double"), 4).collect()}
+    assert len(got) == 21 and all(got[k] is None for k in got if k[0] == "b")
+    for season in (0, 1):
+        months = [got["a", 1, 4 * season + i] for i in (1, 2, 3, 4)]
+        assert math.isclose(sum(months), got["a", 4, season + 1]) and math.isclose(sum(months[:2]), got["a", 2, 2 * season + 1])
+    s = frame(spark, a=range(1, 11))
+    assert sorted((r.k, r.t, r.y) for r in hierarchy.levels(s, 4).where("k > 1").collect()) == [(2, 1, 7), (2, 2, 11), (2, 3, 15), (2, 4, 19), (4, 1, 18), (4, 2, 34)]
+
+
+def test_a_stream_is_forecast_as_the_table_is(spark, tmp_path):
+    y = [10 + 0.5 * t + 4 * math.sin(2 * math.pi * t / 6) for t in range(1, 61)]
+    s, spec = frame(spark, a=y), fc.Spec(type="ls", hidden=6, reps=3, periods=(6,), lags=(1, 2, 6), select=False, difforder=(1,), dummies=False)
+    plans = fc.specify(s, spec).cache()
+    models = fc.fit(s, plans, spec).cache()
+    want = [r.yhat for r in fc.ensemble(fc.predict(s, plans, models, spec, 3), ["series_id", "h"]).orderBy("h").collect()]
+    for i, part in enumerate(("t <= 40", "t > 35 and t <= 60")):
+        s.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p{i}"))
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = scoring.score(stream, plans, models, spec, 3).writeStream.format("memory").queryName("scored").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    got = [r.yhat for r in spark.table("scored").where("t = 60").orderBy("h").collect()]
+    assert np.allclose(got, want)
 
 
 def test_results_do_not_depend_on_partitions(spark):
     y = list(np.random.default_rng(5).normal(size=60).cumsum())
-    spec = fc.Spec(kind="mlp", reps=2, m=4)
-    one = fc.fit(frame(spark, a=y), spec).orderBy("rep").collect()
-    two = fc.fit(frame(spark, a=y).repartition(7).orderBy(F.col("t").desc()), spec).orderBy("rep").collect()
-    assert one == two and one[0].w_in != one[1].w_in
+    spec = fc.Spec(kind="mlp", reps=2, periods=(4,))
+    runs = [frame(spark, a=y), frame(spark, a=y).repartition(7).orderBy(F.col("t").desc())]
+    one, two = (fc.fit(s, fc.specify(s, spec), spec).orderBy("rep").collect() for s in runs)
+    assert one == two and one[0].layers != one[1].layers
 
 
 def test_wrong_options_are_refused():
-    for wrong in ({"kind": "x"}, {"type": "x"}, {"lags": (0, 1)}, {"lags": (1, 2), "keep": (3,)}):
+    for wrong in ({"kind": "x"}, {"type": "x"}, {"lags": (0, 1)}, {"lags": (1, 2), "keep": (3,)}, {"comb": "x"}, {"det_type": "x"}, {"barebone": True, "hidden": (3, 2)}, {"det_type": "bin", "periods": (30.5,)}):
         with pytest.raises(ValueError):
             fc.Spec(**wrong)

@@ -1,4 +1,8 @@
-"""One-hidden-layer networks in numpy: extreme learning machines and multilayer perceptrons trained by resilient propagation."""
+"""Feed-forward networks in numpy: extreme learning machines and perceptrons trained by resilient propagation.
+
+A network is a list of layers, each a matrix with the biases in its first row; the last layer is linear. An extreme learning
+machine may also have weights straight from the inputs.
+"""
 
 from __future__ import annotations
 
@@ -9,54 +13,81 @@ from tidecast.functions import stats
 ACTIVATIONS = {"softsign": lambda x: x / (1 + np.abs(x)), "logistic": lambda x: 0.5 * (np.tanh(0.5 * x) + 1)}
 
 
-def forward(x: np.ndarray, w_in: np.ndarray, w_out: np.ndarray, activation: str) -> np.ndarray:
-    """w_in has the biases in its first row; w_out is intercept, hidden weights, then weights straight from the inputs (or none)."""
-    h = ACTIVATIONS[activation](w_in[0] + x @ w_in[1:])
-    k = h.shape[1]
-    out = w_out[0] + h @ w_out[1 : 1 + k]
-    return out + x @ w_out[1 + k :] if len(w_out) > 1 + k else out
+def hidden_output(x: np.ndarray, layers: list[np.ndarray], activation: str) -> np.ndarray:
+    for w in layers:
+        x = ACTIVATIONS[activation](w[0] + x @ w[1:])
+    return x
+
+
+def forward(x: np.ndarray, layers: list[np.ndarray], direct: np.ndarray, activation: str) -> np.ndarray:
+    out = layers[-1][0, 0] + hidden_output(x, layers[:-1], activation) @ layers[-1][1:, 0]
+    return out + x @ direct if len(direct) else out
+
+
+def random_layer(p: int, hidden: int, ortho: bool, rng: np.random.Generator) -> np.ndarray:
+    """Uniform weights within 1/sqrt(p), biases first; ortho: orthonormal columns where there are rows enough."""
+    w = rng.uniform(-1, 1, (p + 1, hidden)) / np.sqrt(max(p, 1))
+    if ortho and p + 1 >= hidden:
+        u, _, v = np.linalg.svd(w, full_matrices=False)
+        w = u @ v
+    return w
+
+
+def random_layers(p: int, hidden: tuple[int, ...], barebone: bool, ortho: bool, rng: np.random.Generator) -> list[np.ndarray]:
+    """barebone: one uniform layer for softsign neurons; otherwise normal weights for logistic ones, in any number of layers."""
+    if barebone:
+        return [random_layer(p, hidden[0], ortho, rng)]
+    return [rng.normal(size=(i + 1, o)) for i, o in zip((p, *hidden[:-1]), hidden, strict=True)]
 
 
-def elm(x: np.ndarray, y: np.ndarray, hidden: int | None, kind: str, direct: bool, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Random hidden layer; the output weights by lasso, ridge, step or ls. Hidden nodes of weight 0 are dropped."""
+def output_weights(folds: list[np.ndarray], kind: str) -> np.ndarray:
+    """Intercept and weights of the output layer from the moments of (features, y) by fold."""
+    if kind == "lasso":
+        return stats.cross_validated(folds, stats.lasso_path)
+    if kind == "ridge":
+        return stats.cross_validated(folds, stats.ridge_path)
+    return stats.least_squares(sum(folds), kind == "step")[0]
+
+
+def pruned(layers: list[np.ndarray], w: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(layers with the output layer added and neurons of weight 0 left out, direct weights)."""
+    k = layers[-1].shape[1]
+    alive = w[1 : 1 + k] != 0
+    return [*layers[:-1], layers[-1][:, alive], np.concatenate([w[:1], w[1 : 1 + k][alive]])[:, None]], w[1 + k :]
+
+
+def elm(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...] | None, kind: str, direct: bool, rng: np.random.Generator, barebone: bool = True, ortho: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """Random hidden layers; the output weights by lasso, ridge, step or least squares (ls or lm)."""
     n, p = x.shape
-    kind = {"lm": "ls"}.get(kind, kind)
-    if kind not in ("lasso", "ridge", "step", "ls"):
-        raise ValueError("type is lasso, ridge, step or ls")
-    hidden = hidden or min(100 - 60 * (kind in ("step", "ls")), max(4, n - 2 - direct * p))
-    w_in = rng.uniform(-1, 1, (p + 1, hidden)) / np.sqrt(max(p, 1))
-    h = ACTIVATIONS["softsign"](w_in[0] + x @ w_in[1:])
-    z = np.hstack([h, x]) if direct else h
-    if kind in ("lasso", "ridge"):
-        w = stats.cross_validated(z, y, getattr(stats, kind), rng)
-    else:
-        own = list(range(z.shape[1]))
-        if kind == "step":
-            own = stats.backward(z, y, [[j] for j in own])
-        beta, *_ = np.linalg.lstsq(np.hstack([np.ones((n, 1)), z[:, own]]), y, rcond=None)
-        w = np.zeros(z.shape[1] + 1)
-        w[0], w[1 + np.array(own, int)] = beta[0], beta[1:]
-    alive = w[1 : 1 + hidden] != 0
-    return w_in[:, alive], np.concatenate([w[:1], w[1 : 1 + hidden][alive], w[1 + hidden :]])
-
-
-def mlp(x: np.ndarray, y: np.ndarray, hidden: int, rng: np.random.Generator, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Full-batch resilient propagation of the squared error, logistic hidden layer and linear output."""
-    p = x.shape[1]
-    w = [rng.normal(0, 0.7, (p + 1, hidden)), rng.normal(0, 0.3, hidden + 1)]
+    hidden = hidden or (min(100 - 60 * (kind in ("step", "ls", "lm")), max(4, n - 2 - direct * p)),)
+    layers = random_layers(p, hidden, barebone, ortho, rng)
+    z = hidden_output(x, layers, "softsign" if barebone else "logistic")
+    z = np.hstack([z, x]) if direct else z
+    fold = rng.permutation(n) % min(5, n)
+    return pruned(layers, output_weights([stats.moments(z[fold == f], y[fold == f]) for f in range(fold.max() + 1)], kind))
+
+
+def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Generator, steps: int = 400) -> list[np.ndarray]:
+    """Full-batch resilient propagation of the squared error, logistic hidden layers and linear output."""
+    sizes = (x.shape[1], *hidden, 1)
+    w = [rng.normal(0, 0.7 if i + 2 < len(sizes) else 0.3, (sizes[i] + 1, sizes[i + 1])) for i in range(len(sizes) - 1)]
     step, before = [np.full(a.shape, 0.05) for a in w], [np.zeros(a.shape) for a in w]
-    z = np.hstack([np.ones((len(y), 1)), x])
-    best, least = [a.copy() for a in w], np.inf
+    best, least, one = [a.copy() for a in w], np.inf, np.ones((len(y), 1))
     for _ in range(steps):
-        h = ACTIVATIONS["logistic"](z @ w[0])
-        e = w[1][0] + h @ w[1][1:] - y
-        if (sse := float(e @ e)) < least:
+        seen = [np.hstack([one, x])]
+        for a in w[:-1]:
+            seen.append(np.hstack([one, ACTIVATIONS["logistic"](seen[-1] @ a)]))
+        d = seen[-1] @ w[-1] - y[:, None]
+        if (sse := float((d * d).sum())) < least:
             least, best = sse, [a.copy() for a in w]
-        d = e[:, None] * w[1][1:] * h * (1 - h)
-        for i, g in enumerate((z.T @ d, np.concatenate([[e.sum()], h.T @ e]))):
+        slopes = []
+        for i in range(len(w) - 1, -1, -1):
+            slopes.append(seen[i].T @ d)
+            d = (d @ w[i][1:].T) * seen[i][:, 1:] * (1 - seen[i][:, 1:]) if i else d
+        for i, g in enumerate(reversed(slopes)):
             same = np.sign(g * before[i])
             step[i] = np.clip(step[i] * np.where(same > 0, 1.2, np.where(same < 0, 0.5, 1)), 1e-8, 5)
             g = np.where(same < 0, 0, g)
             w[i] -= np.sign(g) * step[i]
             before[i] = g
-    return best[0], best[1]
+    return best

@@ -1,4 +1,4 @@
-"""Small statistics in numpy: tails, least squares with backward selection, lasso, ridge, density mode."""
+"""Small statistics in numpy: distribution tails, penalised and stepwise regression from moment matrices, density mode."""
 
 from __future__ import annotations
 
@@ -34,6 +34,17 @@ def chi2_tail(x: float, k: float) -> float:
     return front * h
 
 
+def t_tail(t: float, df: float) -> float:
+    """P(|Student's t with df degrees| > |t|), by quadrature of the density in the angle atan(t / sqrt(df))."""
+    if df <= 0 or not math.isfinite(t):
+        return 0.0 if df > 0 else 1.0
+    edge = math.atan(abs(t) / math.sqrt(df))
+    nodes, weights = np.polynomial.legendre.leggauss(64)
+    angle = edge + (nodes + 1) / 2 * (math.pi / 2 - edge)
+    front = 2 * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    return float(min(1.0, front * (weights @ np.cos(angle) ** (df - 1)) * (math.pi / 2 - edge) / 2))
+
+
 def aic(x: np.ndarray, y: np.ndarray) -> float:
     """n log(RSS/n) + 2k of least squares with an intercept in x."""
     beta, *_ = np.linalg.lstsq(x, y, rcond=None)
@@ -55,41 +66,145 @@ def backward(x: np.ndarray, y: np.ndarray, blocks: list[list[int]], keep: set[in
         held.remove(out)
 
 
-def ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-    """Coefficients with the intercept first; the intercept isn't penalised."""
-    mx, my = x.mean(0), y.mean()
-    c = x - mx
-    w = np.linalg.solve(c.T @ c + penalty * len(y) * np.eye(x.shape[1]), c.T @ (y - my))
-    return np.concatenate([[my - mx @ w], w])
+# Regression from moments. A moment matrix is A'A of the rows a = (1, columns..., y): moments of parts of a table add up,
+# so a table of any length is fitted from sums.
+
+
+def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    a = np.hstack([np.ones((len(y), 1)), x, y[:, None]])
+    return a.T @ a
+
+
+def centred(m: np.ndarray) -> tuple:
+    """(n, column means, mean of y, covariance, covariance with y, variance of y) of a moment matrix, or of a stack of them."""
+    n = m[..., 0, 0]
+    mean = m[..., 0, 1:] / n[..., None]
+    c = m[..., 1:, 1:] / n[..., None, None] - mean[..., :, None] * mean[..., None, :]
+    return n, mean[..., :-1], mean[..., -1], c[..., :-1, :-1], c[..., :-1, -1], c[..., -1, -1]
+
+
+def error(m: np.ndarray, w: np.ndarray) -> float:
+    """Mean squared error of the coefficients w (intercept first) over the rows of m."""
+    v = np.append(w, -1.0)
+    return float(v @ m @ v / m[0, 0])
+
+
+def with_intercept(w: np.ndarray, mx: np.ndarray, my: np.ndarray) -> np.ndarray:
+    return np.concatenate([my[:, None, None] - w @ mx[:, :, None], w], 2)
 
 
-def lasso(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 200) -> np.ndarray:
-    """Coordinate descent for (1/2n) RSS + penalty * sum |w|, intercept first."""
-    mx, my, n = x.mean(0), y.mean(), len(y)
-    c, size = x - mx, ((x - mx) ** 2).sum(0) / n
-    w, left = np.zeros(x.shape[1]), y - my
+def ridge_path(m: np.ndarray, penalties: np.ndarray) -> np.ndarray:
+    """Coefficients (matrix of the stack m, penalty, coefficient), intercept first and not penalised."""
+    _, mx, my, g, c, _ = centred(m)
+    values, vectors = np.linalg.eigh(g)
+    turned = vectors.swapaxes(1, 2) @ c[:, :, None]
+    return with_intercept((vectors @ (turned / (np.maximum(values, 0)[:, :, None] + penalties))).swapaxes(1, 2), mx, my)
+
+
+def lasso_path(m: np.ndarray, penalties: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """As ridge_path, by coordinate descent on (1/2n) RSS + penalty * sum |w|, over the stack and all penalties at once."""
+    _, mx, my, g, c, vy = centred(m)
+    size = np.maximum(np.diagonal(g, axis1=1, axis2=2), 0)
+    w = np.zeros((len(m), len(penalties), c.shape[1]))
+    live = np.flatnonzero((size > 1e-12).all(0))
     for _ in range(rounds):
         most = 0.0
-        for j in np.flatnonzero(size > 1e-14):
-            rho = c[:, j] @ left / n + size[j] * w[j]
-            new = math.copysign(max(abs(rho) - penalty, 0), rho) / size[j]
-            if new != w[j]:
-                left -= c[:, j] * (new - w[j])
-                most, w[j] = max(most, abs(new - w[j])), new
-        if most < 1e-8:
+        for j in live:
+            rho = c[:, j, None] - (w @ g[:, j, :, None])[:, :, 0] + size[:, j, None] * w[:, :, j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - penalties, 0) / size[:, j, None]
+            most = max(most, float((np.abs(new - w[:, :, j]).max(1) * np.sqrt(size[:, j])).max()))
+            w[:, :, j] = new
+        if most < 1e-4 * math.sqrt(max(float(vy.min()), 1e-300)):
             break
-    return np.concatenate([[my - mx @ w], w])
+    return with_intercept(w, mx, my)
 
 
-def cross_validated(x: np.ndarray, y: np.ndarray, fit, rng: np.random.Generator, folds: int = 5, count: int = 12) -> np.ndarray:
-    """fit(x, y, penalty) at the largest penalty whose error is within one standard error of the least."""
-    top = max(np.abs((x - x.mean(0)).T @ (y - y.mean())).max() / len(y), 1e-12)
+def cross_validated(folds: list[np.ndarray], path, count: int = 20) -> np.ndarray:
+    """Coefficients at the largest penalty whose error over the folds is within one standard error of the least."""
+    whole = sum(folds)
+    top = max(float(np.abs(centred(whole)[4]).max(initial=0)), 1e-12)
     penalties = top * np.geomspace(1, 1e-4, count)
-    fold = rng.permutation(len(y)) % min(folds, len(y))
-    errors = np.array([[((y[fold == f] - (lambda b, z: b[0] + z @ b[1:])(fit(x[fold != f], y[fold != f], p), x[fold == f])) ** 2).mean() for f in range(fold.max() + 1)] for p in penalties])
-    mean, se = errors.mean(1), errors.std(1) / math.sqrt(errors.shape[1])
+    out = [f for f in folds if f[0, 0] > 0 and (whole - f)[0, 0] > 1]
+    if not out:
+        return path(whole[None], penalties[:1])[0, 0]
+    paths = path(np.stack([whole, *(whole - f for f in out)]), penalties)
+    errors = np.array([[error(f, w) for w in p] for f, p in zip(out, paths[1:], strict=True)])
+    mean, se = errors.mean(0), errors.std(0) / math.sqrt(len(errors))
     best = mean.argmin()
-    return fit(x, y, penalties[np.flatnonzero(mean <= mean[best] + se[best])[0]])
+    return paths[0, np.flatnonzero(mean <= mean[best] + se[best])[0]]
+
+
+def independent(g: np.ndarray) -> list[int]:
+    """Columns of a covariance that aren't combinations of the ones before them."""
+    left, own = g.astype(float).copy(), []
+    for j in range(len(g)):
+        if left[j, j] > 1e-9 * max(g[j, j], 1e-300):
+            own.append(j)
+            left = left - np.outer(left[:, j], left[j]) / left[j, j]
+    return own
+
+
+def least_squares(m: np.ndarray, step: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients with the intercept first, two-sided p-values of the columns); step: after backward selection by AIC.
+
+    Columns that are combinations of others get 0, and p-value 1.
+    """
+    n, mx, my, g, c, vy = centred(m)
+    own = independent(g)
+    while True:
+        inverse = np.linalg.pinv(g[np.ix_(own, own)], hermitian=True)
+        beta = inverse @ c[own]
+        rss = max(vy - float(beta @ c[own]), 1e-12 * max(vy, 1e-300))
+        if not step or not own:
+            break
+        cost = beta**2 / np.maximum(np.diag(inverse), 1e-300)  # rise of rss when a column goes
+        out = int(cost.argmin())
+        if n * math.log((rss + cost[out]) / rss) >= 2:
+            break
+        own.pop(out)
+    w, p = np.zeros(len(g) + 1), np.ones(len(g))
+    w[0], df = my, n - len(own) - 1
+    if own:
+        w[0] = my - mx[own] @ beta
+        w[1 + np.array(own)] = beta
+        if df > 0:
+            se = np.sqrt(rss * np.maximum(np.diag(inverse), 1e-300) / df)
+            p[own] = [t_tail(float(t), df) for t in beta / se]
+    return w, p
+
+
+def bandwidth(v: np.ndarray) -> float:
+    """The plug-in width that solves Sheather and Jones's (1991) equation; the rule of thumb where it has no root."""
+    n, sd = len(v), v.std(ddof=1)
+    scale = min(sd, np.subtract(*np.percentile(v, [75, 25])) / 1.349) or sd
+    rule = 0.9 * scale * n**-0.2
+    gaps = (v[:, None] - v) ** 2
+
+    def fourth(h: float) -> float:
+        d = gaps / h**2
+        return float((np.exp(-d / 2) * (d * d - 6 * d + 3)).sum()) / (n * (n - 1) * h**5 * math.sqrt(2 * math.pi))
+
+    def sixth(h: float) -> float:
+        d = gaps / h**2
+        return -float((np.exp(-d / 2) * (d**3 - 15 * d * d + 45 * d - 15)).sum()) / (n * (n - 1) * h**7 * math.sqrt(2 * math.pi))
+
+    down, up = fourth(1.24 * scale * n ** (-1 / 7)), sixth(1.23 * scale * n ** (-1 / 9))
+    if not (down > 0 and up > 0):
+        return rule
+    ratio = 1.357 * (down / up) ** (1 / 7)
+
+    def gap(h: float) -> float:
+        s = fourth(ratio * h ** (5 / 7))
+        return (1 / (2 * math.sqrt(math.pi) * n * s)) ** 0.2 - h if s > 0 else math.nan
+
+    high = 1.144 * scale * n**-0.2
+    low = 0.1 * high
+    if not gap(low) * gap(high) < 0:
+        return rule
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if gap(mid) * gap(low) > 0 else (low, mid)
+    return (low + high) / 2
 
 
 def density_mode(values: np.ndarray, points: int = 512) -> float:
@@ -98,7 +213,5 @@ def density_mode(values: np.ndarray, points: int = 512) -> float:
     low, high = v.min(), v.max()
     if low == high:
         return float(v[0])
-    q = np.subtract(*np.percentile(v, [75, 25])) / 1.34
-    width = 0.9 * min(v.std(ddof=1), q or v.std(ddof=1)) * len(v) ** -0.2
     grid = np.linspace(low - 0.1 * (high - low), high + 0.1 * (high - low), points)
-    return float(grid[np.exp(-0.5 * ((grid[:, None] - v) / width) ** 2).sum(1).argmax()])
+    return float(grid[np.exp(-0.5 * ((grid[:, None] - v) / bandwidth(v)) ** 2).sum(1).argmax()])

@@ -1,4 +1,10 @@
-"""Fitting and forecasting of many series: one task unit for each series and ensemble member."""
+"""Fitting and forecasting of many series: a plan for each series, then one task unit for each series and ensemble member.
+
+A series is rows (series_id, t, y) with t dense from 1, and x array<double> where there are outside regressors; rows past the
+last y give the regressors' future. A plan, a model and a forecast are DataFrames: write them as Parquet to keep them. A series
+that can't be fitted gets a status other than ok and null forecasts; it doesn't stop the others. Null and repeated steps inside
+a series count as gaps.
+"""
 
 from __future__ import annotations
 
@@ -11,44 +17,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidecast.functions import nets, stats
+from tidecast.functions import nets, stats, unitroots
 from tidecast.functions.transforms import combine
 
-MODEL = "series_id string, rep int, status string, activation string, lags array<int>, low double, high double, w_in array<array<double>>, w_out array<double>"
+PLAN = "series_id string, status string, warning string, difforder array<int>, lags array<int>, xreg_lags array<array<int>>, periods array<double>, det_type string, low double, high double, x_low array<double>, x_high array<double>, inputs int, rows int, hidden array<int>"
+MODEL = "series_id string, rep int, activation string, layers array<array<array<double>>>, direct array<double>"
 MEMBER = "series_id string, rep int, h int, yhat double"
 FITTED = "series_id string, rep int, t int, y double, fitted double"
+SIZES = "series_id string, hidden int, fold int, mse double"
 
 
 @dataclass(frozen=True)
 class Spec:
-    """kind: elm or mlp. lags are of the differenced, scaled series; seasonal dummies of period m are added where dummies is set."""
+    """What to build. difforder None: found by tests; () or (0,): none. lags (0,): no lags of the series itself.
+
+    kind: elm or mlp. periods: the seasonal periods in steps, several for several seasonalities. hidden: neurons, or a tuple of
+    layers; None: 5 (hidden_type set), by validation (valid), five folds (cv) or random networks (elm). type: the elm's output
+    weights. barebone: the elm's uniform softsign layer instead of normal logistic ones. strict: see difference_orders; also,
+    rejected lags stay where regressors or dummies are left.
+    """
 
     kind: str = "elm"
-    m: int = 12
+    periods: tuple[float, ...] = (12,)
     lags: tuple[int, ...] | None = None
     keep: tuple[int, ...] = ()
-    difforder: tuple[int, ...] = (1,)
+    xreg_lags: tuple[tuple[int, ...], ...] | None = None
+    xreg_keep: tuple[tuple[int, ...], ...] = ()
+    difforder: tuple[int, ...] | None = None
     select: bool = True
-    dummies: bool = False
-    hidden: int | None = None
-    type: str = "ridge"
+    dummies: bool = True
+    det_type: str = "auto"
+    hidden: int | tuple[int, ...] | None = None
+    hidden_type: str = "set"
+    hidden_max: int | None = None
+    type: str = "lasso"
     direct: bool = False
-    reps: int = 5
+    barebone: bool = False
+    ortho: bool = False
+    comb: str = "median"
+    reps: int = 20
+    strict: bool = True
+    phase: int = 0
     seed: int = 42
 
     def __post_init__(self):
-        if self.kind not in ("elm", "mlp"):
-            raise ValueError("kind is elm or mlp")
-        if self.type not in ("lasso", "ridge", "step", "ls", "lm"):
-            raise ValueError("type is lasso, ridge, step, ls or lm")
-        if self.lags is not None and 0 in self.lags:
-            raise ValueError("a series can't be its own input: lag 0 is not allowed")
+        enums = {"kind": ("elm", "mlp"), "type": ("lasso", "ridge", "step", "ls", "lm"), "det_type": ("auto", "bin", "trg"), "hidden_type": ("set", "valid", "cv", "elm"), "comb": ("median", "mean", "mode")}
+        for name, allowed in enums.items():
+            if getattr(self, name) not in allowed:
+                raise ValueError(f"{name} is one of {', '.join(allowed)}")
+        if self.lags is not None and 0 in self.lags and len(self.lags) > 1:
+            raise ValueError("a series can't be its own input: lag 0 stands alone, for no lags")
         if set(self.keep) - set(self.candidates):
             raise ValueError("only lags can be kept")
+        if self.barebone and len(self.layers or ()) > 1:
+            raise ValueError("a barebone elm has one hidden layer")
+        if self.det_type == "bin" and any(m != int(m) for m in self.periods):
+            raise ValueError("a period that isn't whole takes trigonometric dummies")
+
+    @property
+    def m(self) -> int:
+        return int(max(self.periods))
+
+    @property
+    def layers(self) -> tuple[int, ...] | None:
+        return (self.hidden,) if isinstance(self.hidden, int) else self.hidden
 
     @property
     def candidates(self) -> tuple[int, ...]:
-        return self.lags if self.lags is not None else tuple(range(1, (self.m if self.m > 3 else 4) + 1))
+        if self.lags is not None:
+            return () if self.lags == (0,) else self.lags
+        return tuple(range(1, (self.m if self.m > 3 else 4) + 1))
+
+
+def split(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    """(y up to its last value, regressors of all rows or None); rows of a group come in any order."""
+    pdf = pdf.sort_values("t")
+    y = pdf["y"].to_numpy(float)
+    seen = np.flatnonzero(~np.isnan(y))
+    x = np.vstack([np.asarray(r, float) for r in pdf["x"]]) if "x" in pdf and len(pdf) and all(r is not None for r in pdf["x"]) else None
+    y = y[: seen[-1] + 1] if len(seen) else y[:0]
+    return (np.append(y, np.nan) if pdf["t"].duplicated().any() else y), x
 
 
 def ladder(y: np.ndarray, order: tuple[int, ...]) -> list[np.ndarray]:
@@ -59,106 +107,311 @@ def ladder(y: np.ndarray, order: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-def inputs(z: np.ndarray, lags: list[int], t0: int, spec: Spec) -> np.ndarray:
-    """Rows of lags (and dummies) for each step of z past the largest lag; t0: steps of the series before z."""
-    first = max(lags, default=0)
-    columns = [z[first - k : len(z) - k] for k in lags]
-    if spec.dummies:
-        at = (np.arange(first, len(z)) + t0) % spec.m
-        columns += [(at == s).astype(float) for s in range(1, spec.m)]
-    return np.column_stack(columns)
-
-
-def train(key: tuple, pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
-    series, rep = key[0], int(key[1])
-    y = pdf.sort_values("t")["y"].to_numpy(float)  # rows of a group come in any order
-    row = {"series_id": series, "rep": rep, "activation": "softsign" if spec.kind == "elm" else "logistic", "lags": [], "low": None, "high": None, "w_in": [], "w_out": []}
-    shift, lags = sum(spec.difforder), list(spec.candidates)
-    if len(y) - shift <= max(lags) + 4 or not np.isfinite(y).all():
-        return pd.DataFrame([row | {"status": "too short or with gaps"}])
-    d = ladder(y, spec.difforder)[-1]
-    low, high = float(d.min()), float(d.max())
-    if low == high:
-        return pd.DataFrame([row | {"status": "constant", "low": low, "high": high}])
-    z = 1.6 * (d - low) / (high - low) - 0.8
-    rng = np.random.default_rng([spec.seed, zlib.crc32(series.encode()), rep])
+def scaled(v: np.ndarray, low, high) -> np.ndarray:
+    return 1.6 * (v - low) / np.where(np.asarray(high) > low, np.subtract(high, low), 1.0) - 0.8
+
+
+def unscaled(v: np.ndarray, low: float, high: float) -> np.ndarray:
+    return (v + 0.8) / 1.6 * (high - low) + low
+
+
+def seasons(at: np.ndarray, m: float, kind: str) -> list[np.ndarray]:
+    """Dummy columns of the steps at (from 0): m - 1 indicators, or the first sine and cosine."""
+    if kind == "bin":
+        return [(at % m == s).astype(float) for s in range(1, int(m))]
+    angle = 2 * np.pi * (at % m) / m
+    return [np.cos(angle)] if m == 2 else [np.sin(angle), np.cos(angle)]
+
+
+def blocks_of(z: np.ndarray, x: np.ndarray | None, plan: dict, start: int, first: int, last: int) -> list[list[np.ndarray]]:
+    """Input columns for steps first..last-1 of z, in blocks: each lag, each lag of each regressor, each period's dummies."""
+    out = [[z[first - k : last - k]] for k in plan["lags"]]
+    out += [[x[first - k : last - k, i]] for i, ks in enumerate(plan["xreg_lags"]) for k in ks]
+    return out + [seasons(np.arange(first, last) + start, m, plan["det_type"]) for m in plan["periods"]]
+
+
+def depth(plan: dict) -> int:
+    return max([*plan["lags"], *(k for ks in plan["xreg_lags"] for k in ks)], default=0)
+
+
+def design(z: np.ndarray, x: np.ndarray | None, plan: dict, start: int) -> tuple[np.ndarray, np.ndarray]:
+    first = depth(plan)
+    blocks = blocks_of(z, x, plan, start, first, len(z))
+    return np.column_stack([c for b in blocks for c in b]), z[first:]
+
+
+def rng_of(spec: Spec, series: str, *more: int) -> np.random.Generator:
+    return np.random.default_rng([spec.seed, zlib.crc32(str(series).encode()), *more])
+
+
+def prepared(pdf: pd.DataFrame, plan: dict, spec: Spec) -> tuple[np.ndarray, np.ndarray | None, list[np.ndarray], int]:
+    """(z, scaled regressors on z's steps, levels of differences, steps before z)."""
+    y, x = split(pdf)
+    shift = sum(plan["difforder"])
+    levels = ladder(y, plan["difforder"])
+    if x is not None and len(plan["x_low"]):
+        x = scaled(x[shift:], plan["x_low"], plan["x_high"])
+    return scaled(levels[-1], plan["low"], plan["high"]), x, levels, shift + spec.phase
+
+
+def select(z: np.ndarray, x: np.ndarray | None, plan: dict, spec: Spec, start: int, rng: np.random.Generator) -> tuple[dict, str]:
+    """The plan with the inputs that backward selection leaves; by lasso where there are too few steps. Waves always stay."""
+    first = depth(plan)
+    blocks = blocks_of(z, x, plan, start, first, len(z))
+    names = [("y", 0, k) for k in plan["lags"]] + [("x", i, k) for i, ks in enumerate(plan["xreg_lags"]) for k in ks] + [("d", 0, m) for m in plan["periods"]]
+    matrix, target = np.column_stack([c for b in blocks for c in b]), z[first:]
+    ends = np.cumsum([len(b) for b in blocks])
+    columns = [list(range(e - len(b), e)) for b, e in zip(blocks, ends, strict=True)]
+    kept = {j for j, (kind, i, k) in enumerate(names) if (kind == "y" and k in spec.keep) or (kind == "x" and i < len(spec.xreg_keep) and k in spec.xreg_keep[i])}
+    warning = ""
+    if len(target) > matrix.shape[1] + 2:
+        held = stats.backward(matrix, target, columns, kept)
+    else:
+        fold = rng.permutation(len(target)) % min(5, len(target))
+        w = stats.cross_validated([stats.moments(matrix[fold == f], target[fold == f]) for f in range(fold.max() + 1)], stats.lasso_path)
+        held, warning = [j for j, own in enumerate(columns) if (w[1 + np.array(own)] != 0).any()], "selected by lasso"
+    left = [names[j] for j in held]
+    new = plan | {
+        "lags": [k for kind, _, k in left if kind == "y"],
+        "xreg_lags": [[k for kind, j, k in left if kind == "x" and j == i] for i in range(len(plan["xreg_lags"]))],
+        "periods": plan["periods"] if plan["det_type"] == "trg" else [m for kind, _, m in left if kind == "d"],
+    }
+    if not new["lags"]:
+        if not plan["periods"] and not any(new["xreg_lags"]):
+            new["lags"], warning = [1], "no inputs left: the last value is used"
+        elif spec.strict or not (new["periods"] or any(new["xreg_lags"])):
+            new["lags"] = plan["lags"]
+    return new, warning
+
+
+def plan_of(key: tuple, pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
+    y, x = split(pdf)
+    width = 0 if x is None else x.shape[1]
+    plan = {"series_id": key[0], "status": "ok", "warning": "", "difforder": [], "lags": list(spec.candidates), "xreg_lags": [], "periods": [], "det_type": None, "low": None, "high": None, "x_low": [], "x_high": [], "inputs": 0, "rows": 0, "hidden": None}
+    stop = lambda why, **more: pd.DataFrame([plan | more | {"status": why}])
+    if spec.xreg_lags is not None and len(spec.xreg_lags) != width:
+        return stop("regressors and their lags don't match")
+    if width and len(x) < len(y):
+        return stop("regressors are shorter than the series")
+    plan["xreg_lags"] = [list(ks) for ks in spec.xreg_lags] if spec.xreg_lags is not None else [list(spec.candidates)] * width
+    if not len(y) or not np.isfinite(y).all() or (width and not np.isfinite(x).all()):
+        return stop("too short or with gaps")
+    if y.min() == y.max():
+        return stop("constant", low=float(y[0]), high=float(y[0]), lags=[], xreg_lags=[])
+    order = unitroots.difference_orders(y, spec.m, spec.strict) if spec.difforder is None else tuple(spec.difforder)
+    plan["difforder"] = [] if 0 in order else list(order)
+    shift = sum(plan["difforder"])
+    if len(y) - shift <= depth(plan) + 2:
+        return stop("too short or with gaps")
+    if spec.dummies and spec.m > 1 and (len(spec.periods) > 1 or spec.m not in plan["difforder"]) and unitroots.seasonal(y, spec.m):
+        plan["periods"] = [float(m) for m in spec.periods]
+        whole = len(spec.periods) == 1 and spec.periods[0] == spec.m <= 12
+        plan["det_type"] = spec.det_type if spec.det_type != "auto" else ("bin" if whole else "trg")
+    d = ladder(y, plan["difforder"])[-1]
+    plan["low"], plan["high"] = float(d.min()), float(d.max())
+    if plan["low"] == plan["high"]:
+        return stop("constant", lags=[], xreg_lags=[], periods=[])
+    if not plan["lags"] and not any(plan["xreg_lags"]) and not plan["periods"]:
+        return stop("no inputs")
+    if width:
+        plan["x_low"], plan["x_high"] = x[shift:].min(0).tolist(), x[shift:].max(0).tolist()
+    z, x, _, start = prepared(pdf, plan, spec)
     if spec.select:
-        x, target = inputs(z, lags, shift, spec), z[max(lags) :]
-        blocks = [[j] for j in range(len(lags))] + ([list(range(len(lags), x.shape[1]))] if spec.dummies else [])
-        held = stats.backward(x, target, blocks, {lags.index(k) for k in spec.keep})
-        lags = [lags[b] for b in held if b < len(lags)] or [1]
-    x, target = inputs(z, lags, shift, spec), z[max(lags) :]
-    w_in, w_out = nets.elm(x, target, spec.hidden, spec.type, spec.direct, rng) if spec.kind == "elm" else nets.mlp(x, target, spec.hidden or 5, rng)
-    return pd.DataFrame([row | {"status": "ok", "lags": lags, "low": low, "high": high, "w_in": w_in.tolist(), "w_out": w_out.tolist()}])
+        plan, plan["warning"] = select(z, x, plan, spec, start, rng_of(spec, key[0]))
+    matrix, target = design(z, x, plan, start)
+    plan["inputs"], plan["rows"] = matrix.shape[1], len(target)
+    plan["hidden"] = list(spec.layers) if spec.layers else None
+    if spec.kind == "mlp" and plan["hidden"] is None:
+        plan["hidden"] = {"set": [5], "elm": [0]}.get(spec.hidden_type)
+        if spec.hidden_type == "elm":
+            plan["hidden"] = [significant_neurons(matrix, target, rng_of(spec, key[0], 1))]
+    return pd.DataFrame([plan])
+
+
+def significant_neurons(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, nets_tried: int = 20) -> int:
+    """Rounded median, over random networks, of the neurons that are significant after backward selection; at least 1."""
+    size = max(1, min(x.shape[1] + 2, len(y) - 2))
+    counts = []
+    for _ in range(nets_tried):
+        z = nets.hidden_output(x, nets.random_layers(x.shape[1], (size,), False, False, rng), "logistic")
+        counts.append(int((stats.least_squares(stats.moments(z, y), True)[1] < 0.05).sum()))
+    return max(1, round(float(np.median(counts))))
+
+
+def rows_of(series: DataFrame) -> DataFrame:
+    """Only the columns that are used, so that the scan and the shuffle carry no others."""
+    return series.select(F.col("series_id").cast("string").alias("series_id"), "t", "y", *(["x"] if "x" in series.columns else []))
+
+
+def specify(series: DataFrame, spec: Spec) -> DataFrame:
+    """A row of PLAN for each series: differences, inputs, dummies, scaling and hidden layers."""
+    plans = rows_of(series).groupBy("series_id").applyInPandas(lambda key, pdf: plan_of(key, pdf, spec), PLAN)
+    if spec.kind == "mlp" and spec.layers is None and spec.hidden_type in ("valid", "cv"):
+        best = hidden_errors(series, plans, spec).groupBy("series_id", "hidden").agg(F.avg("mse").alias("mse")).groupBy("series_id").agg(F.min_by("hidden", F.struct("mse", "hidden")).alias("size"))
+        plans = plans.join(best, "series_id", "left").withColumn("hidden", F.when(F.col("size").isNotNull(), F.array("size"))).drop("size")
+    return plans
+
+
+def fan_out(left: DataFrame, right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(key, rows of left, rows of right) for each key; dealt out by all keys, since small groups would share one task."""
+    spark = left.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both sides may come from one table
+    return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInPandas(run, schema)
+
+
+def plain(row) -> dict:
+    """A row of a plan as Python values."""
+    p = row._asdict()
+    lists = {c: [] if p[c] is None else list(p[c]) for c in ("difforder", "lags", "periods", "x_low", "x_high", "hidden")}
+    return p | lists | {"xreg_lags": [list(ks) for ks in (p["xreg_lags"] if p["xreg_lags"] is not None else [])]}
+
+
+def hidden_errors(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
+    """(series_id, hidden, fold, mse) of ensembles trained without each fold, a unit for each size and fold."""
+    folds = 5 if spec.hidden_type == "cv" else 1
+    most = F.lit(spec.hidden_max) if spec.hidden_max else F.greatest(F.lit(2), F.least(F.col("inputs") + 2, F.col("rows") - 2))
+    units = plans.where("status = 'ok'").withColumn("size", F.explode(F.sequence(F.lit(1), most))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    keyed = units.select("series_id", "size", "fold")
+    tried = min(20, max(2, spec.reps))
 
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        plan = plain(next(right.itertuples(index=False)))
+        z, x, _, start = prepared(left, plan, spec)
+        matrix, target = design(z, x, plan, start)
+        order = rng_of(spec, key[0], 2).permutation(len(target))
+        out = order % 5 == key[2] if folds == 5 else order < round(0.2 * len(target))
+        rng = rng_of(spec, key[0], 3, int(key[1]), int(key[2]))
+        guesses = [nets.forward(matrix[out], nets.mlp(matrix[~out], target[~out], (int(key[1]),), rng), (), "logistic") for _ in range(tried)]
+        ensembled = {"median": np.median, "mean": np.mean}.get(spec.comb)
+        guess = ensembled(guesses, 0) if ensembled else np.array([stats.density_mode(v) for v in np.transpose(guesses)])
+        return pd.DataFrame([(key[0], int(key[1]), int(key[2]), float(((guess - target[out]) ** 2).mean()))], columns=["series_id", "hidden", "fold", "mse"])
 
-def fit(series: DataFrame, spec: Spec) -> DataFrame:
-    """series(series_id, t, y) -> one row of MODEL for each series and member. The fan-out is dealt out by both."""
-    spark = series.sparkSession
-    reps = F.broadcast(spark.range(spec.reps).select(F.col("id").cast("int").alias("rep")))
-    fan = series.select(F.col("series_id").cast("string").alias("series_id"), "t", "y").crossJoin(reps)
-    parts = spark.sparkContext.defaultParallelism
-    return fan.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "series_id", "rep").groupBy("series_id", "rep").applyInPandas(lambda key, pdf: train(key, pdf, spec), MODEL)
+    return fan_out(rows_of(series).join(keyed, "series_id"), units, ["series_id", "size", "fold"], run, SIZES)
 
 
-def predict(series: DataFrame, models: DataFrame, spec: Spec, h: int) -> DataFrame:
-    """Forecasts of each member for h steps, each on its own predictions; null where the model has no weights."""
+def fit(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
+    """A row of MODEL for each member of each series whose plan is ok."""
+    reps = F.broadcast(series.sparkSession.range(spec.reps).select(F.col("id").cast("int").alias("rep")))  # a parameter's size
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["series_id", "rep", "activation", "layers", "direct"]
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=columns)
+        plan = plain(next(right.itertuples(index=False)))
+        z, x, _, start = prepared(left, plan, spec)
+        matrix, target = design(z, x, plan, start)
+        rng, hidden = rng_of(spec, key[0], 9, int(key[1])), tuple(plan["hidden"]) or None
+        if spec.kind == "mlp":
+            layers, direct = nets.mlp(matrix, target, hidden or (5,), rng), np.zeros(0)
+        else:
+            layers, direct = nets.elm(matrix, target, hidden, spec.type, spec.direct, rng, spec.barebone, spec.ortho)
+        name = "softsign" if spec.kind == "elm" and spec.barebone else "logistic"
+        return pd.DataFrame([(key[0], int(key[1]), name, [w.tolist() for w in layers], direct.tolist())], columns=columns)
+
+    good = plans.where("status = 'ok'")
+    rows = rows_of(series).join(good.select("series_id"), "series_id", "left_semi")
+    return fan_out(rows.crossJoin(reps), good.crossJoin(reps), ["series_id", "rep"], run, MODEL)
+
+
+def reuse(series: DataFrame, plans: DataFrame, spec: Spec, frozen: bool = False) -> DataFrame:
+    """Saved plans for new data: inputs stay, the scaling follows the new data unless frozen. Fit again with these to retrain.
+
+    A series without plan, with other regressors or without the season its dummies need gets a status that says so.
+    """
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = [c.strip().split(" ")[0] for c in PLAN.split(", ")]
+        if not len(right):
+            return pd.DataFrame([dict.fromkeys(names) | {"series_id": key[0], "status": "no saved plan"}])
+        plan = plain(next(right.itertuples(index=False)))
+        if not len(left):
+            return pd.DataFrame([plan])
+        y, x = split(left)
+        shift, width = sum(plan["difforder"]), 0 if x is None else x.shape[1]
+        if width != len(plan["xreg_lags"]) and plan["status"] == "ok":
+            plan["status"] = "regressors and their lags don't match"
+        elif len(y) - shift <= depth(plan) or not np.isfinite(y).all():
+            plan["status"] = "too short or with gaps"
+        elif plan["periods"] and not unitroots.seasonal(y, spec.m):
+            plan["status"] = "the plan's season isn't in the data"
+        elif not frozen and plan["status"] == "ok":
+            d = ladder(y, plan["difforder"])[-1]
+            plan |= {"low": float(d.min()), "high": float(d.max())}
+            if width:
+                plan |= {"x_low": x[shift:].min(0).tolist(), "x_high": x[shift:].max(0).tolist()}
+        return pd.DataFrame([plan])[names]
+
+    return fan_out(rows_of(series), plans, ["series_id"], run, PLAN)
+
+
+def networks(right: pd.DataFrame) -> list[tuple[int, list[np.ndarray], np.ndarray, str]]:
+    """(rep, layers, direct weights, activation) of the members in rows of a model."""
+    return [(int(r.rep), [np.array([list(w) for w in layer], float) for layer in r.layers], np.array(r.direct, float), r.activation) for r in right.itertuples() if r.layers is not None]
+
+
+def with_models(plans: DataFrame, models: DataFrame) -> DataFrame:
+    return plans.join(models, "series_id", "left")
+
+
+def predict(series: DataFrame, plans: DataFrame, models: DataFrame, spec: Spec, h: int | None = None) -> DataFrame:
+    """Forecasts of each member for h steps (a season), each on its own predictions. A series that has no networks: rep 0.
+
+    Regressors must reach h steps past the last y, or the forecasts are null from the first missing step.
+    """
+    ahead = h or spec.m
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        y = left.sort_values("t")["y"].to_numpy(float)
         out = []
-        for m in right.itertuples():
-            out += [(key[0], m.rep, i + 1, v) for i, v in enumerate(member(y, m, spec, h))]
+        if len(left) and len(right):
+            plan, members = plain(next(right.itertuples(index=False))), networks(right)
+            for rep, layers, direct, activation in members or [(0, None, None, None)]:
+                out += [(key[0], rep, i + 1, v) for i, v in enumerate(path(left, plan, layers, direct, activation, spec, ahead))]
         return pd.DataFrame(out, columns=["series_id", "rep", "h", "yhat"])
 
-    s = series.select(F.col("series_id").cast("string").alias("series_id"), "t", "y")
-    return s.groupBy("series_id").cogroup(models.groupBy("series_id")).applyInPandas(run, MEMBER)
+    return fan_out(rows_of(series), with_models(plans, models), ["series_id"], run, MEMBER)
 
 
-def member(y: np.ndarray, m, spec: Spec, h: int) -> list[float | None]:
-    if m.status not in ("ok", "constant") or len(y) <= sum(spec.difforder) + max(m.lags, default=0):
+def path(pdf: pd.DataFrame, plan: dict, layers, direct, activation, spec: Spec, h: int) -> list[float | None]:
+    if plan["status"] not in ("ok", "constant") or (plan["status"] == "ok" and layers is None):
         return [None] * h
-    levels = ladder(y, spec.difforder)
-    if m.status == "constant":
-        ahead = np.full(h, m.low)
+    z, x, levels, start = prepared(pdf, plan, spec)
+    if plan["status"] == "constant":
+        ahead = np.full(h, plan["low"])
     else:
-        z = list(1.6 * (levels[-1] - m.low) / (m.high - m.low) - 0.8)
-        w_in, w_out = np.array([list(r) for r in m.w_in], float).reshape(len(m.w_in), -1), np.array(m.w_out, float)
-        for i in range(h):
-            x = [z[-k] for k in m.lags]
-            if spec.dummies:
-                at = (len(y) + i) % spec.m
-                x += [float(at == s) for s in range(1, spec.m)]
-            z.append(float(nets.forward(np.array([x]), w_in, w_out, m.activation)[0]))
-        ahead = (np.array(z[-h:]) + 0.8) / 1.6 * (m.high - m.low) + m.low
-    for level, k in zip(levels[-2::-1], spec.difforder[::-1], strict=True):
-        path = list(level[-k:])
-        for v in ahead:
-            path.append(path[-k] + v)
-        ahead = np.array(path[k:])
-    return [float(v) for v in ahead]
-
-
-def fitted(series: DataFrame, models: DataFrame, spec: Spec) -> DataFrame:
+        n, lagged = len(z), [k for ks in plan["xreg_lags"] for k in ks]
+        known = h if not lagged else min(h, (0 if x is None else len(x)) - n + min(lagged))
+        z = np.append(z, np.full(h, np.nan))
+        for i in range(n, n + max(known, 0)):
+            row = [c for b in blocks_of(z, x, plan, start, i, i + 1) for c in b]
+            z[i] = nets.forward(np.column_stack(row), layers, direct, activation)[0]
+        ahead = unscaled(z[n:], plan["low"], plan["high"])
+    for level, k in zip(levels[-2::-1], plan["difforder"][::-1], strict=True):
+        whole = np.append(level[-k:], ahead)
+        for i in range(k, len(whole)):
+            whole[i] += whole[i - k]
+        ahead = whole[k:]
+    return [float(v) if np.isfinite(v) else None for v in ahead]
+
+
+def fitted(series: DataFrame, plans: DataFrame, models: DataFrame, spec: Spec) -> DataFrame:
     """One-step values of each member: predictions of the differences, put back on the actual lagged levels."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("t")
-        y, out = left["y"].to_numpy(float), []
-        for m in right.itertuples():
-            if m.status != "ok":
-                continue
-            levels, shift = ladder(y, spec.difforder), sum(spec.difforder)
-            z = 1.6 * (levels[-1] - m.low) / (m.high - m.low) - 0.8
-            w_in = np.array([list(r) for r in m.w_in], float).reshape(len(m.w_in), -1)
-            v = (nets.forward(inputs(z, list(m.lags), shift, spec), w_in, np.array(m.w_out, float), m.activation) + 0.8) / 1.6 * (m.high - m.low) + m.low
-            for level, k in zip(levels[-2::-1], spec.difforder[::-1], strict=True):
-                v = v + level[-len(v) - k : -k]
-            out.append(pd.DataFrame({"series_id": key[0], "rep": m.rep, "t": left["t"].to_numpy()[-len(v) :], "y": y[-len(v) :], "fitted": v}))
+        out = []
+        if len(left) and len(right) and right["status"].iloc[0] == "ok":
+            plan = plain(next(right.itertuples(index=False)))
+            z, x, levels, start = prepared(left, plan, spec)
+            matrix, _ = design(z, x, plan, start)
+            y, t = levels[0], np.sort(left["t"].to_numpy())
+            for rep, layers, direct, activation in networks(right):
+                v = unscaled(nets.forward(matrix, layers, direct, activation), plan["low"], plan["high"])
+                for level, k in zip(levels[-2::-1], plan["difforder"][::-1], strict=True):
+                    v = v + level[-len(v) - k : -k]
+                out.append(pd.DataFrame({"series_id": key[0], "rep": rep, "t": t[len(y) - len(v) : len(y)], "y": y[-len(v) :], "fitted": v}))
         return pd.concat(out) if out else pd.DataFrame(columns=["series_id", "rep", "t", "y", "fitted"])
 
-    s = series.select(F.col("series_id").cast("string").alias("series_id"), "t", "y")
-    return s.groupBy("series_id").cogroup(models.groupBy("series_id")).applyInPandas(run, FITTED)
+    return fan_out(rows_of(series), with_models(plans, models), ["series_id"], run, FITTED)
 
 
 def mode_of(v: pd.Series) -> float:
@@ -166,14 +419,30 @@ def mode_of(v: pd.Series) -> float:
 
 
 def ensemble(members: DataFrame, by: list[str], value: str = "yhat", how: str = "median") -> DataFrame:
-    """Mean, median or density mode of the members; only the mode leaves null members out."""
-    if how == "mode":
-        return members.where(F.col(value).isNotNull()).groupBy(*by).agg(pandas_udf(mode_of, "double")(value).alias(value))
-    return combine(members, by, value, how)
+    """Mean, median or density mode of the members. A null member makes mean and median null.
+
+    The mode leaves out every member that has a null in any group of its series; a group without members is null.
+    """
+    if how != "mode":
+        return combine(members, by, value, how)
+    if {"series_id", "rep"} <= set(members.columns):
+        broken = members.where(F.col(value).isNull()).select("series_id", "rep").distinct()
+        whole = members.join(broken, ["series_id", "rep"], "left_anti")
+    else:
+        whole = members.where(F.col(value).isNotNull())
+    modes = whole.groupBy(*by).agg(pandas_udf(mode_of, "double")(value).alias(value))
+    return members.select(*by).distinct().join(modes, by, "left")
+
+
+def residuals(series: DataFrame, members: DataFrame, spec: Spec) -> DataFrame:
+    """(series_id, t, y, fitted, residual) for every step of the series; null where no network reaches."""
+    one = ensemble(members, ["series_id", "t"], "fitted", spec.comb)
+    return series.where("y is not null").select(F.col("series_id").cast("string").alias("series_id"), "t", "y").join(one, ["series_id", "t"], "left").withColumn("residual", F.col("y") - F.col("fitted"))
 
 
-def network_edges(models: DataFrame) -> DataFrame:
-    """(series_id, rep, layer, from_idx, to_idx, weight): the network as data; index 0 is the bias."""
-    hidden = models.select("series_id", "rep", F.posexplode("w_in").alias("from_idx", "row")).select("series_id", "rep", F.lit("hidden").alias("layer"), "from_idx", F.posexplode("row").alias("k", "weight")).withColumn("to_idx", F.col("k") + 1).drop("k")
-    out = models.select("series_id", "rep", F.lit("output").alias("layer"), F.posexplode("w_out").alias("from_idx", "weight")).withColumn("to_idx", F.lit(1))
-    return hidden.select("series_id", "rep", "layer", "from_idx", "to_idx", "weight").unionByName(out)
+def thief(series: DataFrame, spec: Spec, h: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fits and forecasts in one call, as a level of a temporal hierarchy needs: (forecast, padded fitted values)."""
+    plans = specify(series, spec).cache()
+    models = fit(series, plans, spec).cache()
+    members = predict(series, plans, models, spec, h)
+    return ensemble(members, ["series_id", "h"], how=spec.comb), residuals(series, fitted(series, plans, models, spec), spec)

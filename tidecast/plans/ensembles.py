@@ -6,39 +6,117 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.operators import forecasting as fc
+from tidecast.operators import hierarchy, regression, reports
 from tidecast.plans.native import orders_monthly
+from tidecast.sources.series import series_from
 
 
-def forecast(spec: fc.Spec, how: str = "median", h: int = 12):
+def forecast(spec: fc.Spec, h: int = 12, source=orders_monthly):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        series = orders_monthly(spark, sf_dir).cache()
-        members = fc.predict(series, fc.fit(series, spec), spec, h)
-        return fc.ensemble(members, ["series_id", "h"], how=how)
+        series = source(spark, sf_dir).cache()
+        plans = fc.specify(series, spec).cache()
+        members = fc.predict(series, plans, fc.fit(series, plans, spec), spec, h)
+        return fc.ensemble(members, ["series_id", "h"], how=spec.comb)
 
     return run
 
 
+def with_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly order value with the month's number of days and a trend as regressors, known a year ahead."""
+    s = orders_monthly(spark, sf_dir)
+    ends = s.groupBy("series_id").agg(F.max("t").alias("n"), F.max("ts").alias("ts"))
+    ahead = ends.select("series_id", F.posexplode(F.expr("sequence(1, 12)")).alias("i", "k"), "n", "ts").select("series_id", (F.col("n") + F.col("k")).alias("t"), F.expr("ts + make_interval(0, k)").cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("y"))
+    return s.unionByName(ahead).withColumn("x", F.array(F.dayofmonth(F.last_day("ts")).cast("double"), F.col("t").cast("double")))
+
+
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", F.lit(1).alias("one"))
+    return series_from(e, "event_type", "ts", "one", "hour", trim=1)
+
+
 def accuracy(spec: fc.Spec):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         series = orders_monthly(spark, sf_dir).cache()
-        one = fc.ensemble(fc.fitted(series, fc.fit(series, spec), spec), ["series_id", "t", "y"], "fitted")
-        return one.groupBy("series_id").agg(F.avg(F.pow(F.col("y") - F.col("fitted"), 2)).alias("mse"), F.count(F.lit(1)).alias("n"))
+        plans = fc.specify(series, spec).cache()
+        each = fc.fitted(series, plans, fc.fit(series, plans, spec), spec)
+        return fc.residuals(series, each, spec).groupBy("series_id").agg(F.avg(F.col("residual") * F.col("residual")).alias("mse"), F.count("residual").alias("n"))
 
     return run
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fc.network_edges(fc.fit(orders_monthly(spark, sf_dir), fc.Spec(kind="mlp", reps=2)))
+def report(build):
+    """A report of an elm's monthly model: build(series, plans, models, spec)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spec, series = fc.Spec(type="ridge", reps=2, hidden=8), orders_monthly(spark, sf_dir).cache()
+        plans = fc.specify(series, spec).cache()
+        return build(series, plans, fc.fit(series, plans, spec).cache(), spec)
+
+    return run
+
+
+def summary(series, plans, models, spec):
+    errors = fc.residuals(series, fc.fitted(series, plans, models, spec), spec).groupBy("series_id").agg(F.avg(F.col("residual") * F.col("residual")).alias("mse"))
+    return reports.summary(plans, models, errors, spec)
+
+
+def lines(series, plans, models, spec):
+    members = fc.predict(series, plans, models, spec)
+    return reports.forecast_lines(series, members, fc.ensemble(members, ["series_id", "h"]))
+
+
+def reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of all months but the last year, applied to the whole series."""
+    spec, series = fc.Spec(type="ridge", reps=5, hidden=10), orders_monthly(spark, sf_dir).cache()
+    old = series.where(F.col("t") <= 66)
+    plans = fc.specify(old, spec).cache()
+    return fc.ensemble(fc.predict(series, fc.reuse(series, plans, spec), fc.fit(old, plans, spec), spec), ["series_id", "h"])
+
+
+def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price of a line from its quantity, discount and tax, by return flag: mean squared error on all rows."""
+    x = ["l_quantity", "l_discount", "l_tax"]
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_extendedprice", *x)
+    models = regression.fit(table, "l_returnflag", "l_extendedprice", x, hidden=12, kind="ridge", reps=3, direct=True)
+    scored = regression.predict(table, models, "l_returnflag", x)
+    return scored.groupBy("l_returnflag").agg(F.count("yhat").alias("n"), F.round(F.avg(F.pow(F.col("yhat") - F.col("l_extendedprice"), 2)) / F.var_pop("l_extendedprice"), 4).alias("unexplained"))
+
+
+def thief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every level of the monthly hierarchy forecast for a year, then made to add up."""
+    base = None
+    rows = hierarchy.levels(orders_monthly(spark, sf_dir), 12).cache()
+    for k in hierarchy.divisors(12):
+        m = 12 // k
+        spec = fc.Spec(type="ridge", hidden=6, reps=3, periods=(m,), lags=(1,) if m < 4 else None, difforder=(1,))
+        one = fc.thief(rows.where(F.col("k") == k), spec, m)[0].withColumn("k", F.lit(k))
+        base = one if base is None else base.unionByName(one)
+    return hierarchy.reconcile(base, 12)
 
 
 ENSEMBLES = {
-    "elm_ridge_forecast": forecast(fc.Spec()),
+    "elm_ridge_forecast": forecast(fc.Spec(type="ridge", reps=5)),
     "elm_lasso_forecast": forecast(fc.Spec(type="lasso", reps=3)),
     "elm_step_forecast": forecast(fc.Spec(type="step", hidden=8, reps=3)),
-    "elm_ls_direct_forecast": forecast(fc.Spec(type="ls", hidden=8, direct=True, reps=3), "mean"),
-    "elm_seasonal_forecast": forecast(fc.Spec(dummies=True)),
-    "mlp_forecast": forecast(fc.Spec(kind="mlp")),
-    "combine_mode": forecast(fc.Spec(reps=9), "mode"),
-    "elm_fit_mse": accuracy(fc.Spec()),
-    "network_edges": edges,
+    "elm_ls_direct_forecast": forecast(fc.Spec(type="ls", hidden=8, direct=True, reps=3, comb="mean", barebone=True)),
+    "elm_seasonal_forecast": forecast(fc.Spec(type="ridge", difforder=(0,), reps=5)),
+    "elm_barebone_ortho_forecast": forecast(fc.Spec(type="ridge", barebone=True, ortho=True, hidden=6, reps=5)),
+    "elm_layers_forecast": forecast(fc.Spec(type="ridge", hidden=(10, 5), reps=5)),
+    "elm_xreg_forecast": forecast(fc.Spec(type="ridge", reps=5, lags=(1, 2, 12), xreg_lags=((0,), (0, 1))), source=with_regressor),
+    "elm_two_seasons_forecast": forecast(fc.Spec(type="ridge", reps=3, periods=(24, 168), lags=(1, 2, 24, 168), hidden=10), 24, hourly_events),
+    "elm_reused_forecast": reused,
+    "elm_thief_reconciled": thief,
+    "cross_section_elm": cross_section,
+    "mlp_forecast": forecast(fc.Spec(kind="mlp", reps=5)),
+    "mlp_layers_forecast": forecast(fc.Spec(kind="mlp", hidden=(4, 3), reps=3)),
+    "mlp_cv_hidden": forecast(fc.Spec(kind="mlp", reps=2, lags=(1, 2, 12), hidden_type="cv", hidden_max=3)),
+    "mlp_valid_hidden": forecast(fc.Spec(kind="mlp", reps=2, lags=(1, 2, 12), hidden_type="valid", hidden_max=4)),
+    "mlp_elm_hidden": forecast(fc.Spec(kind="mlp", reps=3, hidden_type="elm")),
+    "combine_mode": forecast(fc.Spec(type="ridge", reps=9, comb="mode")),
+    "elm_fit_mse": accuracy(fc.Spec(type="ridge", reps=5)),
+    "model_plans": report(lambda series, plans, models, spec: plans),
+    "model_summary": report(summary),
+    "network_edges": report(lambda series, plans, models, spec: reports.network_edges(models)),
+    "network_nodes": report(lambda series, plans, models, spec: reports.network_nodes(plans, models)),
+    "forecast_lines": report(lines),
 }

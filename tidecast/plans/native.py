@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions import transforms as T
+from tidecast.operators import hierarchy
 from tidecast.sources.series import series_from
 
 
@@ -76,6 +77,20 @@ def fold_undiff(s: DataFrame, h: int = 12) -> DataFrame:
     return d.select("series_id", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("h"), "step", "last").select("series_id", "h", F.round(F.col("last") + F.col("h") * F.col("step"), 3).alias("yhat"))
 
 
+def reconciled(s: DataFrame, m: int = 4) -> DataFrame:
+    """The median of each level as its forecast for a season, made to add up."""
+    medians = hierarchy.levels(s, m).groupBy("series_id", "k").agg(F.median("y").alias("yhat"))
+    base = medians.select("series_id", "k", F.explode(F.sequence(F.lit(1), (F.lit(m) / F.col("k")).cast("int"))).alias("h"), "yhat")
+    return hierarchy.reconcile(base, m).select("series_id", "k", "h", F.round("yhat", 3).alias("yhat"))
+
+
+def reconciled_sql(m: int = 4) -> str:
+    p = ", ".join(f"({a}, {b}, {k}, {j}, CAST({w!r} AS DOUBLE))" for a, b, k, j, w in hierarchy.weights(m))
+    return f"""WITH {SERIES}, n AS (SELECT *, max(t) OVER (PARTITION BY series_id) AS n FROM s), c AS (SELECT series_id, t - 1 - n % {m} AS at, y FROM n WHERE t > n % {m}),
+        l AS (SELECT series_id, k, at // k AS g, sum(y) AS y FROM c, (SELECT unnest({hierarchy.divisors(m)}) AS k) GROUP BY 1, 2, 3), b AS (SELECT series_id, k, median(y) AS v FROM l GROUP BY 1, 2),
+        p(out_k, out_j, k, j, w) AS (VALUES {p}) SELECT series_id, CAST(out_k AS INT) AS k, CAST(out_j + 1 AS INT) AS h, round(sum(w * v), 3) AS yhat FROM b JOIN p USING (k) GROUP BY series_id, out_k, out_j"""
+
+
 CMA_SQL = f"(sum(y) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + 0.5 * lag(y, 6) OVER {WIN} + 0.5 * lead(y, 6) OVER {WIN}) / 12"
 LAGS = (1, 2, 3, 12)
 #: Fixed weights of a small network with one hidden neuron.
@@ -128,5 +143,6 @@ NATIVE = {
     "residuals": (q(lambda s: T.with_lags(s, [12]), "series_id; t; lag_12 as fitted; round(y - lag_12, 6) as residual"), f"WITH {SERIES}, l AS (SELECT *, lag(y, 12) OVER {WIN} AS p FROM s) SELECT series_id, t, p AS fitted, round(y - p, 6) AS residual FROM l WHERE t > 12"),
     "fitted_padded": (q(lambda s: s.withColumn("fitted", F.lag("y", 12).over(T.in_order())), "series_id; t; fitted"), f"WITH {SERIES} SELECT series_id, t, lag(y, 12) OVER {WIN} AS fitted FROM s"),
     "softsign_forward": (lambda spark, d: forward(orders_monthly(spark, d)), f"WITH {SERIES} {SCALED}, l AS (SELECT series_id, t, lag(y_sc, 1) OVER {WIN} AS a, lag(y_sc, 12) OVER {WIN} AS b FROM z) SELECT series_id, t, round({neuron_sql('a', 'b')}, 9) AS out FROM l WHERE t > 12"),
+    "hierarchy_reconciled": (lambda spark, d: reconciled(orders_monthly(spark, d)), reconciled_sql()),
     **{f"temporal_aggregation_{k}": (lambda spark, d, k=k: aggregated(k)(orders_monthly(spark, d)), aggregated_sql(k)) for k in (3, 6, 12)},
 }
