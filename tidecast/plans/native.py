@@ -86,8 +86,8 @@ def reconciled(s: DataFrame, m: int = 4) -> DataFrame:
 
 def reconciled_sql(m: int = 4) -> str:
     p = ", ".join(f"({a}, {b}, {k}, {j}, CAST({w!r} AS DOUBLE))" for a, b, k, j, w in hierarchy.weights(m))
-    return f"""WITH {SERIES}, n AS (SELECT *, max(t) OVER (PARTITION BY series_id) AS n FROM s), c AS (SELECT series_id, t - 1 - n % {m} AS at, y FROM n WHERE t > n % {m}),
-        l AS (SELECT series_id, k, at // k AS g, sum(y) AS y FROM c, (SELECT unnest({hierarchy.divisors(m)}) AS k) GROUP BY 1, 2, 3), b AS (SELECT series_id, k, median(y) AS v FROM l GROUP BY 1, 2),
+    return f"""WITH {SERIES}, n AS (SELECT *, max(t) OVER (PARTITION BY series_id) AS n FROM s), c AS (SELECT series_id, t - 1 - n % {m} AS step, y FROM n WHERE t > n % {m}),
+        l AS (SELECT series_id, k, step // k AS g, sum(y) AS y FROM c, (SELECT unnest({hierarchy.divisors(m)}) AS k) GROUP BY 1, 2, 3), b AS (SELECT series_id, k, median(y) AS v FROM l GROUP BY 1, 2),
         p(out_k, out_j, k, j, w) AS (VALUES {p}) SELECT series_id, CAST(out_k AS INT) AS k, CAST(out_j + 1 AS INT) AS h, round(sum(w * v), 3) AS yhat FROM b JOIN p USING (k) GROUP BY series_id, out_k, out_j"""
 
 
