@@ -1,5 +1,6 @@
 import datetime
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -140,8 +141,8 @@ def test_regressors_are_used_and_a_missing_future_is_null(spark):
 
 def test_hidden_sizes_come_from_the_data(spark):
     y = list(np.sin(np.arange(70) / 3) + np.random.default_rng(1).normal(0, 0.05, 70))
-    for how in ("cv", "valid", "elm"):
-        spec = fc.Spec(kind="mlp", periods=(4,), lags=(1, 2), difforder=(0,), hidden_type=how, hidden_max=2, reps=2)
+    for how, folds in (("cv", "random"), ("valid", "time"), ("cv", "time"), ("elm", "random")):
+        spec = fc.Spec(kind="mlp", periods=(4,), lags=(1, 2), difforder=(0,), hidden_type=how, hidden_max=2, reps=2, folds=folds)
         (size,) = fc.specify(frame(spark, a=y), spec).first().hidden
         assert 1 <= size <= (2 if how != "elm" else 4)
 
@@ -190,6 +191,33 @@ def test_regression_on_a_table_uses_all_rows_and_both_ways_of_scoring_agree(spar
     assert regression.predict(table, models, "grp", ["u", "v"], "mode").where("yhat is not null").count() == 400
 
 
+def test_a_logistic_output_gives_probabilities_and_equals_newton(spark):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(-1, 1, (600, 2))
+    y = (rng.uniform(size=600) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1])))).astype(float)
+    best = (((3 * x[:, 0] - 2 * x[:, 1]) > 0) == (y == 1)).mean()  # of the true odds
+    table = spark.createDataFrame([("a", *map(float, r), float(v)) for r, v in zip(x, y)] + [("one", 0.5, 0.5, 1.0)] * 3 + [("a", None, 1.0, 1.0)], "grp string, u double, v double, y double").repartition(4)
+    for kind in ("ls", "ridge", "lasso", "step"):
+        models = regression.fit(table, "grp", "y", ["u", "v"], hidden=3, kind=kind, reps=2, direct=True, link="logistic").cache()
+        scored = regression.predict(table, models, "grp", ["u", "v"]).cache()
+        sound = scored.where("grp = 'a' and yhat is not null").select("u", "v", "y", "yhat", "yhat_members").toPandas()
+        assert len(sound) == 600 and sound["yhat"].between(0, 1).all() and ((sound["yhat"] > 0.5) == (sound["y"] == 1)).mean() > best - 0.02
+        assert {r.yhat for r in scored.where("grp = 'one'").collect()} == {1.0}
+        if kind == "ls":
+            layer = nets.random_layer(2, 3, False, np.random.default_rng([42, zlib.crc32(b"a"), 0]))
+            inputs = sound[["u", "v"]].to_numpy()
+            inputs = 2 * (inputs - x.min(0)) / (x.max(0) - x.min(0)) - 1
+            a, w = np.hstack([np.ones((600, 1)), nets.hidden_output(inputs, [layer], "softsign"), inputs]), np.zeros(6)
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-a @ w))
+                w += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]), a.T @ (sound["y"].to_numpy() - p))
+            assert np.allclose(1 / (1 + np.exp(-a @ w)), [m[0] for m in sound["yhat_members"]], atol=1e-3)
+    joined = regression.scored_by_join(table, models, "grp", ["u", "v"]).select("u", "v", F.col("yhat_members").alias("b"))
+    assert scored.join(joined, ["u", "v"]).where("abs(yhat_members[1] - b[1]) > 1e-9").count() == 0
+    with pytest.raises(ValueError):
+        regression.fit(table, "grp", "y", ["u"], link="x")
+
+
 def test_reconciled_levels_add_up(spark):
     base = [("a", k, h + 1, float(10 * k + h)) for k in (4, 2, 1) for h in range(8 // k)] + [("b", 4, 1, 1.0)]
     got = {(r.series_id, r.k, r.h): r.yhat for r in hierarchy.reconcile(spark.createDataFrame(base, "series_id string, k int, h int, yhat double"), 4).collect()}
@@ -225,6 +253,6 @@ def test_results_do_not_depend_on_partitions(spark):
 
 
 def test_wrong_options_are_refused():
-    for wrong in ({"kind": "x"}, {"type": "x"}, {"lags": (0, 1)}, {"lags": (1, 2), "keep": (3,)}, {"comb": "x"}, {"det_type": "x"}, {"barebone": True, "hidden": (3, 2)}, {"det_type": "bin", "periods": (30.5,)}):
+    for wrong in ({"kind": "x"}, {"type": "x"}, {"lags": (0, 1)}, {"lags": (1, 2), "keep": (3,)}, {"comb": "x"}, {"det_type": "x"}, {"folds": "x"}, {"barebone": True, "hidden": (3, 2)}, {"det_type": "bin", "periods": (30.5,)}):
         with pytest.raises(ValueError):
             fc.Spec(**wrong)

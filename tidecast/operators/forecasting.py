@@ -32,7 +32,8 @@ class Spec:
     """What to build. difforder None: found by tests; () or (0,): none. lags (0,): no lags of the series itself.
 
     kind: elm or mlp. periods: the seasonal periods in steps, several for several seasonalities. hidden: neurons, or a tuple of
-    layers; None: 5 (hidden_type set), by validation (valid), five folds (cv) or random networks (elm). type: the elm's output
+    layers; None: 5 (hidden_type set), by validation (valid), five folds (cv) or random networks (elm). folds: steps fall into them at
+    random, or in stretches of time (valid then holds out the last fifth). type: the elm's output
     weights. barebone: the elm's uniform softsign layer instead of normal logistic ones. strict: see difference_orders; also,
     rejected lags stay where regressors or dummies are left.
     """
@@ -50,6 +51,7 @@ class Spec:
     hidden: int | tuple[int, ...] | None = None
     hidden_type: str = "set"
     hidden_max: int | None = None
+    folds: str = "random"
     type: str = "lasso"
     direct: bool = False
     barebone: bool = False
@@ -61,7 +63,7 @@ class Spec:
     seed: int = 42
 
     def __post_init__(self):
-        enums = {"kind": ("elm", "mlp"), "type": ("lasso", "ridge", "step", "ls", "lm"), "det_type": ("auto", "bin", "trg"), "hidden_type": ("set", "valid", "cv", "elm"), "comb": ("median", "mean", "mode")}
+        enums = {"kind": ("elm", "mlp"), "type": ("lasso", "ridge", "step", "ls", "lm"), "det_type": ("auto", "bin", "trg"), "hidden_type": ("set", "valid", "cv", "elm"), "folds": ("random", "time"), "comb": ("median", "mean", "mode")}
         for name, allowed in enums.items():
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} is one of {', '.join(allowed)}")
@@ -279,8 +281,9 @@ def hidden_errors(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
         plan = plain(next(right.itertuples(index=False)))
         z, x, _, start = prepared(left, plan, spec)
         matrix, target = design(z, x, plan, start)
-        order = rng_of(spec, key[0], 2).permutation(len(target))
-        out = order % 5 == key[2] if folds == 5 else order < round(0.2 * len(target))
+        n = len(target)
+        order = np.arange(n)[::-1] if spec.folds == "time" else rng_of(spec, key[0], 2).permutation(n)
+        out = order * 5 // n == key[2] if folds == 5 else order < round(0.2 * n)
         rng = rng_of(spec, key[0], 3, int(key[1]), int(key[2]))
         guesses = [nets.forward(matrix[out], nets.mlp(matrix[~out], target[~out], (int(key[1]),), rng), (), "logistic") for _ in range(tried)]
         ensembled = {"median": np.median, "mean": np.mean}.get(spec.comb)

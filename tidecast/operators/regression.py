@@ -1,5 +1,8 @@
 """Extreme learning machines for tables of any length, by group: hidden layers are drawn from a seed, so every partition makes the
 same features, and the output weights need only sums of products, which partitions add up. No group is brought into one task.
+
+A logistic output is fitted by reweighted least squares: each pass over the table gives the sums of products of a working
+response, and the penalty or the selected columns are chosen anew on those (Gu 1992), so a pass costs what a linear fit does.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from tidecast.functions.transforms import softsign
 FOLDS = 5
 #: Models of at most this many weights (8 bytes each) go to every task; larger ones are joined to the rows.
 SMALL = 4_000_000
+#: Most passes over the table for a logistic output, the least weight of a row in one, and the change that ends them.
+PASSES, LEAST_WEIGHT, SETTLED = 12, 1e-5, 1e-4
 WEIGHTS = "g string, rep int, w_in array<array<double>>, w_out array<double>, direct array<double>"
 
 
@@ -28,12 +33,16 @@ def to_range(x: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, 2 * (x - low) / F.nullif(high - low, F.lit(0.0)) - 1).when(x.isNotNull(), F.lit(0.0))
 
 
-def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, kind: str = "lasso", reps: int = 20, direct: bool = False, ortho: bool = False, scale: bool = True, seed: int = 42) -> DataFrame:
+def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, kind: str = "lasso", reps: int = 20, direct: bool = False, ortho: bool = False, scale: bool = True, link: str = "linear", seed: int = 42) -> DataFrame:
     """A row for each group: its ranges and an array of members. Rows with a null or NaN in y or x aren't used.
 
     kind: lasso, ridge, step, ls (or lm). Rows fall into the folds of lasso and ridge by a hash of their values, so equal rows
-    share a fold; a group without rows gives none.
+    share a fold; a group without rows gives none. link logistic: y lies between 0 and 1 (between its least and greatest value
+    when scaled) and so do predictions; it needs up to PASSES + 1 passes. Groups are taken in blocks whose weights number SMALL
+    on average, since a pass sends the weights of the one before to every task.
     """
+    if link not in ("linear", "logistic"):
+        raise ValueError("link is linear or logistic")
     if kind not in ("lasso", "ridge", "step", "ls", "lm"):
         raise ValueError("type is lasso, ridge, step, ls or lm")
     values = [y, *x]
@@ -42,7 +51,7 @@ def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, k
     if scale:
         ends = rows.groupBy("g").agg(F.array(*(F.min(c) for c in names)).alias("low"), F.array(*(F.max(c) for c in names)).alias("high"))
     else:
-        ends = rows.select("g").distinct().withColumns({"low": F.array(*[F.lit(-1.0)] * len(names)), "high": F.array(*[F.lit(1.0)] * len(names))})
+        ends = rows.select("g").distinct().withColumns({"low": F.array(F.lit(0.0 if link == "logistic" else -1.0), *[F.lit(-1.0)] * len(x)), "high": F.array(*[F.lit(1.0)] * len(names))})
     ready = rows.join(ends, "g").select("g", F.pmod(F.xxhash64(*names), F.lit(FOLDS)).cast("int").alias("fold"), *(to_range(F.col(c), F.col("low")[i], F.col("high")[i]).alias(c) for i, c in enumerate(names)))
     p = len(x)
     size = 1 + hidden + (p if direct else 0) + 1
@@ -51,35 +60,79 @@ def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, k
     def layer(g: str, rep: int) -> np.ndarray:
         return nets.random_layer(p, hidden, ortho, np.random.default_rng([seed, zlib.crc32(g.encode()), rep]))
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for g, part in batch.groupby("g"):
-                v, fold = part[names].to_numpy(float), part["fold"].to_numpy()
-                for rep in range(reps):
-                    z = nets.hidden_output(v[:, 1:], [layer(g, rep)], "softsign")
-                    a = np.hstack([np.ones((len(v), 1)), z, v[:, 1:] if direct else v[:, :0], v[:, :1]])
-                    out += [(g, rep, int(f), (a[fold == f].T @ a[fold == f])[upper]) for f in np.unique(fold)]
-                if len(out) >= 256:
-                    yield pd.DataFrame(out, columns=["g", "rep", "fold", "m"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["g", "rep", "fold", "m"])
+    def features(v: np.ndarray, g: str, rep: int) -> np.ndarray:
+        z = nets.hidden_output(v[:, 1:], [layer(g, rep)], "softsign")
+        return np.hstack([np.ones((len(v), 1)), z, v[:, 1:] if direct else v[:, :0]])
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        folds = []
+        folds, counts = [], 0.0
         for _, part in pdf.groupby("fold"):
             m = np.zeros((size, size))
             part = part.sort_values("pos")
-            m[upper] = part["s"].to_numpy(float)
+            m[upper] = part["s"].to_numpy(float)[:-1]
+            counts += part["s"].iloc[-1]
             folds.append(m + np.triu(m, 1).T)
-        layers, straight = nets.pruned([layer(key[0], int(key[1]))], nets.output_weights(folds, kind))
-        return pd.DataFrame([(key[0], int(key[1]), layers[0].tolist(), layers[1][:, 0].tolist(), straight.tolist())], columns=["g", "rep", "w_in", "w_out", "direct"])
+        even = counts / sum(m[0, 0] for m in folds)  # weights of rows are 1 on average
+        return pd.DataFrame([(key[0], int(key[1]), nets.output_weights([m * even for m in folds], kind).tolist())], columns=["g", "rep", "w"])
+
+    def solved(some: DataFrame, before: dict[tuple[str, int], np.ndarray]) -> DataFrame:
+        """(g, rep, w): output weights; for a logistic output, a step on from those before."""
+        sent = some.sparkSession.sparkContext.broadcast(before)
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for g, part in batch.groupby("g"):
+                    v, fold = part[names].to_numpy(float), part["fold"].to_numpy()
+                    for rep in range(reps):
+                        a, target = features(v, g, rep), v[:, :1]
+                        a = working(a, target, sent.value.get((g, rep))) if link == "logistic" else np.hstack([a, target])
+                        for f in np.unique(fold):
+                            own = a[fold == f]
+                            out.append((g, rep, int(f), np.append((own.T @ own)[upper], len(own))))
+                    if len(out) >= 256:
+                        yield pd.DataFrame(out, columns=["g", "rep", "fold", "m"])
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=["g", "rep", "fold", "m"])
 
-    parts = ready.mapInPandas(sums, "g string, rep int, fold int, m array<double>")
-    total = parts.select("g", "rep", "fold", F.posexplode("m").alias("pos", "s")).groupBy("g", "rep", "fold", "pos").agg(F.sum("s").alias("s"))
-    weights = total.groupBy("g", "rep").applyInPandas(solve, WEIGHTS)  # a group here has a size set by hidden alone
-    return weights.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rep", "w_in", "w_out", "direct"))).alias("members")).join(ends, "g")
+        parts = some.mapInPandas(sums, "g string, rep int, fold int, m array<double>")
+        total = parts.select("g", "rep", "fold", F.posexplode("m").alias("pos", "s")).groupBy("g", "rep", "fold", "pos").agg(F.sum("s").alias("s"))
+        return total.groupBy("g", "rep").applyInPandas(solve, "g string, rep int, w array<double>")  # a group here has a size set by hidden alone
+
+    def as_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                layers, straight = nets.pruned([layer(r.g, r.rep)], np.array(r.w, float))
+                out.append((r.g, r.rep, layers[0].tolist(), layers[1][:, 0].tolist(), straight.tolist()))
+            yield pd.DataFrame(out, columns=["g", "rep", "w_in", "w_out", "direct"])
+
+    if link == "linear":
+        weights = solved(ready, {})
+    else:
+        blocks = max(1, -(-ends.count() * reps * (size - 1) // SMALL))
+        weights = None
+        for k in range(blocks):
+            own, held = ready.where(F.pmod(F.xxhash64("g"), F.lit(blocks)) == k), {}
+            for _ in range(PASSES):
+                new = {(r.g, r.rep): np.array(r.w) for r in solved(own, held).collect()}
+                change = max((float(np.abs(w - held.get(at, 0.0)).max()) for at, w in new.items()), default=0.0)
+                held = new
+                if change < SETTLED:
+                    break
+            last = solved(own, held)
+            weights = last if weights is None else weights.unionByName(last)
+    members = weights.mapInPandas(as_members, WEIGHTS).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rep", "w_in", "w_out", "direct"))).alias("members"))
+    return members.join(ends, "g").withColumn("link", F.lit(link))
+
+
+def working(a: np.ndarray, y: np.ndarray, w: np.ndarray | None) -> np.ndarray:
+    """Rows (a, working response) of a logistic fit at the weights w, times the roots of their weights; y from -1 to 1."""
+    eta = np.clip(a @ (np.zeros(a.shape[1]) if w is None else w), -15, 15)[:, None]
+    p = 0.5 * (np.tanh(0.5 * eta) + 1)
+    v = np.maximum(p * (1 - p), LEAST_WEIGHT)
+    return np.hstack([a, eta + ((y + 1) / 2 - p) / v]) * np.sqrt(v)
 
 
 def output(x: Column, member: Column) -> Column:
@@ -119,19 +172,19 @@ def count_weights(models: DataFrame) -> int:
 
 def scored_here(table: DataFrame, models: DataFrame, group: str, x: list[str]) -> DataFrame:
     """table with yhat_members, scored with models that were counted and are small."""
-    held = {r.g: ([([np.array(m.w_in, float).reshape(len(x) + 1, -1), np.array(m.w_out, float)[:, None]], np.array(m.direct, float)) for m in r.members], np.array(r.low), np.array(r.high)) for r in models.collect()}
+    held = {r.g: ([([np.array(m.w_in, float).reshape(len(x) + 1, -1), np.array(m.w_out, float)[:, None]], np.array(m.direct, float)) for m in r.members], np.array(r.low), np.array(r.high), r.link) for r in models.collect()}
 
     def score(g: pd.Series, *columns: pd.Series) -> pd.Series:
         v, out = np.column_stack([c.to_numpy(float) for c in columns]), pd.Series([None] * len(g), dtype=object)
         for name, at in g.groupby(g).groups.items():
             if name not in held:
                 continue
-            members, low, high = held[name]
+            members, low, high, link = held[name]
             part = v[at]
             wide = np.where(high > low, high - low, 1.0)
             z = np.where(high[1:] > low[1:], 2 * (part - low[1:]) / wide[1:] - 1, 0.0 * part)
             y = np.column_stack([nets.forward(z, layers, direct, "softsign") for layers, direct in members])
-            y = (y + 1) / 2 * (high[0] - low[0]) + low[0]
+            y = ((np.tanh(y / 2) if link == "logistic" else y) + 1) / 2 * (high[0] - low[0]) + low[0]
             for i, row, good in zip(at, y, np.isfinite(part).all(1), strict=True):
                 out[i] = row if good else None
         return out
@@ -141,10 +194,11 @@ def scored_here(table: DataFrame, models: DataFrame, group: str, x: list[str]) -
 
 def scored_by_join(table: DataFrame, models: DataFrame, group: str, x: list[str]) -> DataFrame:
     """table with yhat_members, by one join on the group and expressions on each row."""
-    names = {c: f"__{c}" for c in ("g", "members", "low", "high")}
+    names = {c: f"__{c}" for c in ("g", "members", "low", "high", "link")}
     joined = table.join(models.select(*(F.col(c).alias(n) for c, n in names.items())), F.col(group).cast("string") == F.col("__g"), "left")
     inputs = F.array(*(to_range(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.col("__low")[i], F.col("__high")[i]) for i, c in enumerate(x, 1)))
     joined = joined.withColumn("__x", F.when(~F.exists(inputs, lambda v: v.isNull()), inputs))
     low, high = F.col("__low")[0], F.col("__high")[0]
-    joined = joined.withColumn("yhat_members", F.when(F.col("__x").isNotNull(), F.transform("__members", lambda m: (output(F.col("__x"), m) + 1) / 2 * (high - low) + low)))
+    linked = lambda v: F.when(F.col("__link") == "logistic", F.tanh(v / 2)).otherwise(v)
+    joined = joined.withColumn("yhat_members", F.when(F.col("__x").isNotNull(), F.transform("__members", lambda m: (linked(output(F.col("__x"), m)) + 1) / 2 * (high - low) + low)))
     return joined.drop("__x", *names.values())

@@ -82,6 +82,16 @@ def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("l_returnflag").agg(F.count("yhat").alias("n"), F.round(F.avg(F.pow(F.col("yhat") - F.col("l_extendedprice"), 2)) / F.var_pop("l_extendedprice"), 4).alias("unexplained"))
 
 
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a line costs over 30,000, from its quantity, discount and tax, by return flag: share right, and mean log-loss."""
+    x = ["l_quantity", "l_discount", "l_tax"]
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", (F.col("l_extendedprice") > 30000).cast("double").alias("dear"), *x)
+    models = regression.fit(table, "l_returnflag", "dear", x, hidden=10, kind="ridge", reps=3, direct=True, link="logistic")
+    scored = regression.predict(table, models, "l_returnflag", x, "mean")
+    sure = F.greatest(F.lit(1e-12), F.when(F.col("dear") == 1, F.col("yhat")).otherwise(1 - F.col("yhat")))
+    return scored.groupBy("l_returnflag").agg(F.count("yhat").alias("n"), F.round(F.avg((sure > 0.5).cast("double")), 4).alias("share_right"), F.round(F.avg(-F.log(sure)), 4).alias("log_loss"))
+
+
 def thief(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every level of the monthly hierarchy forecast for a year, then made to add up."""
     base = None
@@ -107,9 +117,11 @@ ENSEMBLES = {
     "elm_reused_forecast": reused,
     "elm_thief_reconciled": thief,
     "cross_section_elm": cross_section,
+    "cross_section_elm_logistic": classified,
     "mlp_forecast": forecast(fc.Spec(kind="mlp", reps=5)),
     "mlp_layers_forecast": forecast(fc.Spec(kind="mlp", hidden=(4, 3), reps=3)),
     "mlp_cv_hidden": forecast(fc.Spec(kind="mlp", reps=2, lags=(1, 2, 12), hidden_type="cv", hidden_max=3)),
+    "mlp_cv_in_time_hidden": forecast(fc.Spec(kind="mlp", reps=2, lags=(1, 2, 12), hidden_type="cv", hidden_max=3, folds="time")),
     "mlp_valid_hidden": forecast(fc.Spec(kind="mlp", reps=2, lags=(1, 2, 12), hidden_type="valid", hidden_max=4)),
     "mlp_elm_hidden": forecast(fc.Spec(kind="mlp", reps=3, hidden_type="elm")),
     "combine_mode": forecast(fc.Spec(type="ridge", reps=9, comb="mode")),
