@@ -75,3 +75,11 @@ def test_empty_tables(spark):
     assert d.with_hits(docs, bench).count() == 0
     one = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id long, text string")
     assert [r["hits"] for r in d.with_hits(one, bench).collect()] == [[], []]
+
+
+def test_items_without_an_id_are_reported_too(spark):
+    item = "which of these rivers is the longest in the old kingdom"
+    docs = spark.createDataFrame([(1, "We ask: " + item + "?"), (2, "nothing of the kind stands here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (7, item), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in d.with_hits(docs, bench).collect()}
+    assert sorted(got[1], key=str) == [7, None] and got[2] == []

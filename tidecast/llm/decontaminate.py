@@ -7,7 +7,7 @@ alignment of the whole item decides each. Items too short for the lemma have few
 
 The benchmark goes to the workers in blocks of at most BLOCK_BYTES of text, one pass over the documents for each block, so
 its size has no limit. Null or empty texts and items match nothing; repeated rows give repeated results; repeated items are
-reported each; other columns don't matter.
+reported each, and an item without item_id with a null one; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edi
     out = docs.withColumn("hits", F.array().cast(HITS))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        out = scan_block(out, Index(sorted((r[0], r[1]) for r in own if r[0] is not None), edits), text_col)
+        out = scan_block(out, Index(sorted(((r[0], r[1]) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1])), edits), text_col)
     return out
 
 
