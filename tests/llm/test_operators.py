@@ -256,6 +256,19 @@ def test_a_term_that_gives_an_entity_away_is_a_span(spark):
     assert "[TERM]" in clean[0] and "[EMAIL]" in clean[0] and "Zorblatt" not in clean[0] and clean[156] is None and clean[30] == texts[30]
 
 
+def test_a_telling_term_is_a_span_wherever_its_entity_stands(spark):
+    far = text(120)
+    texts = [f"Qu7zik {far} zed@corp.example.com {text(60)} qU7ZIK {text(3)} 王明 {text(3)} 李小龍在" for _ in range(4)] + [f"Qu7zik {far}", "王明"] + [text(100) for _ in range(150)]
+    got = {r.doc_id: r.spans for r in pii.find(docs_of(spark, texts)).collect()}
+    for i in range(4):
+        for w in ("Qu7zik", "qU7ZIK", "王明", "李小", "小龍"):
+            at = texts[i].index(w)
+            assert f"term:{at}:{at + len(w)}" in got[i].split(","), w
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, texts)).collect()}
+    assert not any(w in clean[i] for i in range(4) for w in ("Qu7zik", "qU7ZIK", "王", "龍", "@"))
+    assert got[4] == got[5] == "" and clean[4] == texts[4] and clean[5] == texts[5]
+
+
 # op9
 
 

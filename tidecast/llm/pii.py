@@ -1,13 +1,16 @@
 """Personal data: fixed forms, and terms that give protected entities away.
 
-Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each value found is a protected entity. The
-terms around it (CONTEXT characters to either side) are counted over the whole corpus: with n(c, t) distinct contexts of entity c
-that hold term t, n(c) contexts of c, and t in n(t) of N documents, the pointwise mutual information of t and c is
-log2(n(c, t) N / (n(c) n(t))), and c carries log2(N / n(c)) bits. A term that stands in SUPPORT distinct contexts or more and
-reveals DISCLOSED or more of the entity's bits is a span as well, wherever it stands in a context of that entity.
-
-Offsets are code points, ends exclusive. Null text counts as empty and has no spans; repeated rows give repeated results, and
-equal contexts count once, so that copies of a text don't make its words telling. Other columns don't matter.
+Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each value found is a protected entity. Terms
+are counted over whole texts, outside base spans: with n(c, t) different texts that hold entity c and term t, n(c) different texts
+that hold c, and t in n(t) of N documents, the pointwise mutual information of t and c is log2(n(c, t) N / (n(c) n(t))), and c
+carries log2(N / n(c)) bits. A term that stands in SUPPORT or more different texts of c and reveals DISCLOSED or more of c's bits
+is a span as well, wherever it stands in a text that holds c, at any distance from it. A text without c keeps the term in clear:
+what ties the two are texts that hold both, and in each of these both are spans.
+
+A term is a word of two letters or digits or more, lower-cased; Han characters and kana, written without spaces, make a term of
+every two neighbours. Offsets are code points, ends exclusive. Null text counts as empty and has no spans; repeated rows give
+repeated results, and equal texts count once for an entity, so that copies of a text don't make its words telling. Other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from tidecast.llm.common import among, apart, fingerprint, materialise, slices,
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What a span becomes in the sanitised text.
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-CONTEXT, SUPPORT, DISCLOSED = 120, 3, 0.9
+SUPPORT, DISCLOSED = 3, 0.9
 #: Bits of the filter of candidate terms that goes to the workers: a proven bound of 64 KB.
 FILTER_BITS = 19
 
@@ -39,7 +42,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+#: Han and kana, whose words no space parts.
+HAN_KANA = "\u3005\u3041-\u3096\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TERM = re.compile(rf"[^\W_{HAN_KANA}]{{2,}}|[{HAN_KANA}]{{2,}}")
+UNSPACED = re.compile(f"[{HAN_KANA}]")
 
 
 def luhn(digits: str) -> bool:
@@ -90,31 +96,57 @@ def key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each span its entity, a digest of the terms around it and those terms with their places."""
+def gaps(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches of text outside the spans, which are ordered and may overlap."""
+    at = 0
+    for start, _, end in spans:
+        if start > at:
+            yield at, start
+        at = max(at, end)
+    if at < len(text):
+        yield at, len(text)
+
+
+def terms_in(run: str) -> list[tuple[int, int]]:
+    """(t, offset) of each term in a match of TERM."""
+    if len(run) > 2 and UNSPACED.match(run):
+        return [(key(run[k : k + 2]), k) for k in range(len(run) - 1)]
+    return [(key(run.lower()), 0)]
+
+
+def runs_of(text: str) -> set[str]:
+    """Different matches of TERM outside the base spans."""
+    found = set()
+    for low, high in gaps(text, base_spans(text)):
+        found.update(TERM.findall(text, low, high))
+    return found
+
+
+def term_places(text: str, telling: set[int]) -> list[tuple[int, int]]:
+    """(start, end) of every occurrence of the telling terms outside the base spans."""
     found = []
-    for start, kind, end in spans:
-        terms = []
-        for low, high in ((max(0, start - CONTEXT), start), (end, min(len(text), end + CONTEXT))):
-            for m in TERM.finditer(text, low, high):
-                s, e = m.span()
-                cut = s == low > 0 and text[s - 1].isalpha() or e == high < len(text) and text[e].isalpha()
-                if not cut and not any(a < e and s < b for a, _, b in spans):
-                    terms.append((key(m[0].lower()), s, e))
-        digest = xxhash.xxh3_64_intdigest(np.array([t[0] for t in terms], "<i8").tobytes()) - (1 << 63)
-        found.append({"c": key(f"{kind}:{text[start:end]}"), "ctx": digest, "terms": [{"t": t, "s": s, "e": e} for t, s, e in terms]})
+    for low, high in gaps(text, base_spans(text)):
+        for m in TERM.finditer(text, low, high):
+            unspaced = len(m[0]) > 2 and UNSPACED.match(m[0])
+            found += [(m.start() + k, m.start() + k + 2 if unspaced else m.end()) for t, k in terms_in(m[0]) if t in telling]
     return found
 
 
-TERMS = pa.list_(pa.struct([("t", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]))
-ENTITIES = pa.list_(pa.struct([("c", pa.int64()), ("ctx", pa.int64()), ("terms", TERMS)]))
 COUNTS = ["n_email", "n_ip", "n_card", "n_phone"]
 
 
+def keyed_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(k1, k2, text): the fingerprint of each row's text, a null one as empty."""
+    return docs.select(F.coalesce(text_col, F.lit("")).alias("text")).select(*fingerprint("text"), "text")
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, k1, k2, n_email, n_ip, n_card, n_phone, base_sha256, base, entities), one row for each row of docs."""
+    """(id, k1, k2, n_email, n_ip, n_card, n_phone, base_sha256, base, entities), one row for each row of docs.
+
+    k1, k2: fingerprint of the text; entities: a number for each different value found.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<struct<c:long,ctx:long,terms:array<struct<t:long,s:long,e:long>>>>"
+    schema = f"`{id_col}` {id_type}, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -124,12 +156,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 spans = base_spans(text)
                 counts.append([sum(k == i for _, k, _ in spans) for i in range(4)] if spans else [0, 0, 0, 0])
                 base.append(written(spans))
-                entities.append(contexts(text, spans) if spans else [])
+                entities.append(sorted({key(f"{k}:{text[s:e]}") for s, k, e in spans}))
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             digests = pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, digests, pa.array(base, pa.string()), pa.array(entities, ENTITIES)], names=[id_col, "k1", "k2", *COUNTS, "base_sha256", "base", "entities"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, digests, pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64()))], names=[id_col, "k1", "k2", *COUNTS, "base_sha256", "base", "entities"])
 
-    return docs.select(id_col, *fingerprint(id_col, text_col), text_col).mapInArrow(run, schema)
+    return docs.select(id_col, *fingerprint(F.coalesce(text_col, F.lit(""))), text_col).mapInArrow(run, schema)
 
 
 def term_counts(docs: DataFrame, candidates: DataFrame, text_col: str = "text") -> DataFrame:
@@ -147,21 +179,19 @@ def term_counts(docs: DataFrame, candidates: DataFrame, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, counts, known = sent.value.view(np.uint64), Counter(), {}
 
-        def candidate(word: str) -> int | None:
-            t = key(word)
+        def candidate(t: int) -> bool:
             b = (t & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
-            return t if int(bits[b >> 6]) >> (b & 63) & 1 else None
+            return bool(int(bits[b >> 6]) >> (b & 63) & 1)
 
         for batch in slices(batches):
             for text in batch.column(0):
                 own = set()
-                for word in set(TERM.findall((text.as_py() or "").lower())):
+                for word in runs_of(text.as_py() or ""):
                     if word not in known:
                         if len(known) > 100_000:
                             known.clear()
-                        known[word] = candidate(word)
-                    if known[word] is not None:
-                        own.add(known[word])
+                        known[word] = [t for t, _ in terms_in(word) if candidate(t)]
+                    own.update(known[word])
                 counts.update(own)
             if len(counts) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["t", "n"])
@@ -172,43 +202,86 @@ def term_counts(docs: DataFrame, candidates: DataFrame, text_col: str = "text")
     return docs.select(text_col).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def owned(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(k1, k2, c, n_c): the different texts of each entity that stands in `support` of them or more."""
+    each = found.where("size(entities) > 0").select("k1", "k2", F.explode("entities").alias("c")).distinct()
+    n_c = each.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
+    return materialise(each.join(n_c, "c").select("k1", "k2", "c", "n_c"), "owned")
+
+
+def texts_of(docs: DataFrame, owners: DataFrame, text_col: str = "text") -> DataFrame:
+    """(k1, k2, text): the texts of the owners, each once."""
+    once = among(keyed_texts(docs, text_col), owners.select("k1")).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    return materialise(once.join(owners.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", "text"), "owners")
+
+
+def disclosing(docs: DataFrame, found: DataFrame, owners: DataFrame, texts: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """(c, t, disclosure): terms that reveal at least `disclosed` of an entity's information."""
-    seen = found.select(F.explode("entities").alias("x")).select("x.c", "x.ctx", "x.terms")
-    n_c = seen.select("c", "ctx").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
-    pairs = seen.select("c", "ctx", F.explode("terms.t").alias("t")).distinct().groupBy("c", "t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    pairs = materialise(pairs.join(n_c, "c"), "pairs")
-    total = found.count()
-    if pairs.isEmpty():
-        return pairs.select("c", "t", F.lit(0.0).alias("disclosure"))
-    counts = term_counts(docs, pairs.select("t"), text_col)
-    pmi = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.greatest("n_t", "n_ct")))
-    share = F.coalesce(pmi / F.nullif(F.log2(F.lit(float(total)) / F.col("n_c")), F.lit(0.0)), F.lit(0.0))
-    return pairs.join(counts, "t").select("c", "t", share.alias("disclosure")).where(F.col("disclosure") >= disclosed)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 50):
+            held = [sorted({t for word in runs_of(text.as_py()) for t, _ in terms_in(word)}) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(held, pa.list_(pa.int64()))], names=["k1", "k2", "terms"])
+
+    held = materialise(texts.mapInArrow(run, "k1 long, k2 long, terms array<long>"), "terms").select("k1", "k2", F.explode("terms").alias("t"))
+    # a term of a pair stands in `support` of these texts; which bounds n_t from below, and the share of the bits from above:
+    # n_ct is n_c at most, so a share of `disclosed` needs n_t <= total * (n_c / total) ** disclosed
+    total = float(found.count())
+    most = owners.agg(F.max("n_c")).first()[0]
+    if not most:
+        return owners.select("c", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("disclosure"))
+    candidates = materialise(held.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= support).select("t"), "candidates")
+
+    def rare(n_c):
+        return F.col("n_t") <= F.lit(total) * F.pow(n_c / F.lit(total), F.lit(disclosed)) * (1 + 1e-9)
+
+    counts = materialise(term_counts(docs, candidates, text_col).join(candidates, "t").where(rare(F.lit(float(most)))), "counts")
+    # common terms, which are most of a text, leave before anything is shuffled
+    rows = among(held.select(F.col("k1").alias("o1"), "k2", F.col("t").alias("k1")), counts.select(F.col("t").alias("k1")))
+    places = rows.select(F.col("o1").alias("k1"), "k2", F.col("k1").alias("t")).join(counts, "t")
+    pairs = places.join(owners, ["k1", "k2"]).where(rare(F.col("n_c"))).groupBy("c", "t", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
+    pmi = F.log2(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
+    share = F.coalesce(pmi / F.nullif(F.log2(F.lit(total) / F.col("n_c")), F.lit(0.0)), F.lit(0.0))
+    return pairs.select("c", "t", share.alias("disclosure")).where(F.col("disclosure") >= disclosed)
+
+
+def telling_terms(owners: DataFrame, telling: DataFrame) -> DataFrame:
+    """(k1, k2, terms array<long>): for each text of an entity the terms that give it away, by fingerprint of the text."""
+    return materialise(owners.join(telling.select("c", "t"), "c").groupBy("k1", "k2").agg(F.collect_set("t").alias("terms")), "telling")
+
+
+def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(k1, k2, terms array<struct<s,e>>): every place of the telling terms, by fingerprint of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 50):
+            places = [[{"s": s, "e": e} for s, e in term_places(text.as_py(), set(own.as_py()))] for text, own in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], names=["k1", "k2", "terms"])
 
-def term_spans(found: DataFrame, telling: DataFrame) -> DataFrame:
-    """(k1, k2, terms array<struct<s,e>>): places of the telling terms, by fingerprint of id and text."""
-    places = found.where("size(entities) > 0").select("k1", "k2", F.explode("entities").alias("x")).select("k1", "k2", "x.c", F.explode("x.terms").alias("p")).select("k1", "k2", "c", "p.t", "p.s", "p.e")
-    return places.join(telling.select("c", "t"), ["c", "t"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
+    return texts.join(terms, ["k1", "k2"]).select("k1", "k2", "text", "terms").mapInArrow(run, "k1 long, k2 long, terms array<struct<s:long,e:long>>")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row for each row of docs."""
     found = materialise(detect(docs, id_col, text_col), "pii")
-    terms = term_spans(found, disclosing(docs, found, text_col, support, disclosed))
+    owners = owned(found, support)
+    texts = texts_of(docs, owners, text_col)
+    terms = materialise(term_spans(texts, telling_terms(owners, disclosing(docs, found, owners, texts, text_col, support, disclosed))), "places")
     as_text = F.transform("terms", lambda p: F.concat(F.lit("term:"), p["s"], F.lit(":"), p["e"]))
     # spans are ordered by start, then kind as listed; terms don't overlap base spans, so starts decide
     every = F.filter(F.concat(F.split("base", ","), F.coalesce(as_text, F.array().cast("array<string>"))), lambda s: s != "")
     ordered = F.array_join(F.transform(F.array_sort(F.transform(every, lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("at"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(s, ":")[0]).alias("kind"), s.alias("s")))), lambda x: x["s"]), ",")
-    return found.join(terms, ["k1", "k2"], "left").select(id_col, *COUNTS, "base_sha256", ordered.alias("spans"))
+    out = [id_col, *COUNTS, "base_sha256"]
+    # texts without an entity have no such terms, and copies of them needn't meet in a task
+    return found.where("size(entities) = 0").select(*out, F.col("base").alias("spans")).unionByName(found.where("size(entities) > 0").join(terms, ["k1", "k2"], "left").select(*out, ordered.alias("spans")))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """docs with every span of the text replaced by its mask; other columns stay. A null text stays null."""
     found = materialise(detect(docs, id_col, text_col), "pii")
-    terms = materialise(term_spans(found, disclosing(docs, found, text_col, support, disclosed)), "terms")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), *fingerprint(id_col, text_col))
+    owners = owned(found, support)
+    terms = telling_terms(owners, disclosing(docs, found, owners, texts_of(docs, owners, text_col), text_col, support, disclosed))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *fingerprint(F.coalesce(text_col, F.lit(""))))
     # only texts that may hold a telling term are shuffled
     met = among(keyed, terms.select("k1")).join(terms, ["k1", "k2"], "left").select("row.*", F.col("terms").alias("_terms"))
     marked = apart(keyed, terms.select("k1")).select("row.*", F.lit(None).cast(terms.schema["terms"].dataType).alias("_terms")).unionByName(met)
@@ -217,7 +290,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     def clean(text: str | None, terms: list | None) -> str | None:
         if text is None:
             return None
-        spans = sorted(base_spans(text) + [(p["s"], 4, p["e"]) for p in terms or ()])
+        spans = base_spans(text)
+        if terms:
+            spans = sorted(spans + [(s, 4, e) for s, e in term_places(text, set(terms))])
         out, last = [], 0
         for s, k, e in spans:
             if e <= last:
