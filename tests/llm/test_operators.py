@@ -269,6 +269,19 @@ def test_a_telling_term_is_a_span_wherever_its_entity_stands(spark):
     assert got[4] == got[5] == "" and clean[4] == texts[4] and clean[5] == texts[5]
 
 
+def test_copies_of_a_text_hide_no_telling_term_and_a_shared_passage_counts_by_text(spark):
+    passage = f"{text(40)} Zorblatt writes from zed@corp.example.com {text(40)}"
+    texts = [f"{text(5)} {k} {passage}" for k in range(5)] + [text(50) for _ in range(100)]
+    copies = [texts[0]] * 300 + [texts[9]] * 300
+    terms = {r.doc_id: r.spans for r in pii.find(docs_of(spark, texts + copies)).collect()}
+    for i in (0, 1, 2, 3, 4, 105, 404):
+        t = (texts + copies)[i]
+        assert f"term:{t.index('Zorblatt')}:{t.index('Zorblatt') + 8}" in terms[i].split(",")
+    docs = docs_of(spark, texts)
+    again = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert len(terms) == 705 and all(terms[i] == again[i] for i in range(105)) and terms[404] == terms[0] and not terms[405]
+
+
 # op9
 
 

@@ -2,15 +2,15 @@
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each value found is a protected entity. Terms
 are counted over whole texts, outside base spans: with n(c, t) different texts that hold entity c and term t, n(c) different texts
-that hold c, and t in n(t) of N documents, the pointwise mutual information of t and c is log2(n(c, t) N / (n(c) n(t))), and c
+that hold c, and t in n(t) of N different texts, the pointwise mutual information of t and c is log2(n(c, t) N / (n(c) n(t))), and c
 carries log2(N / n(c)) bits. A term that stands in SUPPORT or more different texts of c and reveals DISCLOSED or more of c's bits
 is a span as well, wherever it stands in a text that holds c, at any distance from it. A text without c keeps the term in clear:
 what ties the two are texts that hold both, and in each of these both are spans.
 
 A term is a word of two letters or digits or more, lower-cased; Han characters and kana, written without spaces, make a term of
 every two neighbours. Offsets are code points, ends exclusive. Null text counts as empty and has no spans; repeated rows give
-repeated results, and equal texts count once for an entity, so that copies of a text don't make its words telling. Other columns
-don't matter.
+repeated results, and equal texts count once in all four numbers, so that copies of a text neither make its words telling nor hide
+those that are. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -164,8 +164,15 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(id_col, *fingerprint(F.coalesce(text_col, F.lit(""))), text_col).mapInArrow(run, schema)
 
 
-def term_counts(docs: DataFrame, candidates: DataFrame, text_col: str = "text") -> DataFrame:
-    """(t, n_t): documents that hold each term, for a superset of the terms in candidates(t).
+def different_texts(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text): every text once. Only those that several rows share are shuffled, once for each task that reads them."""
+    copies = materialise(found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k1"), "copies")
+    keyed = keyed_texts(docs, text_col)
+    return apart(keyed, copies).select("text").unionByName(among(keyed, copies).groupBy("k1", "k2").agg(F.first("text").alias("text")).select("text"))
+
+
+def term_counts(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(t, n_t): rows of texts(text) that hold each term, for a superset of the terms in candidates(t).
 
     The filter of candidates has a fixed size whatever their number, so it may be sent to every worker; workers sum what they see
     before anything is shuffled.
@@ -174,7 +181,7 @@ def term_counts(docs: DataFrame, candidates: DataFrame, text_col: str = "text")
     held = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in words.collect():  # 2**13 rows at most
         held[r[0]] = r[1]
-    sent = docs.sparkSession.sparkContext.broadcast(held)
+    sent = texts.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, counts, known = sent.value.view(np.uint64), Counter(), {}
@@ -199,7 +206,7 @@ def term_counts(docs: DataFrame, candidates: DataFrame, text_col: str = "text")
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["t", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    return texts.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
 def owned(found: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -226,7 +233,7 @@ def disclosing(docs: DataFrame, found: DataFrame, owners: DataFrame, texts: Data
     held = materialise(texts.mapInArrow(run, "k1 long, k2 long, terms array<long>"), "terms").select("k1", "k2", F.explode("terms").alias("t"))
     # a term of a pair stands in `support` of these texts; which bounds n_t from below, and the share of the bits from above:
     # n_ct is n_c at most, so a share of `disclosed` needs n_t <= total * (n_c / total) ** disclosed
-    total = float(found.count())
+    total = float(found.select("k1", "k2").distinct().count())
     most = owners.agg(F.max("n_c")).first()[0]
     if not most:
         return owners.select("c", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("disclosure"))
@@ -235,7 +242,7 @@ def disclosing(docs: DataFrame, found: DataFrame, owners: DataFrame, texts: Data
     def rare(n_c):
         return F.col("n_t") <= F.lit(total) * F.pow(n_c / F.lit(total), F.lit(disclosed)) * (1 + 1e-9)
 
-    counts = materialise(term_counts(docs, candidates, text_col).join(candidates, "t").where(rare(F.lit(float(most)))), "counts")
+    counts = materialise(term_counts(different_texts(docs, found, text_col), candidates).join(candidates, "t").where(rare(F.lit(float(most)))), "counts")
     # common terms, which are most of a text, leave before anything is shuffled
     rows = among(held.select(F.col("k1").alias("o1"), "k2", F.col("t").alias("k1")), counts.select(F.col("t").alias("k1")))
     places = rows.select(F.col("o1").alias("k1"), "k2", F.col("k1").alias("t")).join(counts, "t")
