@@ -37,6 +37,16 @@ def test_components_by_union_find(spark):
     assert got == root
 
 
+def test_components_of_long_paths_settle(spark):
+    n = 300
+    ids = RNG.sample(range(2, n), n - 2)
+    ids = [0, *ids, 1]
+    shuffled = RNG.sample(range(1000, 1000 + n), n)
+    edges = [e for path in (ids, shuffled, range(2000, 2000 + n)) for e in zip(path, path[1:])] + [(5000 + i, 5000) for i in range(1, 50)]
+    got = {r.id: r.component for r in components(spark.createDataFrame([*edges, (7, 7), (7, None)], "a long, b long")).collect()}
+    assert got == {x: min(1, x // 1000) * (x // 1000 * 1000) for e in edges for x in e}
+
+
 # op1
 
 

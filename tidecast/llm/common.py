@@ -75,24 +75,25 @@ def apart(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return may_have(rows, keys).where("not may").drop("may")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): rows (id, component), component the smallest id reachable.
 
-    Every round takes the least label among the neighbours and then jumps to the label of that label, so the number of
-    rounds follows the logarithm of the longest path. Labels are checkpointed in the shared folder each round; nothing but
-    one count comes to the driver. Ids without an edge don't appear. Rows with a null end are left out.
+    Edges go from the larger id to the smaller. A round hangs the larger neighbours of every node on the least id in its
+    neighbourhood (large star), then the smaller neighbours and the node itself (small star). Either keeps what is connected and
+    makes no more edges than there are; rounds grow as the square of the logarithm of the nodes at most, and go on until stars
+    are left. Edges are checkpointed in the shared folder each round; at most one row comes to the driver. Ids without an edge
+    don't appear. Rows with a null end are left out.
     """
-    edges = edges.select("a", "b").where("a <> b")
-    both = materialise(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").groupBy("a").agg(F.min("d").alias("d"))
-        least = labels.join(near, "a").select("a", F.col("c").alias("was"), F.least("c", "d").alias("c"))
-        jump = least.select(F.col("a").alias("c"), F.col("c").alias("e"))
-        after = least.join(jump, "c", "left").select("a", "was", F.least(F.col("c"), F.coalesce("e", "c")).alias("c")).checkpoint()
-        labels = after.select("a", "c")
-        if not after.where("c <> was").limit(1).count():
+    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while True:
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        large = edges.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        large = large.groupBy("a", "b").agg(F.max("moved").alias("moved")).checkpoint()
+        # no edge moved and one for each node: nothing is left to do
+        if large.groupBy("a").agg(F.max("moved").alias("moved"), F.count(F.lit(1)).alias("n")).where("moved or n > 1").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels.select(F.col("a").alias("id"), F.col("c").alias("component"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = small.unionByName(least.withColumnRenamed("m", "b")).distinct()
+    stars = large.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
