@@ -10,6 +10,7 @@ from tidecast.functions import nets, stats, unitroots
 from tidecast.functions import transforms as T
 from tidecast.operators import forecasting as fc
 from tidecast.operators import hierarchy, regression, reports
+from tidecast.plans import ensembles
 from tidecast.sources.series import series_from
 from tidecast.streaming import scoring
 
@@ -256,3 +257,13 @@ def test_wrong_options_are_refused():
     for wrong in ({"kind": "x"}, {"type": "x"}, {"lags": (0, 1)}, {"lags": (1, 2), "keep": (3,)}, {"comb": "x"}, {"det_type": "x"}, {"folds": "x"}, {"barebone": True, "hidden": (3, 2)}, {"det_type": "bin", "periods": (30.5,)}):
         with pytest.raises(ValueError):
             fc.Spec(**wrong)
+
+
+def test_reused_leaves_out_the_last_year_of_each_series(spark, monkeypatch):
+    rows = [(s, t, None, 100 + 9.0 * (t % 12) + t % 5) for s, n in (("a", 79), ("b", 100)) for t in range(1, n + 1)]
+    series = spark.createDataFrame(rows, "series_id string, t int, ts timestamp_ntz, y double")
+    seen, specify = [], ensembles.fc.specify
+    monkeypatch.setattr(ensembles, "orders_monthly", lambda *_: series)
+    monkeypatch.setattr(ensembles.fc, "specify", lambda s, spec: seen.append(s) or specify(s, spec))
+    ensembles.reused(spark, "")
+    assert {r[0]: r[1] for r in seen[0].groupBy("series_id").agg({"t": "max"}).collect()} == {"a": 67, "b": 88}

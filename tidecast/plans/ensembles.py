@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.operators import forecasting as fc
@@ -65,10 +65,15 @@ def lines(series, plans, models, spec):
     return reports.forecast_lines(series, members, fc.ensemble(members, ["series_id", "h"]))
 
 
+def before_last_year(series: DataFrame) -> DataFrame:
+    """Each monthly series without its last twelve months."""
+    return series.withColumn("last", F.max("t").over(Window.partitionBy("series_id"))).where(F.col("t") <= F.col("last") - 12).drop("last")
+
+
 def reused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Networks of all months but the last year, applied to the whole series."""
     spec, series = fc.Spec(type="ridge", reps=5, hidden=10), orders_monthly(spark, sf_dir).cache()
-    old = series.where(F.col("t") <= 66)
+    old = before_last_year(series)
     plans = fc.specify(old, spec).cache()
     return fc.ensemble(fc.predict(series, fc.reuse(series, plans, spec), fc.fit(old, plans, spec), spec), ["series_id", "h"])
 
