@@ -2,9 +2,11 @@
 
 A text's n-grams are the runs of N words (a shorter text is one n-gram of all its words; one without words has none and links
 with nothing). Texts with equal sets are one class. Bands and rows are chosen so that a pair at the threshold meets in a band
-with probability RECALL; classes that meet, directly or through others, form a candidate group. Groups are cut into tiles of
-TILE classes a side, and each tile computes exact intersections of the whole sets. A tile returns the links of each class and one
-root, never its pairs, so that large groups cost rows in proportion to their size.
+with probability RECALL. Classes that share a band are compared by their signatures, a byte for each least hash: pairs that agree
+in fewer places than all but one in 1 / MISSED of the pairs at the threshold do are left out. That takes away texts with common
+boilerplate, which meet in a band now and then. What is left, directly or through others, forms candidate groups, which are cut
+into tiles of TILE classes a side, and each tile computes exact intersections of the whole sets. Neither step returns pairs, only
+a class's links and one root, so that large groups and bands cost rows in proportion to their size.
 
 Null text counts as empty. Copies and repeated rows are each linked with one another; a null doc_id is kept in the result, and
 takes the class of its group, or null where the group has no id. Other columns don't matter.
@@ -21,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import among, apart, components, fingerprint, materialise, table
+from tidecast.llm.common import among, apart, components, discard, fingerprint, join_spread, materialise, table
 from tidecast.llm.licenses import words_of
 from tidecast.llm.neardup import roots
 from tidecast.llm.repeats import mix
 
 N, THRESHOLD, RECALL, MAX_HASHES, TILE = 5, 0.8, 0.9999, 128, 256
+#: Share of the pairs at the threshold that signatures may miss, and the classes a side in which large bands are compared.
+MISSED, BAND_TILE = 1e-6, 1024
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15 | 1)
 
@@ -44,6 +48,16 @@ def choose_bands(threshold: float, recall: float, most: int = MAX_HASHES) -> tup
     return best
 
 
+def least_matches(hashes: int, threshold: float, missed: float) -> int:
+    """The most places of `hashes` in which all but a share `missed` of the pairs at the threshold agree, chance left aside."""
+    below = 0.0
+    for k in range(hashes + 1):
+        below += math.comb(hashes, k) * threshold**k * (1 - threshold) ** (hashes - k)
+        if below > missed:
+            return k
+    return hashes
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
 
@@ -74,8 +88,8 @@ class Signer:
         self.a = rng.integers(1 << 62, 1 << 63, bands * rows, dtype=np.uint64) * U(2) + U(1)
         self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        """One hash for each band of the text's least hashes."""
+    def __call__(self, grams: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """One hash for each band of the text's least hashes, and a byte of each of those."""
         least = np.full(len(self.a), np.iinfo(U).max, U)
         for k in range(0, len(grams), 512):
             least = np.minimum(least, (((grams[k : k + 512, None] * self.a + self.b) >> U(32))).min(0))
@@ -83,30 +97,114 @@ class Signer:
         out = np.arange(1, self.bands + 1, dtype=U) * STEP
         for i in range(self.rows):
             out = mix(out * STEP + band[:, i])
-        return out.view(np.int64)
+        return out.view(np.int64), least.astype(np.uint8).tobytes()
 
 
 def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """docs(id, k1, k2, text) -> (id, k1, k2, g1, g2, bands): g1 and g2 stand for the set, null where it is empty."""
+    """docs(id, k1, k2, text) -> (id, k1, k2, g1, g2, bands, signature): g1 and g2 stand for the set, null where it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, signer = Shingler(n), Signer(bands, rows)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                g1, g2, out = [], [], []
+                g1, g2, out, signatures = [], [], [], []
                 for text in batch.column(3):
                     grams = shingle(text.as_py())
                     if not len(grams):
-                        g1.append(None), g2.append(None), out.append(None)
+                        g1.append(None), g2.append(None), out.append(None), signatures.append(None)
                         continue
                     raw = grams.tobytes()
                     digest = xxhash.xxh3_128_intdigest(raw)
-                    g1.append((digest >> 64) - (1 << 63)), g2.append((digest & ((1 << 64) - 1)) - (1 << 63)), out.append(signer(grams))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "k1", "k2", "g1", "g2", "bands"])
+                    own, signature = signer(grams)
+                    g1.append((digest >> 64) - (1 << 63)), g2.append((digest & ((1 << 64) - 1)) - (1 << 63)), out.append(own), signatures.append(signature)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["id", "k1", "k2", "g1", "g2", "bands", "signature"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_type}, k1 long, k2 long, g1 long, g2 long, bands array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, k1 long, k2 long, g1 long, g2 long, bands array<long>, signature binary")
+
+
+def alike(signatures: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what agrees in `least` places or more, from rows `left` to rows `right` of signatures or the other way.
+
+    A search by breadth: each row that is reached is compared with those not yet reached, so that a group of near copies costs
+    one comparison a row. There are no more edges than rows.
+    """
+    same = len(left) == len(right) and (left == right).all()
+    fresh = [np.ones(len(left), bool), np.ones(len(right), bool)]
+    if same:
+        fresh[1] = fresh[0]
+    sides, edges = (left, right), ([], [])
+    for first in range(len(left)):
+        if not fresh[0][first]:
+            continue
+        fresh[0][first] = False
+        todo = [(0, first)]
+        while todo:
+            side, k = todo.pop()
+            rest = np.flatnonzero(fresh[1 - side])
+            if not len(rest):
+                continue
+            own, others = sides[side][k], sides[1 - side][rest]
+            hit = rest[(signatures[others] == signatures[own]).sum(1) >= least]
+            fresh[1 - side][hit] = False
+            edges[0].append(np.full(len(hit), own)), edges[1].append(sides[1 - side][hit])
+            todo += [(0 if same else 1 - side, x) for x in hit.tolist()]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(edges[0]) if edges[0] else none), (np.concatenate(edges[1]) if edges[1] else none)
+
+
+def alike_in_bands(dealt: DataFrame, least: int) -> DataFrame:
+    """dealt(band, ti, tj, own, c, signature), a tile's rows together and in order -> edges (a, b) of classes that may be near copies.
+
+    Small bands are compared all at once, row k with row k + 1, k + 2 and k + 3 of its tile.
+    """
+
+    def edges(t: pa.Table) -> pa.RecordBatch:
+        band, ti, tj, own, c = (t.column(n).to_numpy() for n in ("band", "ti", "tj", "own", "c"))
+        signatures = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(c), -1)
+        new = np.concatenate([[True], (np.diff(band) != 0) | (np.diff(ti) != 0) | (np.diff(tj) != 0)])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(c)))
+        group = np.cumsum(new) - 1
+        a, b = [], []
+        for step in (1, 2, 3):
+            i = np.flatnonzero((group[:-step] == group[step:]) & (size[group[:-step]] <= 4)) if len(c) > step else np.zeros(0, np.int64)
+            i = i[(signatures[i] == signatures[i + step]).sum(1) >= least]
+            a.append(i), b.append(i + step)
+        for f, n in zip(first[size > 4].tolist(), size[size > 4].tolist(), strict=True):
+            rows = np.arange(f, f + n)
+            x, y = alike(signatures, rows[own[rows] == ti[f]], rows[own[rows] == tj[f]], least)
+            a.append(x), b.append(y)
+        a, b = c[np.concatenate(a)], c[np.concatenate(b)]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            last = [t.column(n).to_numpy() for n in ("band", "ti", "tj")]
+            going_on = (last[0] == last[0][-1]) & (last[1] == last[1][-1]) & (last[2] == last[2][-1])
+            done = t.num_rows - int(going_on.sum())  # the last tile may go on in the next batch
+            if done:
+                yield edges(t.slice(0, done))
+            held = t.slice(done)
+        if held is not None and held.num_rows:
+            yield edges(held)
+
+    keys = ["band", "ti", "tj"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def candidates(classes: DataFrame, least: int, tile: int = BAND_TILE) -> DataFrame:
+    """Edges (a, b) that connect the classes(c, bands, signature) that may be near copies."""
+    spread = classes.select("c", F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "tiles")
+    # signatures are wide: they go to the bands that are shared alone
+    bands = join_spread(spread, shared, "band", "inner").groupBy("c").agg(F.collect_list(F.struct("band", "tiles")).alias("bands"))
+    each = classes.select("c", "signature").join(bands, "c").select("c", "signature", F.explode("bands").alias("x")).select("c", "signature", "x.*")
+    dealt = each.withColumn("own", F.pmod(F.xxhash64("c"), F.col("tiles").cast("long")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    return alike_in_bands(dealt.select("band", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "c", "signature"), least)
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -140,13 +238,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).select("id", *fingerprint("text"), "text")
     signed = materialise(sign(texts, n, bands, per_band), "signed")
     # one row for each distinct set, with a number and the fingerprint of one of its texts
-    sets = signed.where("g1 is not null").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("k"), F.max("bands").alias("bands"))
-    classes = materialise(sets.withColumn("c", F.monotonically_increasing_id()).select("c", "g1", "g2", "n", "least_id", "k.k1", "k.k2", "bands"), "classes")
-
-    # candidate groups: every class with the least one of each band that it shares; the band's number is part of its hash
-    spread = classes.select("c", F.explode("bands").alias("band"))
-    least = spread.groupBy("band").agg(F.min("c").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "b")
-    groups = components(spread.join(least, "band").select(F.col("c").alias("a"), "b").where("a <> b").distinct())
+    sets = signed.where("g1 is not null").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("k"), F.max("bands").alias("bands"), F.max("signature").alias("signature"))
+    classes = materialise(sets.withColumn("c", F.monotonically_increasing_id()).select("c", "g1", "g2", "n", "least_id", "k.k1", "k.k2", "bands", "signature"), "classes")
+    groups = components(candidates(classes, least_matches(bands * per_band, threshold, MISSED)))
 
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     wanted = materialise(groups.join(sizes, "component").join(classes.select(F.col("c").alias("id"), "n", "k1", "k2"), "id").withColumnRenamed("id", "c"), "candidates")
@@ -174,6 +268,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"c": c[has], "links": links[has].astype(np.int64), "root": root[has]})
 
     found = materialise(dealt.groupBy("component", "ti", "tj").applyInArrow(verify, "c long, links long, root long"), "verified")
+    discard(wanted)
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "c")
     known = materialise(classes.select("c", "g1", "g2", "n", "least_id").join(links, "c", "left").join(parts, "c", "left").withColumn("group", F.coalesce("component", "c")), "known")
