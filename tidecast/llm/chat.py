@@ -2,7 +2,8 @@
 
 A visitor goes over the parts of each message in order: text is escaped, an image, audio clip or document becomes a placeholder
 such as `<|image|>`, and is recorded as an attachment with its reference and the number of tokens it expands to. Control strings
-all begin with `<|`, which escaping keeps out of texts: a backslash is doubled, then a backslash is put between `<` and `|`.
+all begin with `<|`, which escaping keeps out of texts: a backslash is doubled, then a backslash is put between `<` and `|`, be
+they in one part or at the end of one and the start of the next.
 
 Null text, role or parts count as empty; an unknown or null kind is text. Turns with the same number are ordered by role, then
 by content; a null turn comes first; a null conv_id is a conversation of its own. Repeated rows are repeated turns. Other
@@ -32,14 +33,26 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def visit(part: Column, learned: Column) -> Column:
-    """One part as struct(body, lead, loss, kind, ref, tokens): body is what is written, loss its characters under the loss mask."""
-    kind = F.coalesce(part["kind"], F.lit("text"))
-    is_text = ~kind.isin(*RATES)
-    body = F.when(is_text, escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
-    loss = F.when(is_text & learned, F.length(body)).otherwise(0)
+def is_text(part: Column) -> Column:
+    return ~F.coalesce(part["kind"], F.lit("text")).isin(*RATES)
+
+
+def text_of(part: Column) -> Column:
+    return F.coalesce(part["text"], F.lit(""))
+
+
+def visit(part: Column, before: Column, learned: Column) -> Column:
+    """One part as struct(lead, loss, body, kind, ref, tokens): body is what is written, loss its characters under the loss mask.
+
+    before is the part before it, which may end in the first half of a control string: the backslash between is no part of the
+    text, and outside the mask.
+    """
+    kind, words = F.coalesce(part["kind"], F.lit("text")), is_text(part)
+    broken = words & F.coalesce(is_text(before) & text_of(before).endswith("<") & text_of(part).startswith("|"), F.lit(False))
+    body = F.when(words, F.concat(F.when(broken, "\\").otherwise(""), escape(text_of(part)))).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
+    loss = F.when(words & learned, F.length(body) - broken.cast("int")).otherwise(0)
     tokens = F.coalesce(*[F.when(kind == k, F.ceil(F.coalesce(part["units"], F.lit(1.0)) * rate)) for k, rate in RATES.items()], F.lit(0).cast("long"))
-    return F.struct(body.alias("body"), (F.length(body) - loss).cast("int").alias("lead"), loss.cast("int").alias("loss"), F.when(~is_text, kind).alias("kind"), part["ref"].alias("ref"), tokens.alias("tokens"))
+    return F.struct(body.alias("body"), (F.length(body) - loss).cast("int").alias("lead"), loss.cast("int").alias("loss"), F.when(~words, kind).alias("kind"), part["ref"].alias("ref"), tokens.alias("tokens"))
 
 
 def format_chat(messages: DataFrame, learn_from: str = "assistant") -> DataFrame:
@@ -49,8 +62,10 @@ def format_chat(messages: DataFrame, learn_from: str = "assistant") -> DataFrame
     turn is outside. attachments is in the order of the placeholders.
     """
     role = F.coalesce("role", F.lit(""))
-    # a null role teaches nothing, and null parts are no parts
-    seen = messages.select("conv_id", "turn", role.alias("role"), F.transform(F.coalesce("parts", F.array().cast(PART)), lambda p: visit(p, role == learn_from)).alias("seen"))
+    # a null role teaches nothing; null parts and empty texts are no parts
+    parts = F.filter(F.coalesce("parts", F.array().cast(PART)), lambda p: ~is_text(p) | (text_of(p) != ""))
+    parts = messages.select("conv_id", "turn", role.alias("role"), parts.alias("parts"))
+    seen = parts.select("conv_id", "turn", "role", F.transform("parts", lambda p, i: visit(p, F.get("parts", i - 1), F.col("role") == learn_from)).alias("seen"))
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(BREAK)), F.lit("\n"))
     turns = seen.select(
         "conv_id",
