@@ -25,13 +25,15 @@ FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() and c < 128 or
 #: Phrase -> label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Short forms of public license notices and texts, by label.
+#: Public license notices and texts, to the last mandatory word, by label.
+BSD_TWO = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] [[a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] [[b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_END = "this software is provided by {{1-8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1-8}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 TEMPLATES = {
     "mit-notice": "[[this {{0-3}} is]] [[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind",
-    "isc-text": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd-2-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-3-clause-text": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {{1-12}} nor the names of [[its]] [[the]] contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and {{1-2}} in no event shall {{1-8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-text": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{1-8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{1-8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause-text": f"{BSD_TWO} {BSD_END}",
+    "bsd-3-clause-text": f"{BSD_TWO} [[3]] [[c]] neither the name of {{{{1-12}}}} nor the names of [[its]] [[the]] contributors may be used to endorse or promote products derived from this software without specific prior written permission {BSD_END}",
     "apache-2.0-notice": "licensed under the apache license version 2 0 [[the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0]]",
     "gpl-notice": "[[this {{1-3}} is]] licensed under the gnu general public license version {{1-1}} [[or at your option any later version]]",
     "gpl-free-software": "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{1-1}} of the license or at your option any later version",
@@ -126,6 +128,16 @@ def compile_template(markup: str) -> Automaton:
     return found
 
 
+def places(joined: bytes, phrase: bytes) -> Iterator[int]:
+    """Numbers of the words at which phrase stands in joined; both have a space before and after every word."""
+    last = word = 0
+    at = joined.find(phrase)
+    while at >= 0:
+        word += joined.count(b" ", last, at)
+        yield word
+        last, at = at, joined.find(phrase, at + 1)
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
         self.phrases = [(b" " + b" ".join(words_of(p)) + b" ", label) for p, label in phrases.items()]
@@ -135,28 +147,29 @@ class Scanner:
         """n_words, n_base, first_word, last_word, base_labels, labels, score and matches (label, first word, end)."""
         words = words_of(text)
         joined = b" " + b" ".join(words) + b" "
-        starts, base = [], set()
+        starts, base, matches, stretches = [], set(), [], []
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
-            while at >= 0:
-                starts.append(joined.count(b" ", 0, at))
+            for word in places(joined, phrase):
+                starts.append(word)
+                stretches.append((word, word + phrase.count(b" ") - 1))
                 base.add(label)
-                at = joined.find(phrase, at + 1)
-        matches, best = [], 0
         for label, automaton in self.automata:
-            at, begun = joined.find(automaton.anchor), 0
-            while at >= 0:
-                word = joined.count(b" ", 0, at)
+            begun = 0
+            for word in places(joined, automaton.anchor):
                 for start in range(max(begun, word - automaton.longest), word + 1):
                     if (end := automaton.match(words, start)) > word:
                         matches.append((label, start, end))
-                        best, begun = max(best, end - start), end
+                        stretches.append((start, end))
+                        begun = end
                         break
-                at = joined.find(automaton.anchor, at + 1)
+        covered = last = 0
+        for start, end in sorted(stretches):
+            covered += max(0, end - max(start, last))
+            last = max(last, end)
         every = sorted(base | {m[0] for m in matches})
         return {
             "n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
-            "base_labels": ",".join(sorted(base)), "labels": ",".join(every), "score": 1.0 if matches else 0.5 if base else 0.0, "matches": matches,
+            "base_labels": ",".join(sorted(base)), "labels": ",".join(every), "score": covered / len(words) if words else 0.0, "matches": matches,
         }
 
 
@@ -165,7 +178,7 @@ MATCHES = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("e
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs; score is 1 where a template accepts, 0.5 where only a phrase stands, else 0."""
+    """One row for each row of docs; score is the share of the text's words that stand in matches and phrases."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,start:long,end:long>>"
 
