@@ -3,11 +3,14 @@
 Texts and benchmark items are lower-cased (A-Z) and reduced to words with single spaces. An item of m bytes may differ from a
 passage by EDITS * m edits. Then the two share at least m + 1 - q - q * edits q-grams, and those lie on diagonals at most `edits`
 apart. So shared q-grams are counted in overlapping bands of diagonals, bands with enough of them are kept, and banded
-alignment of the whole item decides each. Items too short for the lemma have fewer edits, down to none.
-
-The benchmark goes to the workers in blocks of at most BLOCK_BYTES of text, one pass over the documents for each block, so
-its size has no limit. Null or empty texts and items match nothing; repeated rows give repeated results; repeated items are
-reported each, and an item without item_id with a null one; other columns don't matter.
+alignment of the whole item decides each. Items too short for the lemma have fewer edits, down to none: an item under Q bytes is
+looked up as it is, between spaces, with a `shared` of 0, and is no evidence by itself, as it may be a common word. Passages of one
+item that overlap by most of it are one passage.
+
+The benchmark goes to the workers in blocks of about BLOCK_BYTES of text, one pass over the documents for each. Only one block is
+in the driver and in a worker at a time, in which it takes some 20 times its text; several blocks write the hits of each. Null or
+empty texts and items match nothing; repeated rows give repeated results; repeated items are reported each, and an item without
+item_id with a null one; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -16,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import slices, table
+from tidecast.llm.common import among, apart, fingerprint, materialise, slices, table
 from tidecast.llm.licenses import FOLD
 
-Q, EDITS, BLOCK_BYTES = 8, 0.1, 8 << 20
+Q, EDITS, BLOCK_BYTES = 8, 0.1, 4 << 20
 TABLE_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HITS = "array<struct<item_id:long,start:long,end:long,edits:long,shared:long>>"
@@ -80,12 +85,12 @@ class Index:
         self.short = [k for k, n in enumerate(self.texts) if len(n) < Q]
         codes = [grams(n) for n in self.texts]
         every = np.concatenate(codes) if codes else np.zeros(0, "<u8")
-        item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        at = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])
+        at = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes]) if codes else np.zeros(0, np.int32)
         order = np.argsort(every, kind="stable")
         self.item, self.at = item[order], at[order]
         self.keys, first = np.unique(every[order], return_index=True)
-        self.first = np.append(first, len(every))
+        self.first = np.append(first, len(every)).astype(np.int32)
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[self.place(self.keys)] = True
 
@@ -107,7 +112,7 @@ class Index:
         if not total:
             return []
         entry = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[k], many)
-        item = self.item[entry]
+        item = self.item[entry].astype(np.int64)
         wide = self.edits[item] + 1
         shift = 1 << 24  # diagonals may be negative
         band = (np.repeat(at, many) - self.at[entry] + shift) // wide
@@ -145,42 +150,59 @@ class Index:
                 start = max(0, end - length)
             taken.setdefault(i, []).append(low)
             found.append({"item_id": self.ids[i], "start": start, "end": end, "edits": edits, "shared": shared})
+        spaced = b" " + text + b" " if self.short else b""
         for i in self.short:
-            start = (b" " + text + b" ").find(b" " + self.texts[i] + b" ")
-            if start >= 0:
+            word = b" " + self.texts[i] + b" "
+            start = spaced.find(word)
+            while start >= 0:
                 found.append({"item_id": self.ids[i], "start": start, "end": start + len(self.texts[i]), "edits": 0, "shared": 0})
+                start = spaced.find(word, start + 1)
         return found
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edits: float = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with a column hits: every benchmark passage in the text. A column of that name is replaced."""
-    docs = docs.drop("hits")
+def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edits: float = EDITS, block_bytes: int = BLOCK_BYTES, hits_col: str = "hits") -> DataFrame:
+    """docs with a column of every benchmark passage in the text. A column that has its name is an error."""
+    if hits_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs have a column {hits_col}")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    out = docs.withColumn("hits", F.array().cast(HITS))
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        out = scan_block(out, Index(sorted(((r[0], r[1]) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1])), edits), text_col)
-    return out
 
+    def block(k: int) -> list[tuple]:
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about block_bytes
+        return sorted(((r[0], r[1]) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
-def scan_block(docs: DataFrame, index: Index, text_col: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
-    where, last = docs.columns.index(text_col), docs.columns.index("hits")
+    if blocks == 1:
+        return scan_block(docs, block(0), edits, text_col, hits_col, everything=True)[0]
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *fingerprint(F.coalesce(text_col, F.lit(""))), F.col(text_col).alias("text"))
+    found = None
+    for k in range(blocks):
+        hits, sent = scan_block(keyed.select("k1", "k2", "text"), block(k), edits, "text", "hits", everything=False)
+        part = materialise(hits.groupBy("k1", "k2").agg(F.first("hits").alias("hits")), "hits")  # copies have equal hits
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    found = materialise(found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("hits")).alias("hits")), "hits")
+    # only texts that may hold a passage are shuffled
+    met = among(keyed, found).join(found, ["k1", "k2"], "left").select("row.*", F.coalesce("hits", F.array().cast(HITS)).alias(hits_col))
+    return apart(keyed, found).select("row.*", F.array().cast(HITS).alias(hits_col)).unionByName(met)
+
+
+def scan_block(docs: DataFrame, items: list[tuple], edits: float, text_col: str, hits_col: str, everything: bool) -> tuple[DataFrame, Broadcast]:
+    """docs with their hits of one block's items (without the text and rows that have none, unless everything is wanted), and what was sent."""
+    held = docs.sparkSession.sparkContext.broadcast(items)
+    where = docs.columns.index(text_col)
+    keep = [k for k in range(len(docs.columns)) if everything or k != where]
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "start", "end", "edits", "shared")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
+        index = Index(held.value, edits)
         for batch in slices(batches):
-            found = [index.hits(text.as_py()) for text in batch.column(where)]
-            before = batch.column(last)
-            if any(found):
-                before = pa.array([(b or []) + f for b, f in zip(before.to_pylist(), found, strict=True)], kind)
-            columns = [before if k == last else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+            found = pa.array([index.hits(text.as_py()) for text in batch.column(where)], kind)
+            out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), found], names=[*(batch.schema.names[k] for k in keep), hits_col])
+            yield out if everything else out.filter(pc.greater(pc.list_value_length(found), 0))
+
+    fields = [f"`{docs.columns[k]}` {docs.schema[k].dataType.simpleString()}" for k in keep]
+    return docs.mapInArrow(run, ", ".join([*fields, f"`{hits_col}` {HITS}"])), held
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
