@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import among, apart, fingerprint, materialise, slices, table
+from tidecast.llm.common import among, apart, fingerprint, free_name, materialise, slices, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What a span becomes in the sanitised text.
@@ -269,7 +269,7 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row for each row of docs."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans), one row for each row of docs; n_spans counts all spans."""
     found = materialise(detect(docs, id_col, text_col), "pii")
     owners = owned(found, support)
     texts = texts_of(docs, owners, text_col)
@@ -278,9 +278,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     # spans are ordered by start, then kind as listed; terms don't overlap base spans, so starts decide
     every = F.filter(F.concat(F.split("base", ","), F.coalesce(as_text, F.array().cast("array<string>"))), lambda s: s != "")
     ordered = F.array_join(F.transform(F.array_sort(F.transform(every, lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("at"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(s, ":")[0]).alias("kind"), s.alias("s")))), lambda x: x["s"]), ",")
-    out = [id_col, *COUNTS, "base_sha256"]
+    out, n_spans = [id_col, *COUNTS, "base_sha256"], F.size(every).cast("long").alias("n_spans")
     # texts without an entity have no such terms, and copies of them needn't meet in a task
-    return found.where("size(entities) = 0").select(*out, F.col("base").alias("spans")).unionByName(found.where("size(entities) > 0").join(terms, ["k1", "k2"], "left").select(*out, ordered.alias("spans")))
+    return found.where("size(entities) = 0").select(*out, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_spans")).unionByName(found.where("size(entities) > 0").join(terms, ["k1", "k2"], "left").select(*out, ordered.alias("spans"), n_spans))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
@@ -289,9 +289,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     owners = owned(found, support)
     terms = telling_terms(owners, disclosing(docs, found, owners, texts_of(docs, owners, text_col), text_col, support, disclosed))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *fingerprint(F.coalesce(text_col, F.lit(""))))
+    own = free_name("terms", docs.columns)
     # only texts that may hold a telling term are shuffled
-    met = among(keyed, terms.select("k1")).join(terms, ["k1", "k2"], "left").select("row.*", F.col("terms").alias("_terms"))
-    marked = apart(keyed, terms.select("k1")).select("row.*", F.lit(None).cast(terms.schema["terms"].dataType).alias("_terms")).unionByName(met)
+    met = among(keyed, terms.select("k1")).join(terms, ["k1", "k2"], "left").select("row.*", F.col("terms").alias(own))
+    marked = apart(keyed, terms.select("k1")).select("row.*", F.lit(None).cast(terms.schema["terms"].dataType).alias(own)).unionByName(met)
     where = docs.columns.index(text_col)
 
     def clean(text: str | None, terms: list | None) -> str | None:
