@@ -1,21 +1,22 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of every white-space delimited piece of a text (longer pieces in runs of PIECE bytes), labels
-each byte position, and the document's probability is the mean over all its positions. Pieces are independent, so each distinct
-piece is run once a worker and its sums are kept in a bounded cache; that changes no result. Training is done in numpy by
-backpropagation through time, on a bounded sample of labelled rows (TRAIN_DOCS for each language).
-
-Null text or one without a letter: `und` with score 0. Where there is nothing to learn from, every row is `und`. Repeated rows
-give repeated results; of the other columns only lang is read, and only for training.
+The network reads the UTF-8 bytes of a text in both directions, labels every byte position, and the document's probability is the
+mean over all its positions. The recurrence runs over stretches of up to STRETCH bytes, cut between characters, and CONTEXT bytes
+more on either side, whose positions count in the neighbouring stretch; so each position is labelled once, with what stands
+before and after it in view, and a text of any length takes bounded memory. Training is done in numpy by backpropagation through
+time, on stretches from a bounded sample of labelled rows (TRAIN_DOCS for each language).
+
+Null text or one without a letter (Unicode category L): `und` with score 0. Where there is nothing to learn from, every row is
+`und`. Repeated rows give repeated results; of the other columns only lang is read, and only for training.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,11 @@ from tidecast.llm.common import slices, table
 
 #: Rows of each language that training may use, at most and on average; longer texts than TRAIN_CHARS are not drawn.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
-PIECE, HIDDEN, EMBED = 32, 24, 16
-CACHE = 150_000
-LETTER = re.compile(r"[^\W\d_]")
+STRETCH, CONTEXT, HIDDEN, EMBED = 512, 32, 12, 16
+#: Bytes of the stretches that training reads, and rows that a worker runs at once.
+TRAIN_BYTES, ROWS = 80, 1024
+LETTER = regex.compile(r"\p{L}")
+END = 256
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,107 +47,154 @@ class Network:
             self.p[f"b_{way}"] = np.zeros(3 * HIDDEN)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def forward(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Logits (rows, positions, classes) of x, byte values with 256 after the end. keep: gets what backward needs."""
-        rows, steps, h_ = *x.shape, HIDDEN
-        real = (x < 256)[..., None].astype(np.float32)
-        states = np.zeros((rows, steps, 2 * h_), np.float32)
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over all positions of x (byte values, END after the end) with labels y (one a row), and its gradients."""
+        p, h_, (rows, steps), kind = self.p, HIDDEN, x.shape, self.p["out"].dtype
+        real = (x != END)[..., None].astype(kind)
+        states, traces = np.zeros((rows, steps, 2 * h_), kind), []
         for k, way in enumerate("fb"):
-            drive = (self.p["embed"] @ self.p[f"in_{way}"] + self.p[f"b_{way}"])[x]
-            rec, h, trace = self.p[f"rec_{way}"], np.zeros((rows, h_), np.float32), []
+            drive = (p["embed"] @ p[f"in_{way}"] + p[f"b_{way}"])[x]
+            h, trace = np.zeros((rows, h_), kind), []
             for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-                a = drive[:, t]
-                g = sigmoid(a[:, : 2 * h_] + h @ rec[:, : 2 * h_])
-                z, r = g[:, :h_], g[:, h_:]
-                n = np.tanh(a[:, 2 * h_ :] + (r * h) @ rec[:, 2 * h_ :])
-                new = h + real[:, t] * z * (n - h)
-                if keep is not None:
-                    trace.append((t, h, z, r, n))
-                h = new
+                a, g = drive[:, t], h @ p[f"rec_{way}"]
+                gates = sigmoid(a[:, : 2 * h_] + g[:, : 2 * h_])
+                z, r = gates[:, :h_], gates[:, h_:]
+                n = np.tanh(a[:, 2 * h_ :] + r * g[:, 2 * h_ :])
+                trace.append((t, h, z, r, n, g[:, 2 * h_ :]))
+                h = h + real[:, t] * z * (n - h)
                 states[:, t, k * h_ : (k + 1) * h_] = h
-            if keep is not None:
-                keep.append(trace)
-        if keep is not None:
-            keep += [states, real]
-        return states @ self.p["out"] + self.p["bias"]
-
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        logits = self.forward(x)
+            traces.append(trace)
+        logits = states @ p["out"] + p["bias"]
         e = np.exp(logits - logits.max(-1, keepdims=True))
-        return e / e.sum(-1, keepdims=True)
-
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all positions of x with labels y (one a row), and its gradients by backpropagation through time."""
-        keep: list = []
-        logits = self.forward(x, keep)
-        forward, backward, states, real = keep
-        logits -= logits.max(-1, keepdims=True)
-        e = np.exp(logits)
         prob = e / e.sum(-1, keepdims=True)
-        count = real.sum()
-        own = np.take_along_axis(prob, y[:, None, None].repeat(x.shape[1], 1), 2)
+        count, label = real.sum(), y[:, None, None].repeat(steps, 1)
+        own = np.take_along_axis(prob, label, 2)
         loss = float(-(np.log(own + 1e-12) * real).sum() / count)
-        d = prob.copy()
-        np.put_along_axis(d, y[:, None, None].repeat(x.shape[1], 1), own - 1, 2)
-        d *= real / count
-        h_, g = HIDDEN, {k: np.zeros_like(v) for k, v in self.p.items()}
-        flat = d.reshape(-1, d.shape[-1])
+        np.put_along_axis(prob, label, own - 1, 2)
+        d = prob * (real / count)
+        g, flat = {k: np.zeros_like(v) for k, v in p.items()}, d.reshape(-1, d.shape[-1])
         g["out"], g["bias"] = states.reshape(-1, 2 * h_).T @ flat, flat.sum(0)
-        d_states = d @ self.p["out"].T
-        for k, (way, trace) in enumerate((("f", forward), ("b", backward))):
-            rec, w_in = self.p[f"rec_{way}"], self.p[f"in_{way}"]
-            d_drive, dh = np.zeros((*x.shape, 3 * h_), np.float32), np.zeros((len(x), h_), np.float32)
-            for t, h, z, r, n in reversed(trace):
+        d_states = d @ p["out"].T
+        for k, (way, trace) in enumerate(zip("fb", traces, strict=True)):
+            rec, d_drive, dh = p[f"rec_{way}"], np.zeros((rows, steps, 3 * h_), kind), np.zeros((rows, h_), kind)
+            for t, h, z, r, n, g_n in reversed(trace):
                 dh = dh + d_states[:, t, k * h_ : (k + 1) * h_]
                 m = real[:, t]
                 dz, dn = dh * m * (n - h) * z * (1 - z), dh * m * z * (1 - n * n)
-                drh = dn @ rec[:, 2 * h_ :].T
-                dr = drh * h * r * (1 - r)
-                gates = np.concatenate([dz, dr], 1)
-                g[f"rec_{way}"][:, : 2 * h_] += h.T @ gates
-                g[f"rec_{way}"][:, 2 * h_ :] += (r * h).T @ dn
-                d_drive[:, t, : 2 * h_], d_drive[:, t, 2 * h_ :] = gates, dn
-                dh = dh * (1 - m * z) + drh * r + gates @ rec[:, : 2 * h_].T
+                dr = dn * g_n * r * (1 - r)
+                d_drive[:, t] = np.concatenate([dz, dr, dn], 1)
+                d_g = np.concatenate([dz, dr, dn * r], 1)
+                g[f"rec_{way}"] += h.T @ d_g
+                dh = dh * (1 - m * z) + d_g @ rec.T
             flat = d_drive.reshape(-1, 3 * h_)
             g[f"b_{way}"] += flat.sum(0)
-            by_byte = np.zeros((257, 3 * h_), np.float32)
+            by_byte = np.zeros((257, 3 * h_), kind)
             np.add.at(by_byte, x.ravel(), flat)
-            g[f"in_{way}"] += self.p["embed"].T @ by_byte
-            g["embed"] += by_byte @ w_in.T
+            g[f"in_{way}"] += p["embed"].T @ by_byte
+            g["embed"] += by_byte @ p[f"in_{way}"].T
         return loss, g
 
-    def train(self, pieces: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 384, rate: float = 0.012, seed: int = 5) -> "Network":
-        """Adam over batches of pieces of like length, with as many of each class as chance gives from classes drawn evenly."""
+    def train(self, stretches: list[bytes], labels: np.ndarray, steps: int = 300, batch: int = 160, rate: float = 0.012, seed: int = 5) -> "Network":
+        """Adam over batches of stretches, with as many of each class as chance gives from classes drawn evenly."""
         rng = np.random.default_rng(seed)
         by_class = [np.flatnonzero(labels == c) for c in range(len(self.classes))]
         by_class = [x for x in by_class if len(x)]
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
             drawn = np.concatenate([rng.choice(x, batch // len(by_class) + 1) for x in by_class])
-            _, g = self.gradients(pad([pieces[i] for i in drawn]), labels[drawn])
+            _, g = self.gradients(pad([stretches[i] for i in drawn]), labels[drawn])
+            norm = float(np.sqrt(sum((x * x).sum() for x in g.values())))
             lr = rate * min(1, 2 * (1 - step / (steps + 1)))
             for k, x in self.p.items():
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+                own = g[k] * min(1.0, 1.0 / (norm + 1e-12))
+                m[k] = 0.9 * m[k] + 0.1 * own
+                v[k] = 0.99 * v[k] + 0.01 * own**2
                 x -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
+    def ready(self) -> "Reader":
+        return Reader(self)
+
+
+class Reader:
+    """A network set up to label stretches: one table a direction from byte to what it adds to the gates."""
+
+    def __init__(self, net: Network):
+        self.classes, h_ = net.classes, HIDDEN
+        half = np.concatenate([np.full(2 * h_, 0.5), np.ones(h_)]).astype(np.float32)  # sigmoid(x) is (tanh(x / 2) + 1) / 2
+        self.ways = [((net.p["embed"] @ net.p[f"in_{w}"] + net.p[f"b_{w}"]) * half, net.p[f"rec_{w}"] * half, net.p["out"][k * h_ : (k + 1) * h_]) for k, w in enumerate("fb")]
+        self.bias = net.p["bias"]
+
+    def probabilities(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(positions, rows, classes) for x (positions, rows), whose columns have `sizes` bytes and are in descending order of these."""
+        h_, active = HIDDEN, np.searchsorted(-sizes, -np.arange(len(x)), "left")
+        logits = np.zeros((*x.shape, len(self.classes)), np.float32) + self.bias
+        for k, (table, rec, out) in enumerate(self.ways):
+            h = np.zeros((x.shape[1], h_), np.float32)
+            for t in range(len(x)) if k == 0 else range(len(x) - 1, -1, -1):
+                n = active[t]
+                own = h[:n]
+                a, g = table[x[t, :n]], own @ rec
+                gates = a[:, : 2 * h_] + g[:, : 2 * h_]
+                np.tanh(gates, gates)
+                gates *= 0.5
+                gates += 0.5
+                new = g[:, 2 * h_ :] * gates[:, h_:]
+                new += a[:, 2 * h_ :]
+                np.tanh(new, new)
+                new -= own
+                new *= gates[:, :h_]
+                own += new
+                logits[t, :n] += own @ out
+        logits -= logits.max(-1, keepdims=True)
+        np.exp(logits, logits)
+        logits /= logits.sum(-1, keepdims=True)
+        return logits
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its mean probability for each text."""
+        rows = [(i, *s) for i, text in enumerate(texts) if text and LETTER.search(text) for s in stretches_of(text.encode("utf-8", "surrogatepass"))]
+        rows.sort(key=lambda r: -len(r[1]))
+        sums = np.zeros((len(texts), len(self.classes) + 1))
+        for k in range(0, len(rows), ROWS):
+            own = rows[k : k + ROWS]
+            x, sizes = pad([r[1] for r in own]).T.copy(), np.array([len(r[1]) for r in own])
+            doc, low, high = (np.array([r[j] for r in own]) for j in (0, 2, 3))
+            at = np.arange(len(x))[:, None]
+            counted = (at >= low) & (at < high)
+            prob = np.einsum("trc,tr->rc", self.probabilities(x, sizes), counted.astype(np.float32))
+            np.add.at(sums, doc, np.concatenate([prob, counted.sum(0)[:, None]], 1))
+        found = []
+        for own in sums:
+            mean = own[:-1] / own[-1] if own[-1] else None
+            best = 0 if mean is None else int(mean.argmax())
+            found.append(("und", 0.0) if mean is None else (self.classes[best], float(min(1.0, max(0.0, mean[best])))))
+        return found
+
 
-def pad(pieces: list[bytes]) -> np.ndarray:
-    x = np.full((len(pieces), max(map(len, pieces), default=1)), 256, np.int64)
-    for row, piece in zip(x, pieces, strict=True):
-        row[: len(piece)] = np.frombuffer(piece, np.uint8)
+def pad(stretches: list[bytes]) -> np.ndarray:
+    x = np.full((len(stretches), max(map(len, stretches), default=1)), END, np.int64)
+    for row, raw in zip(x, stretches, strict=True):
+        row[: len(raw)] = np.frombuffer(raw, np.uint8)
     return x
 
 
-def pieces_of(text: str) -> list[bytes]:
-    found: list[bytes] = []
-    for word in text.encode("utf-8", "surrogatepass").split():
-        if len(word) <= PIECE:
-            found.append(word)
-        else:
-            found += [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
-    return found
+def cut_at(raw: bytes, at: int) -> int:
+    """The last place up to `at` where a character begins, or the end."""
+    at = min(at, len(raw))
+    while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def stretches_of(raw: bytes, size: int = STRETCH, context: int = CONTEXT) -> Iterator[tuple[bytes, int, int]]:
+    """Stretches of raw with their context, and the positions in them that count."""
+    low = 0
+    while low < len(raw):
+        high = cut_at(raw, low + size)
+        begin = cut_at(raw, max(0, low - context))
+        yield raw[begin : cut_at(raw, high + context)], low - begin, high - begin
+        low = high
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Network | None:
@@ -157,79 +207,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(train_docs / n)) for k, n in counts.items()])
     rows = known.where(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share).select(id_col, text_col, lang_col).limit(2 * train_docs * len(counts)).collect()
     classes = sorted(counts)
-    pieces, labels = [], []
+    stretches, labels = [], []
     for _, text, lang in sorted(rows):
-        own = pieces_of(text)
-        pieces += own
+        own = [x for x, _, _ in stretches_of(text.encode("utf-8", "surrogatepass"), TRAIN_BYTES, 0)]
+        stretches += own
         labels += [classes.index(lang)] * len(own)
-    if not pieces:
+    if not stretches:
         return None
-    return Network(classes).train(pieces, np.array(labels))
-
-
-class Scorer:
-    """Sums of probabilities over the positions of each piece, by piece."""
-
-    def __init__(self, net: Network):
-        self.net, self.at = net, {}
-        self.sums = np.zeros((0, len(net.classes) + 1))
-
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.at) > CACHE:
-            self.at, self.sums = {}, self.sums[:0]
-        at, fresh, docs = self.at, [], []
-        for text in texts:
-            if not text or not LETTER.search(text):
-                docs.append(None)
-                continue
-            own = pieces_of(text)
-            try:
-                docs.append(np.fromiter(map(at.__getitem__, own), np.int64, len(own)))
-            except KeyError:
-                for x in own:
-                    if x not in at:
-                        at[x] = len(at)
-                        fresh.append(x)
-                docs.append(np.fromiter(map(at.__getitem__, own), np.int64, len(own)))
-        self.sums = np.concatenate([self.sums, self.run(fresh)])
-        found = []
-        for own in docs:
-            if own is None:
-                found.append(("und", 0.0))
-                continue
-            sums = self.sums[own].sum(0)
-            mean = sums[:-1] / sums[-1]
-            best = int(mean.argmax())
-            found.append((self.net.classes[best], float(min(1.0, max(0.0, mean[best])))))
-        return found
-
-    def run(self, pieces: list[bytes]) -> np.ndarray:
-        sums = np.zeros((len(pieces), len(self.net.classes) + 1))
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        for k in range(0, len(order), 2048):
-            own = order[k : k + 2048]
-            x = pad([pieces[i] for i in own])
-            real = (x < 256)[..., None]
-            sums[own, :-1], sums[own, -1] = (self.net.probabilities(x) * real).sum(1), real.sum((1, 2))
-        return sums
+    return Network(classes).train(stretches, np.array(labels))
 
 
-def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added; columns of those names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, net: Network | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with the language and its score added; a column that has the name of one of them is an error."""
+    if (clash := {c.lower() for c in docs.columns} & {pred_col.lower(), score_col.lower()}):
+        raise ValueError(f"docs have columns of these names: {', '.join(sorted(clash))}")
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({pred_col: F.lit("und"), score_col: F.lit(0.0)})
     held = docs.sparkSession.sparkContext.broadcast(net)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
-        for batch in slices(batches):
+        scorer = held.value.ready()
+        for batch in slices(batches, 200):
             found = scorer.score(batch.column(where).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, pred_col, score_col])
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{pred_col}` string, `{score_col}` double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
