@@ -5,8 +5,11 @@ knows. The separator is one zero byte, and a gzip member ends in the highest byt
 records under 16 MB: that byte is left to the sink, so that the file is a plain row of gzip members. A longer record is followed
 by an empty member, whose last byte is zero as well.
 
-Reading. A file is inflated piece by piece with one zlib object for each member; the header ends at the blank line, the block is
-framed by Content-Length, and both digests are verified.
+Files are closed by bytes: a row of the sink is a run of members of ROW_BYTES or little more, and a file has ROWS of them, so that
+a file has at most ROWS times what a row and one record take.
+
+Reading. A file is inflated step by step with one zlib object for each member; the header ends at the blank line, the block is
+framed by Content-Length and hashed as it comes, both digests are verified, and a row leaves when its member ends.
 
 Of pages with equal payloads of at least LEAST bytes, the one with the largest page_id is a response and the others revisit it;
 rows that share that page_id are all responses. Null html counts as empty; a null page_id is a response whose id reads back as
@@ -23,18 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import fresh_path, table
+from tidecast.llm.common import among, apart, discard, fresh_path, join_spread, materialise, table
 
 LEAST = 1000
-#: Records of one file at most, which bounds what a reader task holds.
-PER_FILE = 2000
+#: Bytes of a run of members, and such runs in a file: some 32 MB, which bounds what a reader task holds.
+ROW_BYTES, ROWS = 8 << 20, 4
 STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record. A revisit carries the HTTP header only; its payload is that of the record it refers to."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, length: int | None = None) -> bytes:
+    """A WARC/1.1 record. A revisit carries the HTTP header only, with the length of the payload of the record it refers to."""
+    length = len(payload) if length is None else length
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2000-01-01T00:00:00Z",
@@ -56,61 +60,105 @@ def member(data: bytes) -> bytes:
     return out
 
 
-def members(data: bytes) -> Iterator[bytearray]:
-    """The inflated bytes of each gzip member, one after the other, fed in steps."""
+class Record:
+    """One record, fed with the inflated bytes of its member: header, digests and lengths; the payload only if it is to be kept."""
+
+    def __init__(self, keep: bool):
+        self.keep, self.raw, self.head, self.left = keep, bytearray(), None, 0
+        self.http, self.payload, self.tail = bytearray(), [], bytearray()
+        self.of_block, self.of_payload, self.in_payload = hashlib.sha1(), hashlib.sha1(), False
+
+    def feed(self, data: bytes) -> None:
+        if self.head is None:
+            self.raw += data
+            head, blank, data = bytes(self.raw).partition(b"\r\n\r\n")
+            if not blank:
+                return
+            lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+            if lines[0] != "WARC/1.1":
+                raise ValueError("not a WARC record")
+            self.head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            self.left, self.raw = int(self.head["content-length"]), bytearray()
+        block, rest = data[: self.left], data[self.left :]
+        self.left -= len(block)
+        self.of_block.update(block)
+        if not self.in_payload:
+            self.http += block
+            http, blank, block = bytes(self.http).partition(b"\r\n\r\n")
+            if blank:
+                self.http, self.in_payload = bytearray(http), True
+        if self.in_payload:
+            self.of_payload.update(block)
+            if self.keep:
+                self.payload.append(block)
+        self.tail += rest
+
+    def done(self) -> bool:
+        """Whether there was a record (an empty member has none); raises ValueError where framing or a digest is wrong."""
+        if self.head is None:
+            if self.raw:
+                raise ValueError("not a WARC record")
+            return False
+        if self.left or self.tail != b"\r\n\r\n":
+            raise ValueError("the block doesn't end where Content-Length says")
+        if self.head["warc-block-digest"] != f"sha1:{self.of_block.hexdigest()}":
+            raise ValueError("the block's digest is wrong")
+        if self.head["warc-type"] == "response" and self.head["warc-payload-digest"] != f"sha1:{self.of_payload.hexdigest()}":
+            raise ValueError("the payload's digest is wrong")
+        return True
+
+
+def read_records(data: bytes, keep: bool = False) -> Iterator[Record]:
+    """The records of an archive, one gzip member each, one after the other."""
     at, view = 0, memoryview(data)
     while at < len(view):
-        inflate, out = zlib.decompressobj(31), bytearray()
+        inflate, record = zlib.decompressobj(31), Record(keep)
         while not inflate.eof:
             if at >= len(view):
                 raise ValueError("the archive ends within a gzip member")
             piece = view[at : at + STEP]
-            out += inflate.decompress(piece)
+            record.feed(inflate.decompress(piece))
             at += len(piece) - len(inflate.unused_data)
-        yield out
-
-
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header and block of each record; raises ValueError where framing or a digest is wrong."""
-    for raw in members(data):
-        if not raw:
-            continue  # the empty member after a long record
-        head, blank, rest = bytes(raw).partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-        if lines[0] != "WARC/1.1" or not blank:
-            raise ValueError("not a WARC record")
-        header = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = int(header["content-length"])
-        block = rest[:length]
-        if len(block) != length or rest[length:] != b"\r\n\r\n":
-            raise ValueError("the block doesn't end where Content-Length says")
-        if header["warc-block-digest"] != f"sha1:{hashlib.sha1(block).hexdigest()}":
-            raise ValueError("the block's digest is wrong")
-        if header["warc-type"] == "response" and header["warc-payload-digest"] != f"sha1:{hashlib.sha1(block.partition(b'\r\n\r\n')[2]).hexdigest()}":
-            raise ValueError("the payload's digest is wrong")
-        yield header, block
+        if record.done():
+            yield record
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST, per_file: int = PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST, row_bytes: int = ROW_BYTES, rows: int = ROWS) -> None:
     """Writes a record for every row of pages (page_id, url, html) below path.
 
-    Digests are grouped with partial sums on narrow rows; the wide rows meet only the digests that occur more than once.
+    Which rows are revisits is found on narrow rows, without html, and revisits are written from those. Of the wide rows only
+    those are shuffled that may be revisits by a filter of fixed size; they meet the revisits by digest and page_id.
     """
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    twice = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    wide = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha1(html).alias("digest"))
+    narrow = wide.where(F.col("page_id").isNotNull() & (F.col("n") >= least)).select("page_id", "url", "n", "digest")
     # a null page_id stays a response: it can neither be the largest nor name itself in a revisit
-    marked = rows.join(twice, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("first_id"), F.col("first_id")))
+    first = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least_id")).where("least_id < refers_to").select("digest", "refers_to")
+    revisits = materialise(join_spread(narrow, first, "digest", "inner").where("page_id < refers_to"), "revisits")
+    named = revisits.select(F.col("digest").alias("d"), F.col("page_id").alias("i")).distinct().withColumn("k1", F.xxhash64("d", "i"))
+    keyed = wide.withColumn("k1", F.xxhash64("digest", "page_id"))
+    met = among(keyed, named).join(named.select("d", "i"), (F.col("digest") == F.col("d")) & (F.col("page_id") == F.col("i")), "left_anti")
+    columns = ["page_id", "url", "html", "n", "digest", "refers_to"]
+    responses = apart(keyed, named).unionByName(met).withColumn("refers_to", F.lit(None).cast("long"))
+    marked = responses.select(*columns).unionByName(revisits.withColumn("html", F.lit(None).cast("binary")).select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200).to_pydict()
-                out = [member(record_bytes(i, url, html.encode("utf-8", "surrogatepass"), digest, to))[:-1] for i, url, html, digest, to in zip(part["page_id"], part["url"], part["html"], part["digest"], part["refers_to"], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-    packed = marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "record binary")
-    packed.select(F.col("record").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100).to_pydict()
+                for i, url, html, n, digest, to in zip(*(part[c] for c in columns), strict=True):
+                    held.append(member(record_bytes(i, url, html or b"", digest, to, n)))
+                    size += len(held[-1])
+                    if size >= row_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["record"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["record"])
+
+    packed = marked.mapInArrow(run, "record binary")
+    packed.select(F.col("record").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", rows).text(path)
+    discard(revisits)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -126,18 +174,24 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         digits = (text or "").removeprefix("<urn:page:").removesuffix(">")
         return int(digits) if digits else None
 
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                out: list[tuple] = []
-                for header, block in read_records(content.as_py()):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    length = int(http.decode("latin-1").lower().rpartition("content-length:")[2])
-                    kind = header["warc-type"]
-                    row = (number(header["warc-record-id"]), header["warc-target-uri"], length, header["warc-payload-digest"].removeprefix("sha1:"), kind, number(header.get("warc-refers-to")))
-                    out.append((*row, payload if kind == "response" else None) if payloads else row)
+                out, size = [], 0
+                for record in read_records(content.as_buffer(), payloads):
+                    head, kind = record.head, record.head["warc-type"]
+                    length = int(record.http.decode("latin-1").lower().rpartition("content-length:")[2])
+                    row = (number(head["warc-record-id"]), head["warc-target-uri"], length, head["warc-payload-digest"].removeprefix("sha1:"), kind, number(head.get("warc-refers-to")))
+                    out.append((*row, b"".join(record.payload) if kind == "response" else None) if payloads else row)
+                    size += 200 + length * payloads
+                    if size > 1 << 20:
+                        yield rows(out)
+                        out, size = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
+                    yield rows(out)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
