@@ -64,8 +64,10 @@ def test_blocks_of_the_benchmark_give_the_same(spark, corpus):
     items, docs = corpus
     frame = spark.createDataFrame([(k, t, "x") for k, t in enumerate(docs)], "doc_id long, text string, hits string")
     bench = spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string")
-    rows = lambda **o: sorted((r[0], sorted(h["item_id"] for h in r[1])) for r in d.with_hits(frame, bench, **o).select("doc_id", "hits").collect())
-    assert rows() == rows(block_bytes=200)
+    rows = lambda **o: sorted((r[0], sorted(h["item_id"] for h in r[1])) for r in d.with_hits(frame.unionByName(frame), bench, hits_col="found", **o).select("doc_id", "found").collect())
+    assert rows() == rows(block_bytes=200) and len(rows()) == 2 * len(docs)
+    with pytest.raises(ValueError):
+        d.with_hits(frame, bench)
     assert any(h for _, h in rows())
 
 
