@@ -12,17 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm import bpe, decontaminate, jaccard, langid, pii
-from tidecast.llm.common import materialise, table
+from tidecast.llm.common import free_name, materialise, table
 
 #: A document is rejected when no language was learned for it, or the best one's mean probability is below this.
 LEAST_SCORE = 0.4
+#: Bytes, in lower case with single spaces, of a passage that removes a document. Shorter benchmark items are no evidence.
+LEAST_PASSAGE = 30
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts that no language explains."""
     net = langid.fit(docs.select("doc_id", "text", "lang"))
-    judged = langid.predict(docs, net)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = free_name("lang_pred", docs.columns), free_name("score", docs.columns)
+    judged = langid.predict(docs, net, pred_col=pred, score_col=score)
+    return judged.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold a benchmark passage."""
-    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(*docs.columns)
+    hits = free_name("hits", docs.columns)
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), hits_col=hits)
+    return found.where(~F.exists(hits, lambda h: h["end"] - h["start"] >= LEAST_PASSAGE)).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
