@@ -219,6 +219,67 @@ def test_a_logistic_output_gives_probabilities_and_equals_newton(spark):
         regression.fit(table, "grp", "y", ["u"], link="x")
 
 
+def test_one_member_without_neurons_is_a_line_and_the_reports_of_a_table_agree(spark):
+    table = spark.createDataFrame([(g, float(i), 3.0 * i + 1 + k) for k, g in enumerate("ab") for i in range(50)], "grp string, u double, y double").repartition(3)
+    models = regression.fit(table, "grp", "y", ["u"], hidden=0, kind="ls", reps=1, direct=True)
+    scored = regression.predict(table, models, "grp", ["u"])
+    assert scored.where("abs(yhat - y) > 1e-6 or yhat is null").count() == 0 and models.where("not settled").count() == 0
+    points = reports.regression_scatter(scored, "grp", "y")
+    assert points.count() == 200 and points.where("rep is null").count() == 100 and points.where("abs(fitted - actual) > 1e-6").count() == 0
+    wide = regression.fit(table, "grp", "y", ["u"], hidden=6, kind="lasso", reps=2, rule="min")
+    one = reports.regression_summary(wide, spark.createDataFrame([("a", 1.23456)], "g string, mse double")).orderBy("g").first()
+    assert (one.g, one.reps, one.inputs, one.direct, one.kind, one.settled, one.mse) == ("a", 2, 1, False, "lasso", True, 1.2346) and 0 <= one.least_neurons <= one.most_neurons <= 6
+    assert regression.fit(table.limit(0), "grp", "y", ["u"], hidden=2, kind="ls", reps=1).count() == 0
+
+
+def test_fits_that_do_not_settle_say_so(spark, monkeypatch):
+    monkeypatch.setattr(regression, "PASSES", 2)
+    table = spark.createDataFrame([("a", float(i % 7), float(i % 3 == 0)) for i in range(60)], "grp string, u double, y double")
+    assert not regression.fit(table, "grp", "y", ["u"], hidden=3, kind="ls", reps=1, link="logistic").first().settled
+
+
+def test_gaps_are_filled_as_asked_and_series_may_begin_by_themselves(spark):
+    day = datetime.datetime
+    table = spark.createDataFrame([("a", day(2020, 1, 5), 1.0), ("a", day(2020, 3, 1), 4.0), ("b", day(2020, 2, 2), 9.0), (None, day(2019, 2, 2), 9.0)], "id string, at timestamp_ntz, v double")
+    rows = lambda **o: [(r.series_id, r.t, r.y) for r in series_from(table, "id", "at", "v", "month", **o).orderBy("series_id", "t").collect()]
+    assert rows(fill="forward") == [("a", 1, 1.0), ("a", 2, 1.0), ("a", 3, 4.0), ("b", 1, None), ("b", 2, 9.0), ("b", 3, 9.0)]
+    assert rows(start="own") == [("a", 1, 1.0), ("a", 2, 0.0), ("a", 3, 4.0), ("b", 1, 9.0), ("b", 2, 0.0)]
+    with pytest.raises(Exception, match="no value of"):
+        rows(fill="error")
+    with pytest.raises(ValueError):
+        rows(fill="x")
+
+
+def test_series_may_have_periods_of_their_own_and_tried_sizes_are_kept(spark):
+    y = list(np.random.default_rng(5).normal(size=60).cumsum())
+    s, spec = frame(spark, a=y, b=y), fc.Spec(kind="mlp", periods=(4,), difforder=(1,), reps=2, hidden_type="valid", hidden_max=2, dummies=False)
+    plans = fc.specify(s, spec, spark.createDataFrame([("b", [6.0])], "series_id string, periods array<double>")).cache()
+    got = {r.series_id: r for r in plans.collect()}
+    assert (got["a"].season, got["b"].season) == (4.0, 6.0) and max(got["b"].lags) <= 6
+    assert [e.hidden for e in got["a"].hidden_errors] == [1, 2] and got["a"].hidden == [min(got["a"].hidden_errors, key=lambda e: e.mse).hidden]
+    ahead = fc.predict(s, plans, fc.fit(s, plans, spec), spec).groupBy("series_id").agg(F.max("h").alias("h")).collect()
+    assert {r.series_id: r.h for r in ahead} == {"a": 4, "b": 6}
+    again = fc.reuse(s, plans, spec).collect()
+    assert {r.series_id: [e.mse for e in r.hidden_errors] for r in again} == {k: [e.mse for e in r.hidden_errors] for k, r in got.items()}
+
+
+def test_a_stream_takes_regressors_and_the_mean(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=60)
+    y = 5 + np.r_[0, 2 * x[:-1]] + rng.normal(0, 0.1, 60)
+    s = spark.createDataFrame([("a", t + 1, float(y[t]), [float(x[t])]) for t in range(60)], "series_id string, t int, y double, x array<double>")
+    spec = fc.Spec(periods=(1,), lags=(1,), xreg_lags=((1, 2),), difforder=(0,), type="ls", hidden=4, direct=True, reps=3, barebone=True, select=False, comb="mean")
+    plans = fc.specify(s, spec).cache()
+    models = fc.fit(s, plans, spec).cache()
+    want = [r.yhat for r in fc.ensemble(fc.predict(s, plans, models, spec, 2), ["series_id", "h"], how="mean").orderBy("h").collect()]
+    s.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(s.schema).parquet(str(tmp_path / "in"))
+    out = scoring.score(stream, plans, models, spec, 2).writeStream.format("memory").queryName("with_x").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    got = [r.yhat for r in spark.table("with_x").orderBy("h").collect()]
+    assert want[0] is not None and want[1] is None and got[1] is None and np.isclose(got[0], want[0])
+
+
 def test_reconciled_levels_add_up(spark):
     base = [("a", k, h + 1, float(10 * k + h)) for k in (4, 2, 1) for h in range(8 // k)] + [("b", 4, 1, 1.0)]
     got = {(r.series_id, r.k, r.h): r.yhat for r in hierarchy.reconcile(spark.createDataFrame(base, "series_id string, k int, h int, yhat double"), 4).collect()}

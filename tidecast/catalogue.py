@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidecast.plans.checked import CHECKED
 from tidecast.plans.ensembles import ENSEMBLES
 from tidecast.plans.native import NATIVE, ar1_forecast
 
@@ -9,8 +10,8 @@ flagship = ar1_forecast
 
 
 def queries() -> dict:
-    return {name: run for name, (run, _) in NATIVE.items()} | ENSEMBLES
+    return {name: run for name, (run, _) in (NATIVE | CHECKED).items()} | ENSEMBLES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in NATIVE.items()}
+    return {name: sql for name, (_, sql) in (NATIVE | CHECKED).items()}

@@ -40,12 +40,12 @@ def random_layers(p: int, hidden: tuple[int, ...], barebone: bool, ortho: bool,
     return [rng.normal(size=(i + 1, o)) for i, o in zip((p, *hidden[:-1]), hidden, strict=True)]
 
 
-def output_weights(folds: list[np.ndarray], kind: str) -> np.ndarray:
-    """Intercept and weights of the output layer from the moments of (features, y) by fold."""
+def output_weights(folds: list[np.ndarray], kind: str, rule: str = "1se") -> np.ndarray:
+    """Intercept and weights of the output layer from the moments of (features, y) by fold; rule as in stats.cross_validated."""
     if kind == "lasso":
-        return stats.cross_validated(folds, stats.lasso_path)
+        return stats.cross_validated(folds, stats.lasso_path, rule=rule)
     if kind == "ridge":
-        return stats.cross_validated(folds, stats.ridge_path)
+        return stats.cross_validated(folds, stats.ridge_path, rule=rule)
     return stats.least_squares(sum(folds), kind == "step")[0]
 
 
@@ -56,22 +56,25 @@ def pruned(layers: list[np.ndarray], w: np.ndarray) -> tuple[list[np.ndarray], n
     return [*layers[:-1], layers[-1][:, alive], np.concatenate([w[:1], w[1 : 1 + k][alive]])[:, None]], w[1 + k :]
 
 
-def elm(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...] | None, kind: str, direct: bool, rng: np.random.Generator, barebone: bool = True, ortho: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
-    """Random hidden layers; the output weights by lasso, ridge, step or least squares (ls or lm)."""
+def elm(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...] | None, kind: str, direct: bool, rng: np.random.Generator, barebone: bool = True, ortho: bool = False, rule: str = "1se") -> tuple[list[np.ndarray], np.ndarray]:
+    """Random hidden layers (a size of 0: none, the output weights are on the inputs alone, which takes direct); the output weights by lasso, ridge, step or least squares (ls or lm)."""
     n, p = x.shape
     hidden = hidden or (min(100 - 60 * (kind in ("step", "ls", "lm")), max(4, n - 2 - direct * p)),)
     layers = random_layers(p, hidden, barebone, ortho, rng)
     z = hidden_output(x, layers, "softsign" if barebone else "logistic")
     z = np.hstack([z, x]) if direct else z
     fold = rng.permutation(n) % min(5, n)
-    return pruned(layers, output_weights([stats.moments(z[fold == f], y[fold == f]) for f in range(fold.max() + 1)], kind))
+    return pruned(layers, output_weights([stats.moments(z[fold == f], y[fold == f]) for f in range(fold.max() + 1)], kind, rule))
 
 
-def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Generator, steps: int = 400) -> list[np.ndarray]:
-    """Full-batch resilient propagation of the squared error, logistic hidden layers and linear output."""
+def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Generator, steps: int = 2000, threshold: float = 0.01) -> list[np.ndarray]:
+    """Full-batch resilient propagation of half the squared error, with weight backtracking; logistic hidden layers, linear output.
+
+    Ends when no slope is as large as threshold; after `steps` steps the best weights so far are given.
+    """
     sizes = (x.shape[1], *hidden, 1)
     w = [rng.normal(0, 0.7 if i + 2 < len(sizes) else 0.3, (sizes[i] + 1, sizes[i + 1])) for i in range(len(sizes) - 1)]
-    step, before = [np.full(a.shape, 0.05) for a in w], [np.zeros(a.shape) for a in w]
+    step, before, moved = [np.full(a.shape, 0.05) for a in w], [np.zeros(a.shape) for a in w], [np.zeros(a.shape) for a in w]
     best, least, one = [a.copy() for a in w], np.inf, np.ones((len(y), 1))
     for _ in range(steps):
         seen = [np.hstack([one, x])]
@@ -84,10 +87,13 @@ def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Ge
         for i in range(len(w) - 1, -1, -1):
             slopes.append(seen[i].T @ d)
             d = (d @ w[i][1:].T) * seen[i][:, 1:] * (1 - seen[i][:, 1:]) if i else d
+        if max(float(np.abs(g).max()) for g in slopes) < threshold:
+            break
         for i, g in enumerate(reversed(slopes)):
-            same = np.sign(g * before[i])
-            step[i] = np.clip(step[i] * np.where(same > 0, 1.2, np.where(same < 0, 0.5, 1)), 1e-8, 5)
-            g = np.where(same < 0, 0, g)
-            w[i] -= np.sign(g) * step[i]
-            before[i] = g
+            turned = g * before[i] < 0
+            step[i] = np.clip(step[i] * np.where(turned, 0.5, np.where(g * before[i] > 0, 1.2, 1)), 1e-10, 5)
+            # where a slope has turned, its last move is taken back
+            moved[i] = np.where(turned, -moved[i], -np.sign(g) * step[i])
+            w[i] += moved[i]
+            before[i] = np.where(turned, 0, g)
     return best

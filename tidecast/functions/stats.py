@@ -101,8 +101,11 @@ def ridge_path(m: np.ndarray, penalties: np.ndarray) -> np.ndarray:
     return with_intercept((vectors @ (turned / (np.maximum(values, 0)[:, :, None] + penalties))).swapaxes(1, 2), mx, my)
 
 
-def lasso_path(m: np.ndarray, penalties: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """As ridge_path, by coordinate descent on (1/2n) RSS + penalty * sum |w|, over the stack and all penalties at once."""
+def lasso_path(m: np.ndarray, penalties: np.ndarray, rounds: int = 10_000) -> np.ndarray:
+    """As ridge_path, by coordinate descent on (1/2n) RSS + penalty * sum |w|, over the stack and all penalties at once.
+
+    Goes on until a round moves no prediction by 1e-4 of y's spread; `rounds` only stops what rounding keeps from that.
+    """
     _, mx, my, g, c, vy = centred(m)
     size = np.maximum(np.diagonal(g, axis1=1, axis2=2), 0)
     w = np.zeros((len(m), len(penalties), c.shape[1]))
@@ -119,8 +122,9 @@ def lasso_path(m: np.ndarray, penalties: np.ndarray, rounds: int = 300) -> np.nd
     return with_intercept(w, mx, my)
 
 
-def cross_validated(folds: list[np.ndarray], path, count: int = 20) -> np.ndarray:
-    """Coefficients at the largest penalty whose error over the folds is within one standard error of the least."""
+def cross_validated(folds: list[np.ndarray], path, count: int = 20, rule: str = "1se") -> np.ndarray:
+    """Coefficients at the penalty that rule picks: the largest whose error over the folds is within one standard error of the least
+    (1se), or that of the least error (min)."""
     whole = sum(folds)
     top = max(float(np.abs(centred(whole)[4]).max(initial=0)), 1e-12)
     penalties = top * np.geomspace(1, 1e-4, count)
@@ -131,6 +135,8 @@ def cross_validated(folds: list[np.ndarray], path, count: int = 20) -> np.ndarra
     errors = np.array([[error(f, w) for w in p] for f, p in zip(out, paths[1:], strict=True)])
     mean, se = errors.mean(0), errors.std(0) / math.sqrt(len(errors))
     best = mean.argmin()
+    if rule == "min":
+        return paths[0, best]
     return paths[0, np.flatnonzero(mean <= mean[best] + se[best])[0]]
 
 

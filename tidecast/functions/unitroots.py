@@ -22,19 +22,22 @@ def centred_average(y: np.ndarray, m: int) -> np.ndarray:
     return np.r_[np.full(half, inner[0]), inner, np.full(half, inner[-1])]
 
 
-def seasonal(y: np.ndarray, m: int, level: float = 0.05) -> bool:
-    """Friedman's test over whole seasons of the de-trended series; false with fewer than two seasons or no period."""
+def friedman(y: np.ndarray, m: int) -> tuple[int, float]:
+    """(whole seasons, statistic) of Friedman's test over the de-trended series; no statistic (nan) with fewer than two seasons."""
     whole = len(y) // m if m > 1 else 0
     if whole < 2:
-        return False
+        return whole, math.nan
     cma = centred_average(y, m)
     v = (y / cma if y.min() > 0 else y - cma)[: whole * m].reshape(whole, m)
     ranks = np.array([(np.searchsorted(s := np.sort(row), row, "left") + np.searchsorted(s, row, "right") + 1) / 2 for row in v])
     spread = ((ranks - (m + 1) / 2) ** 2).sum()
-    if spread == 0:
-        return False
-    stat = (m - 1) * ((ranks.sum(0) - whole * (m + 1) / 2) ** 2).sum() / spread
-    return chi2_tail(float(stat), m - 1) <= level
+    return whole, float((m - 1) * ((ranks.sum(0) - whole * (m + 1) / 2) ** 2).sum() / spread) if spread else math.nan
+
+
+def seasonal(y: np.ndarray, m: int, level: float = 0.05) -> bool:
+    """Whether Friedman's test finds a season; false where there is no statistic."""
+    _, stat = friedman(y, m)
+    return not math.isnan(stat) and chi2_tail(stat, m - 1) <= level
 
 
 def smoothing_aic(y: np.ndarray, trend: bool) -> float:

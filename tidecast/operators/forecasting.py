@@ -1,4 +1,7 @@
-"""Fitting and forecasting of many series: a plan for each series, then one task unit for each series and ensemble member.
+"""Fitting and forecasting of many series: a plan for each series, then task units of a series and some of its ensemble members.
+
+A series is packed into one row before it is dealt out, so a unit carries it once, and differences, scaling and inputs are made
+once a unit. There are as many units as give every core something to do: one a series where there are many series.
 
 A series is rows (series_id, t, y) with t dense from 1, and x array<double> where there are outside regressors; rows past the
 last y give the regressors' future. A plan, a model and a forecast are DataFrames: write them as Parquet to keep them. A series
@@ -9,7 +12,8 @@ a series count as gaps.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -19,8 +23,10 @@ from pyspark.sql.functions import pandas_udf
 
 from tidecast.functions import nets, stats, unitroots
 from tidecast.functions.transforms import combine
+from tidecast.sources.written import materialise
 
-PLAN = "series_id string, status string, warning string, difforder array<int>, lags array<int>, xreg_lags array<array<int>>, periods array<double>, det_type string, low double, high double, x_low array<double>, x_high array<double>, inputs int, rows int, hidden array<int>"
+PLAN = "series_id string, status string, warning string, season double, difforder array<int>, lags array<int>, xreg_lags array<array<int>>, periods array<double>, det_type string, low double, high double, x_low array<double>, x_high array<double>, inputs int, rows int, hidden array<int>, hidden_errors array<struct<hidden:int,mse:double>>"
+PLAN_NAMES = [c.split(" ")[0] for c in PLAN.split(", ")]
 MODEL = "series_id string, rep int, activation string, layers array<array<array<double>>>, direct array<double>"
 MEMBER = "series_id string, rep int, h int, yhat double"
 FITTED = "series_id string, rep int, t int, y double, fitted double"
@@ -31,10 +37,10 @@ SIZES = "series_id string, hidden int, fold int, mse double"
 class Spec:
     """What to build. difforder None: found by tests; () or (0,): none. lags (0,): no lags of the series itself.
 
-    kind: elm or mlp. periods: the seasonal periods in steps, several for several seasonalities. hidden: neurons, or a tuple of
-    layers; None: 5 (hidden_type set), by validation (valid), five folds (cv) or random networks (elm). folds: steps fall into them at
+    kind: elm or mlp. periods: the seasonal periods in steps, several for several seasonalities; specify may be given others for
+    some series. hidden: neurons, or a tuple of layers; 0 in an elm with direct: none; None: 5 (hidden_type set), by validation (valid), five folds (cv) or random networks (elm). folds: steps fall into them at
     random, or in stretches of time (valid then holds out the last fifth). type: the elm's output
-    weights. barebone: the elm's uniform softsign layer instead of normal logistic ones. strict: see difference_orders; also,
+    weights. penalty: of lasso and ridge, see stats.cross_validated. barebone: the elm's uniform softsign layer instead of normal logistic ones. strict: see difference_orders; also,
     rejected lags stay where regressors or dummies are left.
     """
 
@@ -53,6 +59,7 @@ class Spec:
     hidden_max: int | None = None
     folds: str = "random"
     type: str = "lasso"
+    penalty: str = "1se"
     direct: bool = False
     barebone: bool = False
     ortho: bool = False
@@ -63,7 +70,7 @@ class Spec:
     seed: int = 42
 
     def __post_init__(self):
-        enums = {"kind": ("elm", "mlp"), "type": ("lasso", "ridge", "step", "ls", "lm"), "det_type": ("auto", "bin", "trg"), "hidden_type": ("set", "valid", "cv", "elm"), "folds": ("random", "time"), "comb": ("median", "mean", "mode")}
+        enums = {"kind": ("elm", "mlp"), "type": ("lasso", "ridge", "step", "ls", "lm"), "det_type": ("auto", "bin", "trg"), "hidden_type": ("set", "valid", "cv", "elm"), "folds": ("random", "time"), "comb": ("median", "mean", "mode"), "penalty": ("1se", "min")}
         for name, allowed in enums.items():
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} is one of {', '.join(allowed)}")
@@ -170,7 +177,7 @@ def select(z: np.ndarray, x: np.ndarray | None, plan: dict, spec: Spec, start: i
         held = stats.backward(matrix, target, columns, kept)
     else:
         fold = rng.permutation(len(target)) % min(5, len(target))
-        w = stats.cross_validated([stats.moments(matrix[fold == f], target[fold == f]) for f in range(fold.max() + 1)], stats.lasso_path)
+        w = stats.cross_validated([stats.moments(matrix[fold == f], target[fold == f]) for f in range(fold.max() + 1)], stats.lasso_path, rule=spec.penalty)
         held, warning = [j for j, own in enumerate(columns) if (w[1 + np.array(own)] != 0).any()], "selected by lasso"
     left = [names[j] for j in held]
     new = plan | {
@@ -186,11 +193,11 @@ def select(z: np.ndarray, x: np.ndarray | None, plan: dict, spec: Spec, start: i
     return new, warning
 
 
-def plan_of(key: tuple, pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
+def plan_of(key: str, pdf: pd.DataFrame, spec: Spec) -> dict:
     y, x = split(pdf)
     width = 0 if x is None else x.shape[1]
-    plan = {"series_id": key[0], "status": "ok", "warning": "", "difforder": [], "lags": list(spec.candidates), "xreg_lags": [], "periods": [], "det_type": None, "low": None, "high": None, "x_low": [], "x_high": [], "inputs": 0, "rows": 0, "hidden": None}
-    stop = lambda why, **more: pd.DataFrame([plan | more | {"status": why}])
+    plan = {"series_id": key, "status": "ok", "warning": "", "season": float(max(spec.periods)), "difforder": [], "lags": list(spec.candidates), "xreg_lags": [], "periods": [], "det_type": None, "low": None, "high": None, "x_low": [], "x_high": [], "inputs": 0, "rows": 0, "hidden": None, "hidden_errors": None}
+    stop = lambda why, **more: plan | more | {"status": why}
     if spec.xreg_lags is not None and len(spec.xreg_lags) != width:
         return stop("regressors and their lags don't match")
     if width and len(x) < len(y):
@@ -219,15 +226,15 @@ def plan_of(key: tuple, pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
         plan["x_low"], plan["x_high"] = x[shift:].min(0).tolist(), x[shift:].max(0).tolist()
     z, x, _, start = prepared(pdf, plan, spec)
     if spec.select:
-        plan, plan["warning"] = select(z, x, plan, spec, start, rng_of(spec, key[0]))
+        plan, plan["warning"] = select(z, x, plan, spec, start, rng_of(spec, key))
     matrix, target = design(z, x, plan, start)
     plan["inputs"], plan["rows"] = matrix.shape[1], len(target)
     plan["hidden"] = list(spec.layers) if spec.layers else None
     if spec.kind == "mlp" and plan["hidden"] is None:
         plan["hidden"] = {"set": [5], "elm": [0]}.get(spec.hidden_type)
         if spec.hidden_type == "elm":
-            plan["hidden"] = [significant_neurons(matrix, target, rng_of(spec, key[0], 1))]
-    return pd.DataFrame([plan])
+            plan["hidden"] = [significant_neurons(matrix, target, rng_of(spec, key, 1))]
+    return plan
 
 
 def significant_neurons(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, nets_tried: int = 20) -> int:
@@ -245,21 +252,61 @@ def rows_of(series: DataFrame) -> DataFrame:
     return series.select(F.col("series_id").cast("string").alias("series_id"), "t", "y", *(["x"] if "x" in series.columns else []))
 
 
-def specify(series: DataFrame, spec: Spec) -> DataFrame:
-    """A row of PLAN for each series: differences, inputs, dummies, scaling and hidden layers."""
-    plans = rows_of(series).groupBy("series_id").applyInPandas(lambda key, pdf: plan_of(key, pdf, spec), PLAN)
-    if spec.kind == "mlp" and spec.layers is None and spec.hidden_type in ("valid", "cv"):
-        best = hidden_errors(series, plans, spec).groupBy("series_id", "hidden").agg(F.avg("mse").alias("mse")).groupBy("series_id").agg(F.min_by("hidden", F.struct("mse", "hidden")).alias("size"))
-        plans = plans.join(best, "series_id", "left").withColumn("hidden", F.when(F.col("size").isNotNull(), F.array("size"))).drop("size")
-    return plans
+def packed(series: DataFrame) -> DataFrame:
+    """(series_id, t, y[, x]): a row for each series, whose arrays run side by side in any order."""
+    rows = rows_of(series)
+    values = [c for c in rows.columns if c != "series_id"]
+    # x by itself may be null in a step, so y is the array that a null stands in
+    one = rows.groupBy("series_id").agg(F.collect_list(F.struct(*values)).alias("s"))
+    return one.select("series_id", *(F.col(f"s.{c}").alias(c) for c in values))
+
 
+def unpacked(row) -> pd.DataFrame:
+    out = {"t": np.asarray(row.t), "y": np.asarray(row.y, float)}
+    return pd.DataFrame(out | ({"x": list(row.x)} if hasattr(row, "x") else {}))
 
-def fan_out(left: DataFrame, right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
-    """run(key, rows of left, rows of right) for each key; dealt out by all keys, since small groups would share one task."""
-    spark = left.sparkSession
+
+def deal(units: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
+    """run(row) -> rows as tuples, for each row of units; dealt out by all keys, since few rows would share one task."""
+    spark = units.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both sides may come from one table
-    return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInPandas(run, schema)
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([out for row in pdf.itertuples(index=False) for out in run(row)], columns=columns)
+
+    return units.repartition(n, *keys).groupBy(*keys).applyInPandas(each, schema)  # a row a group: packed series may be long
+
+
+def shares(plans: DataFrame, most: int) -> int:
+    """Into how many units a series' work is cut, so that there are a few for every core; at most `most`."""
+    series = plans.where("status = 'ok'").count()
+    return max(1, min(most, -(-2 * plans.sparkSession.sparkContext.defaultParallelism // max(series, 1))))
+
+
+def specify(series: DataFrame, spec: Spec, periods: DataFrame | None = None) -> DataFrame:
+    """A row of PLAN for each series: differences, inputs, dummies, scaling and hidden layers.
+
+    periods: (series_id, periods array<double>) for series whose seasons are not those of spec. Where sizes of the hidden layer
+    are tried, hidden_errors keeps the error of each.
+    """
+    units = packed(series)
+    if periods is not None:
+        units = units.join(periods.select(F.col("series_id").cast("string").alias("series_id"), F.col("periods").alias("own")), "series_id", "left")
+
+    def run(row) -> list[tuple]:
+        own = getattr(row, "own", None)
+        one = replace(spec, periods=tuple(float(m) for m in own)) if own is not None and len(own) else spec
+        plan = plan_of(row.series_id, unpacked(row), one)
+        return [tuple(plan[c] for c in PLAN_NAMES)]
+
+    plans = deal(units, ["series_id"], run, PLAN)
+    if spec.kind == "mlp" and spec.layers is None and spec.hidden_type in ("valid", "cv"):
+        plans = materialise(plans, "plans")
+        errors = hidden_errors(series, plans, spec).groupBy("series_id", "hidden").agg(F.avg("mse").alias("mse"))
+        best = errors.groupBy("series_id").agg(F.min_by("hidden", F.struct("mse", "hidden")).alias("size"), F.sort_array(F.collect_list(F.struct("hidden", "mse"))).alias("errors"))
+        plans = plans.join(best, "series_id", "left").withColumn("hidden", F.when(F.col("size").isNotNull(), F.array("size"))).withColumn("hidden_errors", F.col("errors")).select(*PLAN_NAMES)
+    return plans
 
 
 def plain(row) -> dict:
@@ -269,52 +316,63 @@ def plain(row) -> dict:
     return p | lists | {"xreg_lags": [list(ks) for ks in (p["xreg_lags"] if p["xreg_lags"] is not None else [])]}
 
 
+def planned(series: DataFrame, plans: DataFrame, how: str = "inner") -> DataFrame:
+    """Packed series beside their plans."""
+    return packed(series).join(plans.select("series_id", *(F.col(c) for c in PLAN_NAMES[1:])), "series_id", how)
+
+
 def hidden_errors(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
-    """(series_id, hidden, fold, mse) of ensembles trained without each fold, a unit for each size and fold."""
+    """(series_id, hidden, fold, mse) of ensembles trained without each fold."""
     folds = 5 if spec.hidden_type == "cv" else 1
-    most = F.lit(spec.hidden_max) if spec.hidden_max else F.greatest(F.lit(2), F.least(F.col("inputs") + 2, F.col("rows") - 2))
-    units = plans.where("status = 'ok'").withColumn("size", F.explode(F.sequence(F.lit(1), most))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    keyed = units.select("series_id", "size", "fold")
     tried = min(20, max(2, spec.reps))
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        plan = plain(next(right.itertuples(index=False)))
-        z, x, _, start = prepared(left, plan, spec)
+    cut = shares(plans, 1000)
+    units = planned(series, plans.where("status = 'ok'")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cut - 1))))
+
+    def run(row) -> list[tuple]:
+        plan, most, out = plain(row), spec.hidden_max or max(2, min(row.inputs + 2, row.rows - 2)), []
+        pairs = [(size, fold) for size in range(1, most + 1) for fold in range(folds)][row.part :: cut]
+        if not pairs:
+            return out
+        z, x, _, start = prepared(unpacked(row), plan, spec)
         matrix, target = design(z, x, plan, start)
         n = len(target)
-        order = np.arange(n)[::-1] if spec.folds == "time" else rng_of(spec, key[0], 2).permutation(n)
-        out = order * 5 // n == key[2] if folds == 5 else order < round(0.2 * n)
-        rng = rng_of(spec, key[0], 3, int(key[1]), int(key[2]))
-        guesses = [nets.forward(matrix[out], nets.mlp(matrix[~out], target[~out], (int(key[1]),), rng), (), "logistic") for _ in range(tried)]
-        ensembled = {"median": np.median, "mean": np.mean}.get(spec.comb)
-        guess = ensembled(guesses, 0) if ensembled else np.array([stats.density_mode(v) for v in np.transpose(guesses)])
-        return pd.DataFrame([(key[0], int(key[1]), int(key[2]), float(((guess - target[out]) ** 2).mean()))], columns=["series_id", "hidden", "fold", "mse"])
+        order = np.arange(n)[::-1] if spec.folds == "time" else rng_of(spec, row.series_id, 2).permutation(n)
+        for size, fold in pairs:
+            left = order * 5 // n == fold if folds == 5 else order < round(0.2 * n)
+            rng = rng_of(spec, row.series_id, 3, size, fold)
+            guesses = [nets.forward(matrix[left], nets.mlp(matrix[~left], target[~left], (size,), rng), (), "logistic") for _ in range(tried)]
+            guess = np.array([combined(v, spec.comb) for v in np.transpose(guesses)])
+            out.append((row.series_id, size, fold, float(((guess - target[left]) ** 2).mean())))
+        return out
+
+    return deal(units, ["series_id", "part"], run, SIZES)
 
-    return fan_out(rows_of(series).join(keyed, "series_id"), units, ["series_id", "size", "fold"], run, SIZES)
+
+def combined(v: np.ndarray, how: str) -> float:
+    return float({"median": np.median, "mean": np.mean, "mode": stats.density_mode}[how](v))
 
 
 def fit(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
     """A row of MODEL for each member of each series whose plan is ok."""
-    reps = F.broadcast(series.sparkSession.range(spec.reps).select(F.col("id").cast("int").alias("rep")))  # a parameter's size
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["series_id", "rep", "activation", "layers", "direct"]
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=columns)
-        plan = plain(next(right.itertuples(index=False)))
-        z, x, _, start = prepared(left, plan, spec)
+    cut = shares(plans, spec.reps)
+    units = planned(series, plans.where("status = 'ok'")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cut - 1))))
+
+    def run(row) -> list[tuple]:
+        plan, out = plain(row), []
+        z, x, _, start = prepared(unpacked(row), plan, spec)
         matrix, target = design(z, x, plan, start)
-        rng, hidden = rng_of(spec, key[0], 9, int(key[1])), tuple(plan["hidden"]) or None
-        if spec.kind == "mlp":
-            layers, direct = nets.mlp(matrix, target, hidden or (5,), rng), np.zeros(0)
-        else:
-            layers, direct = nets.elm(matrix, target, hidden, spec.type, spec.direct, rng, spec.barebone, spec.ortho)
+        hidden = tuple(int(k) for k in plan["hidden"]) or None
         name = "softsign" if spec.kind == "elm" and spec.barebone else "logistic"
-        return pd.DataFrame([(key[0], int(key[1]), name, [w.tolist() for w in layers], direct.tolist())], columns=columns)
+        for rep in range(row.part, spec.reps, cut):
+            rng = rng_of(spec, row.series_id, 9, rep)
+            if spec.kind == "mlp":
+                layers, direct = nets.mlp(matrix, target, hidden or (5,), rng), np.zeros(0)
+            else:
+                layers, direct = nets.elm(matrix, target, hidden, spec.type, spec.direct, rng, spec.barebone, spec.ortho, spec.penalty)
+            out.append((row.series_id, rep, name, [w.tolist() for w in layers], direct.tolist()))
+        return out
 
-    good = plans.where("status = 'ok'")
-    rows = rows_of(series).join(good.select("series_id"), "series_id", "left_semi")
-    return fan_out(rows.crossJoin(reps), good.crossJoin(reps), ["series_id", "rep"], run, MODEL)
+    return deal(units, ["series_id", "part"], run, MODEL)
 
 
 def reuse(series: DataFrame, plans: DataFrame, spec: Spec, frozen: bool = False) -> DataFrame:
@@ -323,38 +381,39 @@ def reuse(series: DataFrame, plans: DataFrame, spec: Spec, frozen: bool = False)
     A series without plan, with other regressors or without the season its dummies need gets a status that says so.
     """
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [c.strip().split(" ")[0] for c in PLAN.split(", ")]
-        if not len(right):
-            return pd.DataFrame([dict.fromkeys(names) | {"series_id": key[0], "status": "no saved plan"}])
-        plan = plain(next(right.itertuples(index=False)))
-        if not len(left):
-            return pd.DataFrame([plan])
-        y, x = split(left)
+    def run(row) -> list[tuple]:
+        if row.status is None:
+            return [tuple({"series_id": row.series_id, "status": "no saved plan"}.get(c) for c in PLAN_NAMES)]
+        plan = plain(row)
+        y, x = split(unpacked(row))
         shift, width = sum(plan["difforder"]), 0 if x is None else x.shape[1]
         if width != len(plan["xreg_lags"]) and plan["status"] == "ok":
             plan["status"] = "regressors and their lags don't match"
         elif len(y) - shift <= depth(plan) or not np.isfinite(y).all():
             plan["status"] = "too short or with gaps"
-        elif plan["periods"] and not unitroots.seasonal(y, spec.m):
+        elif plan["periods"] and not unitroots.seasonal(y, int(plan["season"])):
             plan["status"] = "the plan's season isn't in the data"
         elif not frozen and plan["status"] == "ok":
             d = ladder(y, plan["difforder"])[-1]
             plan |= {"low": float(d.min()), "high": float(d.max())}
             if width:
                 plan |= {"x_low": x[shift:].min(0).tolist(), "x_high": x[shift:].max(0).tolist()}
-        return pd.DataFrame([plan])[names]
+        return [tuple(plan[c] for c in PLAN_NAMES)]
 
-    return fan_out(rows_of(series), plans, ["series_id"], run, PLAN)
+    ids = packed(series).select("series_id")
+    return deal(planned(series, plans, "left"), ["series_id"], run, PLAN).unionByName(plans.join(ids, "series_id", "left_anti").select(*PLAN_NAMES))
 
 
-def networks(right: pd.DataFrame) -> list[tuple[int, list[np.ndarray], np.ndarray, str]]:
-    """(rep, layers, direct weights, activation) of the members in rows of a model."""
-    return [(int(r.rep), [np.array([list(w) for w in layer], float) for layer in r.layers], np.array(r.direct, float), r.activation) for r in right.itertuples() if r.layers is not None]
+def networks(members) -> list[tuple[int, list[np.ndarray], np.ndarray, str]]:
+    """(rep, layers, direct weights, activation) of packed members, in order."""
+    found = [(int(m["rep"]), [np.array([list(w) for w in layer], float) for layer in m["layers"]], np.array(m["direct"], float), m["activation"]) for m in (members if members is not None else [])]
+    return sorted(found, key=lambda m: m[0])
 
 
-def with_models(plans: DataFrame, models: DataFrame) -> DataFrame:
-    return plans.join(models, "series_id", "left")
+def with_models(series: DataFrame, plans: DataFrame, models: DataFrame) -> DataFrame:
+    """Packed series beside their plans and packed members."""
+    members = models.groupBy("series_id").agg(F.collect_list(F.struct("rep", "activation", "layers", "direct")).alias("members"))
+    return planned(series, plans).join(members, "series_id", "left")
 
 
 def predict(series: DataFrame, plans: DataFrame, models: DataFrame, spec: Spec, h: int | None = None) -> DataFrame:
@@ -362,17 +421,15 @@ def predict(series: DataFrame, plans: DataFrame, models: DataFrame, spec: Spec,
 
     Regressors must reach h steps past the last y, or the forecasts are null from the first missing step.
     """
-    ahead = h or spec.m
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            plan, members = plain(next(right.itertuples(index=False))), networks(right)
-            for rep, layers, direct, activation in members or [(0, None, None, None)]:
-                out += [(key[0], rep, i + 1, v) for i, v in enumerate(path(left, plan, layers, direct, activation, spec, ahead))]
-        return pd.DataFrame(out, columns=["series_id", "rep", "h", "yhat"])
+    def run(row) -> list[tuple]:
+        plan, pdf, out = plain(row), unpacked(row), []
+        ahead = h or int(plan["season"] or spec.m)
+        for rep, layers, direct, activation in networks(row.members) or [(0, None, None, None)]:
+            out += [(row.series_id, rep, i + 1, v) for i, v in enumerate(path(pdf, plan, layers, direct, activation, spec, ahead))]
+        return out
 
-    return fan_out(rows_of(series), with_models(plans, models), ["series_id"], run, MEMBER)
+    return deal(with_models(series, plans, models), ["series_id"], run, MEMBER)
 
 
 def path(pdf: pd.DataFrame, plan: dict, layers, direct, activation, spec: Spec, h: int) -> list[float | None]:
@@ -400,21 +457,31 @@ def path(pdf: pd.DataFrame, plan: dict, layers, direct, activation, spec: Spec,
 def fitted(series: DataFrame, plans: DataFrame, models: DataFrame, spec: Spec) -> DataFrame:
     """One-step values of each member: predictions of the differences, put back on the actual lagged levels."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right) and right["status"].iloc[0] == "ok":
-            plan = plain(next(right.itertuples(index=False)))
-            z, x, levels, start = prepared(left, plan, spec)
-            matrix, _ = design(z, x, plan, start)
-            y, t = levels[0], np.sort(left["t"].to_numpy())
-            for rep, layers, direct, activation in networks(right):
-                v = unscaled(nets.forward(matrix, layers, direct, activation), plan["low"], plan["high"])
-                for level, k in zip(levels[-2::-1], plan["difforder"][::-1], strict=True):
-                    v = v + level[-len(v) - k : -k]
-                out.append(pd.DataFrame({"series_id": key[0], "rep": rep, "t": t[len(y) - len(v) : len(y)], "y": y[-len(v) :], "fitted": v}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["series_id", "rep", "t", "y", "fitted"])
+    def run(row) -> list[tuple]:
+        plan, pdf, out = plain(row), unpacked(row), []
+        z, x, levels, start = prepared(pdf, plan, spec)
+        matrix, _ = design(z, x, plan, start)
+        y, t = levels[0], np.sort(pdf["t"].to_numpy())
+        for rep, layers, direct, activation in networks(row.members):
+            v = unscaled(nets.forward(matrix, layers, direct, activation), plan["low"], plan["high"])
+            for level, k in zip(levels[-2::-1], plan["difforder"][::-1], strict=True):
+                v = v + level[-len(v) - k : -k]
+            at = range(len(y) - len(v), len(y))
+            out += [(row.series_id, rep, int(t[i]), float(y[i]), float(f)) for i, f in zip(at, v, strict=True)]
+        return out
+
+    return deal(with_models(series, plans.where("status = 'ok'"), models), ["series_id"], run, FITTED)
+
+
+def season_tests(series: DataFrame, m: int) -> DataFrame:
+    """(series_id, seasons, stat, seasonal): Friedman's test as plans use it; stat is null where there is none."""
+
+    def run(row) -> list[tuple]:
+        y, _ = split(unpacked(row))
+        seasons, stat = unitroots.friedman(y, m) if np.isfinite(y).all() else (0, np.nan)
+        return [(row.series_id, seasons, None if np.isnan(stat) else stat, bool(np.isfinite(y).all()) and unitroots.seasonal(y, m))]
 
-    return fan_out(rows_of(series), with_models(plans, models), ["series_id"], run, FITTED)
+    return deal(packed(series), ["series_id"], run, "series_id string, seasons int, stat double, seasonal boolean")
 
 
 def mode_of(v: pd.Series) -> float:
@@ -445,7 +512,7 @@ def residuals(series: DataFrame, members: DataFrame, spec: Spec) -> DataFrame:
 
 def thief(series: DataFrame, spec: Spec, h: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Fits and forecasts in one call, as a level of a temporal hierarchy needs: (forecast, padded fitted values)."""
-    plans = specify(series, spec).cache()
-    models = fit(series, plans, spec).cache()
+    plans = materialise(specify(series, spec), "plans")
+    models = materialise(fit(series, plans, spec), "models")
     members = predict(series, plans, models, spec, h)
     return ensemble(members, ["series_id", "h"], how=spec.comb), residuals(series, fitted(series, plans, models, spec), spec)

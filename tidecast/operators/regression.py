@@ -1,8 +1,12 @@
 """Extreme learning machines for tables of any length, by group: hidden layers are drawn from a seed, so every partition makes the
 same features, and the output weights need only sums of products, which partitions add up. No group is brought into one task.
 
+A task adds up the products of all its rows before it gives any, and the sums of a member meet in one task as a sorted stream of
+short pieces, which it adds as they come. So what is shuffled depends on partitions, groups and neurons, not on rows.
+
 A logistic output is fitted by reweighted least squares: each pass over the table gives the sums of products of a working
-response, and the penalty or the selected columns are chosen anew on those (Gu 1992), so a pass costs what a linear fit does.
+response, and the penalty or the selected columns are chosen anew on those (Gu 1992), so a pass costs what a linear fit does. The
+scaled table is written once, by blocks of groups, and a pass reads its block alone.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -19,13 +24,16 @@ from pyspark.sql.functions import pandas_udf
 from tidecast.functions import nets
 from tidecast.functions.stats import density_mode
 from tidecast.functions.transforms import softsign
+from tidecast.sources.written import discard, materialise
 
 FOLDS = 5
 #: Models of at most this many weights (8 bytes each) go to every task; larger ones are joined to the rows.
 SMALL = 4_000_000
 #: Most passes over the table for a logistic output, the least weight of a row in one, and the change that ends them.
-PASSES, LEAST_WEIGHT, SETTLED = 12, 1e-5, 1e-4
-WEIGHTS = "g string, rep int, w_in array<array<double>>, w_out array<double>, direct array<double>"
+PASSES, LEAST_WEIGHT, SETTLED = 25, 1e-5, 1e-4
+#: Bytes of sums that a task holds before it gives them, and numbers in a piece of a sum.
+HELD_BYTES, PIECE = 64 << 20, 512
+WEIGHTS = "g string, rep int, w_in array<array<double>>, w_out array<double>, direct array<double>, settled boolean"
 
 
 def to_range(x: Column, low: Column, high: Column) -> Column:
@@ -33,13 +41,14 @@ def to_range(x: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, 2 * (x - low) / F.nullif(high - low, F.lit(0.0)) - 1).when(x.isNotNull(), F.lit(0.0))
 
 
-def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, kind: str = "lasso", reps: int = 20, direct: bool = False, ortho: bool = False, scale: bool = True, link: str = "linear", seed: int = 42) -> DataFrame:
-    """A row for each group: its ranges and an array of members. Rows with a null or NaN in y or x aren't used.
+def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, kind: str = "lasso", reps: int = 20, direct: bool = False, ortho: bool = False, scale: bool = True, link: str = "linear", seed: int = 42, rule: str = "1se") -> DataFrame:
+    """A row for each group: its ranges, an array of members and whether they settled. Rows with a null or NaN in y or x aren't used.
 
     kind: lasso, ridge, step, ls (or lm). Rows fall into the folds of lasso and ridge by a hash of their values, so equal rows
-    share a fold; a group without rows gives none. link logistic: y lies between 0 and 1 (between its least and greatest value
-    when scaled) and so do predictions; it needs up to PASSES + 1 passes. Groups are taken in blocks whose weights number SMALL
-    on average, since a pass sends the weights of the one before to every task.
+    share a fold; a group without rows gives none. rule: as in stats.cross_validated. link logistic: y lies between 0 and 1
+    (between its least and greatest value when scaled) and so do predictions; it needs up to PASSES passes, and members whose
+    weights still change then are kept with settled false. Groups are taken in blocks whose weights number SMALL on average,
+    since a pass sends the weights of the one before to every task. The result is written to the shared folder.
     """
     if link not in ("linear", "logistic"):
         raise ValueError("link is linear or logistic")
@@ -60,71 +69,107 @@ def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, k
     def layer(g: str, rep: int) -> np.ndarray:
         return nets.random_layer(p, hidden, ortho, np.random.default_rng([seed, zlib.crc32(g.encode()), rep]))
 
-    def features(v: np.ndarray, g: str, rep: int) -> np.ndarray:
-        z = nets.hidden_output(v[:, 1:], [layer(g, rep)], "softsign")
+    def features(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        z = nets.hidden_output(v[:, 1:], [w], "softsign")
         return np.hstack([np.ones((len(v), 1)), z, v[:, 1:] if direct else v[:, :0]])
 
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(g: str, rep: int, sums: dict[tuple[int, int], np.ndarray]) -> pd.DataFrame:
         folds, counts = [], 0.0
-        for _, part in pdf.groupby("fold"):
+        for f in sorted({fold for fold, _ in sums}):
+            flat = np.concatenate([sums[at] for at in sorted(sums) if at[0] == f])
             m = np.zeros((size, size))
-            part = part.sort_values("pos")
-            m[upper] = part["s"].to_numpy(float)[:-1]
-            counts += part["s"].iloc[-1]
+            m[upper] = flat[:-1]
+            counts += flat[-1]
             folds.append(m + np.triu(m, 1).T)
         even = counts / sum(m[0, 0] for m in folds)  # weights of rows are 1 on average
-        return pd.DataFrame([(key[0], int(key[1]), nets.output_weights([m * even for m in folds], kind).tolist())], columns=["g", "rep", "w"])
+        return pd.DataFrame([(g, rep, nets.output_weights([m * even for m in folds], kind, rule).tolist())], columns=["g", "rep", "w"])
 
-    def solved(some: DataFrame, before: dict[tuple[str, int], np.ndarray]) -> DataFrame:
+    def solve_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums = None, {}
+        for batch in batches:
+            for at, part in batch.groupby(["g", "rep"], sort=False):
+                if at != now:
+                    if now is not None:
+                        yield solve(now[0], int(now[1]), sums)
+                    now, sums = at, {}
+                for key, own in part.groupby(["fold", "piece"], sort=False):
+                    sums[key] = sums.get(key, 0.0) + np.sum(np.stack(own["m"].to_list()), axis=0)
+        if now is not None:
+            yield solve(now[0], int(now[1]), sums)
+
+    def pieces(held: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        rows = [(*at, k // PIECE, flat[k : k + PIECE]) for at, flat in held.items() for k in range(0, len(flat), PIECE)]
+        return pd.DataFrame(rows, columns=["g", "rep", "fold", "piece", "m"])
+
+    def solved(some: DataFrame, before: Broadcast | None) -> DataFrame:
         """(g, rep, w): output weights; for a logistic output, a step on from those before."""
-        sent = some.sparkSession.sparkContext.broadcast(before)
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[tuple, np.ndarray] = {}
+            drawn: dict[tuple[str, int], np.ndarray] = {}
             for batch in batches:
-                out = []
+                if len(drawn) * (p + 1) * hidden * 8 > HELD_BYTES:
+                    drawn.clear()
                 for g, part in batch.groupby("g"):
                     v, fold = part[names].to_numpy(float), part["fold"].to_numpy()
+                    by_fold = [(int(f), fold == f) for f in np.unique(fold)]
                     for rep in range(reps):
-                        a, target = features(v, g, rep), v[:, :1]
-                        a = working(a, target, sent.value.get((g, rep))) if link == "logistic" else np.hstack([a, target])
-                        for f in np.unique(fold):
-                            own = a[fold == f]
-                            out.append((g, rep, int(f), np.append((own.T @ own)[upper], len(own))))
-                    if len(out) >= 256:
-                        yield pd.DataFrame(out, columns=["g", "rep", "fold", "m"])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=["g", "rep", "fold", "m"])
-
-        parts = some.mapInPandas(sums, "g string, rep int, fold int, m array<double>")
-        total = parts.select("g", "rep", "fold", F.posexplode("m").alias("pos", "s")).groupBy("g", "rep", "fold", "pos").agg(F.sum("s").alias("s"))
-        return total.groupBy("g", "rep").applyInPandas(solve, "g string, rep int, w array<double>")  # a group here has a size set by hidden alone
+                        if (g, rep) not in drawn:
+                            drawn[g, rep] = layer(g, rep)
+                        a, target = features(v, drawn[g, rep]), v[:, :1]
+                        a = working(a, target, before.value.get((g, rep)) if before else None) if link == "logistic" else np.hstack([a, target])
+                        for f, own in by_fold:
+                            flat = np.append((a[own].T @ a[own])[upper], own.sum())
+                            held[g, rep, f] = held[g, rep, f] + flat if (g, rep, f) in held else flat
+                    if len(held) * (len(upper[0]) + 1) * 8 > HELD_BYTES:
+                        yield pieces(held)
+                        held = {}
+            if held:
+                yield pieces(held)
+
+        parts = some.select("g", "fold", *names).mapInPandas(sums, "g string, rep int, fold int, piece int, m array<double>")
+        return parts.repartition("g", "rep").sortWithinPartitions("g", "rep").mapInPandas(solve_stream, "g string, rep int, w array<double>")
+
+    def settle(own: DataFrame) -> DataFrame:
+        """(g, rep, w, settled) of one block by passes until nothing changes."""
+        held, changes, sent = {}, {}, None
+        for _ in range(PASSES):
+            new = {(r.g, r.rep): np.array(r.w) for r in solved(own, sent).collect()}
+            changes = {at: float(np.abs(w - held.get(at, 0.0)).max()) for at, w in new.items()}
+            held = new
+            if sent:
+                sent.destroy()
+            sent = own.sparkSession.sparkContext.broadcast(held)
+            if all(c < SETTLED for c in changes.values()):
+                break
+        if sent:
+            sent.destroy()
+        rows = [(g, rep, w.tolist(), changes[g, rep] < SETTLED) for (g, rep), w in held.items()]
+        return own.sparkSession.createDataFrame(rows, "g string, rep int, w array<double>, settled boolean")
 
     def as_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
                 layers, straight = nets.pruned([layer(r.g, r.rep)], np.array(r.w, float))
-                out.append((r.g, r.rep, layers[0].tolist(), layers[1][:, 0].tolist(), straight.tolist()))
-            yield pd.DataFrame(out, columns=["g", "rep", "w_in", "w_out", "direct"])
+                out.append((r.g, r.rep, layers[0].tolist(), layers[1][:, 0].tolist(), straight.tolist(), r.settled))
+            yield pd.DataFrame(out, columns=["g", "rep", "w_in", "w_out", "direct", "settled"])
 
     if link == "linear":
-        weights = solved(ready, {})
+        weights = solved(ready, None).withColumn("settled", F.lit(True))
     else:
         blocks = max(1, -(-ends.count() * reps * (size - 1) // SMALL))
-        weights = None
-        for k in range(blocks):
-            own, held = ready.where(F.pmod(F.xxhash64("g"), F.lit(blocks)) == k), {}
-            for _ in range(PASSES):
-                new = {(r.g, r.rep): np.array(r.w) for r in solved(own, held).collect()}
-                change = max((float(np.abs(w - held.get(at, 0.0)).max()) for at, w in new.items()), default=0.0)
-                held = new
-                if change < SETTLED:
-                    break
-            last = solved(own, held)
-            weights = last if weights is None else weights.unionByName(last)
-    members = weights.mapInPandas(as_members, WEIGHTS).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rep", "w_in", "w_out", "direct"))).alias("members"))
-    return members.join(ends, "g").withColumn("link", F.lit(link))
+        written = materialise(ready.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")), "scaled", "block")
+        each = [materialise(settle(written.where(F.col("block") == k)), "weights") for k in range(blocks)]
+        discard(written)
+        weights = each[0]
+        for more in each[1:]:
+            weights = weights.unionByName(more)
+    members = weights.mapInPandas(as_members, WEIGHTS).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rep", "w_in", "w_out", "direct"))).alias("members"), F.min("settled").alias("settled"))
+    out = materialise(members.join(ends, "g").withColumn("link", F.lit(link)).withColumn("kind", F.lit(kind)), "models")
+    if link == "logistic":
+        discard(*each)
+    return out
 
 
 def working(a: np.ndarray, y: np.ndarray, w: np.ndarray | None) -> np.ndarray:
@@ -172,10 +217,10 @@ def count_weights(models: DataFrame) -> int:
 
 def scored_here(table: DataFrame, models: DataFrame, group: str, x: list[str]) -> DataFrame:
     """table with yhat_members, scored with models that were counted and are small."""
-    held = {r.g: ([([np.array(m.w_in, float).reshape(len(x) + 1, -1), np.array(m.w_out, float)[:, None]], np.array(m.direct, float)) for m in r.members], np.array(r.low), np.array(r.high), r.link) for r in models.collect()}
+    held = {r.g: ([([np.array(m.w_in, float).reshape(len(x) + 1, len(m.w_in[0])), np.array(m.w_out, float)[:, None]], np.array(m.direct, float)) for m in r.members], np.array(r.low), np.array(r.high), r.link) for r in models.collect()}
 
     def score(g: pd.Series, *columns: pd.Series) -> pd.Series:
-        v, out = np.column_stack([c.to_numpy(float) for c in columns]), pd.Series([None] * len(g), dtype=object)
+        v, out = np.column_stack([c.to_numpy(float) for c in columns]), [None] * len(g)
         for name, at in g.groupby(g).groups.items():
             if name not in held:
                 continue
@@ -186,8 +231,8 @@ def scored_here(table: DataFrame, models: DataFrame, group: str, x: list[str]) -
             y = np.column_stack([nets.forward(z, layers, direct, "softsign") for layers, direct in members])
             y = ((np.tanh(y / 2) if link == "logistic" else y) + 1) / 2 * (high[0] - low[0]) + low[0]
             for i, row, good in zip(at, y, np.isfinite(part).all(1), strict=True):
-                out[i] = row if good else None
-        return out
+                out[i] = row.tolist() if good else None
+        return pd.Series(out, dtype=object)
 
     return table.withColumn("yhat_members", pandas_udf(score, "array<double>")(F.col(group).cast("string"), *(F.col(c).cast("double") for c in x)))
 

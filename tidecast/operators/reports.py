@@ -49,3 +49,27 @@ def forecast_lines(series: DataFrame, members: DataFrame, one: DataFrame) -> Dat
     each = members.join(ends, "series_id").select("series_id", F.lit("member").alias("kind"), "rep", (F.col("n") + F.col("h")).alias("t"), F.col("yhat").alias("value"))
     line = one.join(ends, "series_id").select("series_id", F.lit("ensemble").alias("kind"), F.lit(None).cast("int").alias("rep"), (F.col("n") + F.col("h")).alias("t"), F.col("yhat").alias("value"))
     return past.unionByName(each).unionByName(line)
+
+
+def regression_summary(models: DataFrame, errors: DataFrame) -> DataFrame:
+    """A row for each group of a table regression (errors: g, mse): members, neurons, inputs, how it was fitted and its error."""
+    sizes = F.transform("members", lambda m: F.size(m["w_out"]) - 1)
+    return models.join(errors, "g", "left").select(
+        "g", F.size("members").alias("reps"), F.array_min(sizes).alias("least_neurons"), F.array_max(sizes).alias("most_neurons"),
+        (F.size("low") - 1).alias("inputs"), F.exists("members", lambda m: F.size(m["direct"]) > 0).alias("direct"), "kind", "link", "settled", F.round("mse", 4).alias("mse"),
+    )
+
+
+def regression_scatter(scored: DataFrame, group: str, y: str) -> DataFrame:
+    """(g, rep, fitted, actual) of a scatter plot, a point for each member and row; rep is null for their combination."""
+    rows = scored.where("yhat is not null").select(F.col(group).cast("string").alias("g"), F.col(y).cast("double").alias("actual"), "yhat", "yhat_members")
+    each = rows.select("g", F.posexplode("yhat_members").alias("rep", "fitted"), "actual")
+    return each.unionByName(rows.select("g", F.lit(None).cast("int").alias("rep"), F.col("yhat").alias("fitted"), "actual"))
+
+
+def fit_lines(series: DataFrame, each: DataFrame, one: DataFrame) -> DataFrame:
+    """(series_id, kind, rep, t, value) of a plot of the fit: history, each member's one-step values (fitted's rows), and residuals' fitted ones."""
+    past = series.where("y is not null").select("series_id", F.lit("history").alias("kind"), F.lit(None).cast("int").alias("rep"), "t", F.col("y").alias("value"))
+    members = each.select("series_id", F.lit("member").alias("kind"), "rep", "t", F.col("fitted").alias("value"))
+    line = one.where("fitted is not null").select("series_id", F.lit("ensemble").alias("kind"), F.lit(None).cast("int").alias("rep"), "t", F.col("fitted").alias("value"))
+    return past.unionByName(members).unionByName(line)

@@ -9,12 +9,13 @@ from tidecast.operators import forecasting as fc
 from tidecast.operators import hierarchy, regression, reports
 from tidecast.plans.native import orders_monthly
 from tidecast.sources.series import series_from
+from tidecast.sources.written import materialise
 
 
-def forecast(spec: fc.Spec, h: int = 12, source=orders_monthly):
+def forecast(spec: fc.Spec, h: int | None = 12, source=orders_monthly, periods=None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        series = source(spark, sf_dir).cache()
-        plans = fc.specify(series, spec).cache()
+        series = materialise(source(spark, sf_dir), "series")
+        plans = materialise(fc.specify(series, spec, periods(spark) if periods else None), "plans")
         members = fc.predict(series, plans, fc.fit(series, plans, spec), spec, h)
         return fc.ensemble(members, ["series_id", "h"], how=spec.comb)
 
@@ -36,21 +37,21 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accuracy(spec: fc.Spec):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        series = orders_monthly(spark, sf_dir).cache()
-        plans = fc.specify(series, spec).cache()
+        series = materialise(orders_monthly(spark, sf_dir), "series")
+        plans = materialise(fc.specify(series, spec), "plans")
         each = fc.fitted(series, plans, fc.fit(series, plans, spec), spec)
         return fc.residuals(series, each, spec).groupBy("series_id").agg(F.avg(F.col("residual") * F.col("residual")).alias("mse"), F.count("residual").alias("n"))
 
     return run
 
 
-def report(build):
-    """A report of an elm's monthly model: build(series, plans, models, spec)."""
+def report(build, spec: fc.Spec = fc.Spec(type="ridge", reps=2, hidden=8)):
+    """A report of a monthly model: build(series, plans, models, spec)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spec, series = fc.Spec(type="ridge", reps=2, hidden=8), orders_monthly(spark, sf_dir).cache()
-        plans = fc.specify(series, spec).cache()
-        return build(series, plans, fc.fit(series, plans, spec).cache(), spec)
+        series = materialise(orders_monthly(spark, sf_dir), "series")
+        plans = materialise(fc.specify(series, spec), "plans")
+        return build(series, plans, materialise(fc.fit(series, plans, spec), "models"), spec)
 
     return run
 
@@ -61,10 +62,15 @@ def summary(series, plans, models, spec):
 
 
 def lines(series, plans, models, spec):
-    members = fc.predict(series, plans, models, spec)
+    members = materialise(fc.predict(series, plans, models, spec), "members")
     return reports.forecast_lines(series, members, fc.ensemble(members, ["series_id", "h"]))
 
 
+def fit_lines(series, plans, models, spec):
+    each = materialise(fc.fitted(series, plans, models, spec), "fitted")
+    return reports.fit_lines(series, each, fc.residuals(series, each, spec))
+
+
 def before_last_year(series: DataFrame) -> DataFrame:
     """Each monthly series without its last twelve months."""
     return series.withColumn("last", F.max("t").over(Window.partitionBy("series_id"))).where(F.col("t") <= F.col("last") - 12).drop("last")
@@ -72,9 +78,9 @@ def before_last_year(series: DataFrame) -> DataFrame:
 
 def reused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Networks of all months but the last year, applied to the whole series."""
-    spec, series = fc.Spec(type="ridge", reps=5, hidden=10), orders_monthly(spark, sf_dir).cache()
+    spec, series = fc.Spec(type="ridge", reps=5, hidden=10), materialise(orders_monthly(spark, sf_dir), "series")
     old = before_last_year(series)
-    plans = fc.specify(old, spec).cache()
+    plans = materialise(fc.specify(old, spec), "plans")
     return fc.ensemble(fc.predict(series, fc.reuse(series, plans, spec), fc.fit(old, plans, spec), spec), ["series_id", "h"])
 
 
@@ -97,16 +103,42 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("l_returnflag").agg(F.count("yhat").alias("n"), F.round(F.avg((sure > 0.5).cast("double")), 4).alias("share_right"), F.round(F.avg(-F.log(sure)), 4).alias("log_loss"))
 
 
-def thief(spark: SparkSession, sf_dir: str) -> DataFrame:
+def thief(kind: str):
     """Every level of the monthly hierarchy forecast for a year, then made to add up."""
-    base = None
-    rows = hierarchy.levels(orders_monthly(spark, sf_dir), 12).cache()
-    for k in hierarchy.divisors(12):
-        m = 12 // k
-        spec = fc.Spec(type="ridge", hidden=6, reps=3, periods=(m,), lags=(1,) if m < 4 else None, difforder=(1,))
-        one = fc.thief(rows.where(F.col("k") == k), spec, m)[0].withColumn("k", F.lit(k))
-        base = one if base is None else base.unionByName(one)
-    return hierarchy.reconcile(base, 12)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = None
+        rows = materialise(hierarchy.levels(orders_monthly(spark, sf_dir), 12), "levels")
+        for k in hierarchy.divisors(12):
+            m = 12 // k
+            spec = fc.Spec(kind=kind, type="ridge", hidden=6, reps=3, periods=(m,), lags=(1,) if m < 4 else None, difforder=(1,))
+            one = fc.thief(rows.where(F.col("k") == k), spec, m)[0].withColumn("k", F.lit(k))
+            base = one if base is None else base.unionByName(one)
+        return hierarchy.reconcile(base, 12)
+
+    return run
+
+
+def own_periods(spark: SparkSession) -> DataFrame:
+    """Seasons of half a year for one priority and of a quarter for another; the others keep their year."""
+    return spark.createDataFrame([("1-URGENT", [6.0]), ("5-LOW", [3.0])], "series_id string, periods array<double>")
+
+
+def line_price(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    x = ["l_quantity", "l_discount", "l_tax"]
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_extendedprice", *x)
+    models = regression.fit(table, "l_returnflag", "l_extendedprice", x, hidden=12, kind="ridge", reps=2, direct=True)
+    return models, regression.predict(table, models, "l_returnflag", x)
+
+
+def table_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models, scored = line_price(spark, sf_dir)
+    errors = scored.groupBy(F.col("l_returnflag").alias("g")).agg(F.avg(F.pow(F.col("yhat") - F.col("l_extendedprice"), 2)).alias("mse"))
+    return reports.regression_summary(models, errors)
+
+
+def table_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.regression_scatter(line_price(spark, sf_dir)[1], "l_returnflag", "l_extendedprice")
 
 
 ENSEMBLES = {
@@ -120,9 +152,16 @@ ENSEMBLES = {
     "elm_xreg_forecast": forecast(fc.Spec(type="ridge", reps=5, lags=(1, 2, 12), xreg_lags=((0,), (0, 1))), source=with_regressor),
     "elm_two_seasons_forecast": forecast(fc.Spec(type="ridge", reps=3, periods=(24, 168), lags=(1, 2, 24, 168), hidden=10), 24, hourly_events),
     "elm_reused_forecast": reused,
-    "elm_thief_reconciled": thief,
+    "elm_thief_reconciled": thief("elm"),
+    "mlp_thief_reconciled": thief("mlp"),
+    "elm_default_forecast": forecast(fc.Spec()),
+    "mlp_default_forecast": forecast(fc.Spec(kind="mlp")),
+    "elm_least_error_forecast": forecast(fc.Spec(type="lasso", reps=3, penalty="min")),
+    "elm_own_periods_forecast": forecast(fc.Spec(type="ridge", reps=3), None, periods=own_periods),
     "cross_section_elm": cross_section,
     "cross_section_elm_logistic": classified,
+    "cross_section_summary": table_summary,
+    "cross_section_scatter": table_scatter,
     "mlp_forecast": forecast(fc.Spec(kind="mlp", reps=5)),
     "mlp_layers_forecast": forecast(fc.Spec(kind="mlp", hidden=(4, 3), reps=3)),
     "mlp_cv_hidden": forecast(fc.Spec(kind="mlp", reps=2, lags=(1, 2, 12), hidden_type="cv", hidden_max=3)),
@@ -136,4 +175,6 @@ ENSEMBLES = {
     "network_edges": report(lambda series, plans, models, spec: reports.network_edges(models)),
     "network_nodes": report(lambda series, plans, models, spec: reports.network_nodes(plans, models)),
     "forecast_lines": report(lines),
+    "fit_lines": report(fit_lines),
+    "hidden_size_errors": report(lambda series, plans, models, spec: plans.select("series_id", "hidden", F.explode("hidden_errors").alias("e")).select("series_id", F.col("hidden")[0].alias("chosen"), "e.*"), fc.Spec(kind="mlp", reps=2, lags=(1, 2, 12), hidden_type="cv", hidden_max=3)),
 }

@@ -13,38 +13,55 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidecast.operators import forecasting as fc
 
+STATE = "t int, tail array<double>, regressors array<array<double>>"
+TAIL = "series_id string, t int, need int, tail array<double>, regressors array<array<double>>"
 OUT = "series_id string, t int, h int, yhat double"
-STATE = "t int, tail array<double>"
 
 
 def score(stream: DataFrame, plans: DataFrame, models: DataFrame, spec: fc.Spec, h: int = 1) -> DataFrame:
-    """stream(series_id, t, y) -> (series_id, t: last step seen, h, yhat), in append mode.
+    """stream(series_id, t, y[, x]) -> (series_id, t: last step seen, h, yhat), in append mode.
 
     Steps at or before the last one seen are late and left out; after a gap a series starts over. Nothing comes out until a
-    series has the steps that its lags and differences need. Members are combined by their median. Plans with regressors are
-    not scored. A series without plan gives nothing.
+    series has the steps that its lags and differences need. Members are combined as spec says. Regressors x count up to the
+    last step seen: a plan that needs later ones gives null from there on. A series without plan gives nothing.
+
+    An event carries only the number of steps to keep through the shuffle; networks meet the kept steps afterwards, once a
+    series and micro-batch.
     """
-    packed = plans.where("status = 'ok' and aggregate(xreg_lags, 0, (n, k) -> n + size(k)) = 0").join(models.groupBy("series_id").agg(F.collect_list(F.struct("rep", "activation", "layers", "direct")).alias("members")), "series_id")
-    joined = stream.select(F.col("series_id").cast("string").alias("series_id"), "t", F.col("y").cast("double").alias("y")).where("y is not null").join(packed, "series_id")
+    good = plans.where("status = 'ok'")
+    lagged = F.concat("lags", F.flatten("xreg_lags"), F.array(F.lit(0)))
+    need = good.select("series_id", (F.aggregate("difforder", F.lit(0), lambda n, k: n + k) + F.array_max(lagged) + 1).alias("need"))
+    x = F.col("x") if "x" in stream.columns else F.lit(None).cast("array<double>")
+    events = stream.select(F.col("series_id").cast("string").alias("series_id"), "t", F.col("y").cast("double").alias("y"), x.alias("x")).where("y is not null").join(need, "series_id")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches))
-        plan = fc.plain(next(pdf.drop(columns=["y", "t", "members"]).itertuples(index=False)))
-        last, tail = state.get if state.exists else (None, [])
-        tail = list(tail)
-        need = sum(plan["difforder"]) + fc.depth(plan) + 1
-        for t, y in pdf[["t", "y"]].drop_duplicates("t").sort_values("t").itertuples(index=False):
+        need = int(pdf["need"].iloc[0])
+        last, tail, own = state.get if state.exists else (None, [], [])
+        tail, own = list(tail), [list(v) for v in own]
+        for t, y, x in pdf[["t", "y", "x"]].drop_duplicates("t").sort_values("t").itertuples(index=False):
             if last is None or t > last:
-                tail = ([*tail, y] if last is None or t == last + 1 else [y])[-need:]
+                goes_on, x = last is None or t == last + 1, [] if x is None else [float(v) for v in x]
+                tail, own = ([*tail, float(y)] if goes_on else [float(y)])[-need:], ([*own, x] if goes_on else [x])[-need:]
                 last = int(t)
-        state.update((last, [float(v) for v in tail]))
+        state.update((last, tail, own))
         if len(tail) == need:
-            here = dataclasses.replace(spec, phase=spec.phase + last - need)
-            rows = pd.DataFrame({"t": range(1, need + 1), "y": tail})
-            paths = []
-            for m in pdf["members"].iloc[0]:
-                layers = [np.array([list(w) for w in layer], float) for layer in m["layers"]]
-                paths.append(fc.path(rows, plan, layers, np.array(m["direct"], float), m["activation"], here, h))
-            yield pd.DataFrame([(key[0], last, i + 1, float(np.median([p[i] for p in paths]))) for i in range(h)], columns=["series_id", "t", "h", "yhat"])
-
-    return joined.groupBy("series_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+            yield pd.DataFrame([(key[0], last, need, tail, own)], columns=["series_id", "t", "need", "tail", "regressors"])
+
+    tails = events.groupBy("series_id").applyInPandasWithState(keep, TAIL, STATE, "append", GroupStateTimeout.NoTimeout)
+    members = models.groupBy("series_id").agg(F.collect_list(F.struct("rep", "activation", "layers", "direct")).alias("members"))
+    ready = tails.withColumnRenamed("t", "last").join(good.join(members, "series_id"), "series_id")
+
+    def forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                plan, steps = fc.plain(row), {"t": range(1, row.need + 1), "y": np.asarray(row.tail, float)}
+                if plan["xreg_lags"]:
+                    steps["x"] = [np.asarray(v, float) for v in row.regressors]
+                here = dataclasses.replace(spec, phase=spec.phase + row.last - row.need)
+                paths = np.array([fc.path(pd.DataFrame(steps), plan, layers, direct, name, here, h) for _, layers, direct, name in fc.networks(row.members)], float)
+                out += [(row.series_id, row.last, i + 1, fc.combined(v, spec.comb) if np.isfinite(v).all() else None) for i, v in enumerate(paths.T)]
+            yield pd.DataFrame(out, columns=["series_id", "t", "h", "yhat"])
+
+    return ready.mapInPandas(forecast, OUT)
