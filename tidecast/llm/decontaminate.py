@@ -131,7 +131,7 @@ class Index:
         data, taken = np.frombuffer(text, np.uint8).astype(np.int64), {}
         for i, low, shared in self.bands(text):
             item, wide = self.texts[i], int(self.edits[i]) + 1
-            if any(s - wide <= low <= s + wide for s in taken.get(i, ())):
+            if i in taken and low <= taken[i] + wide:  # bands of an item come in ascending order
                 continue
             m = len(item)
             start = text.find(item, max(0, low), max(0, low) + m + 2 * wide)
@@ -148,7 +148,7 @@ class Index:
                 back = data[max(0, end - m - wide) : end][::-1]
                 _, length = backwards(own[::-1], back)
                 start = max(0, end - length)
-            taken.setdefault(i, []).append(low)
+            taken[i] = low
             found.append({"item_id": self.ids[i], "start": start, "end": end, "edits": edits, "shared": shared})
         spaced = b" " + text + b" " if self.short else b""
         for i in self.short:
