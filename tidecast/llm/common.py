@@ -1,54 +1,20 @@
-"""What several corpus operators share: the shared folder, written tables and connected components."""
+"""What several corpus operators share: filters of fixed size, joins with hot keys and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast.sources.written import discard, fresh_path, materialise, shared_root  # noqa: F401  the operators take them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. One of our own is set where that is unset, on one machine only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there and a lost executor costs nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
-    written.written_to = path
-    return written
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes what materialise wrote. Only for tables that nothing reads any more, be it lazily."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a few rows, so that a worker holds what it makes of those alone."""
     for batch in batches:
@@ -99,7 +65,8 @@ def join_spread(rows: DataFrame, keys: DataFrame, on: str, how: str = "left", ho
     """
     if hot is None:
         hot = rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
-    hot = hot.select(F.xxhash64(on).alias("_key"))
+    # one key that is always there keeps the plan the same, be there hot values or none
+    hot = hot.select(F.xxhash64(on).alias("_key")).unionByName(rows.sparkSession.range(1).select(F.col("id").alias("_key")))
     flagged = lambda df: may_have(df.withColumn("_key", F.xxhash64(on)), hot, "_key").drop("_key")
     dealt = flagged(rows).withColumn("_way", F.when(F.col("may"), F.pmod(F.xxhash64(*rows.columns), F.lit(WAYS)).cast("int")).otherwise(0))
     every = flagged(keys).withColumn("_way", F.explode(F.when(F.col("may"), F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))))
@@ -130,7 +97,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = join_spread(large.select("a", "b"), least, "a", "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges, before = small.unionByName(least.withColumnRenamed("m", "b")).distinct(), large
     stars = large.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+    out = stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+    out.written_to = large.written_to
+    return out
 
 
 def free_name(wanted: str, taken: list[str]) -> str:

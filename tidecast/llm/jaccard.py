@@ -244,9 +244,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     wanted = materialise(groups.join(sizes, "component").join(classes.select(F.col("c").alias("id"), "n", "k1", "k2"), "id").withColumnRenamed("id", "c"), "candidates")
-    held = among(texts.select("k1", "k2", "text"), wanted.select("k1")).join(wanted, ["k1", "k2"])
-    once = held.groupBy("k1", "k2", "c", "component", "tiles", "n").agg(F.first("text").alias("text"))
-    dealt = once.withColumn("own", F.pmod(F.xxhash64("c"), F.col("tiles").cast("long")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    # copies of a text meet in the tasks that read them, before anything is shuffled
+    once = among(texts.select("k1", "k2", "text"), wanted.select("k1")).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    dealt = once.join(wanted, ["k1", "k2"]).withColumn("own", F.pmod(F.xxhash64("c"), F.col("tiles").cast("long")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     dealt = dealt.select("component", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "c", "n", "text")
 
     def verify(key: tuple, t: pa.Table) -> pa.Table:
@@ -268,10 +268,11 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"c": c[has], "links": links[has].astype(np.int64), "root": root[has]})
 
     found = materialise(dealt.groupBy("component", "ti", "tj").applyInArrow(verify, "c long, links long, root long"), "verified")
-    discard(wanted)
+    discard(wanted, groups)
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "c")
-    known = materialise(classes.select("c", "g1", "g2", "n", "least_id").join(links, "c", "left").join(parts, "c", "left").withColumn("group", F.coalesce("component", "c")), "known")
+    parts = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
+    known = materialise(classes.select("c", "g1", "g2", "n", "least_id").join(links, "c", "left").join(parts.withColumnRenamed("id", "c"), "c", "left").withColumn("group", F.coalesce("component", "c")), "known")
+    discard(classes, found, parts)
     names = known.groupBy("group").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("members"))
     by_set = known.join(names, "group").select("g1", "g2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id", F.when(F.col("members") > 1, F.col("group")).alias("group"))
     rows = signed.select("id", "k1", "k2", "g1", "g2")
