@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat, jaccard, langid, licenses, neardup, pii, repeats, warc
+from tidecast.llm import bpe, chat, common, jaccard, langid, licenses, neardup, pii, repeats, warc
 from tidecast.llm.common import components
 
 RNG = random.Random(11)
@@ -47,6 +47,17 @@ def test_components_of_long_paths_settle(spark):
     assert got == {x: min(1, x // 1000) * (x // 1000 * 1000) for e in edges for x in e}
 
 
+def test_hot_nodes_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 2)
+    edges = [(i, 1000 + i % 3) for i in range(60)] + [(1000, 1001), (2000, 2001), (2001, 2002), (2002, 2000)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: (0 if i % 3 < 2 else 2) for i in range(60)} | {1000: 0, 1001: 0, 1002: 2, 2000: 2000, 2001: 2000, 2002: 2000}
+    assert got == want
+    rows, keys = spark.createDataFrame([(i % 4, i) for i in range(40)], "k long, k1 long"), spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k long, may string")
+    joined = common.join_spread(rows, keys.withColumnRenamed("may", "name"), "k")
+    assert joined.count() == 40 and joined.where("name is not null").count() == 20 and common.join_spread(rows, keys.select("k"), "k", "left_semi").count() == 20
+
+
 # op1
 
 
@@ -233,7 +244,31 @@ def test_near_texts_by_brute_force(spark):
     assert sorted(r.doc_id for r in jaccard.keep_one(twice).collect()) == [0, 1]
 
 
+def test_boilerplate_makes_no_groups_and_large_bands_are_cut(spark):
+    common_part = text(90)
+    texts = [f"{common_part} {text(45)}" for _ in range(300)] + [f"{text(80)} {k}" for k in range(3)]
+    texts += [" ".join(w if j != i else "changed" for j, w in enumerate(texts[0].split())) for i in range(3, 120, 9)]
+    shingle, signer = jaccard.Shingler(5), jaccard.Signer(24, 5)
+    signed = [(i, *signer(shingle(t))) for i, t in enumerate(texts)]
+    classes = spark.createDataFrame([(i, b.tolist(), bytearray(g)) for i, b, g in signed], "c long, bands array<long>, signature binary")
+    least = jaccard.least_matches(120, 0.8, jaccard.MISSED)
+    alike = [np.frombuffer(g, np.uint8) for *_, g in signed]
+    shared = [(i, j) for i in range(len(texts)) for j in range(i) if (signed[i][1] == signed[j][1]).any()]
+    root = {i: i for i in range(len(texts))}
+    for _ in range(30):
+        for i, j in shared:
+            if (alike[i] == alike[j]).sum() >= least:
+                root[i] = root[j] = min(root[i], root[j])
+    want = {i: r for i, r in root.items() if list(root.values()).count(r) > 1}
+    for tile in (1024, 7):
+        got = {r.id: r.component for r in components(jaccard.candidates(classes, least, tile)).collect()}
+        assert got == want
+    sizes = Counter(want.values())
+    assert sum(n * n for n in sizes.values()) < len(shared) / 4 and {0, *range(303, len(texts))} <= {i for i, r in want.items() if r == want[0]}
+
+
 def test_bands_reach_the_recall():
+    assert jaccard.least_matches(10, 0.5, 0.1) == 3 and jaccard.least_matches(120, 0.8, 1e-6) < 80
     bands, rows = jaccard.choose_bands(0.8, 0.9999)
     assert bands * rows <= jaccard.MAX_HASHES and 1 - (1 - 0.8**rows) ** bands >= 0.9999
 
