@@ -117,42 +117,50 @@ class Network:
 
 
 class Reader:
-    """A network set up to label stretches: one table a direction from byte to what it adds to the gates."""
+    """A network set up to label stretches: tables from byte to what it adds to each gate and to the new state, by direction."""
 
     def __init__(self, net: Network):
         self.classes, h_ = net.classes, HIDDEN
-        half = np.concatenate([np.full(2 * h_, 0.5), np.ones(h_)]).astype(np.float32)  # sigmoid(x) is (tanh(x / 2) + 1) / 2
-        self.ways = [((net.p["embed"] @ net.p[f"in_{w}"] + net.p[f"b_{w}"]) * half, net.p[f"rec_{w}"] * half, net.p["out"][k * h_ : (k + 1) * h_]) for k, w in enumerate("fb")]
+        self.ways = []
+        for k, w in enumerate("fb"):
+            table, rec = net.p["embed"] @ net.p[f"in_{w}"] + net.p[f"b_{w}"], net.p[f"rec_{w}"]
+            # sigmoid(x) is (tanh(x / 2) + 1) / 2
+            parts = [(np.ascontiguousarray(table[:, i * h_ : (i + 1) * h_] * f), np.ascontiguousarray(rec[:, i * h_ : (i + 1) * h_] * f)) for i, f in enumerate((np.float32(0.5), np.float32(0.5), np.float32(1)))]
+            self.ways.append((parts, np.ascontiguousarray(net.p["out"][k * h_ : (k + 1) * h_])))
         self.bias = net.p["bias"]
 
     def probabilities(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """(positions, rows, classes) for x (positions, rows), whose columns have `sizes` bytes and are in descending order of these."""
-        h_, active = HIDDEN, np.searchsorted(-sizes, -np.arange(len(x)), "left")
-        logits = np.zeros((*x.shape, len(self.classes)), np.float32) + self.bias
-        for k, (table, rec, out) in enumerate(self.ways):
-            h = np.zeros((x.shape[1], h_), np.float32)
+        """(classes, positions, rows) for x (positions, rows), whose columns have `sizes` bytes and are in descending order of these."""
+        active = np.searchsorted(-sizes, -np.arange(len(x)), "left")
+        logits = np.zeros((len(self.classes), *x.shape), np.float32) + self.bias[:, None, None]
+        for k, (((t_z, r_z), (t_r, r_r), (t_n, r_n)), out) in enumerate(self.ways):
+            h = np.zeros((x.shape[1], HIDDEN), np.float32)
             for t in range(len(x)) if k == 0 else range(len(x) - 1, -1, -1):
                 n = active[t]
-                own = h[:n]
-                a, g = table[x[t, :n]], own @ rec
-                gates = a[:, : 2 * h_] + g[:, : 2 * h_]
-                np.tanh(gates, gates)
-                gates *= 0.5
-                gates += 0.5
-                new = g[:, 2 * h_ :] * gates[:, h_:]
-                new += a[:, 2 * h_ :]
+                own, at = h[:n], x[t, :n]
+                z, r, new = own @ r_z, own @ r_r, own @ r_n
+                z += t_z.take(at, 0)
+                r += t_r.take(at, 0)
+                np.tanh(z, z)
+                np.tanh(r, r)
+                z *= 0.5
+                z += 0.5
+                r *= 0.5
+                r += 0.5
+                new *= r
+                new += t_n.take(at, 0)
                 np.tanh(new, new)
                 new -= own
-                new *= gates[:, :h_]
+                new *= z
                 own += new
-                logits[t, :n] += own @ out
-        logits -= logits.max(-1, keepdims=True)
+                logits[:, t, :n] += (own @ out).T
+        logits -= logits.max(0)
         np.exp(logits, logits)
-        logits /= logits.sum(-1, keepdims=True)
+        logits /= logits.sum(0)
         return logits
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and its mean probability for each text."""
+        """Language and its mean probability for each text, to five places: later ones depend on the texts beside it."""
         rows = [(i, *s) for i, text in enumerate(texts) if text and LETTER.search(text) for s in stretches_of(text.encode("utf-8", "surrogatepass"))]
         rows.sort(key=lambda r: -len(r[1]))
         sums = np.zeros((len(texts), len(self.classes) + 1))
@@ -162,13 +170,13 @@ class Reader:
             doc, low, high = (np.array([r[j] for r in own]) for j in (0, 2, 3))
             at = np.arange(len(x))[:, None]
             counted = (at >= low) & (at < high)
-            prob = np.einsum("trc,tr->rc", self.probabilities(x, sizes), counted.astype(np.float32))
+            prob = np.einsum("ctr,tr->rc", self.probabilities(x, sizes), counted.astype(np.float32))
             np.add.at(sums, doc, np.concatenate([prob, counted.sum(0)[:, None]], 1))
         found = []
         for own in sums:
             mean = own[:-1] / own[-1] if own[-1] else None
             best = 0 if mean is None else int(mean.argmax())
-            found.append(("und", 0.0) if mean is None else (self.classes[best], float(min(1.0, max(0.0, mean[best])))))
+            found.append(("und", 0.0) if mean is None else (self.classes[best], round(float(min(1.0, max(0.0, mean[best]))), 5)))
         return found
 
 
