@@ -3,7 +3,8 @@
 A word is a run of letters, digits and bytes past ASCII, or a run of other marks, as it is written. Words fall into 2**BITS buckets
 by hash. Each bucket has a sparse random index vector; its context vector is the sum of the index vectors of the words up to SPAN
 places away, over all texts of the corpus, so the table's size is fixed however many words there are. A document's vector is the mean
-over its words of their context vectors, scaled to length 1 less what all words have in common, and of their index vectors.
+over its words of their context vectors, scaled to length 1 less what all words have in common, and of their index vectors, and
+the mean product of a word's vectors with those of the word 1 to SPAN places on, which is large where words repeat.
 
 The network is trained in numpy on a bounded sample of labelled rows (TRAIN_ROWS, those of least hash), a part of which is
 kept back to fit the temperature that divides its output. Scores go to five places, as sums may differ beyond.
@@ -174,15 +175,21 @@ class Pool:
         self.vectors, self.words = vectors, Words()
 
     def of(self, texts: list[str | None]) -> np.ndarray:
-        """A mean vector for each text."""
-        sums, counts = np.zeros((len(texts), self.vectors.shape[1])), np.zeros(len(texts))
+        """A mean vector for each text: of its words, then of the products of neighbours, by distance."""
+        sums, counts = np.zeros((len(texts), self.vectors.shape[1] + 2 * SPAN)), np.zeros(len(texts))
         for raw, starts, docs in bundles(texts):
             begin, bucket = self.words.of(raw)
             if not len(begin):
                 continue
             piece = np.searchsorted(starts, begin, "right") - 1
             edge = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-            np.add.at(sums, docs[piece[edge]], np.add.reduceat(self.vectors[bucket], edge, 0))
+            own = self.vectors[bucket]
+            beside = np.zeros((len(own), 2, SPAN), np.float32)
+            for k in range(1, min(SPAN, len(own) - 1) + 1):
+                same = piece[k:] == piece[:-k]
+                beside[k:, :, k - 1] = np.einsum("ijk,ijk->ij", own[k:].reshape(-1, 2, DIM), own[:-k].reshape(-1, 2, DIM)) * same[:, None]
+            own = np.hstack([own, beside.reshape(len(own), -1)])
+            np.add.at(sums, docs[piece[edge]], np.add.reduceat(own, edge, 0))
             np.add.at(counts, docs[piece[edge]], np.diff(np.r_[edge, len(begin)]))
         return sums / np.maximum(counts, 1)[:, None]
 
