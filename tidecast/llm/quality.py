@@ -51,7 +51,7 @@ class Words:
         if len(raw) >= len(self.power):
             self.power, self.inverse = (self.powers(x, 2 * len(raw)) for x in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)))
         kind = KIND[raw]
-        turn = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1], True])
+        turn = np.flatnonzero(np.r_[len(raw) > 0, kind[1:] != kind[:-1], True])
         begin, end = turn[:-1], turn[1:]
         word = kind[begin] > 0
         begin, end = begin[word], end[word]
