@@ -56,21 +56,36 @@ def pruned(layers: list[np.ndarray], w: np.ndarray) -> tuple[list[np.ndarray], n
     return [*layers[:-1], layers[-1][:, alive], np.concatenate([w[:1], w[1 : 1 + k][alive]])[:, None]], w[1 + k :]
 
 
-def elm(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...] | None, kind: str, direct: bool, rng: np.random.Generator, barebone: bool = True, ortho: bool = False, rule: str = "1se") -> tuple[list[np.ndarray], np.ndarray]:
-    """Random hidden layers (a size of 0: none, the output weights are on the inputs alone, which takes direct); the output weights by lasso, ridge, step or least squares (ls or lm)."""
-    n, p = x.shape
-    hidden = hidden or (min(100 - 60 * (kind in ("step", "ls", "lm")), max(4, n - 2 - direct * p)),)
-    layers = random_layers(p, hidden, barebone, ortho, rng)
-    z = hidden_output(x, layers, "softsign" if barebone else "logistic")
-    z = np.hstack([z, x]) if direct else z
-    fold = rng.permutation(n) % min(5, n)
-    return pruned(layers, output_weights([stats.moments(z[fold == f], y[fold == f]) for f in range(fold.max() + 1)], kind, rule))
-
-
-def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Generator, steps: int = 2000, threshold: float = 0.01) -> list[np.ndarray]:
+class Elm:
+    """An extreme learning machine whose output weights come from sums over steps that are added as they come, n in all.
+
+    Random hidden layers (a size of 0: none, the output weights are on the inputs alone, which takes direct); the output weights by
+    lasso, ridge, step or least squares (ls or lm).
+    """
+
+    def __init__(self, p: int, n: int, hidden: tuple[int, ...] | None, kind: str, direct: bool, rng: np.random.Generator, barebone: bool = True, ortho: bool = False, rule: str = "1se"):
+        hidden = hidden or (min(100 - 60 * (kind in ("step", "ls", "lm")), max(4, n - 2 - direct * p)),)
+        self.layers = random_layers(p, hidden, barebone, ortho, rng)
+        self.activation, self.kind, self.direct, self.rule = "softsign" if barebone else "logistic", kind, direct, rule
+        self.fold, self.seen = rng.permutation(n) % min(5, n), 0
+        self.sums = {}
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        z = hidden_output(x, self.layers, self.activation)
+        z = np.hstack([z, x]) if self.direct else z
+        fold = self.fold[self.seen : self.seen + len(y)]
+        for f in np.unique(fold):
+            self.sums[f] = self.sums.get(f, 0.0) + stats.moments(z[fold == f], y[fold == f])
+        self.seen += len(y)
+
+    def solve(self) -> tuple[list[np.ndarray], np.ndarray]:
+        return pruned(self.layers, output_weights([m for _, m in sorted(self.sums.items())], self.kind, self.rule))
+
+
+def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Generator, steps: int = 2000, threshold: float = 0.01) -> tuple[list[np.ndarray], bool]:
     """Full-batch resilient propagation of half the squared error, with weight backtracking; logistic hidden layers, linear output.
 
-    Ends when no slope is as large as threshold; after `steps` steps the best weights so far are given.
+    Ends when no slope is as large as threshold; after `steps` steps the best weights so far are given. Also given: whether it ended so.
     """
     sizes = (x.shape[1], *hidden, 1)
     w = [rng.normal(0, 0.7 if i + 2 < len(sizes) else 0.3, (sizes[i] + 1, sizes[i + 1])) for i in range(len(sizes) - 1)]
@@ -88,7 +103,7 @@ def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Ge
             slopes.append(seen[i].T @ d)
             d = (d @ w[i][1:].T) * seen[i][:, 1:] * (1 - seen[i][:, 1:]) if i else d
         if max(float(np.abs(g).max()) for g in slopes) < threshold:
-            break
+            return best, True
         for i, g in enumerate(reversed(slopes)):
             turned = g * before[i] < 0
             step[i] = np.clip(step[i] * np.where(turned, 0.5, np.where(g * before[i] > 0, 1.2, 1)), 1e-10, 5)
@@ -96,4 +111,4 @@ def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Ge
             moved[i] = np.where(turned, -moved[i], -np.sign(g) * step[i])
             w[i] += moved[i]
             before[i] = np.where(turned, 0, g)
-    return best
+    return best, False

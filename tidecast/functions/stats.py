@@ -45,27 +45,6 @@ def t_tail(t: float, df: float) -> float:
     return float(min(1.0, front * (weights @ np.cos(angle) ** (df - 1)) * (math.pi / 2 - edge) / 2))
 
 
-def aic(x: np.ndarray, y: np.ndarray) -> float:
-    """n log(RSS/n) + 2k of least squares with an intercept in x."""
-    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-    rss = max(float(((y - x @ beta) ** 2).sum()), 1e-300)
-    return len(y) * math.log(rss / len(y)) + 2 * x.shape[1]
-
-
-def backward(x: np.ndarray, y: np.ndarray, blocks: list[list[int]], keep: set[int] = frozenset()) -> list[int]:
-    """Blocks of columns that backward selection by AIC leaves; those in keep are never dropped."""
-    held = list(range(len(blocks)))
-    one = np.ones((len(y), 1))
-    score = lambda own: aic(np.hstack([one, *[x[:, blocks[b]] for b in own]]) if own else one, y)
-    now = score(held)
-    while True:
-        tries = [(score([b for b in held if b != out]), out) for out in held if out not in keep]
-        if not tries or min(tries)[0] >= now:
-            return held
-        now, out = min(tries)
-        held.remove(out)
-
-
 # Regression from moments. A moment matrix is A'A of the rows a = (1, columns..., y): moments of parts of a table add up,
 # so a table of any length is fitted from sums.
 
@@ -253,6 +232,58 @@ def least_squares(m: np.ndarray, step: bool = False) -> tuple[np.ndarray, np.nda
     return w, p
 
 
+def sweep(m: np.ndarray, k: int, back: bool = False) -> None:
+    """Sweeps row and column k of m in place (Goodnight 1979), or undoes that."""
+    d, row, column = m[k, k], m[k].copy(), m[:, k].copy()
+    m -= np.outer(column, row) / d
+    m[k], m[:, k] = row / d, column / d
+    if back:
+        m[k], m[:, k] = -m[k], -m[:, k]
+    m[k, k] = -1 / d
+
+
+def swept(m: np.ndarray, blocks: list[list[int]], keep: set[int] = frozenset()) -> list[int]:
+    """Blocks of columns that backward selection by AIC leaves of a moment matrix; those in keep are never dropped.
+
+    The matrix is swept once; from then on what a block explains is read off it, and a dropped block is swept back. Columns
+    that depend on others count as columns but explain nothing; they are swept in when what they depend on goes.
+    """
+    n, end = m[0, 0], len(m) - 1
+    a = m.copy()
+    size = np.sqrt(np.maximum(np.diag(a), 1e-300))
+    a /= np.outer(size, size)
+    sweep(a, 0)
+    spread, least = np.diag(a).copy(), max(1e-13 * a[end, end], 1e-300)
+    held, inside = list(range(len(blocks))), set()
+
+    def enter(a: np.ndarray, inside: set[int], some: list[int]) -> None:
+        for b in some:
+            for j in blocks[b]:
+                if 1 + j not in inside and a[1 + j, 1 + j] > 1e-10 * max(spread[1 + j], 1e-300):
+                    sweep(a, 1 + j)
+                    inside.add(1 + j)
+
+    def without(out: int) -> tuple[np.ndarray, set[int]]:
+        b, left = a.copy(), set(inside)
+        for j in blocks[out]:
+            if 1 + j in left:
+                sweep(b, 1 + j, True)
+                left.discard(1 + j)
+        enter(b, left, [h for h in held if h != out])
+        return b, left
+
+    score = lambda a, some: n * math.log(max(a[end, end], least)) + 2 * sum(len(blocks[b]) for b in some)
+    enter(a, inside, held)
+    now = score(a, held)
+    while True:
+        tries = [(score(without(out)[0], [h for h in held if h != out]), out) for out in held if out not in keep]
+        if not tries or min(tries)[0] >= now:
+            return held
+        now, out = min(tries)
+        a, inside = without(out)
+        held.remove(out)
+
+
 def bandwidth(v: np.ndarray) -> float:
     """The plug-in width that solves Sheather and Jones's (1991) equation; the rule of thumb where it has no root."""
     n, sd = len(v), v.std(ddof=1)

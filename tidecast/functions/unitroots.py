@@ -1,99 +1,18 @@
-"""Tests of one series that decide on differences and dummies: seasonality, trend, seasonal unit roots. Periods are steps."""
+"""Seasonal unit roots of a series, free of its trend or average."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-
-from tidecast.functions.stats import chi2_tail, t_tail
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql.functions import pandas_udf
 
 #: Five per cent points of the von Mises limit for 1 to 12 degrees of freedom (Canova and Hansen 1995, table 1). Fixed values.
 CRITICAL = (0.470, 0.749, 1.01, 1.24, 1.47, 1.68, 1.90, 2.11, 2.32, 2.54, 2.75, 2.96)
 
 
-def centred_average(y: np.ndarray, m: int) -> np.ndarray:
-    """Centred moving average of m steps (2 x m where m is even); both ends hold the nearest whole average."""
-    if m <= 1 or len(y) < m + (m % 2 == 0):
-        return y.copy() if m <= 1 else np.full(len(y), y.mean())
-    kernel = np.ones(m) / m if m % 2 else np.r_[0.5, np.ones(m - 1), 0.5] / m
-    inner = np.convolve(y, kernel, "valid")
-    half = len(kernel) // 2
-    return np.r_[np.full(half, inner[0]), inner, np.full(half, inner[-1])]
-
-
-def friedman(y: np.ndarray, m: int) -> tuple[int, float]:
-    """(whole seasons, statistic) of Friedman's test over the de-trended series; no statistic (nan) with fewer than two seasons."""
-    whole = len(y) // m if m > 1 else 0
-    if whole < 2:
-        return whole, math.nan
-    cma = centred_average(y, m)
-    v = (y / cma if y.min() > 0 else y - cma)[: whole * m].reshape(whole, m)
-    ranks = np.array([(np.searchsorted(s := np.sort(row), row, "left") + np.searchsorted(s, row, "right") + 1) / 2 for row in v])
-    spread = ((ranks - (m + 1) / 2) ** 2).sum()
-    return whole, float((m - 1) * ((ranks.sum(0) - whole * (m + 1) / 2) ** 2).sum() / spread) if spread else math.nan
-
-
-def seasonal(y: np.ndarray, m: int, level: float = 0.05) -> bool:
-    """Whether Friedman's test finds a season; false where there is no statistic."""
-    _, stat = friedman(y, m)
-    return not math.isnan(stat) and chi2_tail(stat, m - 1) <= level
-
-
-def smoothing_aic(y: np.ndarray, trend: bool) -> float:
-    """n log SSE + 2k of exponential smoothing with additive errors, with or without an additive trend.
-
-    The errors are linear in the starting states, so those are solved exactly on a grid of smoothing weights, narrowed twice.
-    """
-    lo, hi = np.array([0.01, 0.01]), np.array([0.99, 0.99])
-    best = math.inf
-    for _ in range(3):
-        a = np.linspace(lo[0], hi[0], 13)
-        a, share = (g.ravel() for g in np.meshgrid(a, np.linspace(lo[1], hi[1], 9) if trend else [0.0]))
-        b = a * share
-        # columns: the path from zero states, and its derivatives in the starting level and slope
-        level, slope = np.zeros((3, len(a))), np.zeros((3, len(a)))
-        level[1], slope[2] = 1.0, 1.0
-        cross = np.zeros((3, 3, len(a)))
-        for v in y:
-            e = -(level + slope if trend else level)
-            e[0] += v
-            cross += e[:, None] * e
-            level, slope = -e + a * e, slope + b * e
-            level[0] += v
-        k = 2 if trend else 1
-        g, c = np.moveaxis(cross[1 : 1 + k, 1 : 1 + k], 2, 0), cross[1 : 1 + k, 0].T
-        start = np.linalg.solve(g + 1e-12 * np.trace(g, axis1=1, axis2=2)[:, None, None] * np.eye(k), c[:, :, None])[:, :, 0]
-        sse = np.maximum(cross[0, 0] - (c * start).sum(1), 1e-12 * (y @ y) + 1e-300)
-        at = int(sse.argmin())
-        best = min(best, float(sse[at]))
-        width = (hi - lo) / 8
-        mid = np.array([a[at], share[at] if trend else 0.5])
-        lo, hi = np.clip(mid - width, 0.001, 0.998), np.clip(mid + width, 0.002, 0.999)
-    return len(y) * math.log(best) + 2 * (4 if trend else 2)
-
-
-def trending(cma: np.ndarray) -> bool:
-    """Whether smoothing with a trend explains the centred average better, by AIC."""
-    if len(cma) < 4 or cma.min() == cma.max():
-        return False
-    z = (cma - cma.mean()) / cma.std()
-    return smoothing_aic(z, False) > smoothing_aic(z, True)
-
-
-def multiplicative(y: np.ndarray, cma: np.ndarray, m: int, level: float = 0.05) -> bool:
-    """Whether the seasons' ranges grow with their level: positive correlation over whole seasons."""
-    whole = len(y) // m
-    if y.min() <= 0 or whole < 3:
-        return False
-    r = (y - cma)[: whole * m].reshape(whole, m)
-    size, height = r.max(1) - r.min(1), cma[: whole * m].reshape(whole, m).mean(1)
-    if size.std() == 0 or height.std() == 0:
-        return False
-    c = float(np.corrcoef(size, height)[0, 1])
-    return c > 0 and t_tail(c * math.sqrt((whole - 2) / max(1 - c * c, 1e-300)), whole - 2) <= level
-
-
 def seasonal_root(y: np.ndarray, m: int) -> bool:
     """Canova and Hansen's test: whether the seasonal pattern moves, judged from partial sums of its regression residuals.
 
@@ -120,16 +39,10 @@ def seasonal_root(y: np.ndarray, m: int) -> bool:
     return stat > (CRITICAL[p - 1] if p <= len(CRITICAL) else 0.269 * (p + 1) ** 0.928)
 
 
-def difference_orders(y: np.ndarray, m: int, strict: bool = True) -> tuple[int, ...]:
-    """1 where the series trends, then m where its season has a unit root.
+def roots_of(free: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([v is not None and seasonal_root(np.asarray(v, float), int(k)) for v, k in zip(free, m, strict=True)])
 
-    strict: a seasonal difference is taken only together with the one for trend; otherwise it may stand alone.
-    """
-    cma = centred_average(y, m)
-    trend, season = trending(cma), False
-    if seasonal(y, m):
-        ratio = y.min() > 0 and (len(y) / m < 3 or multiplicative(y, cma, m))
-        season = seasonal_root(y / cma if ratio else y - cma, m)
-    if season and not trend and strict:
-        return ()
-    return (1,) * trend + (m,) * season
+
+def seasonal_roots(free: str, m: str) -> Column:
+    """seasonal_root of each array; false where there is none."""
+    return pandas_udf(roots_of, "boolean")(free, m)

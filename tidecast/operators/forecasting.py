@@ -1,7 +1,10 @@
-"""Fitting and forecasting of many series: a plan for each series, then task units of a series and some of its ensemble members.
+"""Fitting and forecasting of many series: a plan for each series, its ensemble's networks, their forecasts and one-step values.
 
-A series is packed into one row before it is dealt out, so a unit carries it once, and differences, scaling and inputs are made
-once a unit. There are as many units as give every core something to do: one a series where there are many series.
+A series is packed into one row (operators/design.py), in which differences, scaling, inputs, tests of season and trend, forecasts
+and fitted values are expressions. Its design table goes on as rows, one step each: from these, sums of products by unit decide
+which inputs stay and what the output weights are, so that Python holds a batch of steps and those sums. A unit is a series
+and some of its members; there are as many as give every core something to do, one a series where there are many. Only
+perceptrons, which are trained on all steps again and again, gather the steps of a unit.
 
 A series is rows (series_id, t, y) with t dense from 1, and x array<double> where there are outside regressors; rows past the
 last y give the regressors' future. A plan, a model and a forecast are DataFrames: write them as Parquet to keep them. A series
@@ -12,24 +15,22 @@ a series count as gaps.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidecast.functions import arrays as A
 from tidecast.functions import nets, stats, unitroots
 from tidecast.functions.transforms import combine
+from tidecast.operators.design import PLAN_NAMES, depth, design, one_step, packed, path, planned, shift, spread
 from tidecast.sources.written import materialise
 
-PLAN = "series_id string, status string, warning string, season double, difforder array<int>, lags array<int>, xreg_lags array<array<int>>, periods array<double>, det_type string, low double, high double, x_low array<double>, x_high array<double>, inputs int, rows int, hidden array<int>, hidden_errors array<struct<hidden:int,mse:double>>"
-PLAN_NAMES = [c.split(" ")[0] for c in PLAN.split(", ")]
-MODEL = "series_id string, rep int, activation string, layers array<array<array<double>>>, direct array<double>"
-MEMBER = "series_id string, rep int, h int, yhat double"
-FITTED = "series_id string, rep int, t int, y double, fitted double"
+MODEL = "series_id string, rep int, activation string, layers array<array<array<double>>>, direct array<double>, settled boolean"
 SIZES = "series_id string, hidden int, fold int, mse double"
 
 
@@ -98,190 +99,131 @@ class Spec:
         return tuple(range(1, (self.m if self.m > 3 else 4) + 1))
 
 
-def split(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
-    """(y up to its last value, regressors of all rows or None); rows of a group come in any order."""
-    pdf = pdf.sort_values("t")
-    y = pdf["y"].to_numpy(float)
-    seen = np.flatnonzero(~np.isnan(y))
-    x = np.vstack([np.asarray(r, float) for r in pdf["x"]]) if "x" in pdf and len(pdf) and all(r is not None for r in pdf["x"]) else None
-    y = y[: seen[-1] + 1] if len(seen) else y[:0]
-    return (np.append(y, np.nan) if pdf["t"].duplicated().any() else y), x
+def rng_of(spec: Spec, series: str, *more: int) -> np.random.Generator:
+    return np.random.default_rng([spec.seed, zlib.crc32(str(series).encode()), *more])
 
 
-def ladder(y: np.ndarray, order: tuple[int, ...]) -> list[np.ndarray]:
-    """y and its successive differences, each shorter than the one before."""
-    out = [y]
-    for k in order:
-        out.append(out[-1][k:] - out[-1][:-k])
-    return out
+def ints(values) -> Column:
+    return F.array(*(F.lit(int(v)) for v in values)).cast("array<int>")
 
 
-def scaled(v: np.ndarray, low, high) -> np.ndarray:
-    return 1.6 * (v - low) / np.where(np.asarray(high) > low, np.subtract(high, low), 1.0) - 0.8
+class Unit:
+    """What is made of the steps of a unit as they come: add(x, y) takes some, end() gives rows."""
 
+    def __init__(self, row):
+        self.row, self.seen = row, 0
 
-def unscaled(v: np.ndarray, low: float, high: float) -> np.ndarray:
-    return (v + 0.8) / 1.6 * (high - low) + low
 
+def stream(rows: DataFrame, keys: list[str], make: Callable, schema: str) -> DataFrame:
+    """Rows of a design table, those of a unit one after the other, through make(first row): a Unit. Memory: one batch and one unit."""
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
 
-def seasons(at: np.ndarray, m: float, kind: str) -> list[np.ndarray]:
-    """Dummy columns of the steps at (from 0): m - 1 indicators, or the first sine and cosine."""
-    if kind == "bin":
-        return [(at % m == s).astype(float) for s in range(1, int(m))]
-    angle = 2 * np.pi * (at % m) / m
-    return [np.cos(angle)] if m == 2 else [np.sin(angle), np.cos(angle)]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, unit = None, None
+        for batch in batches:
+            out = []
+            for at, part in batch.groupby(keys, sort=False, dropna=False):
+                if at != now:
+                    out += unit.end() if unit else []
+                    now, unit = at, make(next(part.itertuples(index=False)))
+                unit.add(np.stack(part["x"].to_list()), part["target"].to_numpy(float))
+                unit.seen += len(part)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if unit:
+            yield pd.DataFrame(unit.end(), columns=columns)
 
+    return rows.mapInPandas(run, schema)
 
-def blocks_of(z: np.ndarray, x: np.ndarray | None, plan: dict, start: int, first: int, last: int) -> list[list[np.ndarray]]:
-    """Input columns for steps first..last-1 of z, in blocks: each lag, each lag of each regressor, each period's dummies."""
-    out = [[z[first - k : last - k]] for k in plan["lags"]]
-    out += [[x[first - k : last - k, i]] for i, ks in enumerate(plan["xreg_lags"]) for k in ks]
-    return out + [seasons(np.arange(first, last) + start, m, plan["det_type"]) for m in plan["periods"]]
 
+def shares(plans: DataFrame, most: int) -> int:
+    """Into how many units a series' work is cut, so that there are a few for every core; at most `most`."""
+    series = plans.where("status = 'ok'").count()
+    return max(1, min(most, -(-2 * plans.sparkSession.sparkContext.defaultParallelism // max(series, 1))))
 
-def depth(plan: dict) -> int:
-    return max([*plan["lags"], *(k for ks in plan["xreg_lags"] for k in ks)], default=0)
 
+def parted(series: DataFrame, plans: DataFrame, spec: Spec, cut: int, *keep: str) -> DataFrame:
+    """Design rows (series_id, part, keep..., at, target, x) of the series whose plan is ok, for each of cut parts."""
+    units = planned(series, plans.where("status = 'ok'")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cut - 1))))
+    return design(spread(units, "series_id", "part"), spec.phase, "series_id", "part", *keep)
 
-def design(z: np.ndarray, x: np.ndarray | None, plan: dict, start: int) -> tuple[np.ndarray, np.ndarray]:
-    first = depth(plan)
-    blocks = blocks_of(z, x, plan, start, first, len(z))
-    return np.column_stack([c for b in blocks for c in b]), z[first:]
 
+class Moments(Unit):
+    """Sums of products of (1, inputs, target), of all steps or by fold."""
 
-def rng_of(spec: Spec, series: str, *more: int) -> np.random.Generator:
-    return np.random.default_rng([spec.seed, zlib.crc32(str(series).encode()), *more])
+    def __init__(self, row, fold: np.ndarray | None):
+        super().__init__(row)
+        self.fold, self.sums = fold, {}
 
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        fold = np.zeros(len(y), int) if self.fold is None else self.fold[self.seen : self.seen + len(y)]
+        for f in np.unique(fold):
+            self.sums[f] = self.sums.get(f, 0.0) + stats.moments(x[fold == f], y[fold == f])
 
-def prepared(pdf: pd.DataFrame, plan: dict, spec: Spec) -> tuple[np.ndarray, np.ndarray | None, list[np.ndarray], int]:
-    """(z, scaled regressors on z's steps, levels of differences, steps before z)."""
-    y, x = split(pdf)
-    shift = sum(plan["difforder"])
-    levels = ladder(y, plan["difforder"])
-    if x is not None and len(plan["x_low"]):
-        x = scaled(x[shift:], plan["x_low"], plan["x_high"])
-    return scaled(levels[-1], plan["low"], plan["high"]), x, levels, shift + spec.phase
-
-
-def select(z: np.ndarray, x: np.ndarray | None, plan: dict, spec: Spec, start: int, rng: np.random.Generator) -> tuple[dict, str]:
-    """The plan with the inputs that backward selection leaves; by lasso where there are too few steps. Waves always stay."""
-    first = depth(plan)
-    blocks = blocks_of(z, x, plan, start, first, len(z))
-    names = [("y", 0, k) for k in plan["lags"]] + [("x", i, k) for i, ks in enumerate(plan["xreg_lags"]) for k in ks] + [("d", 0, m) for m in plan["periods"]]
-    matrix, target = np.column_stack([c for b in blocks for c in b]), z[first:]
-    ends = np.cumsum([len(b) for b in blocks])
-    columns = [list(range(e - len(b), e)) for b, e in zip(blocks, ends, strict=True)]
-    kept = {j for j, (kind, i, k) in enumerate(names) if (kind == "y" and k in spec.keep) or (kind == "x" and i < len(spec.xreg_keep) and k in spec.xreg_keep[i])}
-    warning = ""
-    if len(target) > matrix.shape[1] + 2:
-        held = stats.backward(matrix, target, columns, kept)
-    else:
-        fold = rng.permutation(len(target)) % min(5, len(target))
-        w = stats.cross_validated([stats.moments(matrix[fold == f], target[fold == f]) for f in range(fold.max() + 1)], stats.lasso_path, rule=spec.penalty)
-        held, warning = [j for j, own in enumerate(columns) if (w[1 + np.array(own)] != 0).any()], "selected by lasso"
-    left = [names[j] for j in held]
-    new = plan | {
-        "lags": [k for kind, _, k in left if kind == "y"],
-        "xreg_lags": [[k for kind, j, k in left if kind == "x" and j == i] for i in range(len(plan["xreg_lags"]))],
-        "periods": plan["periods"] if plan["det_type"] == "trg" else [m for kind, _, m in left if kind == "d"],
-    }
-    if not new["lags"]:
-        if not plan["periods"] and not any(new["xreg_lags"]):
-            new["lags"], warning = [1], "no inputs left: the last value is used"
-        elif spec.strict or not (new["periods"] or any(new["xreg_lags"])):
-            new["lags"] = plan["lags"]
-    return new, warning
-
-
-def plan_of(key: str, pdf: pd.DataFrame, spec: Spec) -> dict:
-    y, x = split(pdf)
-    width = 0 if x is None else x.shape[1]
-    plan = {"series_id": key, "status": "ok", "warning": "", "season": float(max(spec.periods)), "difforder": [], "lags": list(spec.candidates), "xreg_lags": [], "periods": [], "det_type": None, "low": None, "high": None, "x_low": [], "x_high": [], "inputs": 0, "rows": 0, "hidden": None, "hidden_errors": None}
-    stop = lambda why, **more: plan | more | {"status": why}
-    if spec.xreg_lags is not None and len(spec.xreg_lags) != width:
-        return stop("regressors and their lags don't match")
-    if width and len(x) < len(y):
-        return stop("regressors are shorter than the series")
-    plan["xreg_lags"] = [list(ks) for ks in spec.xreg_lags] if spec.xreg_lags is not None else [list(spec.candidates)] * width
-    if not len(y) or not np.isfinite(y).all() or (width and not np.isfinite(x).all()):
-        return stop("too short or with gaps")
-    if y.min() == y.max():
-        return stop("constant", low=float(y[0]), high=float(y[0]), lags=[], xreg_lags=[])
-    order = unitroots.difference_orders(y, spec.m, spec.strict) if spec.difforder is None else tuple(spec.difforder)
-    plan["difforder"] = [] if 0 in order else list(order)
-    shift = sum(plan["difforder"])
-    if len(y) - shift <= depth(plan) + 2:
-        return stop("too short or with gaps")
-    if spec.dummies and spec.m > 1 and (len(spec.periods) > 1 or spec.m not in plan["difforder"]) and unitroots.seasonal(y, spec.m):
-        plan["periods"] = [float(m) for m in spec.periods]
-        whole = len(spec.periods) == 1 and spec.periods[0] == spec.m <= 12
-        plan["det_type"] = spec.det_type if spec.det_type != "auto" else ("bin" if whole else "trg")
-    d = ladder(y, plan["difforder"])[-1]
-    plan["low"], plan["high"] = float(d.min()), float(d.max())
-    if plan["low"] == plan["high"]:
-        return stop("constant", lags=[], xreg_lags=[], periods=[])
-    if not plan["lags"] and not any(plan["xreg_lags"]) and not plan["periods"]:
-        return stop("no inputs")
-    if width:
-        plan["x_low"], plan["x_high"] = x[shift:].min(0).tolist(), x[shift:].max(0).tolist()
-    z, x, _, start = prepared(pdf, plan, spec)
-    if spec.select:
-        plan, plan["warning"] = select(z, x, plan, spec, start, rng_of(spec, key))
-    matrix, target = design(z, x, plan, start)
-    plan["inputs"], plan["rows"] = matrix.shape[1], len(target)
-    plan["hidden"] = list(spec.layers) if spec.layers else None
-    if spec.kind == "mlp" and plan["hidden"] is None:
-        plan["hidden"] = {"set": [5], "elm": [0]}.get(spec.hidden_type)
-        if spec.hidden_type == "elm":
-            plan["hidden"] = [significant_neurons(matrix, target, rng_of(spec, key, 1))]
-    return plan
-
-
-def significant_neurons(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, nets_tried: int = 20) -> int:
-    """Rounded median, over random networks, of the neurons that are significant after backward selection; at least 1."""
-    size = max(1, min(x.shape[1] + 2, len(y) - 2))
-    counts = []
-    for _ in range(nets_tried):
-        z = nets.hidden_output(x, nets.random_layers(x.shape[1], (size,), False, False, rng), "logistic")
-        counts.append(int((stats.least_squares(stats.moments(z, y), True)[1] < 0.05).sum()))
-    return max(1, round(float(np.median(counts))))
-
-
-def rows_of(series: DataFrame) -> DataFrame:
-    """Only the columns that are used, so that the scan and the shuffle carry no others."""
-    return series.select(F.col("series_id").cast("string").alias("series_id"), "t", "y", *(["x"] if "x" in series.columns else []))
-
-
-def packed(series: DataFrame) -> DataFrame:
-    """(series_id, t, y[, x]): a row for each series, whose arrays run side by side in any order."""
-    rows = rows_of(series)
-    values = [c for c in rows.columns if c != "series_id"]
-    # x by itself may be null in a step, so y is the array that a null stands in
-    one = rows.groupBy("series_id").agg(F.collect_list(F.struct(*values)).alias("s"))
-    return one.select("series_id", *(F.col(f"s.{c}").alias(c) for c in values))
-
-
-def unpacked(row) -> pd.DataFrame:
-    out = {"t": np.asarray(row.t), "y": np.asarray(row.y, float)}
-    return pd.DataFrame(out | ({"x": list(row.x)} if hasattr(row, "x") else {}))
-
-
-def deal(units: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
-    """run(row) -> rows as tuples, for each row of units; dealt out by all keys, since few rows would share one task."""
-    spark = units.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    columns = [c.split(" ")[0] for c in schema.split(", ")]
+    def end(self) -> list[tuple]:
+        return [(self.row.series_id, [m.ravel().tolist() for _, m in sorted(self.sums.items())])]
+
+
+def selection(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
+    """(series_id, held, by_lasso): the blocks of inputs that backward selection leaves, lasso where there are too few steps.
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([out for row in pdf.itertuples(index=False) for out in run(row)], columns=columns)
+    Blocks are counted from 0: lags, then each regressor's lags, then each period's dummies.
+    """
+    wide = lambda row: row.rows > row.inputs + 2
+    make = lambda row: Moments(row, None if wide(row) else rng_of(spec, row.series_id).permutation(row.rows) % min(5, row.rows))
+    sums = stream(parted(series, plans, spec, 1, "inputs", "rows"), ["series_id", "part"], make, "series_id string, sums array<array<double>>")
+    flat = F.flatten("xreg_lags")
+    keeps = F.array(*(ints(ks) for ks in spec.xreg_keep or ((),)))
+    of_x = F.transform("xreg_lags", lambda ks, i: F.transform(ks, lambda k: F.coalesce(F.array_contains(F.get(keeps, i), k), F.lit(False))))
+    marks = F.concat(F.transform("lags", lambda k: F.array_contains(ints(spec.keep), k)), F.flatten(of_x), F.transform("periods", lambda _: F.lit(False)))
+    widths = F.concat(F.transform("lags", lambda _: F.lit(1)), F.transform(flat, lambda _: F.lit(1)), F.transform("periods", lambda m: dummies_of(m)))
+    rows = sums.join(plans.select("series_id", "inputs", "rows", marks.alias("marks"), widths.alias("widths")), "series_id")
+    rule = spec.penalty
+
+    @pandas_udf("array<int>")
+    def choose(sums: pd.Series, widths: pd.Series, marks: pd.Series) -> pd.Series:
+        out = []
+        for folds, size, kept in zip(sums, widths, marks, strict=True):
+            folds = [np.asarray(m).reshape(int(len(m) ** 0.5), -1) for m in folds]
+            ends = np.cumsum(size)
+            columns = [list(range(e - k, e)) for e, k in zip(ends, size, strict=True)]
+            if len(folds) == 1:
+                out.append(stats.swept(folds[0], columns, {j for j, k in enumerate(kept) if k}))
+            else:
+                w = stats.cross_validated(folds, stats.lasso_path, rule=rule)
+                out.append([j for j, own in enumerate(columns) if kept[j] or (w[1 + np.array(own)] != 0).any()])
+        return pd.Series(out)
 
-    return units.repartition(n, *keys).groupBy(*keys).applyInPandas(each, schema)  # a row a group: packed series may be long
+    return rows.select("series_id", choose("sums", "widths", "marks").alias("held"), (F.size("sums") > 1).alias("by_lasso"))
 
 
-def shares(plans: DataFrame, most: int) -> int:
-    """Into how many units a series' work is cut, so that there are a few for every core; at most `most`."""
-    series = plans.where("status = 'ok'").count()
-    return max(1, min(most, -(-2 * plans.sparkSession.sparkContext.defaultParallelism // max(series, 1))))
+def dummies_of(m: Column) -> Column:
+    """Columns of a period's dummies."""
+    return F.when(F.col("det_type") == "bin", m.cast("int") - 1).when(m == 2, 1).otherwise(2)
+
+
+def selected(plans: DataFrame, held: DataFrame, spec: Spec) -> DataFrame:
+    """Plans with the inputs that selection leaves. Waves always stay, and so do rejected lags where strict and nothing else is left."""
+    rows = plans.join(held, "series_id", "left")
+    at = lambda values, first: F.filter(values, lambda v, j: F.array_contains("held", (j + first).cast("int")))
+    lags, n = at(F.col("lags"), F.lit(0)), F.size("lags")
+    before = lambda i: F.size(F.flatten(F.slice("xreg_lags", F.lit(1), i)))
+    xreg = F.transform("xreg_lags", lambda ks, i: F.filter(ks, lambda k, j: F.array_contains("held", (j + n + before(i)).cast("int"))))
+    periods = F.when(F.col("det_type") == "trg", F.col("periods")).otherwise(at(F.col("periods"), n + F.size(F.flatten("xreg_lags"))))
+    rows = rows.select("*", lags.alias("l"), xreg.alias("x"), periods.alias("p"))
+    rest = (F.size("p") > 0) | (F.size(F.flatten("x")) > 0)
+    back = F.lit(True) if spec.strict else ~rest
+    nothing = (F.size(F.flatten("x")) == 0) & ((F.size("periods") == 0) | ((F.size("lags") == 0) & (F.size("p") == 0)))
+    lags = F.when(F.size("l") > 0, F.col("l")).when(nothing, ints((1,))).when(back, F.col("lags")).otherwise(F.col("l"))
+    warning = F.when((F.size("l") == 0) & nothing, "no inputs left: the last value is used").when(F.col("by_lasso"), "selected by lasso").otherwise(F.col("warning"))
+    new = {"lags": lags, "xreg_lags": F.col("x"), "periods": F.col("p"), "warning": warning}
+    return rows.select(*(F.when(F.col("held").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in PLAN_NAMES))
+
+
+def counted(plans: DataFrame) -> DataFrame:
+    """Plans with the number of their inputs and of the rows that have all lags (rows holds the steps of the differences before)."""
+    many = F.size("lags") + F.size(F.flatten("xreg_lags")) + F.aggregate(F.transform("periods", dummies_of), F.lit(0), lambda s, k: s + k)
+    return plans.withColumns({"inputs": F.when(F.col("status") == "ok", many).otherwise(0), "rows": F.when(F.col("status") == "ok", F.col("steps") - depth()).otherwise(0)})
 
 
 def specify(series: DataFrame, spec: Spec, periods: DataFrame | None = None) -> DataFrame:
@@ -291,34 +233,117 @@ def specify(series: DataFrame, spec: Spec, periods: DataFrame | None = None) ->
     are tried, hidden_errors keeps the error of each.
     """
     units = packed(series)
+    every = F.array(*(F.lit(float(m)) for m in spec.periods))
     if periods is not None:
-        units = units.join(periods.select(F.col("series_id").cast("string").alias("series_id"), F.col("periods").alias("own")), "series_id", "left")
-
-    def run(row) -> list[tuple]:
-        own = getattr(row, "own", None)
-        one = replace(spec, periods=tuple(float(m) for m in own)) if own is not None and len(own) else spec
-        plan = plan_of(row.series_id, unpacked(row), one)
-        return [tuple(plan[c] for c in PLAN_NAMES)]
-
-    plans = deal(units, ["series_id"], run, PLAN)
-    if spec.kind == "mlp" and spec.layers is None and spec.hidden_type in ("valid", "cv"):
+        units = units.join(periods.select(F.col("series_id").cast("string").alias("series_id"), F.col("periods").cast("array<double>").alias("own")), "series_id", "left")
+        every = F.when(F.size("own") > 0, F.col("own")).otherwise(every)
+    units = spread(units.withColumn("every", every).withColumn("m", F.array_max("every").cast("int")), "series_id")
+
+    candidates = ints(spec.candidates) if spec.lags is not None else A.upto(1, F.when(F.col("m") > 3, F.col("m")).otherwise(4))
+    given = F.array(*(ints(ks) for ks in spec.xreg_lags)).cast("array<array<int>>") if spec.xreg_lags is not None else F.transform(A.upto(1, F.col("width")), lambda _: F.col("lags"))
+    bad = F.when(F.col("width") < 0, "regressors and their lags don't match")
+    if spec.xreg_lags is not None:
+        bad = bad.when(F.col("width") != len(spec.xreg_lags), "regressors and their lags don't match")
+    bad = bad.when((F.col("width") > 0) & (F.size("x") < F.size("y")), "regressors are shorter than the series").when((F.size("y") == 0) | ~F.col("sound"), "too short or with gaps")
+    units = units.withColumn("lags", candidates).withColumn("xreg_lags", given).withColumn("bad", bad).withColumn("flat", F.col("bad").isNull() & (F.array_min("y") == F.array_max("y")))
+    live = F.col("bad").isNull() & ~F.col("flat")
+
+    def tests(cma: Column) -> Column:
+        season = A.seasonal(F.col("y"), cma, F.col("m")) if spec.dummies or spec.difforder is None else F.lit(False)
+        ratio = (F.array_min("y") > 0) & ((F.size("y") / F.col("m") < 3) | A.multiplicative(F.col("y"), cma, F.col("m")))
+        free = lambda s: F.when(s & F.lit(spec.difforder is None), A.let(ratio, lambda r: F.zip_with("y", cma, lambda v, c: F.when(r, v / F.nullif(c, F.lit(0.0))).otherwise(v - c))))
+        trend = A.trending(cma) if spec.difforder is None else F.lit(False)
+        return A.let(season, lambda s: F.struct(s.alias("season"), trend.alias("trend"), free(s).alias("free")))
+
+    if spec.dummies or spec.difforder is None:
+        units = units.withColumn("tests", F.when(live, A.let(A.centred_average(F.col("y"), F.col("m")), tests)))
+    else:
+        units = units.withColumn("tests", F.struct(F.lit(False).alias("season"), F.lit(False).alias("trend"), F.lit(None).cast("array<double>").alias("free")))
+    if spec.difforder is None:
+        units = materialise(units, "tests")  # what follows asks for each test more than once
+        root, up = unitroots.seasonal_roots("tests.free", "m"), F.coalesce("tests.trend", F.lit(False))
+        units = units.withColumn("root", root)
+        order = F.concat(F.when(up, ints((1,))).otherwise(ints(())), F.when(F.col("root") & (up if spec.strict else F.lit(True)), F.array("m")).otherwise(ints(())))
+    else:
+        order = ints([] if 0 in spec.difforder else spec.difforder)
+    units = units.withColumn("difforder", F.when(live, order).otherwise(ints(())))
+    units = units.withColumn("steps", F.size("y") - shift()).withColumn("short", live & (F.col("steps") <= depth() + 2))
+    several = F.size("every") > 1
+    dummied = live & ~F.col("short") & F.lit(spec.dummies) & (F.col("m") > 1) & (several | ~F.array_contains("difforder", F.col("m"))) & F.coalesce("tests.season", F.lit(False))
+    whole = ~several & (F.get("every", F.lit(0)) == F.col("m")) & (F.col("m") <= 12)
+    kind = F.lit(spec.det_type) if spec.det_type != "auto" else F.when(whole, "bin").otherwise("trg")
+    units = units.withColumn("d", F.when(live & ~F.col("short"), A.ladder(F.col("y"), F.col("difforder"))).when(F.col("flat"), F.slice("y", 1, 1)))
+    units = units.withColumn("low", F.array_min("d")).withColumn("high", F.array_max("d")).withColumn("periods", F.when(dummied, F.col("every")).otherwise(A.none()))
+    steady = F.col("flat") | (F.col("low") == F.col("high"))
+    empty = (F.size("lags") == 0) & (F.size(F.flatten("xreg_lags")) == 0) & (F.size("periods") == 0)
+    status = F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("short"), "too short or with gaps").when(steady, "constant").when(empty, "no inputs").otherwise("ok")
+    ends = lambda pick: F.when((F.col("status") == "ok") & (F.col("width") > 0), A.let(F.slice("x", shift() + 1, F.size("x") - shift()), lambda x: F.transform(A.upto(0, F.col("width") - 1), lambda j: pick(F.transform(x, lambda r: F.get(r, j)))))).otherwise(A.none())
+    constant = F.col("status") == "constant"
+    plans = units.withColumn("status", status).select(
+        "series_id", "status", F.lit("").alias("warning"), F.array_max("every").alias("season"), "difforder",
+        F.when(constant, ints(())).otherwise(F.col("lags")).alias("lags"), F.when(constant, F.array().cast("array<array<int>>")).otherwise(F.col("xreg_lags")).alias("xreg_lags"),
+        F.when(constant, A.none()).otherwise(F.col("periods")).alias("periods"), F.when(F.size("periods") > 0, kind).alias("det_type"), "low", "high",
+        ends(F.array_min).alias("x_low"), ends(F.array_max).alias("x_high"), F.lit(None).cast("array<int>").alias("hidden"), F.lit(None).cast("array<struct<hidden:int,mse:double>>").alias("hidden_errors"), "steps",
+    )
+    plans = counted(plans)
+    if spec.select:
         plans = materialise(plans, "plans")
-        errors = hidden_errors(series, plans, spec).groupBy("series_id", "hidden").agg(F.avg("mse").alias("mse"))
-        best = errors.groupBy("series_id").agg(F.min_by("hidden", F.struct("mse", "hidden")).alias("size"), F.sort_array(F.collect_list(F.struct("hidden", "mse"))).alias("errors"))
-        plans = plans.join(best, "series_id", "left").withColumn("hidden", F.when(F.col("size").isNotNull(), F.array("size"))).withColumn("hidden_errors", F.col("errors")).select(*PLAN_NAMES)
+        steps = plans.select("series_id", "steps")
+        plans = counted(selected(plans, selection(series, plans, spec), spec).join(steps, "series_id"))
+    if spec.layers is not None:
+        plans = plans.withColumn("hidden", F.when(F.col("status") == "ok", ints(spec.layers)))
+    elif spec.kind == "mlp" and spec.hidden_type == "set":
+        plans = plans.withColumn("hidden", F.when(F.col("status") == "ok", ints((5,))))
+    plans = plans.select(*PLAN_NAMES)
+    if spec.kind == "mlp" and spec.layers is None and spec.hidden_type != "set":
+        plans = materialise(plans, "plans")
+        best = significant(series, plans, spec) if spec.hidden_type == "elm" else least_error(series, plans, spec)
+        plans = plans.drop("hidden", "hidden_errors").join(best, "series_id", "left").select(*PLAN_NAMES)
     return plans
 
 
-def plain(row) -> dict:
-    """A row of a plan as Python values."""
-    p = row._asdict()
-    lists = {c: [] if p[c] is None else list(p[c]) for c in ("difforder", "lags", "periods", "x_low", "x_high", "hidden")}
-    return p | lists | {"xreg_lags": [list(ks) for ks in (p["xreg_lags"] if p["xreg_lags"] is not None else [])]}
+class Significant(Unit):
+    """The rounded median, over random networks, of the neurons that are significant after backward selection; at least 1."""
+
+    def __init__(self, row, rng: np.random.Generator, nets_tried: int = 20):
+        super().__init__(row)
+        size = max(1, min(row.inputs + 2, row.rows - 2))
+        self.tried = [nets.random_layers(row.inputs, (size,), False, False, rng) for _ in range(nets_tried)]
+        self.sums = [0.0] * nets_tried
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        for k, layers in enumerate(self.tried):
+            self.sums[k] = self.sums[k] + stats.moments(nets.hidden_output(x, layers, "logistic"), y)
+
+    def end(self) -> list[tuple]:
+        counts = [int((stats.least_squares(m, True)[1] < 0.05).sum()) for m in self.sums]
+        return [(self.row.series_id, [max(1, round(float(np.median(counts))))])]
+
+
+def significant(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
+    rows = parted(series, plans, spec, 1, "inputs", "rows")
+    found = stream(rows, ["series_id", "part"], lambda row: Significant(row, rng_of(spec, row.series_id, 1)), "series_id string, hidden array<int>")
+    return found.withColumn("hidden_errors", F.lit(None).cast("array<struct<hidden:int,mse:double>>"))
+
+
+def least_error(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
+    errors = hidden_errors(series, plans, spec).groupBy("series_id", "hidden").agg(F.avg("mse").alias("mse"))
+    return errors.groupBy("series_id").agg(F.array(F.min_by("hidden", F.struct("mse", "hidden"))).alias("hidden"), F.sort_array(F.collect_list(F.struct("hidden", "mse"))).alias("hidden_errors"))
 
 
-def planned(series: DataFrame, plans: DataFrame, how: str = "inner") -> DataFrame:
-    """Packed series beside their plans."""
-    return packed(series).join(plans.select("series_id", *(F.col(c) for c in PLAN_NAMES[1:])), "series_id", how)
+class Gathered(Unit):
+    """All steps of a unit, for what is trained on them again and again."""
+
+    def __init__(self, row, run: Callable):
+        super().__init__(row)
+        self.run, self.x, self.y = run, [], []
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x.append(x)
+        self.y.append(y)
+
+    def end(self) -> list[tuple]:
+        return self.run(self.row, np.concatenate(self.x), np.concatenate(self.y))
 
 
 def hidden_errors(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
@@ -326,162 +351,106 @@ def hidden_errors(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
     folds = 5 if spec.hidden_type == "cv" else 1
     tried = min(20, max(2, spec.reps))
     cut = shares(plans, 1000)
-    units = planned(series, plans.where("status = 'ok'")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cut - 1))))
 
-    def run(row) -> list[tuple]:
-        plan, most, out = plain(row), spec.hidden_max or max(2, min(row.inputs + 2, row.rows - 2)), []
-        pairs = [(size, fold) for size in range(1, most + 1) for fold in range(folds)][row.part :: cut]
-        if not pairs:
-            return out
-        z, x, _, start = prepared(unpacked(row), plan, spec)
-        matrix, target = design(z, x, plan, start)
-        n = len(target)
+    def run(row, matrix: np.ndarray, target: np.ndarray) -> list[tuple]:
+        most, out, n = spec.hidden_max or max(2, min(row.inputs + 2, row.rows - 2)), [], len(target)
         order = np.arange(n)[::-1] if spec.folds == "time" else rng_of(spec, row.series_id, 2).permutation(n)
-        for size, fold in pairs:
+        for size, fold in [(size, fold) for size in range(1, most + 1) for fold in range(folds)][row.part :: cut]:
             left = order * 5 // n == fold if folds == 5 else order < round(0.2 * n)
             rng = rng_of(spec, row.series_id, 3, size, fold)
-            guesses = [nets.forward(matrix[left], nets.mlp(matrix[~left], target[~left], (size,), rng), (), "logistic") for _ in range(tried)]
+            guesses = [nets.forward(matrix[left], nets.mlp(matrix[~left], target[~left], (size,), rng)[0], (), "logistic") for _ in range(tried)]
             guess = np.array([combined(v, spec.comb) for v in np.transpose(guesses)])
             out.append((row.series_id, size, fold, float(((guess - target[left]) ** 2).mean())))
         return out
 
-    return deal(units, ["series_id", "part"], run, SIZES)
+    return stream(parted(series, plans, spec, cut, "inputs", "rows"), ["series_id", "part"], lambda row: Gathered(row, run), SIZES)
 
 
 def combined(v: np.ndarray, how: str) -> float:
     return float({"median": np.median, "mean": np.mean, "mode": stats.density_mode}[how](v))
 
 
+class Members(Unit):
+    """Extreme learning machines of a unit, from sums of products of their neurons."""
+
+    def __init__(self, row, reps: range, spec: Spec):
+        super().__init__(row)
+        hidden = tuple(int(k) for k in row.hidden) if row.hidden is not None and len(row.hidden) else None
+        self.reps = [(rep, nets.Elm(row.inputs, row.rows, hidden, spec.type, spec.direct, rng_of(spec, row.series_id, 9, rep), spec.barebone, spec.ortho, spec.penalty)) for rep in reps]
+        self.name = "softsign" if spec.barebone else "logistic"
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        for _, elm in self.reps:
+            elm.add(x, y)
+
+    def end(self) -> list[tuple]:
+        solved = [(rep, *elm.solve()) for rep, elm in self.reps]
+        return [(self.row.series_id, rep, self.name, [w.tolist() for w in layers], direct.tolist(), True) for rep, layers, direct in solved]
+
+
 def fit(series: DataFrame, plans: DataFrame, spec: Spec) -> DataFrame:
-    """A row of MODEL for each member of each series whose plan is ok."""
+    """A row of MODEL for each member of each series whose plan is ok; settled: whether its training came to an end by itself."""
     cut = shares(plans, spec.reps)
-    units = planned(series, plans.where("status = 'ok'")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cut - 1))))
 
-    def run(row) -> list[tuple]:
-        plan, out = plain(row), []
-        z, x, _, start = prepared(unpacked(row), plan, spec)
-        matrix, target = design(z, x, plan, start)
-        hidden = tuple(int(k) for k in plan["hidden"]) or None
-        name = "softsign" if spec.kind == "elm" and spec.barebone else "logistic"
+    def train(row, matrix: np.ndarray, target: np.ndarray) -> list[tuple]:
+        hidden, out = tuple(int(k) for k in row.hidden) if row.hidden is not None and len(row.hidden) else (5,), []
         for rep in range(row.part, spec.reps, cut):
-            rng = rng_of(spec, row.series_id, 9, rep)
-            if spec.kind == "mlp":
-                layers, direct = nets.mlp(matrix, target, hidden or (5,), rng), np.zeros(0)
-            else:
-                layers, direct = nets.elm(matrix, target, hidden, spec.type, spec.direct, rng, spec.barebone, spec.ortho, spec.penalty)
-            out.append((row.series_id, rep, name, [w.tolist() for w in layers], direct.tolist()))
+            layers, settled = nets.mlp(matrix, target, hidden, rng_of(spec, row.series_id, 9, rep))
+            out.append((row.series_id, rep, "logistic", [w.tolist() for w in layers], [], settled))
         return out
 
-    return deal(units, ["series_id", "part"], run, MODEL)
+    make = (lambda row: Gathered(row, train)) if spec.kind == "mlp" else (lambda row: Members(row, range(row.part, spec.reps, cut), spec))
+    return stream(parted(series, plans, spec, cut, "inputs", "rows", "hidden"), ["series_id", "part"], make, MODEL)
 
 
 def reuse(series: DataFrame, plans: DataFrame, spec: Spec, frozen: bool = False) -> DataFrame:
     """Saved plans for new data: inputs stay, the scaling follows the new data unless frozen. Fit again with these to retrain.
 
-    A series without plan, with other regressors or without the season its dummies need gets a status that says so.
+    A series without plan, with other regressors or without the season its dummies need gets a status that says so. Plans of
+    series that the new data lack stay as they are.
     """
-
-    def run(row) -> list[tuple]:
-        if row.status is None:
-            return [tuple({"series_id": row.series_id, "status": "no saved plan"}.get(c) for c in PLAN_NAMES)]
-        plan = plain(row)
-        y, x = split(unpacked(row))
-        shift, width = sum(plan["difforder"]), 0 if x is None else x.shape[1]
-        if width != len(plan["xreg_lags"]) and plan["status"] == "ok":
-            plan["status"] = "regressors and their lags don't match"
-        elif len(y) - shift <= depth(plan) or not np.isfinite(y).all():
-            plan["status"] = "too short or with gaps"
-        elif plan["periods"] and not unitroots.seasonal(y, int(plan["season"])):
-            plan["status"] = "the plan's season isn't in the data"
-        elif not frozen and plan["status"] == "ok":
-            d = ladder(y, plan["difforder"])[-1]
-            plan |= {"low": float(d.min()), "high": float(d.max())}
-            if width:
-                plan |= {"x_low": x[shift:].min(0).tolist(), "x_high": x[shift:].max(0).tolist()}
-        return [tuple(plan[c] for c in PLAN_NAMES)]
-
-    ids = packed(series).select("series_id")
-    return deal(planned(series, plans, "left"), ["series_id"], run, PLAN).unionByName(plans.join(ids, "series_id", "left_anti").select(*PLAN_NAMES))
-
-
-def networks(members) -> list[tuple[int, list[np.ndarray], np.ndarray, str]]:
-    """(rep, layers, direct weights, activation) of packed members, in order."""
-    found = [(int(m["rep"]), [np.array([list(w) for w in layer], float) for layer in m["layers"]], np.array(m["direct"], float), m["activation"]) for m in (members if members is not None else [])]
-    return sorted(found, key=lambda m: m[0])
+    units = spread(planned(series, plans, "left"), "series_id")
+    m, ok = F.col("season").cast("int"), F.col("status") == "ok"
+    season = A.let(A.centred_average(F.col("y"), m), lambda c: A.seasonal(F.col("y"), c, m))
+    status = (
+        F.when(F.col("status").isNull(), "no saved plan").when(ok & (F.col("width") != F.size("xreg_lags")), "regressors and their lags don't match")
+        .when((F.size("y") - shift() <= depth()) | ~F.col("sound"), "too short or with gaps").when((F.size("periods") > 0) & ~season, "the plan's season isn't in the data").otherwise(F.col("status"))
+    )
+    units = units.withColumn("now", status).withColumn("fresh", (F.col("now") == "ok") & F.lit(not frozen)).withColumn("d", F.when(F.col("fresh"), A.ladder(F.col("y"), F.col("difforder"))))
+    ends = lambda pick: A.let(F.slice("x", shift() + 1, F.size("x") - shift()), lambda x: F.transform(A.upto(0, F.col("width") - 1), lambda j: pick(F.transform(x, lambda r: F.get(r, j)))))
+    new = {"status": F.col("now")} | {c: F.when(F.col("fresh"), pick("d")).otherwise(F.col(c)) for c, pick in (("low", F.array_min), ("high", F.array_max))}
+    new |= {c: F.when(F.col("fresh") & (F.col("width") > 0), ends(pick)).otherwise(F.col(c)) for c, pick in (("x_low", F.array_min), ("x_high", F.array_max))}
+    kept = units.select(*(new[c].alias(c) if c in new else c for c in PLAN_NAMES))
+    return kept.unionByName(plans.join(series.select(F.col("series_id").cast("string").alias("series_id")).distinct(), "series_id", "left_anti").select(*PLAN_NAMES))
 
 
 def with_models(series: DataFrame, plans: DataFrame, models: DataFrame) -> DataFrame:
-    """Packed series beside their plans and packed members."""
-    members = models.groupBy("series_id").agg(F.collect_list(F.struct("rep", "activation", "layers", "direct")).alias("members"))
-    return planned(series, plans).join(members, "series_id", "left")
+    """Packed series beside their plans and packed members, in order."""
+    members = models.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("rep", "activation", "layers", "direct"))).alias("members"))
+    return spread(planned(series, plans).join(members, "series_id", "left"), "series_id")
 
 
 def predict(series: DataFrame, plans: DataFrame, models: DataFrame, spec: Spec, h: int | None = None) -> DataFrame:
-    """Forecasts of each member for h steps (a season), each on its own predictions. A series that has no networks: rep 0.
+    """(series_id, rep, h, yhat): forecasts of each member for h steps (a season), each on its own predictions. A series that has no networks: rep 0.
 
     Regressors must reach h steps past the last y, or the forecasts are null from the first missing step.
     """
-
-    def run(row) -> list[tuple]:
-        plan, pdf, out = plain(row), unpacked(row), []
-        ahead = h or int(plan["season"] or spec.m)
-        for rep, layers, direct, activation in networks(row.members) or [(0, None, None, None)]:
-            out += [(row.series_id, rep, i + 1, v) for i, v in enumerate(path(pdf, plan, layers, direct, activation, spec, ahead))]
-        return out
-
-    return deal(with_models(series, plans, models), ["series_id"], run, MEMBER)
-
-
-def path(pdf: pd.DataFrame, plan: dict, layers, direct, activation, spec: Spec, h: int) -> list[float | None]:
-    if plan["status"] not in ("ok", "constant") or (plan["status"] == "ok" and layers is None):
-        return [None] * h
-    z, x, levels, start = prepared(pdf, plan, spec)
-    if plan["status"] == "constant":
-        ahead = np.full(h, plan["low"])
-    else:
-        n, lagged = len(z), [k for ks in plan["xreg_lags"] for k in ks]
-        known = h if not lagged else min(h, (0 if x is None else len(x)) - n + min(lagged))
-        z = np.append(z, np.full(h, np.nan))
-        for i in range(n, n + max(known, 0)):
-            row = [c for b in blocks_of(z, x, plan, start, i, i + 1) for c in b]
-            z[i] = nets.forward(np.column_stack(row), layers, direct, activation)[0]
-        ahead = unscaled(z[n:], plan["low"], plan["high"])
-    for level, k in zip(levels[-2::-1], plan["difforder"][::-1], strict=True):
-        whole = np.append(level[-k:], ahead)
-        for i in range(k, len(whole)):
-            whole[i] += whole[i - k]
-        ahead = whole[k:]
-    return [float(v) if np.isfinite(v) else None for v in ahead]
+    ahead = F.lit(h) if h else F.coalesce(F.col("season").cast("int"), F.lit(spec.m))
+    rows = with_models(series, plans, models).select("series_id", F.explode(path(F.col("members"), ahead, F.lit(spec.phase))).alias("m"))
+    return rows.select("series_id", F.col("m.rep").alias("rep"), F.posexplode("m.yhat").alias("h", "yhat")).withColumn("h", F.col("h") + 1)
 
 
 def fitted(series: DataFrame, plans: DataFrame, models: DataFrame, spec: Spec) -> DataFrame:
-    """One-step values of each member: predictions of the differences, put back on the actual lagged levels."""
-
-    def run(row) -> list[tuple]:
-        plan, pdf, out = plain(row), unpacked(row), []
-        z, x, levels, start = prepared(pdf, plan, spec)
-        matrix, _ = design(z, x, plan, start)
-        y, t = levels[0], np.sort(pdf["t"].to_numpy())
-        for rep, layers, direct, activation in networks(row.members):
-            v = unscaled(nets.forward(matrix, layers, direct, activation), plan["low"], plan["high"])
-            for level, k in zip(levels[-2::-1], plan["difforder"][::-1], strict=True):
-                v = v + level[-len(v) - k : -k]
-            at = range(len(y) - len(v), len(y))
-            out += [(row.series_id, rep, int(t[i]), float(y[i]), float(f)) for i, f in zip(at, v, strict=True)]
-        return out
-
-    return deal(with_models(series, plans.where("status = 'ok'"), models), ["series_id"], run, FITTED)
+    """(series_id, rep, t, y, fitted): one-step values of each member."""
+    return one_step(with_models(series, plans.where("status = 'ok'"), models).where("members is not null"), spec.phase)
 
 
 def season_tests(series: DataFrame, m: int) -> DataFrame:
-    """(series_id, seasons, stat, seasonal): Friedman's test as plans use it; stat is null where there is none."""
-
-    def run(row) -> list[tuple]:
-        y, _ = split(unpacked(row))
-        seasons, stat = unitroots.friedman(y, m) if np.isfinite(y).all() else (0, np.nan)
-        return [(row.series_id, seasons, None if np.isnan(stat) else stat, bool(np.isfinite(y).all()) and unitroots.seasonal(y, m))]
-
-    return deal(packed(series), ["series_id"], run, "series_id string, seasons int, stat double, seasonal boolean")
+    """(series_id, seasons, stat, p_value, seasonal): Friedman's test as plans use it; stat is null where there is none."""
+    y, length = F.col("y"), F.lit(m)
+    test = F.when(F.col("sound") & (F.size("y") > 0), A.let(A.centred_average(y, length), lambda c: A.friedman(y, c, length)))
+    rows = spread(packed(series), "series_id").withColumn("f", test).select("series_id", F.coalesce("f.seasons", F.lit(0)).alias("seasons"), F.col("f.stat").alias("stat"))
+    return rows.withColumn("p_value", A.chi2_tail(F.col("stat"), F.lit(m - 1))).withColumn("seasonal", F.coalesce(F.col("p_value") <= 0.05, F.lit(False)))
 
 
 def mode_of(v: pd.Series) -> float:

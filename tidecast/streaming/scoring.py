@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import dataclasses
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidecast.functions import arrays as A
 from tidecast.operators import forecasting as fc
+from tidecast.operators.design import path
+from tidecast.operators.regression import row_modes
 
 STATE = "t int, tail array<double>, regressors array<array<double>>"
 TAIL = "series_id string, t int, need int, tail array<double>, regressors array<array<double>>"
-OUT = "series_id string, t int, h int, yhat double"
 
 
 def score(stream: DataFrame, plans: DataFrame, models: DataFrame, spec: fc.Spec, h: int = 1) -> DataFrame:
@@ -49,19 +50,19 @@ def score(stream: DataFrame, plans: DataFrame, models: DataFrame, spec: fc.Spec,
             yield pd.DataFrame([(key[0], last, need, tail, own)], columns=["series_id", "t", "need", "tail", "regressors"])
 
     tails = events.groupBy("series_id").applyInPandasWithState(keep, TAIL, STATE, "append", GroupStateTimeout.NoTimeout)
-    members = models.groupBy("series_id").agg(F.collect_list(F.struct("rep", "activation", "layers", "direct")).alias("members"))
+    members = models.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("rep", "activation", "layers", "direct"))).alias("members"))
     ready = tails.withColumnRenamed("t", "last").join(good.join(members, "series_id"), "series_id")
+    units = ready.withColumns({"y": F.col("tail"), "x": F.when(F.size("xreg_lags") > 0, F.col("regressors"))})
+    paths = units.select("series_id", F.col("last").alias("t"), path(F.col("members"), F.lit(h), F.lit(spec.phase) + F.col("last") - F.col("need")).alias("m"))
+    at = F.transform(A.upto(0, h - 1), lambda i: F.transform("m", lambda m: F.get(m["yhat"], i)))
+    each = paths.select("series_id", "t", F.posexplode(at).alias("h", "v")).withColumn("h", F.col("h") + 1)
+    return each.select("series_id", "t", "h", F.when(~F.exists("v", lambda v: v.isNull()), combined(F.col("v"), spec.comb)).alias("yhat"))
 
-    def forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                plan, steps = fc.plain(row), {"t": range(1, row.need + 1), "y": np.asarray(row.tail, float)}
-                if plan["xreg_lags"]:
-                    steps["x"] = [np.asarray(v, float) for v in row.regressors]
-                here = dataclasses.replace(spec, phase=spec.phase + row.last - row.need)
-                paths = np.array([fc.path(pd.DataFrame(steps), plan, layers, direct, name, here, h) for _, layers, direct, name in fc.networks(row.members)], float)
-                out += [(row.series_id, row.last, i + 1, fc.combined(v, spec.comb) if np.isfinite(v).all() else None) for i, v in enumerate(paths.T)]
-            yield pd.DataFrame(out, columns=["series_id", "t", "h", "yhat"])
 
-    return ready.mapInPandas(forecast, OUT)
+def combined(v: Column, how: str) -> Column:
+    if how == "mode":
+        return pandas_udf(row_modes, "double")(v)
+    if how == "mean":
+        return A.mean(v)
+    n = F.size(v)
+    return A.let(F.sort_array(v), lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
