@@ -12,8 +12,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Nodes and weights of Gauss and Legendre's rule on (0, 1).
-NODES, WEIGHTS = (v / 2 + c for v, c in zip(np.polynomial.legendre.leggauss(64), (0.5, 0.0), strict=True))
+#: (node, weight) of Gauss and Legendre's rule on (0, 1).
+RULE = [((n + 1) / 2, w / 2) for n, w in zip(*(v.tolist() for v in np.polynomial.legendre.leggauss(64)), strict=True)]
 ROUNDS, CELLS, SHARES = 3, 13, 9
 
 
@@ -121,7 +121,7 @@ def upper_gamma(x: Column, k: Column) -> Column:
 
 def t_tail(t: Column, df: Column) -> Column:
     """P(|Student's t with df degrees of freedom| > |t|): the density over the angle atan(t / sqrt(df)), by quadrature."""
-    pairs = F.array(*(F.struct(F.lit(float(n)).alias("n"), F.lit(float(w)).alias("w")) for n, w in zip(NODES, WEIGHTS, strict=True)))
+    pairs = F.expr("array(" + ", ".join(f"struct({n!r}D as n, {w!r}D as w)" for n, w in RULE) + ")")
     df = df.cast("double")
     over = lambda edge: (math.pi / 2 - edge) * F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["w"] * F.pow(F.cos(edge + p["n"] * (math.pi / 2 - edge)), df - 1))
     return F.least(F.lit(1.0), let(F.atan(F.abs(t) / F.sqrt(df)), over) / over(F.lit(0.0)))

@@ -237,52 +237,53 @@ def specify(series: DataFrame, spec: Spec, periods: DataFrame | None = None) ->
     if periods is not None:
         units = units.join(periods.select(F.col("series_id").cast("string").alias("series_id"), F.col("periods").cast("array<double>").alias("own")), "series_id", "left")
         every = F.when(F.size("own") > 0, F.col("own")).otherwise(every)
-    units = spread(units.withColumn("every", every).withColumn("m", F.array_max("every").cast("int")), "series_id")
+    units = spread(units.withColumns({"every": every, "m": F.array_max(every).cast("int")}), "series_id")
 
     candidates = ints(spec.candidates) if spec.lags is not None else A.upto(1, F.when(F.col("m") > 3, F.col("m")).otherwise(4))
-    given = F.array(*(ints(ks) for ks in spec.xreg_lags)).cast("array<array<int>>") if spec.xreg_lags is not None else F.transform(A.upto(1, F.col("width")), lambda _: F.col("lags"))
+    given = F.array(*(ints(ks) for ks in spec.xreg_lags)).cast("array<array<int>>") if spec.xreg_lags is not None else F.transform(A.upto(1, F.col("width")), lambda _: candidates)
     bad = F.when(F.col("width") < 0, "regressors and their lags don't match")
     if spec.xreg_lags is not None:
         bad = bad.when(F.col("width") != len(spec.xreg_lags), "regressors and their lags don't match")
     bad = bad.when((F.col("width") > 0) & (F.size("x") < F.size("y")), "regressors are shorter than the series").when((F.size("y") == 0) | ~F.col("sound"), "too short or with gaps")
-    units = units.withColumn("lags", candidates).withColumn("xreg_lags", given).withColumn("bad", bad).withColumn("flat", F.col("bad").isNull() & (F.array_min("y") == F.array_max("y")))
-    live = F.col("bad").isNull() & ~F.col("flat")
+    flat = bad.isNull() & (F.array_min("y") == F.array_max("y"))
+    open_ = spec.difforder is None
 
     def tests(cma: Column) -> Column:
-        season = A.seasonal(F.col("y"), cma, F.col("m")) if spec.dummies or spec.difforder is None else F.lit(False)
+        season = A.seasonal(F.col("y"), cma, F.col("m"))
+        if not open_:
+            return F.struct(season.alias("season"))
         ratio = (F.array_min("y") > 0) & ((F.size("y") / F.col("m") < 3) | A.multiplicative(F.col("y"), cma, F.col("m")))
-        free = lambda s: F.when(s & F.lit(spec.difforder is None), A.let(ratio, lambda r: F.zip_with("y", cma, lambda v, c: F.when(r, v / F.nullif(c, F.lit(0.0))).otherwise(v - c))))
-        trend = A.trending(cma) if spec.difforder is None else F.lit(False)
-        return A.let(season, lambda s: F.struct(s.alias("season"), trend.alias("trend"), free(s).alias("free")))
+        free = lambda s: F.when(s, A.let(ratio, lambda r: F.zip_with("y", cma, lambda v, c: F.when(r, v / F.nullif(c, F.lit(0.0))).otherwise(v - c))))
+        return A.let(season, lambda s: F.struct(s.alias("season"), A.trending(cma).alias("trend"), free(s).alias("free")))
 
-    if spec.dummies or spec.difforder is None:
-        units = units.withColumn("tests", F.when(live, A.let(A.centred_average(F.col("y"), F.col("m")), tests)))
-    else:
-        units = units.withColumn("tests", F.struct(F.lit(False).alias("season"), F.lit(False).alias("trend"), F.lit(None).cast("array<double>").alias("free")))
-    if spec.difforder is None:
+    found = F.when(bad.isNull() & ~flat, A.let(A.centred_average(F.col("y"), F.col("m")), tests)) if spec.dummies or open_ else F.struct(F.lit(False).alias("season"))
+    units = units.withColumns({"lags": candidates, "xreg_lags": given, "bad": bad, "flat": flat, "tests": found})
+    live = F.col("bad").isNull() & ~F.col("flat")
+    if open_:
         units = materialise(units, "tests")  # what follows asks for each test more than once
-        root, up = unitroots.seasonal_roots("tests.free", "m"), F.coalesce("tests.trend", F.lit(False))
-        units = units.withColumn("root", root)
+        up = F.coalesce("tests.trend", F.lit(False))
+        units = units.withColumn("root", unitroots.seasonal_roots("tests.free", "m"))
         order = F.concat(F.when(up, ints((1,))).otherwise(ints(())), F.when(F.col("root") & (up if spec.strict else F.lit(True)), F.array("m")).otherwise(ints(())))
     else:
         order = ints([] if 0 in spec.difforder else spec.difforder)
     units = units.withColumn("difforder", F.when(live, order).otherwise(ints(())))
-    units = units.withColumn("steps", F.size("y") - shift()).withColumn("short", live & (F.col("steps") <= depth() + 2))
+    steps = F.size("y") - shift()
+    short = live & (steps <= depth() + 2)
     several = F.size("every") > 1
-    dummied = live & ~F.col("short") & F.lit(spec.dummies) & (F.col("m") > 1) & (several | ~F.array_contains("difforder", F.col("m"))) & F.coalesce("tests.season", F.lit(False))
+    dummied = live & ~short & F.lit(spec.dummies) & (F.col("m") > 1) & (several | ~F.array_contains("difforder", F.col("m"))) & F.coalesce("tests.season", F.lit(False))
     whole = ~several & (F.get("every", F.lit(0)) == F.col("m")) & (F.col("m") <= 12)
     kind = F.lit(spec.det_type) if spec.det_type != "auto" else F.when(whole, "bin").otherwise("trg")
-    units = units.withColumn("d", F.when(live & ~F.col("short"), A.ladder(F.col("y"), F.col("difforder"))).when(F.col("flat"), F.slice("y", 1, 1)))
-    units = units.withColumn("low", F.array_min("d")).withColumn("high", F.array_max("d")).withColumn("periods", F.when(dummied, F.col("every")).otherwise(A.none()))
-    steady = F.col("flat") | (F.col("low") == F.col("high"))
+    d = F.when(live & ~short, A.ladder(F.col("y"), F.col("difforder"))).when(F.col("flat"), F.slice("y", 1, 1))
+    units = units.withColumns({"steps": steps, "short": short, "d": d, "periods": F.when(dummied, F.col("every")).otherwise(A.none())})
+    low, high = F.array_min("d"), F.array_max("d")
     empty = (F.size("lags") == 0) & (F.size(F.flatten("xreg_lags")) == 0) & (F.size("periods") == 0)
-    status = F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("short"), "too short or with gaps").when(steady, "constant").when(empty, "no inputs").otherwise("ok")
+    status = F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("short"), "too short or with gaps").when(F.col("flat") | (low == high), "constant").when(empty, "no inputs").otherwise("ok")
     ends = lambda pick: F.when((F.col("status") == "ok") & (F.col("width") > 0), A.let(F.slice("x", shift() + 1, F.size("x") - shift()), lambda x: F.transform(A.upto(0, F.col("width") - 1), lambda j: pick(F.transform(x, lambda r: F.get(r, j)))))).otherwise(A.none())
     constant = F.col("status") == "constant"
     plans = units.withColumn("status", status).select(
         "series_id", "status", F.lit("").alias("warning"), F.array_max("every").alias("season"), "difforder",
         F.when(constant, ints(())).otherwise(F.col("lags")).alias("lags"), F.when(constant, F.array().cast("array<array<int>>")).otherwise(F.col("xreg_lags")).alias("xreg_lags"),
-        F.when(constant, A.none()).otherwise(F.col("periods")).alias("periods"), F.when(F.size("periods") > 0, kind).alias("det_type"), "low", "high",
+        F.when(constant, A.none()).otherwise(F.col("periods")).alias("periods"), F.when(F.size("periods") > 0, kind).alias("det_type"), low.alias("low"), high.alias("high"),
         ends(F.array_min).alias("x_low"), ends(F.array_max).alias("x_high"), F.lit(None).cast("array<int>").alias("hidden"), F.lit(None).cast("array<struct<hidden:int,mse:double>>").alias("hidden_errors"), "steps",
     )
     plans = counted(plans)
