@@ -341,6 +341,17 @@ def test_a_telling_term_is_a_span_wherever_its_entity_stands(spark):
     assert got[4] == got[5] == "" and clean[4] == texts[4] and clean[5] == texts[5]
 
 
+def test_names_beside_values_that_occur_once_are_judged_by_their_domain_area_or_kind(spark):
+    values = {"Zorblatt": lambda k: f"w{k}@corp.example.com", "Quxley": lambda k: f"+44 20 7946 0{100 + k}", "Vantor": lambda k: f"10.77.{k}.{k + 1}"}
+    texts = [f"{text(20)} {name} {text(2)} {value(k)} {text(20)}" for name, value in values.items() for k in range(5)]
+    texts += [f"{text(20)} {c}{k}@mail.example {text(9)}" for k, c in enumerate("abcdefgh")] + [text(50) for _ in range(300)] + [f"Zorblatt {text(9)}"]
+    got = {r.doc_id: r.spans for r in pii.find(docs_of(spark, texts)).collect()}
+    for i, name in enumerate(n for n in values for _ in range(5)):
+        at = texts[i].index(name)
+        assert f"term:{at}:{at + len(name)}" in got[i].split(","), name
+    assert all("term" not in got[i] for i in range(15, 23)) and not any(got[i] for i in range(23, 324))
+
+
 def test_copies_of_a_text_hide_no_telling_term_and_a_shared_passage_counts_by_text(spark):
     passage = f"{text(40)} Zorblatt writes from zed@corp.example.com {text(40)}"
     texts = [f"{text(5)} {k} {passage}" for k in range(5)] + [text(50) for _ in range(100)]

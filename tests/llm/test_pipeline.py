@@ -61,7 +61,10 @@ def brute_spans(texts):
     for t, spans in own.items():
         masked = list(t)
         for s, k, e in spans:
-            held[k, t[s:e]].add(t)
+            v, digits = t[s:e], re.sub(r"\D", "", t[s:e])
+            broader = [("domain", v.split("@")[-1].lower()), ("local", v.split("@")[0].lower())] if k == 0 else [(k, "wide", {1: ".".join(v.split(".")[:2]), 2: digits[:6], 3: digits[:4]}[k])]
+            for c in [(k, v), *(("broad", b) for b in (*broader, ("kind", k)))]:
+                held[c].add(t)
             masked[s:e] = " " * (e - s)
         terms[t] = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]{2,}", "".join(masked))]
     of_term = defaultdict(set)
@@ -73,7 +76,7 @@ def brute_spans(texts):
         for w in {w for t in docs for *_, w in terms[t]}:
             both = len(docs & of_term[w])
             if len(docs) >= pii.SUPPORT and both >= pii.SUPPORT and total > len(docs):
-                share = math.log2(both * total / (len(docs) * len(of_term[w]))) / math.log2(total / len(docs))
+                share = math.log2((both / (both + 1) if c[0] == "broad" else 1) * both * total / (len(docs) * len(of_term[w]))) / math.log2(total / len(docs))
                 if share >= pii.DISCLOSED:
                     for t in docs:
                         telling[t].add(w)

@@ -1,9 +1,13 @@
 """Personal data: fixed forms, and terms that give protected entities away.
 
-Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each value found is a protected entity. Terms
-are counted over whole texts, outside base spans: with n(c, t) different texts that hold entity c and term t, n(c) different texts
+Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each value found is a protected entity, and so is
+each broader one it belongs to: the domain and the local part of an address, a network of 65,536 addresses, an issuer's six digits, a
+country and area code, and the kind itself. So what stands beside values that occur once is judged by what they have in common.
+
+Terms are counted over whole texts, outside base spans: with n(c, t) different texts that hold entity c and term t, n(c) different texts
 that hold c, and t in n(t) of N different texts, the pointwise mutual information of t and c is log2(n(c, t) N / (n(c) n(t))), and c
-carries log2(N / n(c)) bits. A term that stands in SUPPORT or more different texts of c and reveals DISCLOSED or more of c's bits
+carries log2(N / n(c)) bits. For broader entities, which many terms meet by chance, small counts are shrunk: n(c, t) counts by
+n / (n + 1), which takes 0.4 bits of three texts and nothing of many. A term that stands in SUPPORT or more different texts of c and reveals DISCLOSED or more of c's bits
 is a span as well, wherever it stands in a text that holds c, at any distance from it. A text without c keeps the term in clear:
 what ties the two are texts that hold both, and in each of these both are spans.
 
@@ -26,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import among, apart, fingerprint, free_name, materialise, slices, table
+from tidecast.llm.common import among, apart, discard, fingerprint, free_name, join_spread, materialise, slices, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What a span becomes in the sanitised text.
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 SUPPORT, DISCLOSED = 3, 0.9
-#: Bits of the filter of candidate terms that goes to the workers: a proven bound of 64 KB.
-FILTER_BITS = 19
+#: Bits of the filter of candidate terms that goes to the workers, by their number: 64 KB to 2 MB.
+FILTER_BITS = (19, 24)
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -96,6 +100,17 @@ def key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def entities_of(kind: int, value: str) -> list[int]:
+    """The protected entities of a value as numbers: itself, which is even, and the broader ones, which are odd."""
+    digits = "".join(c for c in value if c.isdigit())
+    if kind == 0:
+        local, _, domain = value.rpartition("@")
+        broader = [f"at {domain.lower()}", f"by {local.lower()}"]
+    else:
+        broader = [{1: "net " + ".".join(value.split(".")[:2]), 2: f"issuer {digits[:6]}", 3: f"area {digits[:4]}"}[kind]]
+    return [key(f"{kind}:{value}") & ~1, *(key(c) | 1 for c in (*broader, f"kind {kind}"))]
+
+
 def gaps(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """The stretches of text outside the spans, which are ordered and may overlap."""
     at = 0
@@ -143,7 +158,7 @@ def keyed_texts(docs: DataFrame, text_col: str) -> DataFrame:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, k1, k2, n_email, n_ip, n_card, n_phone, base_sha256, base, entities), one row for each row of docs.
 
-    k1, k2: fingerprint of the text; entities: a number for each different value found.
+    k1, k2: fingerprint of the text; entities: a number for each different value found and each broader entity.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<long>"
@@ -156,7 +171,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 spans = base_spans(text)
                 counts.append([sum(k == i for _, k, _ in spans) for i in range(4)] if spans else [0, 0, 0, 0])
                 base.append(written(spans))
-                entities.append(sorted({key(f"{k}:{text[s:e]}") for s, k, e in spans}))
+                entities.append(sorted({c for s, k, e in spans for c in entities_of(k, text[s:e])}))
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             digests = pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, digests, pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64()))], names=[id_col, "k1", "k2", *COUNTS, "base_sha256", "base", "entities"])
@@ -174,12 +189,13 @@ def different_texts(docs: DataFrame, found: DataFrame, text_col: str = "text") -
 def term_counts(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(t, n_t): rows of texts(text) that hold each term, for a superset of the terms in candidates(t).
 
-    The filter of candidates has a fixed size whatever their number, so it may be sent to every worker; workers sum what they see
+    The filter of candidates has a bounded size whatever their number, so it may be sent to every worker; workers sum what they see
     before anything is shuffled.
     """
-    words = candidates.select(F.shiftrightunsigned("t", 64 - FILTER_BITS).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
-    held = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.collect():  # 2**13 rows at most
+    size = min(max(candidates.count().bit_length() + 3, FILTER_BITS[0]), FILTER_BITS[1])
+    words = candidates.select(F.shiftrightunsigned("t", 64 - size).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
+    held = np.zeros(1 << (size - 6), np.int64)
+    for r in words.collect():  # 2**18 rows at most
         held[r[0]] = r[1]
     sent = texts.sparkSession.sparkContext.broadcast(held)
 
@@ -187,7 +203,7 @@ def term_counts(texts: DataFrame, candidates: DataFrame) -> DataFrame:
         bits, counts, known = sent.value.view(np.uint64), Counter(), {}
 
         def candidate(t: int) -> bool:
-            b = (t & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
+            b = (t & ((1 << 64) - 1)) >> (64 - size)
             return bool(int(bits[b >> 6]) >> (b & 63) & 1)
 
         for batch in slices(batches):
@@ -213,7 +229,7 @@ def owned(found: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(k1, k2, c, n_c): the different texts of each entity that stands in `support` of them or more."""
     each = found.where("size(entities) > 0").select("k1", "k2", F.explode("entities").alias("c")).distinct()
     n_c = each.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
-    return materialise(each.join(n_c, "c").select("k1", "k2", "c", "n_c"), "owned")
+    return materialise(join_spread(each, n_c, "c", "inner").select("k1", "k2", "c", "n_c"), "owned")
 
 
 def texts_of(docs: DataFrame, owners: DataFrame, text_col: str = "text") -> DataFrame:
@@ -222,39 +238,46 @@ def texts_of(docs: DataFrame, owners: DataFrame, text_col: str = "text") -> Data
     return materialise(once.join(owners.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", "text"), "owners")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, owners: DataFrame, texts: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """(c, t, disclosure): terms that reveal at least `disclosed` of an entity's information."""
+def telling_terms(docs: DataFrame, found: DataFrame, owners: DataFrame, texts: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+    """(k1, k2, terms array<long>): for each text of an entity the terms in it that give the entity away, by fingerprint of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 50):
             held = [sorted({t for word in runs_of(text.as_py()) for t, _ in terms_in(word)}) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(held, pa.list_(pa.int64()))], names=["k1", "k2", "terms"])
 
-    held = materialise(texts.mapInArrow(run, "k1 long, k2 long, terms array<long>"), "terms").select("k1", "k2", F.explode("terms").alias("t"))
-    # a term of a pair stands in `support` of these texts; which bounds n_t from below, and the share of the bits from above:
-    # n_ct is n_c at most, so a share of `disclosed` needs n_t <= total * (n_c / total) ** disclosed
+    # a share of `disclosed` needs n_t <= total * (n_c / total) ** disclosed, since n_ct is n_c at most, and
+    # n_ct >= n_t * (n_c / total) ** (1 - disclosed): of the texts of a term that many hold an entity, which few common words reach
     total = float(found.select("k1", "k2").distinct().count())
     most = owners.agg(F.max("n_c")).first()[0]
     if not most:
-        return owners.select("c", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("disclosure"))
-    candidates = materialise(held.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= support).select("t"), "candidates")
+        return owners.select("k1", "k2", F.array().cast("array<bigint>").alias("terms"))
+    written = materialise(texts.mapInArrow(run, "k1 long, k2 long, terms array<long>"), "terms")
+    held = written.select("k1", "k2", F.explode("terms").alias("t"))
+    candidates = materialise(held.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= support), "candidates")
 
     def rare(n_c):
         return F.col("n_t") <= F.lit(total) * F.pow(n_c / F.lit(total), F.lit(disclosed)) * (1 + 1e-9)
 
-    counts = materialise(term_counts(different_texts(docs, found, text_col), candidates).join(candidates, "t").where(rare(F.lit(float(most)))), "counts")
+    own = F.col("m") >= F.col("n_t") * (support / total) ** (1 - disclosed) * (1 - 1e-9)
+    counts = materialise(term_counts(different_texts(docs, found, text_col), candidates).join(candidates, "t").where(rare(F.lit(float(most))) & own).select("t", "n_t"), "counts")
     # common terms, which are most of a text, leave before anything is shuffled
     rows = among(held.select(F.col("k1").alias("o1"), "k2", F.col("t").alias("k1")), counts.select(F.col("t").alias("k1")))
-    places = rows.select(F.col("o1").alias("k1"), "k2", F.col("k1").alias("t")).join(counts, "t")
-    pairs = places.join(owners, ["k1", "k2"]).where(rare(F.col("n_c"))).groupBy("c", "t", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    pmi = F.log2(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
+    places = join_spread(rows.select("o1", "k2", F.col("k1").alias("t")), counts, "t", "inner")
+    by_text = places.groupBy(F.col("o1").alias("k1"), "k2").agg(F.collect_list(F.struct("t", "n_t")).alias("ts"))
+    of_text = owners.groupBy("k1", "k2").agg(F.collect_list(F.struct("c", "n_c")).alias("cs"))
+    met = materialise(by_text.join(of_text, ["k1", "k2"]), "met")
+    pairs = met.select("k1", "k2", F.explode("cs").alias("e"), "ts").select("k1", "k2", "e.c", "e.n_c", F.explode("ts").alias("w")).select("k1", "k2", "c", "n_c", "w.t", "w.n_t").where(rare(F.col("n_c")))
+    n = pairs.groupBy("c", "t", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
+    shrunk = F.when(F.col("c").bitwiseAND(F.lit(1)) == 1, F.col("n_ct") / (F.col("n_ct") + 1)).otherwise(1.0)
+    pmi = F.log2(shrunk * F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
     share = F.coalesce(pmi / F.nullif(F.log2(F.lit(total) / F.col("n_c")), F.lit(0.0)), F.lit(0.0))
-    return pairs.select("c", "t", share.alias("disclosure")).where(F.col("disclosure") >= disclosed)
-
-
-def telling_terms(owners: DataFrame, telling: DataFrame) -> DataFrame:
-    """(k1, k2, terms array<long>): for each text of an entity the terms that give it away, by fingerprint of the text."""
-    return materialise(owners.join(telling.select("c", "t"), "c").groupBy("k1", "k2").agg(F.collect_set("t").alias("terms")), "telling")
+    telling = materialise(n.where(share >= disclosed).select(F.xxhash64("c", "t").alias("k1"), F.col("c").alias("own_c"), F.col("t").alias("own_t")), "disclosing")
+    hits = among(pairs.select(F.col("k1").alias("o1"), "k2", "c", "t", F.xxhash64("c", "t").alias("k1")), telling)
+    hits = join_spread(hits, telling, "k1", "inner").where("c = own_c and t = own_t")
+    terms = materialise(hits.groupBy(F.col("o1").alias("k1"), "k2").agg(F.collect_set("t").alias("terms")), "telling")
+    discard(written, candidates, counts, met, telling)
+    return terms
 
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -273,7 +296,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     found = materialise(detect(docs, id_col, text_col), "pii")
     owners = owned(found, support)
     texts = texts_of(docs, owners, text_col)
-    terms = materialise(term_spans(texts, telling_terms(owners, disclosing(docs, found, owners, texts, text_col, support, disclosed))), "places")
+    terms = materialise(term_spans(texts, telling_terms(docs, found, owners, texts, text_col, support, disclosed)), "places")
     as_text = F.transform("terms", lambda p: F.concat(F.lit("term:"), p["s"], F.lit(":"), p["e"]))
     # spans are ordered by start, then kind as listed; terms don't overlap base spans, so starts decide
     every = F.filter(F.concat(F.split("base", ","), F.coalesce(as_text, F.array().cast("array<string>"))), lambda s: s != "")
@@ -287,7 +310,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     """docs with every span of the text replaced by its mask; other columns stay. A null text stays null."""
     found = materialise(detect(docs, id_col, text_col), "pii")
     owners = owned(found, support)
-    terms = telling_terms(owners, disclosing(docs, found, owners, texts_of(docs, owners, text_col), text_col, support, disclosed))
+    texts = texts_of(docs, owners, text_col)
+    terms = telling_terms(docs, found, owners, texts, text_col, support, disclosed)
+    discard(found, owners, texts)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *fingerprint(F.coalesce(text_col, F.lit(""))))
     own = free_name("terms", docs.columns)
     # only texts that may hold a telling term are shuffled
