@@ -11,7 +11,7 @@ from tidecast.functions import nets, stats, unitroots
 from tidecast.functions import transforms as T
 from tidecast.operators import forecasting as fc
 from tidecast.operators import hierarchy, regression, reports
-from tidecast.plans import ensembles
+from tidecast.plans import ensembles, native
 from tidecast.sources.series import series_from
 from tidecast.streaming import scoring
 
@@ -296,6 +296,27 @@ def test_reconciled_levels_add_up(spark):
     assert sorted((r.k, r.t, r.y) for r in hierarchy.levels(s, 4).where("k > 1").collect()) == [(2, 1, 7), (2, 2, 11), (2, 3, 15), (2, 4, 19), (4, 1, 18), (4, 2, 34)]
 
 
+def test_reconciliation_equals_the_dense_projection_and_takes_long_seasons(spark):
+    rng = np.random.default_rng(3)
+    for m in (1, 6, 12, 30):
+        ks = hierarchy.divisors(m)
+        base = [("a", k, j + 1, float(rng.normal())) for k in ks for j in range(m // k)]
+        value = {(k, j - 1): v for _, k, j, v in base}
+        want = {}
+        for out_k, out_j, k, j, w in native.weights(m):
+            want[out_k, out_j + 1] = want.get((out_k, out_j + 1), 0.0) + w * value[k, j]
+        got = {(r.k, r.h): r.yhat for r in hierarchy.reconcile(spark.createDataFrame(base, "series_id string, k int, h int, yhat double"), m).collect()}
+        assert set(got) == set(want) and np.allclose([got[n] for n in want], list(want.values()), rtol=1e-9, atol=1e-11)
+    m = 8760  # hours of a year: a dense matrix would have 13,000,000 places a level
+    y = 10 + rng.normal(size=m)
+    base = [("a", k, j + 1, float(v) * (1.1 if k == 24 else 1.0)) for k in hierarchy.divisors(m) for j, v in enumerate(y.reshape(-1, k).sum(1))]
+    got = {}
+    for r in hierarchy.reconcile(spark.createDataFrame(base, "series_id string, k int, h int, yhat double"), m).collect():
+        got.setdefault(r.k, {})[r.h] = r.yhat
+    hours = np.array([got[1][h] for h in range(1, m + 1)])
+    assert all(np.allclose([got[k][h] for h in range(1, m // k + 1)], hours.reshape(-1, k).sum(1)) for k in got) and hours.sum() > 1.001 * y.sum()
+
+
 def test_a_stream_is_forecast_as_the_table_is(spark, tmp_path):
     y = [10 + 0.5 * t + 4 * math.sin(2 * math.pi * t / 6) for t in range(1, 61)]
     s, spec = frame(spark, a=y), fc.Spec(type="ls", hidden=6, reps=3, periods=(6,), lags=(1, 2, 6), select=False, difforder=(1,), dummies=False)

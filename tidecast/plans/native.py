@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,12 +72,6 @@ def aggregated_sql(k: int) -> str:
     return f"WITH {SERIES}, n AS (SELECT *, max(t) OVER (PARTITION BY series_id) AS n FROM s) SELECT series_id, CAST(floor((t - 1 - n % {k}) / {k}) AS BIGINT) AS g, round(sum(y), 3) AS y FROM n WHERE t > n % {k} GROUP BY 1, 2"
 
 
-def fold_undiff(s: DataFrame, h: int = 12) -> DataFrame:
-    """The mean difference carried h steps past the last level: recursive un-differencing at lag 1."""
-    d = T.difference(s, [1]).groupBy("series_id").agg(F.avg("d1").alias("step"), F.max_by("y", "t").alias("last"))
-    return d.select("series_id", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("h"), "step", "last").select("series_id", "h", F.round(F.col("last") + F.col("h") * F.col("step"), 3).alias("yhat"))
-
-
 def reconciled(s: DataFrame, m: int = 4) -> DataFrame:
     """The median of each level as its forecast for a season, made to add up."""
     medians = hierarchy.levels(s, m).groupBy("series_id", "k").agg(F.median("y").alias("yhat"))
@@ -84,8 +79,17 @@ def reconciled(s: DataFrame, m: int = 4) -> DataFrame:
     return hierarchy.reconcile(base, m).select("series_id", "k", "h", F.round("yhat", 3).alias("yhat"))
 
 
+def weights(m: int) -> list[tuple[int, int, int, int, float]]:
+    """(out_k, out_j, k, j, weight): what each forecast of a season adds to each reconciled one; j from 0 within the season."""
+    nodes = [(k, j) for k in hierarchy.divisors(m) for j in range(m // k)]
+    s = np.array([[float(j * k <= i < (j + 1) * k) for i in range(m)] for k, j in nodes])
+    scaled = s.T / np.array([k for k, _ in nodes])
+    p = s @ np.linalg.solve(scaled @ s, scaled)
+    return [(*out, *node, float(p[a, b])) for a, out in enumerate(nodes) for b, node in enumerate(nodes) if abs(p[a, b]) > 1e-12]
+
+
 def reconciled_sql(m: int = 4) -> str:
-    p = ", ".join(f"({a}, {b}, {k}, {j}, CAST({w!r} AS DOUBLE))" for a, b, k, j, w in hierarchy.weights(m))
+    p = ", ".join(f"({a}, {b}, {k}, {j}, CAST({w!r} AS DOUBLE))" for a, b, k, j, w in weights(m))
     return f"""WITH {SERIES}, n AS (SELECT *, max(t) OVER (PARTITION BY series_id) AS n FROM s), c AS (SELECT series_id, t - 1 - n % {m} AS step, y FROM n WHERE t > n % {m}),
         l AS (SELECT series_id, k, step // k AS g, sum(y) AS y FROM c, (SELECT unnest({hierarchy.divisors(m)}) AS k) GROUP BY 1, 2, 3), b AS (SELECT series_id, k, median(y) AS v FROM l GROUP BY 1, 2),
         p(out_k, out_j, k, j, w) AS (VALUES {p}) SELECT series_id, CAST(out_k AS INT) AS k, CAST(out_j + 1 AS INT) AS h, round(sum(w * v), 3) AS yhat FROM b JOIN p USING (k) GROUP BY series_id, out_k, out_j"""
@@ -135,14 +139,10 @@ NATIVE = {
         SELECT series_id, max(n) AS blocks, round(12 * sum(rank_sum * rank_sum) / (max(n) * 12 * 13) - 3 * max(n) * 13, 6) AS stat FROM g GROUP BY series_id"""),
     "ar1_fit": (lambda spark, d: ar1(orders_monthly(spark, d)).select("series_id", F.round("slope", 9).alias("slope"), F.round("icept", 9).alias("icept")), f"WITH {SERIES} {AR} SELECT series_id, round(slope, 9) AS slope, round(icept, 9) AS icept FROM a"),
     "ar1_forecast": (ar1_forecast, f"WITH RECURSIVE {SERIES} {AR}, f(series_id, h, v) AS (SELECT series_id, 0, last FROM a UNION ALL SELECT f.series_id, f.h + 1, a.icept + a.slope * f.v FROM f JOIN a ON a.series_id = f.series_id WHERE f.h < 12) SELECT f.series_id, f.h, round((a.high - a.low) * (f.v + 0.8) / 1.6 + a.low, 3) AS yhat FROM f JOIN a ON a.series_id = f.series_id WHERE f.h > 0"),
-    "undiff_onestep": (q(lambda s: T.difference(s, [1]).withColumn("back", F.col("d1") + F.lag("y", 1).over(T.in_order())), "series_id; t; round(back, 6) as back"), f"WITH {SERIES} SELECT series_id, t, round((y - lag(y) OVER {WIN}) + lag(y) OVER {WIN}, 6) AS back FROM s"),
-    "undiff_recursive": (lambda spark, d: fold_undiff(orders_monthly(spark, d)), f"WITH {SERIES}, d AS (SELECT *, y - lag(y) OVER {WIN} AS d1 FROM s), a AS (SELECT series_id, avg(d1) AS step, max_by(y, t) AS last FROM d GROUP BY series_id) SELECT series_id, CAST(h AS INT) AS h, round(last + h * step, 3) AS yhat FROM a, (SELECT unnest(range(1, 13)) AS h)"),
     "combine_mean": (lambda spark, d: T.combine(members(orders_monthly(spark, d)), ["t"], "yhat", "mean").select("t", F.round("yhat", 3).alias("yhat")), f"WITH {SERIES} SELECT t, round(avg(y), 3) AS yhat FROM s GROUP BY t"),
     "combine_median": (lambda spark, d: T.combine(members(orders_monthly(spark, d)), ["t"], "yhat", "median").select("t", F.round("yhat", 6).alias("yhat")), f"WITH {SERIES} SELECT t, round(median(y), 6) AS yhat FROM s GROUP BY t"),
-    "fit_mse": (lambda spark, d: T.with_lags(orders_monthly(spark, d), [12]).groupBy("series_id").agg(F.round(F.avg(F.pow(F.col("y") - F.col("lag_12"), 2)) / 1e6, 3).alias("mse_millions")), f"WITH {SERIES}, l AS (SELECT *, lag(y, 12) OVER {WIN} AS p FROM s) SELECT series_id, round(avg(pow(y - p, 2)) / 1e6, 3) AS mse_millions FROM l WHERE t > 12 GROUP BY series_id"),
-    "residuals": (q(lambda s: T.with_lags(s, [12]), "series_id; t; lag_12 as fitted; round(y - lag_12, 6) as residual"), f"WITH {SERIES}, l AS (SELECT *, lag(y, 12) OVER {WIN} AS p FROM s) SELECT series_id, t, p AS fitted, round(y - p, 6) AS residual FROM l WHERE t > 12"),
-    "fitted_padded": (q(lambda s: s.withColumn("fitted", F.lag("y", 12).over(T.in_order())), "series_id; t; fitted"), f"WITH {SERIES} SELECT series_id, t, lag(y, 12) OVER {WIN} AS fitted FROM s"),
     "softsign_forward": (lambda spark, d: forward(orders_monthly(spark, d)), f"WITH {SERIES} {SCALED}, l AS (SELECT series_id, t, lag(y_sc, 1) OVER {WIN} AS a, lag(y_sc, 12) OVER {WIN} AS b FROM z) SELECT series_id, t, round({neuron_sql('a', 'b')}, 9) AS out FROM l WHERE t > 12"),
     "hierarchy_reconciled": (lambda spark, d: reconciled(orders_monthly(spark, d)), reconciled_sql()),
+    "hierarchy_reconciled_12": (lambda spark, d: reconciled(orders_monthly(spark, d), 12), reconciled_sql(12)),
     **{f"temporal_aggregation_{k}": (lambda spark, d, k=k: aggregated(k)(orders_monthly(spark, d)), aggregated_sql(k)) for k in (3, 6, 12)},
 }
