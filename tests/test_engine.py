@@ -237,6 +237,28 @@ def test_one_member_without_neurons_is_a_line_and_the_reports_of_a_table_agree(s
     assert regression.fit(table.limit(0), "grp", "y", ["u"], hidden=2, kind="ls", reps=1).count() == 0
 
 
+def test_inputs_may_be_one_array_and_many(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (300, 3))
+    y = np.sin(2 * x[:, 0]) + x[:, 1]
+    flat = [("a" if i % 3 else "b", *map(float, x[i]), float(y[i])) for i in range(300)]
+    table = spark.createDataFrame(flat, "g string, u double, v double, w double, y double").withColumn("x", F.array("u", "v", "w")).repartition(3)
+    for kind in ("ridge", "lasso"):
+        one, two = (regression.fit(table, "g", "y", x, hidden=8, kind=kind, reps=2, direct=True).cache() for x in (["u", "v", "w"], "x"))
+        for a, b in zip(one.orderBy("g").collect(), two.orderBy("g").collect(), strict=True):
+            assert (a.g, a.low, a.high) == (b.g, b.low, b.high) and all(m.w_in == n.w_in and np.allclose(m.w_out + m.direct, n.w_out + n.direct, atol=1e-9) for m, n in zip(a.members, b.members, strict=True))
+    odd = table.select("g", "y", "x").unionByName(spark.createDataFrame([("a", 1.0, None), ("a", 1.0, [1.0]), ("a", 1.0, [1.0, None, 2.0]), ("a", 1.0, [1.0, float("nan"), 2.0])], "g string, y double, x array<double>"))
+    scored = regression.predict(odd, regression.fit(odd, "g", "y", "x", hidden=8, kind="lasso", reps=2, direct=True), "g", "x").cache()
+    assert scored.where("yhat is null").count() == 4 and scored.select(F.avg(F.pow(F.col("yhat") - F.col("y"), 2))).first()[0] < 0.05 * y.var()
+    joined = regression.scored_by_join(odd, two, "g", "x").select("x", F.col("yhat_members").alias("b"))
+    assert joined.where("b is null").count() == 4 and scored.join(joined, "x").where("abs(yhat_members[1] - b[1]) > 1e-9").count() == 0
+    wide = rng.normal(size=(150, 2000))
+    target = wide @ rng.normal(size=2000)
+    many = spark.createDataFrame([("a", float(t), v.tolist()) for t, v in zip(target, wide)], "g string, y double, x array<double>")
+    fits = regression.predict(many, regression.fit(many, "g", "y", "x", hidden=100, kind="ridge", reps=1), "g", "x").select("y", "yhat").toPandas()
+    assert len(fits) == 150 and np.corrcoef(fits["y"], fits["yhat"])[0, 1] > 0.5
+
+
 def test_fits_that_do_not_settle_say_so(spark, monkeypatch):
     monkeypatch.setattr(regression, "PASSES", 2)
     table = spark.createDataFrame([("a", float(i % 7), float(i % 3 == 0)) for i in range(60)], "grp string, u double, y double")

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,23 @@ def to_range(x: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, 2 * (x - low) / F.nullif(high - low, F.lit(0.0)) - 1).when(x.isNotNull(), F.lit(0.0))
 
 
-def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, kind: str = "lasso", reps: int = 20, direct: bool = False, ortho: bool = False, scale: bool = True, link: str = "linear", seed: int = 42, rule: str = "1se") -> DataFrame:
+def as_array(x: list[str] | str) -> Column:
+    """The inputs as one array, null where one is missing or not a number: columns, or a column of arrays."""
+    v = F.col(x).cast("array<double>") if isinstance(x, str) else F.array(*(F.col(c).cast("double") for c in x))
+    return F.when(~F.exists(v, lambda u: u.isNull() | F.isnan(u)), v)
+
+
+def ranges(rows: DataFrame, p: int) -> DataFrame:
+    """(g, low, high): least and greatest values of y, then of each input, by group; summed up in every task before the shuffle."""
+    each = rows.select("g", F.posexplode(F.concat(F.array("y"), "x")).alias("i", "v")).groupBy("g", "i").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    packed = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("e"))
+    return packed.select("g", F.col("e.low").alias("low"), F.col("e.high").alias("high"))
+
+
+def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int = 100, kind: str = "lasso", reps: int = 20, direct: bool = False, ortho: bool = False, scale: bool = True, link: str = "linear", seed: int = 42, rule: str = "1se") -> DataFrame:
     """A row for each group: its ranges, an array of members and whether they settled. Rows with a null or NaN in y or x aren't used.
 
+    x: columns, or the name of one column of arrays, for inputs by the hundreds; arrays of another length than the longest aren't used.
     kind: lasso, ridge, step, ls (or lm). Rows fall into the folds of lasso and ridge by a hash of their values, so equal rows
     share a fold; a group without rows gives none. rule: as in stats.cross_validated. link logistic: y lies between 0 and 1
     (between its least and greatest value when scaled) and so do predictions; it needs up to PASSES passes, and members whose
@@ -54,15 +69,21 @@ def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, k
         raise ValueError("link is linear or logistic")
     if kind not in ("lasso", "ridge", "step", "ls", "lm"):
         raise ValueError("type is lasso, ridge, step, ls or lm")
-    values = [y, *x]
-    rows = table.select(F.col(group).cast("string").alias("g"), *(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(values))).where(F.col("g").isNotNull()).dropna()
-    names = [f"v{i}" for i in range(len(values))]
-    if scale:
+    rows = table.select(F.col(group).cast("string").alias("g"), F.nanvl(F.col(y).cast("double"), F.lit(None)).alias("y"), as_array(x).alias("x")).dropna()
+    p = len(x) if not isinstance(x, str) else (rows.agg(F.max(F.size("x"))).first()[0] or 0)
+    rows = rows.where(F.size("x") == p)
+    if scale and isinstance(x, str):
+        ends = ranges(rows, p)
+    elif scale:
+        names = [F.col("y"), *(F.get("x", F.lit(i)) for i in range(p))]
         ends = rows.groupBy("g").agg(F.array(*(F.min(c) for c in names)).alias("low"), F.array(*(F.max(c) for c in names)).alias("high"))
     else:
-        ends = rows.select("g").distinct().withColumns({"low": F.array(F.lit(0.0 if link == "logistic" else -1.0), *[F.lit(-1.0)] * len(x)), "high": F.array(*[F.lit(1.0)] * len(names))})
-    ready = rows.join(ends, "g").select("g", F.pmod(F.xxhash64(*names), F.lit(FOLDS)).cast("int").alias("fold"), *(to_range(F.col(c), F.col("low")[i], F.col("high")[i]).alias(c) for i, c in enumerate(names)))
-    p = len(x)
+        ends = rows.select("g").distinct().withColumns({"low": F.array_repeat(F.lit(-1.0), p + 1), "high": F.array_repeat(F.lit(1.0), p + 1)})
+        if link == "logistic":
+            ends = ends.withColumn("low", F.concat(F.array(F.lit(0.0)), F.array_repeat(F.lit(-1.0), p)))
+    ranged = lambda v, i: to_range(v, F.get("low", i), F.get("high", i))
+    fold = F.pmod(F.xxhash64("y", "x"), F.lit(FOLDS)).cast("int")
+    ready = rows.join(ends, "g").select("g", fold.alias("fold"), ranged(F.col("y"), F.lit(0)).alias("y"), F.transform("x", lambda v, i: ranged(v, i + 1)).alias("x"))
     size = 1 + hidden + (p if direct else 0) + 1
     upper = np.triu_indices(size)
 
@@ -97,21 +118,27 @@ def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, k
         if now is not None:
             yield solve(now[0], int(now[1]), sums)
 
-    def pieces(held: dict[tuple, np.ndarray]) -> pd.DataFrame:
-        rows = [(*at, k // PIECE, flat[k : k + PIECE]) for at, flat in held.items() for k in range(0, len(flat), PIECE)]
-        return pd.DataFrame(rows, columns=["g", "rep", "fold", "piece", "m"])
+    def pieces(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for (g, rep, fold), flat in held.items():
+            cuts = np.arange(0, len(flat), PIECE, dtype=np.int32)
+            same = [pa.array([v] * len(cuts), kind) for v, kind in ((g, pa.string()), (rep, pa.int32()), (fold, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(cuts // PIECE), pa.ListArray.from_arrays(np.append(cuts, np.int32(len(flat))), pa.array(flat))], names=["g", "rep", "fold", "piece", "m"])
 
     def solved(some: DataFrame, before: Broadcast | None) -> DataFrame:
         """(g, rep, w): output weights; for a logistic output, a step on from those before."""
 
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple, np.ndarray] = {}
             drawn: dict[tuple[str, int], np.ndarray] = {}
             for batch in batches:
                 if len(drawn) * (p + 1) * hidden * 8 > HELD_BYTES:
                     drawn.clear()
-                for g, part in batch.groupby("g"):
-                    v, fold = part[names].to_numpy(float), part["fold"].to_numpy()
+                codes, found = pd.factorize(batch.column("g").to_pandas())
+                inputs = np.hstack([batch.column("y").to_numpy()[:, None], batch.column("x").flatten().to_numpy().reshape(batch.num_rows, p)])
+                folds = batch.column("fold").to_numpy()
+                for k, g in enumerate(found):
+                    mine = codes == k
+                    v, fold = inputs[mine], folds[mine]
                     by_fold = [(int(f), fold == f) for f in np.unique(fold)]
                     for rep in range(reps):
                         if (g, rep) not in drawn:
@@ -122,12 +149,12 @@ def fit(table: DataFrame, group: str, y: str, x: list[str], hidden: int = 100, k
                             flat = np.append((a[own].T @ a[own])[upper], own.sum())
                             held[g, rep, f] = held[g, rep, f] + flat if (g, rep, f) in held else flat
                     if len(held) * (len(upper[0]) + 1) * 8 > HELD_BYTES:
-                        yield pieces(held)
+                        yield from pieces(held)
                         held = {}
             if held:
-                yield pieces(held)
+                yield from pieces(held)
 
-        parts = some.select("g", "fold", *names).mapInPandas(sums, "g string, rep int, fold int, piece int, m array<double>")
+        parts = some.select("g", "fold", "y", "x").mapInArrow(sums, "g string, rep int, fold int, piece int, m array<double>")
         return parts.repartition("g", "rep").sortWithinPartitions("g", "rep").mapInPandas(solve_stream, "g string, rep int, w array<double>")
 
     def settle(own: DataFrame) -> DataFrame:
@@ -191,7 +218,7 @@ def output(x: Column, member: Column) -> Column:
     return out[0] + through + F.when(F.size(straight) > 0, total(F.zip_with(x, straight, lambda a, b: a * b))).otherwise(F.lit(0.0))
 
 
-def predict(table: DataFrame, models: DataFrame, group: str, x: list[str], how: str = "median") -> DataFrame:
+def predict(table: DataFrame, models: DataFrame, group: str, x: list[str] | str, how: str = "median") -> DataFrame:
     """table with yhat, and yhat_members by rep; null where an input is null or the group has no model.
 
     Weights are counted first: few are sent to every task, which scores its rows with numpy; many are joined to the rows by
@@ -215,12 +242,19 @@ def count_weights(models: DataFrame) -> int:
     return models.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
 
 
-def scored_here(table: DataFrame, models: DataFrame, group: str, x: list[str]) -> DataFrame:
+def scored_here(table: DataFrame, models: DataFrame, group: str, x: list[str] | str) -> DataFrame:
     """table with yhat_members, scored with models that were counted and are small."""
-    held = {r.g: ([([np.array(m.w_in, float).reshape(len(x) + 1, len(m.w_in[0])), np.array(m.w_out, float)[:, None]], np.array(m.direct, float)) for m in r.members], np.array(r.low), np.array(r.high), r.link) for r in models.collect()}
+    held = {r.g: ([([np.array(m.w_in, float).reshape(len(m.w_in), len(m.w_in[0])), np.array(m.w_out, float)[:, None]], np.array(m.direct, float)) for m in r.members], np.array(r.low), np.array(r.high), r.link) for r in models.collect()}
+
+    whole = isinstance(x, str)
 
     def score(g: pd.Series, *columns: pd.Series) -> pd.Series:
-        v, out = np.column_stack([c.to_numpy(float) for c in columns]), [None] * len(g)
+        out = [None] * len(g)
+        if whole:
+            p = max((len(high) for _, _, high, _ in held.values()), default=1) - 1
+            v = np.array([np.full(p, np.nan) if r is None or len(r) != p else r for r in columns[0]], float).reshape(len(g), p)
+        else:
+            v = np.column_stack([c.to_numpy(float) for c in columns])
         for name, at in g.groupby(g).groups.items():
             if name not in held:
                 continue
@@ -234,15 +268,15 @@ def scored_here(table: DataFrame, models: DataFrame, group: str, x: list[str]) -
                 out[i] = row.tolist() if good else None
         return pd.Series(out, dtype=object)
 
-    return table.withColumn("yhat_members", pandas_udf(score, "array<double>")(F.col(group).cast("string"), *(F.col(c).cast("double") for c in x)))
+    return table.withColumn("yhat_members", pandas_udf(score, "array<double>")(F.col(group).cast("string"), *([as_array(x)] if whole else [F.col(c).cast("double") for c in x])))
 
 
-def scored_by_join(table: DataFrame, models: DataFrame, group: str, x: list[str]) -> DataFrame:
+def scored_by_join(table: DataFrame, models: DataFrame, group: str, x: list[str] | str) -> DataFrame:
     """table with yhat_members, by one join on the group and expressions on each row."""
     names = {c: f"__{c}" for c in ("g", "members", "low", "high", "link")}
     joined = table.join(models.select(*(F.col(c).alias(n) for c, n in names.items())), F.col(group).cast("string") == F.col("__g"), "left")
-    inputs = F.array(*(to_range(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.col("__low")[i], F.col("__high")[i]) for i, c in enumerate(x, 1)))
-    joined = joined.withColumn("__x", F.when(~F.exists(inputs, lambda v: v.isNull()), inputs))
+    inputs = F.transform(as_array(x), lambda v, i: to_range(v, F.get("__low", i + 1), F.get("__high", i + 1)))
+    joined = joined.withColumn("__x", F.when(F.size(as_array(x)) == F.size("__low") - 1, inputs))
     low, high = F.col("__low")[0], F.col("__high")[0]
     linked = lambda v: F.when(F.col("__link") == "logistic", F.tanh(v / 2)).otherwise(v)
     joined = joined.withColumn("yhat_members", F.when(F.col("__x").isNotNull(), F.transform("__members", lambda m: (linked(output(F.col("__x"), m)) + 1) / 2 * (high - low) + low)))

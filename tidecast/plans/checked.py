@@ -94,6 +94,22 @@ LINEAR_TABLE_SQL = """WITH a AS (SELECT l_returnflag, regr_slope(l_extendedprice
 SELECT l_returnflag, count(*) AS n, round(avg(pow(l_extendedprice - (icept + slope * l_quantity), 2)) / 1e6, 4) AS mse_millions, round(max(icept + slope * l_quantity), 2) AS most FROM lineitem JOIN a USING (l_returnflag) GROUP BY l_returnflag"""
 
 
+def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As linear_table on two inputs that come as one array: least squares through the sums of products."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_extendedprice", F.array("l_quantity", "l_tax").cast("array<double>").alias("x"))
+    models = regression.fit(table, "l_returnflag", "l_extendedprice", "x", hidden=0, kind="ls", reps=1, direct=True)
+    scored = regression.predict(table, models, "l_returnflag", "x")
+    return scored.groupBy("l_returnflag").agg(F.count("yhat").alias("n"), F.round(F.avg(F.pow(F.col("l_extendedprice") - F.col("yhat"), 2)) / 1e6, 4).alias("mse_millions"), F.round(F.max("yhat"), 2).alias("most"))
+
+
+#: Two slopes by Cramer's rule from variances and covariances.
+VECTOR_TABLE_SQL = """WITH v AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_tax AS DOUBLE) AS b FROM lineitem),
+c AS (SELECT l_returnflag, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM v GROUP BY l_returnflag),
+w AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS wb FROM c),
+f AS (SELECT v.l_returnflag, v.y, w.my + w.wa * (v.a - w.ma) + w.wb * (v.b - w.mb) AS yhat FROM v JOIN w USING (l_returnflag))
+SELECT l_returnflag, count(*) AS n, round(avg(pow(y - yhat, 2)) / 1e6, 4) AS mse_millions, round(max(yhat), 2) AS most FROM f GROUP BY l_returnflag"""
+
+
 def combined(how: str):
     """The priorities of a month as members, combined as the engine combines networks."""
 
@@ -121,6 +137,7 @@ CHECKED = {
     "engine_season_test": (season_tests, SEASON_SQL),
     "engine_network_fitted": (fixed_network, FIXED_SQL),
     "engine_table_regression": (linear_table, LINEAR_TABLE_SQL),
+    "engine_vector_regression": (vector_table, VECTOR_TABLE_SQL),
     "engine_combine_mean": (combined("mean"), f"WITH {SERIES} SELECT t, round(avg(y), 3) AS yhat FROM s GROUP BY t"),
     "engine_combine_median": (combined("median"), f"WITH {SERIES} SELECT t, round(median(y), 3) AS yhat FROM s GROUP BY t"),
     "forward_filled_series": (forward_filled, FORWARD_SQL),

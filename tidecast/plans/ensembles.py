@@ -103,6 +103,15 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("l_returnflag").agg(F.count("yhat").alias("n"), F.round(F.avg((sure > 0.5).cast("double")), 4).alias("share_right"), F.round(F.avg(-F.log(sure)), 4).alias("log_loss"))
 
 
+def of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first component of every embedding from the 63 others, by label: inputs that come as one array; share unexplained."""
+    e = F.col("embedding").cast("array<double>")
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.get(e, F.lit(0)).alias("y"), F.slice(e, 2, 63).alias("x"))
+    models = regression.fit(table, "label", "y", "x", hidden=20, kind="ridge", reps=3, direct=True)
+    scored = regression.predict(table, models, "label", "x")
+    return scored.groupBy("label").agg(F.count("yhat").alias("n"), F.round(F.avg(F.pow(F.col("yhat") - F.col("y"), 2)) / F.var_pop("y"), 4).alias("unexplained"))
+
+
 def thief(kind: str):
     """Every level of the monthly hierarchy forecast for a year, then made to add up."""
 
@@ -160,6 +169,7 @@ ENSEMBLES = {
     "elm_own_periods_forecast": forecast(fc.Spec(type="ridge", reps=3), None, periods=own_periods),
     "cross_section_elm": cross_section,
     "cross_section_elm_logistic": classified,
+    "cross_section_vectors": of_vectors,
     "cross_section_summary": table_summary,
     "cross_section_scatter": table_scatter,
     "mlp_forecast": forecast(fc.Spec(kind="mlp", reps=5)),
