@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidecast.functions import nets, stats, unitroots
 from tidecast.functions import transforms as T
 from tidecast.operators import forecasting as fc
-from tidecast.operators import hierarchy, regression, reports
+from tidecast.operators import hierarchy, perceptron, regression, reports
 from tidecast.plans import ensembles, native
 from tidecast.sources.series import series_from
 from tidecast.streaming import scoring
@@ -259,6 +259,32 @@ def test_inputs_may_be_one_array_and_many(spark):
     assert len(fits) == 150 and np.corrcoef(fits["y"], fits["yhat"])[0, 1] > 0.5
 
 
+def test_perceptrons_of_a_table_are_those_of_its_rows_in_one_place(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (240, 2)).round(3)
+    y = np.sin(2 * x[:, 0]) * x[:, 1]
+    table = spark.createDataFrame([("ab"[i % 2], float(x[i, 0]), float(x[i, 1]), float(y[i])) for i in range(240)] + [("a", None, 1.0, 2.0), ("c", 1.0, 1.0, None)], "grp string, u double, v double, y double").repartition(5)
+    monkeypatch.setattr(perceptron, "SAVED", 4)
+    models = perceptron.fit(table, "grp", "y", ["u", "v"], hidden=(3, 2), reps=2, steps=25).cache()
+    scored = perceptron.predict(table, models, "grp", ["u", "v"]).cache()
+    assert scored.count() == 242 and scored.where("yhat is null").count() == 2 and {r.g for r in models.collect()} == {"a", "b"}
+    for r in models.collect():
+        mine = np.arange(240) % 2 == "ab".index(r.g)
+        ends = np.array(r.low), np.array(r.high)
+        z = 2 * (np.c_[y, x][mine] - ends[0]) / (ends[1] - ends[0]) - 1
+        for m in r.members:
+            layers, settled = nets.mlp(z[:, 1:], z[:, 0], (3, 2), np.random.default_rng([42, zlib.crc32(r.g.encode()), m.rep]), steps=25)
+            assert m.settled == settled and m.steps <= 25 and all(np.allclose(a, b, atol=1e-6) for a, b in zip(m.layers, layers, strict=True))
+            guess = (nets.forward(z[:, 1:], layers, (), "logistic") + 1) / 2 * (ends[1][0] - ends[0][0]) + ends[0][0]
+            got = scored.where(F.col("grp") == r.g).where("yhat is not null").select("u", "v", F.get("yhat_members", F.lit(m.rep)).alias("f")).toPandas()
+            want = {tuple(k): f for k, f in zip(x[mine].tolist(), guess, strict=True)}
+            assert np.allclose([want[u, v] for u, v in zip(got["u"], got["v"])], got["f"], atol=1e-6)
+    on = perceptron.fit(table, "grp", "y", ["u", "v"], hidden=(3, 2), reps=2, steps=5, start=perceptron.saved(models))
+    assert all(n.mse <= m.mse + 1e-9 for a, b in zip(models.orderBy("g").collect(), on.orderBy("g").collect()) for m, n in zip(a.members, b.members))
+    done = perceptron.fit(table, "grp", "y", ["u"], hidden=(1,), reps=1, steps=40, threshold=1e6).collect()
+    assert all(m.settled and m.steps == 1 for r in done for m in r.members)
+
+
 def test_fits_that_do_not_settle_say_so(spark, monkeypatch):
     monkeypatch.setattr(regression, "PASSES", 2)
     table = spark.createDataFrame([("a", float(i % 7), float(i % 3 == 0)) for i in range(60)], "grp string, u double, y double")

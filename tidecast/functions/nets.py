@@ -82,33 +82,51 @@ class Elm:
         return pruned(self.layers, output_weights([m for _, m in sorted(self.sums.items())], self.kind, self.rule))
 
 
-def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Generator, steps: int = 2000, threshold: float = 0.01) -> tuple[list[np.ndarray], bool]:
-    """Full-batch resilient propagation of half the squared error, with weight backtracking; logistic hidden layers, linear output.
-
-    Ends when no slope is as large as threshold; after `steps` steps the best weights so far are given. Also given: whether it ended so.
+def slopes(x: np.ndarray, y: np.ndarray, w: list[np.ndarray]) -> tuple[float, list[np.ndarray]]:
+    """Squared error of a perceptron's layers w over some rows, and the slopes of half of it; both add up over parts of a table."""
+    one, seen = np.ones((len(y), 1)), [np.hstack([np.ones((len(y), 1)), x])]
+    for a in w[:-1]:
+        seen.append(np.hstack([one, ACTIVATIONS["logistic"](seen[-1] @ a)]))
+    d, out = seen[-1] @ w[-1] - y[:, None], []
+    sse = float((d * d).sum())
+    for i in range(len(w) - 1, -1, -1):
+        out.append(seen[i].T @ d)
+        d = (d @ w[i][1:].T) * seen[i][:, 1:] * (1 - seen[i][:, 1:]) if i else d
+    return sse, out[::-1]
+
+
+class Propagation:
+    """Resilient propagation with weight backtracking: each weight has a step of its own, which grows while its slope keeps its sign.
+
+    Logistic hidden layers, a linear output. settled: no slope was as large as threshold. best: the layers of least error so far.
     """
-    sizes = (x.shape[1], *hidden, 1)
-    w = [rng.normal(0, 0.7 if i + 2 < len(sizes) else 0.3, (sizes[i] + 1, sizes[i + 1])) for i in range(len(sizes) - 1)]
-    step, before, moved = [np.full(a.shape, 0.05) for a in w], [np.zeros(a.shape) for a in w], [np.zeros(a.shape) for a in w]
-    best, least, one = [a.copy() for a in w], np.inf, np.ones((len(y), 1))
-    for _ in range(steps):
-        seen = [np.hstack([one, x])]
-        for a in w[:-1]:
-            seen.append(np.hstack([one, ACTIVATIONS["logistic"](seen[-1] @ a)]))
-        d = seen[-1] @ w[-1] - y[:, None]
-        if (sse := float((d * d).sum())) < least:
-            least, best = sse, [a.copy() for a in w]
-        slopes = []
-        for i in range(len(w) - 1, -1, -1):
-            slopes.append(seen[i].T @ d)
-            d = (d @ w[i][1:].T) * seen[i][:, 1:] * (1 - seen[i][:, 1:]) if i else d
-        if max(float(np.abs(g).max()) for g in slopes) < threshold:
-            return best, True
-        for i, g in enumerate(reversed(slopes)):
-            turned = g * before[i] < 0
-            step[i] = np.clip(step[i] * np.where(turned, 0.5, np.where(g * before[i] > 0, 1.2, 1)), 1e-10, 5)
+
+    def __init__(self, inputs: int, hidden: tuple[int, ...], rng: np.random.Generator, start: list[np.ndarray] | None = None):
+        sizes = (inputs, *hidden, 1)
+        self.w = [a.copy() for a in start] if start else [rng.normal(0, 0.7 if i + 2 < len(sizes) else 0.3, (sizes[i] + 1, sizes[i + 1])) for i in range(len(sizes) - 1)]
+        self.step, self.before, self.moved = [np.full(a.shape, 0.05) for a in self.w], [np.zeros(a.shape) for a in self.w], [np.zeros(a.shape) for a in self.w]
+        self.best, self.least, self.settled = [a.copy() for a in self.w], np.inf, False
+
+    def update(self, sse: float, found: list[np.ndarray], threshold: float = 0.01) -> None:
+        if sse < self.least:
+            self.least, self.best = sse, [a.copy() for a in self.w]
+        self.settled = max(float(np.abs(g).max()) for g in found) < threshold
+        if self.settled:
+            return
+        for i, g in enumerate(found):
+            turned = g * self.before[i] < 0
+            self.step[i] = np.clip(self.step[i] * np.where(turned, 0.5, np.where(g * self.before[i] > 0, 1.2, 1)), 1e-10, 5)
             # where a slope has turned, its last move is taken back
-            moved[i] = np.where(turned, -moved[i], -np.sign(g) * step[i])
-            w[i] += moved[i]
-            before[i] = np.where(turned, 0, g)
-    return best, False
+            self.moved[i] = np.where(turned, -self.moved[i], -np.sign(g) * self.step[i])
+            self.w[i] += self.moved[i]
+            self.before[i] = np.where(turned, 0, g)
+
+
+def mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], rng: np.random.Generator, steps: int = 2000, threshold: float = 0.01) -> tuple[list[np.ndarray], bool]:
+    """Full-batch resilient propagation of half the squared error: the best layers, and whether it settled within `steps` steps."""
+    p = Propagation(x.shape[1], hidden, rng)
+    for _ in range(steps):
+        p.update(*slopes(x, y, p.w), threshold)
+        if p.settled:
+            break
+    return p.best, p.settled

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidecast.functions import arrays as A
 from tidecast.functions import nets
 from tidecast.functions.stats import density_mode
 from tidecast.functions.transforms import softsign
@@ -55,20 +56,11 @@ def ranges(rows: DataFrame, p: int) -> DataFrame:
     return packed.select("g", F.col("e.low").alias("low"), F.col("e.high").alias("high"))
 
 
-def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int = 100, kind: str = "lasso", reps: int = 20, direct: bool = False, ortho: bool = False, scale: bool = True, link: str = "linear", seed: int = 42, rule: str = "1se") -> DataFrame:
-    """A row for each group: its ranges, an array of members and whether they settled. Rows with a null or NaN in y or x aren't used.
+def scaled_rows(table: DataFrame, group: str, y: str, x: list[str] | str, scale: bool = True, least: float = -1.0) -> tuple[DataFrame, DataFrame, int]:
+    """(rows (g, fold, y, x) with all values between -1 and 1, their ranges (g, low, high), inputs); folds are by a hash of a row's values.
 
-    x: columns, or the name of one column of arrays, for inputs by the hundreds; arrays of another length than the longest aren't used.
-    kind: lasso, ridge, step, ls (or lm). Rows fall into the folds of lasso and ridge by a hash of their values, so equal rows
-    share a fold; a group without rows gives none. rule: as in stats.cross_validated. link logistic: y lies between 0 and 1
-    (between its least and greatest value when scaled) and so do predictions; it needs up to PASSES passes, and members whose
-    weights still change then are kept with settled false. Groups are taken in blocks whose weights number SMALL on average,
-    since a pass sends the weights of the one before to every task. The result is written to the shared folder.
+    Without scale, y is taken to lie between `least` and 1 and inputs between -1 and 1 already.
     """
-    if link not in ("linear", "logistic"):
-        raise ValueError("link is linear or logistic")
-    if kind not in ("lasso", "ridge", "step", "ls", "lm"):
-        raise ValueError("type is lasso, ridge, step, ls or lm")
     rows = table.select(F.col(group).cast("string").alias("g"), F.nanvl(F.col(y).cast("double"), F.lit(None)).alias("y"), as_array(x).alias("x")).dropna()
     p = len(x) if not isinstance(x, str) else (rows.agg(F.max(F.size("x"))).first()[0] or 0)
     rows = rows.where(F.size("x") == p)
@@ -78,12 +70,28 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int =
         names = [F.col("y"), *(F.get("x", F.lit(i)) for i in range(p))]
         ends = rows.groupBy("g").agg(F.array(*(F.min(c) for c in names)).alias("low"), F.array(*(F.max(c) for c in names)).alias("high"))
     else:
-        ends = rows.select("g").distinct().withColumns({"low": F.array_repeat(F.lit(-1.0), p + 1), "high": F.array_repeat(F.lit(1.0), p + 1)})
-        if link == "logistic":
-            ends = ends.withColumn("low", F.concat(F.array(F.lit(0.0)), F.array_repeat(F.lit(-1.0), p)))
+        ends = rows.select("g").distinct().withColumns({"low": F.concat(F.array(F.lit(least)), F.array_repeat(F.lit(-1.0), p)), "high": F.array_repeat(F.lit(1.0), p + 1)})
     ranged = lambda v, i: to_range(v, F.get("low", i), F.get("high", i))
     fold = F.pmod(F.xxhash64("y", "x"), F.lit(FOLDS)).cast("int")
     ready = rows.join(ends, "g").select("g", fold.alias("fold"), ranged(F.col("y"), F.lit(0)).alias("y"), F.transform("x", lambda v, i: ranged(v, i + 1)).alias("x"))
+    return ready, ends, p
+
+
+def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int = 100, kind: str = "lasso", reps: int = 20, direct: bool = False, ortho: bool = False, scale: bool = True, link: str = "linear", seed: int = 42, rule: str = "1se") -> DataFrame:
+    """A row for each group: its ranges, an array of members and whether they settled. Rows with a null or NaN in y or x aren't used.
+
+    x: columns, or the name of one column of arrays, for inputs by the hundreds; arrays of another length than the longest aren't used.
+    kind: lasso, ridge, step, ls (or lm). Rows fall into the folds of lasso and ridge by a hash of their values, so equal rows
+    share a fold; a group without rows gives none. rule: as in stats.cross_validated. link logistic: y lies between 0 and 1
+    (between its least and greatest value when scaled) and so do predictions; it needs up to PASSES passes, and members whose
+    weights still change then are kept with settled false. Groups are taken in blocks whose weights number SMALL on average,
+    since a pass sends the weights of the one before to every task. The result is written to the shared folder.
+    """
+    if link not in ("linear", "logistic"):
+        raise ValueError("link is linear or logistic")
+    if kind not in ("lasso", "ridge", "step", "ls", "lm"):
+        raise ValueError("type is lasso, ridge, step, ls or lm")
+    ready, ends, p = scaled_rows(table, group, y, x, scale, 0.0 if link == "logistic" else -1.0)
     size = 1 + hidden + (p if direct else 0) + 1
     upper = np.triu_indices(size)
 
@@ -225,12 +233,17 @@ def predict(table: DataFrame, models: DataFrame, group: str, x: list[str] | str,
     group and scored by expressions.
     """
     joined = scored_here(table, models, group, x) if count_weights(models) <= SMALL else scored_by_join(table, models, group, x)
-    members, n = F.sort_array("yhat_members"), F.size("yhat_members")
-    half = F.floor((n - 1) / 2).cast("int")
+    return joined.withColumn("yhat", F.when(F.size("yhat_members") > 0, combined(F.col("yhat_members"), how)))
+
+
+def combined(v: Column, how: str) -> Column:
+    """The mean, median or density mode of an array."""
     if how == "mode":
-        return joined.withColumn("yhat", pandas_udf(row_modes, "double")("yhat_members"))
-    combined = {"mean": F.aggregate("yhat_members", F.lit(0.0), lambda s, v: s + v) / n, "median": (members[half] + members[F.floor(n / 2).cast("int")]) / 2}
-    return joined.withColumn("yhat", F.when(n > 0, combined[how]))
+        return pandas_udf(row_modes, "double")(v)
+    if how == "mean":
+        return A.mean(v)
+    n = F.size(v)
+    return A.let(F.sort_array(v), lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
 
 def row_modes(v: pd.Series) -> pd.Series:

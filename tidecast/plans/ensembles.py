@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.operators import forecasting as fc
-from tidecast.operators import hierarchy, regression, reports
+from tidecast.operators import hierarchy, perceptron, regression, reports
 from tidecast.plans.native import orders_monthly
 from tidecast.sources.series import series_from
 from tidecast.sources.written import materialise
@@ -103,6 +103,16 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("l_returnflag").agg(F.count("yhat").alias("n"), F.round(F.avg((sure > 0.5).cast("double")), 4).alias("share_right"), F.round(F.avg(-F.log(sure)), 4).alias("log_loss"))
 
 
+def perceptrons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price of a line from its quantity, discount and tax, by return flag, by perceptrons trained on all rows for 30 steps."""
+    x = ["l_quantity", "l_discount", "l_tax"]
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_extendedprice", *x)
+    models = perceptron.fit(table, "l_returnflag", "l_extendedprice", x, hidden=(3,), reps=2, steps=30)
+    scored = perceptron.predict(table, models, "l_returnflag", x, "mean")
+    errors = scored.groupBy("l_returnflag").agg(F.count("yhat").alias("n"), F.round(F.avg(F.pow(F.col("yhat") - F.col("l_extendedprice"), 2)) / F.var_pop("l_extendedprice"), 4).alias("unexplained"))
+    return errors.join(models.select(F.col("g").alias("l_returnflag"), F.forall("members", lambda m: m["settled"]).alias("settled")), "l_returnflag")
+
+
 def of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first component of every embedding from the 63 others, by label: inputs that come as one array; share unexplained."""
     e = F.col("embedding").cast("array<double>")
@@ -169,6 +179,7 @@ ENSEMBLES = {
     "elm_own_periods_forecast": forecast(fc.Spec(type="ridge", reps=3), None, periods=own_periods),
     "cross_section_elm": cross_section,
     "cross_section_elm_logistic": classified,
+    "cross_section_perceptrons": perceptrons,
     "cross_section_vectors": of_vectors,
     "cross_section_summary": table_summary,
     "cross_section_scatter": table_scatter,

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidecast.functions import arrays as A
 from tidecast.operators import forecasting as fc
 from tidecast.operators.design import path
-from tidecast.operators.regression import row_modes
+from tidecast.operators.regression import combined
 
 STATE = "t int, tail array<double>, regressors array<array<double>>"
 TAIL = "series_id string, t int, need int, tail array<double>, regressors array<array<double>>"
@@ -57,12 +56,3 @@ def score(stream: DataFrame, plans: DataFrame, models: DataFrame, spec: fc.Spec,
     at = F.transform(A.upto(0, h - 1), lambda i: F.transform("m", lambda m: F.get(m["yhat"], i)))
     each = paths.select("series_id", "t", F.posexplode(at).alias("h", "v")).withColumn("h", F.col("h") + 1)
     return each.select("series_id", "t", "h", F.when(~F.exists("v", lambda v: v.isNull()), combined(F.col("v"), spec.comb)).alias("yhat"))
-
-
-def combined(v: Column, how: str) -> Column:
-    if how == "mode":
-        return pandas_udf(row_modes, "double")(v)
-    if how == "mean":
-        return A.mean(v)
-    n = F.size(v)
-    return A.let(F.sort_array(v), lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
