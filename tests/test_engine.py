@@ -303,6 +303,20 @@ def test_gaps_are_filled_as_asked_and_series_may_begin_by_themselves(spark):
         rows(fill="x")
 
 
+def test_calendars_of_every_grain(spark):
+    day = datetime.datetime
+    table = spark.createDataFrame([("a", day(2019, 12, 31, 23, 59), 1.0), ("a", day(2020, 2, 29, 0, 1), 2.0), ("b", day(2020, 1, 1), 3.0)], "id string, at timestamp_ntz, v double")
+    sizes = {"year": 2, "quarter": 2, "month": 3, "week": 9, "day": 61, "hour": 1418}
+    for grain, n in sizes.items():
+        got = {(r.series_id, r.t): r for r in series_from(table, "id", "at", "v", grain).collect()}
+        assert len(got) == 2 * n and sum(r.y for r in got.values()) == 6 and got["a", 1].y == 1 and got["a", n].y == 2, grain
+        own = series_from(table, "id", "at", "v", grain, start="own", trim=1).where("series_id = 'b'").orderBy("t").collect()
+        assert [r.t for r in own] == list(range(1, len(own) + 1)) and (not own or own[0].y == 3.0)
+    assert series_from(table.where("at < '2020-01-01 00:05:00'"), "id", "at", "v", "minute").count() == 4
+    with pytest.raises(ValueError):
+        series_from(table, "id", "at", "v", "decade")
+
+
 def test_series_may_have_periods_of_their_own_and_tried_sizes_are_kept(spark):
     y = list(np.random.default_rng(5).normal(size=60).cumsum())
     s, spec = frame(spark, a=y, b=y), fc.Spec(kind="mlp", periods=(4,), difforder=(1,), reps=2, hidden_type="valid", hidden_max=2, dummies=False)

@@ -53,7 +53,7 @@ SELECT g.series_id, g.h, round(s.y + sum(g.step) OVER (PARTITION BY g.series_id
 
 
 def season_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fc.season_tests(orders_monthly(spark, sf_dir), 12).select("series_id", "seasons", F.round("stat", 6).alias("stat"), "seasonal")
+    return fc.season_tests(orders_monthly(spark, sf_dir), 12).select("series_id", "seasons", F.round("stat", 6).alias("stat"), F.round("p_value", 9).alias("p_value"), "seasonal")
 
 
 SEASON_SQL = f"""WITH {SERIES}, n AS (SELECT *, max(t) OVER (PARTITION BY series_id) AS n, min(y) OVER (PARTITION BY series_id) AS least FROM s),
@@ -64,7 +64,7 @@ k AS (SELECT series_id, block, season, seasons, CASE WHEN least > 0 THEN y / cma
 q AS (SELECT *, rank() OVER (PARTITION BY series_id, block ORDER BY v) + (count(*) OVER (PARTITION BY series_id, block, v) - 1) / 2.0 AS r FROM k),
 m AS (SELECT series_id, seasons, season, CAST(sum(r) AS DOUBLE) AS total, CAST(sum((r - 6.5) * (r - 6.5)) AS DOUBLE) AS spread FROM q GROUP BY 1, 2, 3),
 w AS (SELECT series_id, CAST(seasons AS INT) AS seasons, 11 * sum((total - seasons * 6.5) * (total - seasons * 6.5)) / sum(spread) AS stat FROM m GROUP BY 1, 2)
-SELECT series_id, seasons, round(stat, 6) AS stat, stat >= {SEASONAL} AS seasonal FROM w"""
+SELECT series_id, seasons, round(stat, 6) AS stat, round(1 - (SELECT sum(exp(-stat / 2 + (5.5 + k) * ln(stat / 2) - lgamma(6.5 + k))) FROM (SELECT unnest(range(0, 400)) AS k)), 9) AS p_value, stat >= {SEASONAL} AS seasonal FROM w"""
 
 
 def fixed_network(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +129,15 @@ FORWARD_SQL = """WITH raw AS (SELECT event_type AS series_id, date_trunc('hour',
 cal AS (SELECT series_id, unnest(generate_series(min(ts), (SELECT hi FROM hi), INTERVAL 1 HOUR)) AS ts FROM raw GROUP BY series_id)
 SELECT c.series_id, CAST(row_number() OVER (PARTITION BY c.series_id ORDER BY c.ts) AS INT) AS t, c.ts, last_value(raw.n IGNORE NULLS) OVER (PARTITION BY c.series_id ORDER BY c.ts) AS n FROM cal c LEFT JOIN raw ON raw.series_id = c.series_id AND raw.ts = c.ts"""
 
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("one", F.lit(1))
+    return series_from(o, "o_orderpriority", "o_orderdate", "one", "week", start="own").select("series_id", "t", "ts", F.col("y").cast("long").alias("n"))
+
+
+WEEKLY_SQL = """WITH raw AS (SELECT o_orderpriority AS series_id, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS ts, count(*) AS n FROM orders GROUP BY 1, 2), hi AS (SELECT max(ts) AS hi FROM raw),
+cal AS (SELECT series_id, unnest(generate_series(min(ts), (SELECT hi FROM hi), INTERVAL 7 DAY)) AS ts FROM raw GROUP BY series_id)
+SELECT c.series_id, CAST(row_number() OVER (PARTITION BY c.series_id ORDER BY c.ts) AS INT) AS t, c.ts, coalesce(raw.n, 0) AS n FROM cal c LEFT JOIN raw ON raw.series_id = c.series_id AND raw.ts = c.ts"""
+
 CHECKED = {
     "engine_residuals": (lambda spark, d: residuals(spark, d).where("fitted is not null").select("series_id", "t", F.round("fitted", 3).alias("fitted"), F.round("residual", 3).alias("residual")), f"WITH {SERIES} {LADDER} SELECT series_id, t, round(fitted, 3) AS fitted, round(y - fitted, 3) AS residual FROM r WHERE fitted IS NOT NULL"),
     "engine_fitted_padded": (lambda spark, d: residuals(spark, d).select("series_id", "t", "y", F.round("fitted", 3).alias("fitted")), f"WITH {SERIES} {LADDER} SELECT series_id, t, y, round(fitted, 3) AS fitted FROM r"),
@@ -140,5 +149,6 @@ CHECKED = {
     "engine_vector_regression": (vector_table, VECTOR_TABLE_SQL),
     "engine_combine_mean": (combined("mean"), f"WITH {SERIES} SELECT t, round(avg(y), 3) AS yhat FROM s GROUP BY t"),
     "engine_combine_median": (combined("median"), f"WITH {SERIES} SELECT t, round(median(y), 3) AS yhat FROM s GROUP BY t"),
+    "weekly_series": (weekly, WEEKLY_SQL),
     "forward_filled_series": (forward_filled, FORWARD_SQL),
 }

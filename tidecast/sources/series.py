@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = {"month": "interval 1 month", "day": "interval 1 day", "hour": "interval 1 hour"}
+STEPS = {"year": "interval 12 months", "quarter": "interval 3 months", "month": "interval 1 month", "week": "interval 7 days", "day": "interval 1 day", "hour": "interval 1 hour", "minute": "interval 1 minute"}
 
 
 def series_from(table: DataFrame, series_id: str, ts: str, value: str, grain: str, trim: int = 0, exact: bool = False, fill: str = "zero", start: str = "common") -> DataFrame:
@@ -13,21 +13,22 @@ def series_from(table: DataFrame, series_id: str, ts: str, value: str, grain: st
 
     exact: sum through decimal(18,2), so that the sum doesn't depend on the order of rows. fill: a missing step is 0 (zero), has the
     last value before it (forward; null before the first) or stops the job (error). start: every series begins with the
-    calendar (common), or with its own first step (own), which then is t = 1. Null ids and times are left out.
+    calendar (common), or with its own first step (own), which then is t = 1. Weeks begin on Mondays. Null ids and times are left out.
     """
     if grain not in STEPS or fill not in ("zero", "forward", "error") or start not in ("common", "own"):
-        raise ValueError("grain is month, day or hour; fill is zero, forward or error; start is common or own")
+        raise ValueError(f"grain is one of {', '.join(STEPS)}; fill is zero, forward or error; start is common or own")
     stamp = F.date_trunc(grain, F.col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
     v = F.col(value).cast("decimal(18,2)") if exact else F.col(value)
     rows = table.select(F.col(series_id).alias("series_id"), stamp.alias("ts"), v.alias("v")).where("series_id is not null and ts is not null")
     sums = rows.groupBy("series_id", "ts").agg(F.sum("v").cast("double").alias("y"))
-    # one row: the calendar's ends
-    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    steps = ends.select(F.posexplode(F.expr(f"sequence(lo, hi, {STEPS[grain]})")).alias("k", "ts"), F.expr(f"size(sequence(lo, hi, {STEPS[grain]}))").alias("n")).where(F.col("k") < F.col("n") - trim)
     firsts = sums.groupBy("series_id").agg(F.min("ts").alias("first"))
-    grid = firsts.crossJoin(F.broadcast(steps.select((F.col("k") + 1).alias("t"), "ts")))  # the calendar: a row for each step
-    if start == "own":
-        grid = grid.where("ts >= first").withColumn("t", (F.col("t") - F.min("t").over(Window.partitionBy("series_id")) + 1).cast("int"))
+    # one row: the calendar's ends
+    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).withColumn("one", F.lit(1))
+    begin = "first" if start == "own" else "lo"
+    calendar = F.expr(f"sequence({begin}, hi, {STEPS[grain]})")
+    kept = F.slice(calendar, F.lit(1), F.greatest(F.size(calendar) - trim, F.lit(0)))
+    spans = firsts.withColumn("one", F.lit(1)).join(F.broadcast(ends), "one")
+    grid = spans.select("series_id", F.posexplode(kept).alias("t", "ts")).withColumn("t", F.col("t") + 1)
     filled = {
         "zero": F.coalesce("y", F.lit(0.0)),
         "forward": F.last("y", True).over(Window.partitionBy("series_id").orderBy("t")),
