@@ -398,6 +398,33 @@ def test_held_out_accuracy(spark):
     assert langid.fit(empty) is None and langid.predict(empty, None).count() == 0
 
 
+def test_the_readers_probabilities_are_those_that_were_trained():
+    rng = np.random.default_rng(5)
+    net = langid.Network(["a", "b", "c"])
+    for k, v in net.p.items():
+        net.p[k] = (v + rng.normal(0, 0.3, v.shape)).astype(np.float32)
+    own = sorted((bytes(rng.integers(0, 256, int(n), dtype=np.uint8)) for n in [1, 1, 2, 7, 33, 64, 64, 150, 300, 577]), key=len, reverse=True)
+    x, sizes = langid.pad(own), np.array([len(r) for r in own])
+    got = net.ready().probabilities(x.T.copy(), sizes)
+    p, h_ = {k: v.astype(float) for k, v in net.p.items()}, langid.HIDDEN
+    for i, raw in enumerate(own):
+        states = np.zeros((len(raw), 2 * h_))
+        for k, way in enumerate("fb"):
+            h = np.zeros(h_)
+            for t in range(len(raw)) if way == "f" else range(len(raw) - 1, -1, -1):
+                a, g = p["embed"][raw[t]] @ p[f"in_{way}"] + p[f"b_{way}"], h @ p[f"rec_{way}"]
+                z, r = 1 / (1 + np.exp(-(a[:h_] + g[:h_]))), 1 / (1 + np.exp(-(a[h_ : 2 * h_] + g[h_ : 2 * h_])))
+                h = h + z * (np.tanh(a[2 * h_ :] + r * g[2 * h_ :]) - h)
+                states[t, k * h_ : (k + 1) * h_] = h
+        logits = states @ p["out"] + p["bias"]
+        want = np.exp(logits - logits.max(1, keepdims=True))
+        assert np.allclose(got[:, : len(raw), i].T, want / want.sum(1, keepdims=True), atol=1e-5)
+    # the mean over one class's positions is the loss that training sees
+    loss, _ = net.gradients(x, np.zeros(len(own), int))
+    mine = np.concatenate([got[0, : len(r), i] for i, r in enumerate(own)])
+    assert np.isclose(loss, -np.log(mine + 1e-12).mean(), rtol=1e-4)
+
+
 # op10
 
 
@@ -418,6 +445,38 @@ def test_archives_round_trip(spark, tmp_path):
     assert all(hashlib.sha1(r.payload).hexdigest() == r.payload_digest for r in got if r.record_type == "response")
 
 
+def test_archives_of_others_are_read(spark, tmp_path):
+    import base64
+    import gzip
+
+    def record(version, kind, block, *more, http=True):
+        lines = [version, f"WARC-Type: {kind}", *more, *(["Content-Type: application/http; msgtype=response"] if http else ["Content-Type: application/warc-fields"]), f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http, body = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n", "<p>é</p>".encode() * 90000
+    b32 = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
+    uuid = "<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"
+    parts = [
+        record("WARC/1.0", "warcinfo", b"software: x\r\n", f"WARC-Record-ID: {uuid}", http=False),
+        record("WARC/1.0", "response", http + body, f"WARC-Record-ID: {uuid}", "WARC-Target-URI: http://a.example/", "  folded", f"WARC-Payload-Digest: sha1:{b32(body)}", f"WARC-Block-Digest: sha1:{b32(http + body)}"),
+        record("WARC/1.1", "request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Record-ID: <urn:x>", "warc-block-digest: SHA-256:" + hashlib.sha256(b"GET / HTTP/1.1\r\n\r\n").hexdigest()),
+        record("WARC/1.1", "revisit", http, "WARC-Record-ID: <urn:y>", f"WARC-Payload-Digest: sha1:{b32(body)}", f"WARC-Refers-To: {uuid}"),
+        record("WARC/1.1", "metadata", b"", "WARC-Block-Digest: blake9:zz", http=False),
+        record("WARC/1.0", "resource", b"not http", "WARC-Record-ID: <urn:page:12>", http=False),
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.gz").write_bytes(b"".join(parts))
+    got = [(r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path / "a"), payloads=True).collect()]
+    digest = lambda data: hashlib.sha1(data).hexdigest()
+    assert got == [
+        (None, None, 13, digest(b"software: x\r\n"), "warcinfo", None, b"software: x\r\n"), (None, "http://a.example/ folded", len(body), digest(body), "response", None, body),
+        (None, None, 0, digest(b""), "request", None, b""), (None, None, None, digest(body), "revisit", None, None), (None, None, 0, digest(b""), "metadata", None, b""), (12, None, 8, digest(b"not http"), "resource", None, b"not http"),
+    ]
+    for wrong in (record("WARC/1.0", "response", http + b"x", f"WARC-Payload-Digest: sha1:{b32(b'y')}"), record("WARC/1.0", "response", http + b"x", "WARC-Block-Digest: sha1:??"), record("WARC/0.9", "response", http)):
+        with pytest.raises(ValueError):
+            list(warc.read_records(wrong))
+
+
 def test_a_damaged_archive_is_refused():
     import gzip
 

@@ -9,7 +9,10 @@ Files are closed by bytes: a row of the sink is a run of members of ROW_BYTES or
 a file has at most ROWS times what a row and one record take.
 
 Reading. A file is inflated step by step with one zlib object for each member; the header ends at the blank line, the block is
-framed by Content-Length and hashed as it comes, both digests are verified, and a row leaves when its member ends.
+framed by Content-Length and hashed as it comes, and a row leaves when its member ends. Archives of others are read as well: WARC/1.0
+and 1.1, every type of record, folded header lines, ids of any form. Digests are optional; those that are there are verified, in
+hex or Base32, where their algorithm is known (md5, sha1, sha256, sha512). A payload is what follows the HTTP header, as it was
+sent, or the whole block where there is none.
 
 Of pages with equal payloads of at least LEAST bytes, the one with the largest page_id is a response and the others revisit it;
 rows that share that page_id are all responses. Null html counts as empty; a null page_id is a response whose id reads back as
@@ -18,6 +21,7 @@ null; repeated rows give repeated records; other columns don't matter.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -60,13 +64,38 @@ def member(data: bytes) -> bytes:
     return out
 
 
+KNOWN = ("md5", "sha1", "sha256", "sha512")
+
+
+class Digest:
+    """A digest as a header gives it (algorithm:value, hex or Base32), to be compared with what comes; of unknown algorithms nothing is."""
+
+    def __init__(self, given: str | None):
+        name, _, value = (given or "").partition(":")
+        name = name.strip().lower().replace("-", "")
+        self.hash, self.expected = (hashlib.new(name), None) if name in KNOWN and value else (None, None)
+        if self.hash:
+            value, size = value.strip(), self.hash.digest_size
+            try:
+                self.expected = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+            except ValueError:
+                self.expected = b""
+
+    def update(self, data: bytes) -> None:
+        if self.hash:
+            self.hash.update(data)
+
+    def wrong(self) -> bool:
+        return self.hash is not None and self.hash.digest() != self.expected
+
+
 class Record:
     """One record, fed with the inflated bytes of its member: header, digests and lengths; the payload only if it is to be kept."""
 
     def __init__(self, keep: bool):
         self.keep, self.raw, self.head, self.left = keep, bytearray(), None, 0
         self.http, self.payload, self.tail = bytearray(), [], bytearray()
-        self.of_block, self.of_payload, self.in_payload = hashlib.sha1(), hashlib.sha1(), False
+        self.sha1, self.size, self.in_payload = hashlib.sha1(), 0, False
 
     def feed(self, data: bytes) -> None:
         if self.head is None:
@@ -75,10 +104,18 @@ class Record:
             if not blank:
                 return
             lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-            if lines[0] != "WARC/1.1":
+            if lines[0] not in ("WARC/1.0", "WARC/1.1"):
                 raise ValueError("not a WARC record")
-            self.head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            whole: list[str] = []
+            for line in lines[1:]:
+                if line[:1] in (" ", "\t") and whole:
+                    whole[-1] += " " + line.strip()
+                else:
+                    whole.append(line)
+            self.head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in whole)}
             self.left, self.raw = int(self.head["content-length"]), bytearray()
+            self.of_block, self.of_payload = Digest(self.head.get("warc-block-digest")), Digest(self.head.get("warc-payload-digest"))
+            self.in_payload = not self.head.get("content-type", "").lower().startswith("application/http")
         block, rest = data[: self.left], data[self.left :]
         self.left -= len(block)
         self.of_block.update(block)
@@ -87,8 +124,12 @@ class Record:
             http, blank, block = bytes(self.http).partition(b"\r\n\r\n")
             if blank:
                 self.http, self.in_payload = bytearray(http), True
+            else:
+                block = b""
         if self.in_payload:
             self.of_payload.update(block)
+            self.sha1.update(block)
+            self.size += len(block)
             if self.keep:
                 self.payload.append(block)
         self.tail += rest
@@ -101,12 +142,29 @@ class Record:
             return False
         if self.left or self.tail != b"\r\n\r\n":
             raise ValueError("the block doesn't end where Content-Length says")
-        if self.head["warc-block-digest"] != f"sha1:{self.of_block.hexdigest()}":
+        if self.of_block.wrong():
             raise ValueError("the block's digest is wrong")
-        if self.head["warc-type"] == "response" and self.head["warc-payload-digest"] != f"sha1:{self.of_payload.hexdigest()}":
+        if self.kind() != "revisit" and self.of_payload.wrong():
             raise ValueError("the payload's digest is wrong")
         return True
 
+    def kind(self) -> str:
+        return self.head.get("warc-type", "").lower()
+
+    def sent(self) -> int | None:
+        """Bytes of the payload: as counted, for a revisit as its HTTP header says."""
+        if self.kind() != "revisit":
+            return self.size
+        length = bytes(self.http).decode("latin-1").lower().rpartition("\ncontent-length:")[2].split("\r")[0].strip() if b"\n" in self.http else ""
+        return int(length) if length.isdigit() else None
+
+    def digest(self) -> str | None:
+        """SHA-1 of the payload in hex; for a revisit as its header says."""
+        if self.kind() != "revisit":
+            return self.sha1.hexdigest()
+        given = self.of_payload
+        return given.expected.hex() if given.hash is not None and given.hash.name == "sha1" and given.expected else None
+
 
 def read_records(data: bytes, keep: bool = False) -> Iterator[Record]:
     """The records of an archive, one gzip member each, one after the other."""
@@ -162,17 +220,17 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, row_bytes: i
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) from all archives below path.
+    """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id[, payload]) from all archives below path.
 
-    payload is null for a revisit.
+    page_id and refers_to are numbers where the ids are of our own form, else null. payload is null for a revisit.
     """
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string" + ", payload binary" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def number(text: str | None) -> int | None:
         digits = (text or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
+        return int(digits) if digits.removeprefix("-").isdigit() else None
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
@@ -182,11 +240,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
             for content in batch.column(0):
                 out, size = [], 0
                 for record in read_records(content.as_buffer(), payloads):
-                    head, kind = record.head, record.head["warc-type"]
-                    length = int(record.http.decode("latin-1").lower().rpartition("content-length:")[2])
-                    row = (number(head["warc-record-id"]), head["warc-target-uri"], length, head["warc-payload-digest"].removeprefix("sha1:"), kind, number(head.get("warc-refers-to")))
-                    out.append((*row, b"".join(record.payload) if kind == "response" else None) if payloads else row)
-                    size += 200 + length * payloads
+                    head, kind = record.head, record.kind()
+                    row = (number(head.get("warc-record-id")), head.get("warc-target-uri"), record.sent(), record.digest(), kind, number(head.get("warc-refers-to")), head.get("warc-record-id"))
+                    out.append((*row, b"".join(record.payload) if kind != "revisit" else None) if payloads else row)
+                    size += 200 + record.size * payloads
                     if size > 1 << 20:
                         yield rows(out)
                         out, size = [], 0
@@ -199,7 +256,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).drop("url")
+    return read_archives(spark, path).drop("url", "record_id")
 
 
 OP10_SQL = f"""
