@@ -224,6 +224,47 @@ def test_a_logistic_output_gives_probabilities_and_equals_newton(spark):
         regression.fit(table, "grp", "y", ["u"], link="x")
 
 
+def test_the_penalty_of_a_logistic_output_is_that_of_least_held_out_deviance(spark):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(-1, 1, (400, 4)).round(4)
+    y = (rng.uniform(size=400) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1])))).astype(float)
+    table = spark.createDataFrame([("a", *map(float, r), float(v)) for r, v in zip(x, y)], "g string, a double, b double, c double, d double, y double").repartition(3)
+    columns = ["a", "b", "c", "d"]
+    rows = regression.scaled_rows(table, "g", "y", columns, True, 0.0)[0].toPandas()
+    v, target, fold = np.stack(rows["x"]), (rows["y"].to_numpy() + 1) / 2, rows["fold"].to_numpy()
+    for kind, path in (("lasso", stats.lasso_path), ("ridge", stats.ridge_path)):
+        for rule in ("1se", "min"):
+            models = regression.fit(table, "g", "y", columns, hidden=3, kind=kind, reps=1, direct=True, link="logistic", rule=rule).first()
+            layer = nets.random_layer(4, 3, False, np.random.default_rng([42, zlib.crc32(b"a"), 0]))
+            a = np.hstack([np.ones((400, 1)), nets.hidden_output(v, [layer], "softsign"), v])
+
+            def sums(w):
+                full = regression.working(a, 2 * target[:, None] - 1, w)
+                even = 400 / (full[:, 0] ** 2).sum()
+                return [full[fold == f].T @ full[fold == f] * even for f in range(5)]
+
+            def settled(w, step):
+                for _ in range(regression.PASSES):
+                    w, before = step(sums(w)), w
+                    if before is not None and np.abs(w - before).max() < regression.SETTLED or before is None and np.abs(w).max() < regression.SETTLED:
+                        break
+                return w
+
+            w = settled(None, lambda m: nets.output_weights(m, kind, rule))
+            penalties, paths, out = stats.fold_paths(sums(w), path)
+            errors = []
+            for f, own in zip(out, paths[1:], strict=True):
+                eta = a[fold == f] @ own.T
+                errors.append((2 * (np.logaddexp(0, eta) - target[fold == f, None] * eta)).mean(0))
+            penalty = penalties[stats.pick(np.array(errors), rule)]
+            w = settled(w, lambda m: path(sum(m)[None], np.array([penalty]))[0, 0])
+            (m,) = models.members
+            got = np.zeros(8)
+            alive = [j for j in range(3) if w[1 + j] != 0]
+            got[[0, *(1 + j for j in alive)]], got[4:] = m.w_out, m.direct
+            assert np.allclose(got, w, atol=1e-3), (kind, rule, got, w)
+
+
 def test_one_member_without_neurons_is_a_line_and_the_reports_of_a_table_agree(spark):
     table = spark.createDataFrame([(g, float(i), 3.0 * i + 1 + k) for k, g in enumerate("ab") for i in range(50)], "grp string, u double, y double").repartition(3)
     models = regression.fit(table, "grp", "y", ["u"], hidden=0, kind="ls", reps=1, direct=True)

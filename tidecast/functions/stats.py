@@ -175,22 +175,29 @@ def left_over(g: np.ndarray, a: np.ndarray, j: int) -> float:
     return float(g[j, j] - g[j, a] @ np.linalg.solve(g[np.ix_(a, a)], g[a, j])) if len(a) else 1.0
 
 
-def cross_validated(folds: list[np.ndarray], path, count: int = 20, rule: str = "1se") -> np.ndarray:
-    """Coefficients at the penalty that rule picks: the largest whose error over the folds is within one standard error of the least
-    (1se), or that of the least error (min)."""
+def fold_paths(folds: list[np.ndarray], path, count: int = 20) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(penalties, coefficients (all rows and then all but each fold, penalty, coefficient), the folds that can be held out)."""
     whole = sum(folds)
     top = max(float(np.abs(centred(whole)[4]).max(initial=0)), 1e-12)
     penalties = top * np.geomspace(1, 1e-4, count)
-    out = [f for f in folds if f[0, 0] > 0 and (whole - f)[0, 0] > 1]
-    if not out:
-        return path(whole[None], penalties[:1])[0, 0]
-    paths = path(np.stack([whole, *(whole - f for f in out)]), penalties)
-    errors = np.array([[error(f, w) for w in p] for f, p in zip(out, paths[1:], strict=True)])
+    out = [k for k, f in enumerate(folds) if f[0, 0] > 0 and (whole - f)[0, 0] > 1]
+    return penalties, path(np.stack([whole, *(whole - folds[k] for k in out)]), penalties), out
+
+
+def pick(errors: np.ndarray, rule: str = "1se") -> int:
+    """The penalty (of those in descending order) for errors (fold, penalty): the largest whose mean error is within one standard
+    error of the least (1se), or that of the least (min)."""
     mean, se = errors.mean(0), errors.std(0) / math.sqrt(len(errors))
-    best = mean.argmin()
-    if rule == "min":
-        return paths[0, best]
-    return paths[0, np.flatnonzero(mean <= mean[best] + se[best])[0]]
+    best = int(mean.argmin())
+    return best if rule == "min" else int(np.flatnonzero(mean <= mean[best] + se[best])[0])
+
+
+def cross_validated(folds: list[np.ndarray], path, count: int = 20, rule: str = "1se") -> np.ndarray:
+    """Coefficients at the penalty that rule picks by the errors over the held-out folds; without such folds, at the largest."""
+    _, paths, out = fold_paths(folds, path, count)
+    if not out:
+        return paths[0, 0]
+    return paths[0, pick(np.array([[error(folds[k], w) for w in p] for k, p in zip(out, paths[1:], strict=True)]), rule)]
 
 
 def independent(g: np.ndarray) -> list[int]:

@@ -5,8 +5,10 @@ A task adds up the products of all its rows before it gives any, and the sums of
 short pieces, which it adds as they come. So what is shuffled depends on partitions, groups and neurons, not on rows.
 
 A logistic output is fitted by reweighted least squares: each pass over the table gives the sums of products of a working
-response, and the penalty or the selected columns are chosen anew on those (Gu 1992), so a pass costs what a linear fit does. The
-scaled table is written once, by blocks of groups, and a pass reads its block alone.
+response, so a pass costs what a linear fit does. While weights settle, the penalty or the selected columns are chosen anew on those
+(Gu 1992). Then the penalty of lasso and ridge is chosen by deviance: the settled sums give the paths without each fold, one pass adds
+up the deviance of the rows left out along their paths, and the weights settle once more at the penalty of least deviance, or
+the largest within one standard error of it. The scaled table is written once, by blocks of groups, and a pass reads its block alone.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tidecast.functions import arrays as A
-from tidecast.functions import nets
+from tidecast.functions import nets, stats
 from tidecast.functions.stats import density_mode
 from tidecast.functions.transforms import softsign
 from tidecast.sources.written import discard, materialise
@@ -83,9 +85,9 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int =
     x: columns, or the name of one column of arrays, for inputs by the hundreds; arrays of another length than the longest aren't used.
     kind: lasso, ridge, step, ls (or lm). Rows fall into the folds of lasso and ridge by a hash of their values, so equal rows
     share a fold; a group without rows gives none. rule: as in stats.cross_validated. link logistic: y lies between 0 and 1
-    (between its least and greatest value when scaled) and so do predictions; it needs up to PASSES passes, and members whose
-    weights still change then are kept with settled false. Groups are taken in blocks whose weights number SMALL on average,
-    since a pass sends the weights of the one before to every task. The result is written to the shared folder.
+    (between its least and greatest value when scaled) and so do predictions; it needs up to PASSES passes, twice where a penalty is
+    chosen, and members whose weights still change then are kept with settled false. Groups are taken in blocks for which a
+    pass sends SMALL numbers to every task on average. The result is written to the shared folder.
     """
     if link not in ("linear", "logistic"):
         raise ValueError("link is linear or logistic")
@@ -102,7 +104,7 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int =
         z = nets.hidden_output(v[:, 1:], [w], "softsign")
         return np.hstack([np.ones((len(v), 1)), z, v[:, 1:] if direct else v[:, :0]])
 
-    def solve(g: str, rep: int, sums: dict[tuple[int, int], np.ndarray]) -> pd.DataFrame:
+    def solve(g: str, rep: int, sums: dict[tuple[int, int], np.ndarray], penalty: float | None, paths: bool) -> pd.DataFrame:
         folds, counts = [], 0.0
         for f in sorted({fold for fold, _ in sums}):
             flat = np.concatenate([sums[at] for at in sorted(sums) if at[0] == f])
@@ -111,20 +113,33 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int =
             counts += flat[-1]
             folds.append(m + np.triu(m, 1).T)
         even = counts / sum(m[0, 0] for m in folds)  # weights of rows are 1 on average
-        return pd.DataFrame([(g, rep, nets.output_weights([m * even for m in folds], kind, rule).tolist())], columns=["g", "rep", "w"])
+        folds = [m * even for m in folds]
+        along = stats.lasso_path if kind == "lasso" else stats.ridge_path
+        if paths:
+            penalties, found, out = stats.fold_paths(folds, along)
+            numbers = sorted({fold for fold, _ in sums})
+            w = np.concatenate([[len(out)], [numbers[k] for k in out], penalties, found[1:].ravel()])
+        elif penalty is not None:
+            w = along(sum(folds)[None], np.array([penalty]))[0, 0]
+        else:
+            w = nets.output_weights(folds, kind, rule)
+        return pd.DataFrame([(g, rep, w.tolist())], columns=["g", "rep", "w"])
 
-    def solve_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, sums = None, {}
-        for batch in batches:
-            for at, part in batch.groupby(["g", "rep"], sort=False):
-                if at != now:
-                    if now is not None:
-                        yield solve(now[0], int(now[1]), sums)
-                    now, sums = at, {}
-                for key, own in part.groupby(["fold", "piece"], sort=False):
-                    sums[key] = sums.get(key, 0.0) + np.sum(np.stack(own["m"].to_list()), axis=0)
-        if now is not None:
-            yield solve(now[0], int(now[1]), sums)
+    def solver(penalties: dict, paths: bool):
+        def solve_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, sums = None, {}
+            for batch in batches:
+                for at, part in batch.groupby(["g", "rep"], sort=False):
+                    if at != now:
+                        if now is not None:
+                            yield solve(now[0], int(now[1]), sums, penalties.get(now), paths)
+                        now, sums = at, {}
+                    for key, own in part.groupby(["fold", "piece"], sort=False):
+                        sums[key] = sums.get(key, 0.0) + np.sum(np.stack(own["m"].to_list()), axis=0)
+            if now is not None:
+                yield solve(now[0], int(now[1]), sums, penalties.get(now), paths)
+
+        return solve_stream
 
     def pieces(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for (g, rep, fold), flat in held.items():
@@ -132,8 +147,9 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int =
             same = [pa.array([v] * len(cuts), kind) for v, kind in ((g, pa.string()), (rep, pa.int32()), (fold, pa.int32()))]
             yield pa.RecordBatch.from_arrays([*same, pa.array(cuts // PIECE), pa.ListArray.from_arrays(np.append(cuts, np.int32(len(flat))), pa.array(flat))], names=["g", "rep", "fold", "piece", "m"])
 
-    def solved(some: DataFrame, before: Broadcast | None) -> DataFrame:
-        """(g, rep, w): output weights; for a logistic output, a step on from those before."""
+    def solved(some: DataFrame, before: Broadcast | None, penalties: dict | None = None, paths: bool = False) -> DataFrame:
+        """(g, rep, w): output weights; for a logistic output, a step on from those before. penalties: at these, by member, instead
+        of chosen ones; paths: instead, the folds that can be held out, the penalties and the weights without each fold at each."""
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple, np.ndarray] = {}
@@ -163,13 +179,14 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int =
                 yield from pieces(held)
 
         parts = some.select("g", "fold", "y", "x").mapInArrow(sums, "g string, rep int, fold int, piece int, m array<double>")
-        return parts.repartition("g", "rep").sortWithinPartitions("g", "rep").mapInPandas(solve_stream, "g string, rep int, w array<double>")
+        return parts.repartition("g", "rep").sortWithinPartitions("g", "rep").mapInPandas(solver(penalties or {}, paths), "g string, rep int, w array<double>")
 
-    def settle(own: DataFrame) -> DataFrame:
-        """(g, rep, w, settled) of one block by passes until nothing changes."""
-        held, changes, sent = {}, {}, None
+    def rounds(own: DataFrame, held: dict, penalties: dict | None) -> tuple[dict, dict, Broadcast]:
+        """Passes from the weights held until nothing changes: (weights, their last changes, weights as they were sent)."""
+        sent = own.sparkSession.sparkContext.broadcast(held) if held else None
+        changes = {}
         for _ in range(PASSES):
-            new = {(r.g, r.rep): np.array(r.w) for r in solved(own, sent).collect()}
+            new = {(r.g, r.rep): np.array(r.w) for r in solved(own, sent, penalties).collect()}
             changes = {at: float(np.abs(w - held.get(at, 0.0)).max()) for at, w in new.items()}
             held = new
             if sent:
@@ -177,6 +194,56 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int =
             sent = own.sparkSession.sparkContext.broadcast(held)
             if all(c < SETTLED for c in changes.values()):
                 break
+        return held, changes, sent
+
+    def deviances(own: DataFrame, paths: Broadcast) -> dict:
+        """{(g, rep): deviance per row (fold, penalty)} of the rows of each fold along the path that was made without it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                codes, found = pd.factorize(batch.column("g").to_pandas())
+                v = np.hstack([batch.column("y").to_numpy()[:, None], batch.column("x").flatten().to_numpy().reshape(batch.num_rows, p)])
+                folds = batch.column("fold").to_numpy()
+                for k, g in enumerate(found):
+                    for rep in range(reps):
+                        numbers, _, w = paths.value[g, rep]
+                        a = features(v[codes == k], layer(g, rep))
+                        for i, f in enumerate(numbers):
+                            mine = folds[codes == k] == f
+                            eta, target = a[mine] @ w[i].T, (v[codes == k][mine, :1] + 1) / 2
+                            dev = np.append(2 * (np.logaddexp(0, eta) - target * eta).sum(0), mine.sum())
+                            sums[g, rep, f] = sums.get((g, rep, f), 0.0) + dev
+            for (g, rep, f), dev in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([rep], pa.int32()), pa.array([f], pa.int32()), pa.array([dev.tolist()], pa.list_(pa.float64()))], names=["g", "rep", "fold", "d"])
+
+        each = own.select("g", "fold", "y", "x").mapInArrow(run, "g string, rep int, fold int, d array<double>").select("g", "rep", "fold", F.posexplode("d").alias("k", "d"))
+        out: dict[tuple, dict] = {}
+        for r in each.groupBy("g", "rep", "fold", "k").agg(F.sum("d").alias("d")).collect():  # fewer than the paths have weights
+            out.setdefault((r.g, r.rep), {})[r.fold, r.k] = r.d
+        found = {}
+        for at, own_ in out.items():
+            last = max(k for _, k in own_)
+            numbers = sorted({f for f, _ in own_})
+            found[at] = np.array([[own_[f, k] / max(own_[f, last], 1) for k in range(last)] for f in numbers])
+        return found
+
+    def settle(own: DataFrame) -> DataFrame:
+        """(g, rep, w, settled) of one block by passes until nothing changes."""
+        held, changes, sent = rounds(own, {}, None)
+        if kind in ("lasso", "ridge") and held:
+            paths = {}
+            for r in solved(own, sent, None, True).collect():
+                flat, n = np.array(r.w), int(r.w[0])
+                numbers, rest = [int(f) for f in flat[1 : 1 + n]], flat[1 + n :]
+                count = len(rest) // (1 + n * (size - 1))
+                paths[r.g, r.rep] = numbers, rest[:count], rest[count:].reshape(n, count, size - 1)
+            gone = own.sparkSession.sparkContext.broadcast(paths)
+            errors = deviances(own, gone)
+            gone.destroy()
+            penalties = {at: float(p_[stats.pick(errors[at], rule)]) if at in errors else float(p_[0]) for at, (_, p_, _) in paths.items()}
+            sent.destroy()
+            held, changes, sent = rounds(own, held, penalties)
         if sent:
             sent.destroy()
         rows = [(g, rep, w.tolist(), changes[g, rep] < SETTLED) for (g, rep), w in held.items()]
@@ -193,7 +260,8 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int =
     if link == "linear":
         weights = solved(ready, None).withColumn("settled", F.lit(True))
     else:
-        blocks = max(1, -(-ends.count() * reps * (size - 1) // SMALL))
+        # the paths of all folds at all penalties are the most that a pass sends to every task
+        blocks = max(1, -(-ends.count() * reps * (size - 1) * (20 * FOLDS if kind in ("lasso", "ridge") else 1) // SMALL))
         written = materialise(ready.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")), "scaled", "block")
         each = [materialise(settle(written.where(F.col("block") == k)), "weights") for k in range(blocks)]
         discard(written)
