@@ -41,7 +41,7 @@ class Spec:
     kind: elm or mlp. periods: the seasonal periods in steps, several for several seasonalities; specify may be given others for
     some series. hidden: neurons, or a tuple of layers; 0 in an elm with direct: none; None: 5 (hidden_type set), by validation (valid), five folds (cv) or random networks (elm). folds: steps fall into them at
     random, or in stretches of time (valid then holds out the last fifth). type: the elm's output
-    weights. penalty: of lasso and ridge, see stats.cross_validated. barebone: the elm's uniform softsign layer instead of normal logistic ones. strict: see difference_orders; also,
+    weights. penalty: of lasso and ridge, see stats.cross_validated. barebone: the elm's uniform softsign layer instead of normal logistic ones. strict: a seasonal difference is taken only together with the one for trend; also,
     rejected lags stay where regressors or dummies are left.
     """
 
