@@ -10,7 +10,7 @@ most; the best of all tiles are the result. First the positives are found, which
 sent once for each block of anchors. Of rows with equal vector and label only the first few by id can be in any result, as ties go by
 id; the others are left out before, but stay anchors.
 
-The codebooks are fitted on a bounded sample (TRAIN rows of least hash); every row is indexed, and results are exact whatever the
+The codebooks are fitted on a bounded sample (about TRAIN rows, by hash); every row is indexed, and results are exact whatever the
 codebooks are. Rows with a null id, label or vector, or a null or non-finite component take no part. Vectors of different lengths are
 not compared. Each row is a row of its own, so repeated ids can be each other's partners. Components must keep scores within 2**62,
 anything else is an error. An empty table gives no rows. Other columns don't matter.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.common import discard, fingerprint, materialise, table
 
-#: Components of a part, entries of its codebook, rows that codebooks are fitted on at most.
+#: Components of a part, entries of its codebook, rows that codebooks are fitted on, on average.
 WIDTH, ENTRIES, TRAIN = 2, 256, 10_000
 #: Rows and anchors of a tile on average, and those looked up at once.
 ROWS, ANCHORS, SLICE, CHUNK = 8192, 8192, 128, 2048
@@ -158,11 +158,12 @@ def hard_negatives(vectors: DataFrame, anchor: str, positives: int = 5, negative
     rows = vectors.where("vec_id is not null and label is not null and v is not null and size(v) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("v").cast("array<bigint>").alias("v"))
     # ids of our own, which stay since the table is written
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("uid"), *rows.columns), "rows")
-    sample = rows.orderBy(F.xxhash64(F.lit(17), "vec_id", "v")).limit(TRAIN).select("v").collect()
+    share = TRAIN / max(rows.count(), 1)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(17), "vec_id", "v"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share).select("v").limit(2 * TRAIN).collect()
     lengths = [r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect()]
     books = {}
     for d in lengths:
-        own = [r["v"] for r in sample if len(r["v"]) == d] or [[0] * d]
+        own = sorted(r["v"] for r in sample if len(r["v"]) == d) or [[0] * d]
         books[d] = codebooks(np.array(own, np.int64), WIDTH if d % WIDTH == 0 else 1)
     same = Window.partitionBy("label", *fingerprint("v")).orderBy("vec_id", "uid")
     few = rows.withColumn("turn", F.row_number().over(same)).where(F.col("turn") <= max(positives + 1, negatives)).drop("turn")
