@@ -246,8 +246,7 @@ def telling_terms(docs: DataFrame, found: DataFrame, owners: DataFrame, texts: D
             held = [sorted({t for word in runs_of(text.as_py()) for t, _ in terms_in(word)}) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(held, pa.list_(pa.int64()))], names=["k1", "k2", "terms"])
 
-    # a share of `disclosed` needs n_t <= total * (n_c / total) ** disclosed, since n_ct is n_c at most, and
-    # n_ct >= n_t * (n_c / total) ** (1 - disclosed): of the texts of a term that many hold an entity, which few common words reach
+    # a share of `disclosed` needs n_t <= total * (n_c / total) ** disclosed, since n_ct is n_c at most
     total = float(found.select("k1", "k2").distinct().count())
     most = owners.agg(F.max("n_c")).first()[0]
     if not most:
@@ -259,24 +258,29 @@ def telling_terms(docs: DataFrame, found: DataFrame, owners: DataFrame, texts: D
     def rare(n_c):
         return F.col("n_t") <= F.lit(total) * F.pow(n_c / F.lit(total), F.lit(disclosed)) * (1 + 1e-9)
 
-    own = F.col("m") >= F.col("n_t") * (support / total) ** (1 - disclosed) * (1 - 1e-9)
-    counts = materialise(term_counts(different_texts(docs, found, text_col), candidates).join(candidates, "t").where(rare(F.lit(float(most))) & own).select("t", "n_t"), "counts")
+    def share(n_t):
+        shrunk = F.when(F.col("c").bitwiseAND(F.lit(1)) == 1, F.col("n_ct") / (F.col("n_ct") + 1)).otherwise(1.0)
+        pmi = F.log2(shrunk * F.col("n_ct") * F.lit(total) / (F.col("n_c") * n_t))
+        return F.coalesce(pmi / F.nullif(F.log2(F.lit(total) / F.col("n_c")), F.lit(0.0)), F.lit(0.0))
+
+    of_text = owners.groupBy("k1", "k2").agg(F.collect_list(F.struct("c", "n_c")).alias("cs"))
+    # a term stands in m texts or more, so its share with n_t = m is the most that it can be: nearly all terms fall here
+    with_entities = written.join(of_text, ["k1", "k2"]).select(F.explode("cs").alias("e"), "terms").select("e.c", "e.n_c", F.explode("terms").alias("t"))
+    together = with_entities.groupBy("c", "n_c", "t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
+    likely = materialise(together.join(candidates, "t").where(share(F.col("m")) >= disclosed * (1 - 1e-9)).groupBy("t").agg(F.first("m").alias("m")), "likely")
+    counts = materialise(term_counts(different_texts(docs, found, text_col), likely).join(likely, "t").where(rare(F.lit(float(most)))).select("t", "n_t"), "counts")
     # common terms, which are most of a text, leave before anything is shuffled
     rows = among(held.select(F.col("k1").alias("o1"), "k2", F.col("t").alias("k1")), counts.select(F.col("t").alias("k1")))
     places = join_spread(rows.select("o1", "k2", F.col("k1").alias("t")), counts, "t", "inner")
     by_text = places.groupBy(F.col("o1").alias("k1"), "k2").agg(F.collect_list(F.struct("t", "n_t")).alias("ts"))
-    of_text = owners.groupBy("k1", "k2").agg(F.collect_list(F.struct("c", "n_c")).alias("cs"))
     met = materialise(by_text.join(of_text, ["k1", "k2"]), "met")
     pairs = met.select("k1", "k2", F.explode("cs").alias("e"), "ts").select("k1", "k2", "e.c", "e.n_c", F.explode("ts").alias("w")).select("k1", "k2", "c", "n_c", "w.t", "w.n_t").where(rare(F.col("n_c")))
     n = pairs.groupBy("c", "t", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    shrunk = F.when(F.col("c").bitwiseAND(F.lit(1)) == 1, F.col("n_ct") / (F.col("n_ct") + 1)).otherwise(1.0)
-    pmi = F.log2(shrunk * F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
-    share = F.coalesce(pmi / F.nullif(F.log2(F.lit(total) / F.col("n_c")), F.lit(0.0)), F.lit(0.0))
-    telling = materialise(n.where(share >= disclosed).select(F.xxhash64("c", "t").alias("k1"), F.col("c").alias("own_c"), F.col("t").alias("own_t")), "disclosing")
+    telling = materialise(n.where(share(F.col("n_t")) >= disclosed).select(F.xxhash64("c", "t").alias("k1"), F.col("c").alias("own_c"), F.col("t").alias("own_t")), "disclosing")
     hits = among(pairs.select(F.col("k1").alias("o1"), "k2", "c", "t", F.xxhash64("c", "t").alias("k1")), telling)
     hits = join_spread(hits, telling, "k1", "inner").where("c = own_c and t = own_t")
     terms = materialise(hits.groupBy(F.col("o1").alias("k1"), "k2").agg(F.collect_set("t").alias("terms")), "telling")
-    discard(written, candidates, counts, met, telling)
+    discard(written, candidates, likely, counts, met, telling)
     return terms
 
 
