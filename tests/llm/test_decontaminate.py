@@ -85,3 +85,44 @@ def test_items_without_an_id_are_reported_too(spark):
     bench = spark.createDataFrame([(None, item), (7, item), (None, None)], "item_id long, text string")
     got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in d.with_hits(docs, bench).collect()}
     assert sorted(got[1], key=str) == [7, None] and got[2] == []
+
+
+def plain_bands(index: d.Index, text: bytes) -> list[tuple[int, int, int]]:
+    """Bands counted one q-gram at a time."""
+    counts = {}
+    places = {}
+    for i, item in enumerate(index.texts):
+        for p in range(len(item) - d.Q + 1):
+            places.setdefault(item[p : p + d.Q], []).append((i, p))
+    for at in range(len(text) - d.Q + 1):
+        for i, p in places.get(text[at : at + d.Q], []):
+            band = (i, (at - p + d.SHIFT) // (int(index.edits[i]) + 1))
+            counts[band] = counts.get(band, 0) + 1
+    both = {(i, b): n + counts.get((i, b + 1), 0) for (i, b), n in counts.items()}
+    return [(i, b * (int(index.edits[i]) + 1) - d.SHIFT, n) for (i, b), n in sorted(both.items()) if n >= index.needs[i]]
+
+
+@pytest.mark.parametrize("shared", [1, 50, 1 << 20])
+def test_bands_of_common_words_equal_a_plain_count(monkeypatch, shared):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 10))) for _ in range(12)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    index = d.Index([(k, text(rng.randrange(2, 30))) for k in range(40)])
+    monkeypatch.setattr(d, "SHARED", shared)
+    monkeypatch.setattr(d, "BAND_BITS", (4, 8))  # many bands meet in a place
+    for n in (0, 1, 5, 60, 300):
+        plain = d.normal(text(n) + " " + (index.texts[n % 40].decode() if n > 4 else ""))
+        assert index.bands(plain) == plain_bands(index, plain)
+
+
+def test_a_full_block_costs_little_more_than_its_hits(spark):
+    """Documents and 2 MB of items from the same words: the filter and the hashed counts leave the planted items alone."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 10))) for _ in range(20_000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, text(20)) for k in range(15_000)]
+    index = d.Index(items)
+    assert 8 * len(index.seen) >= d.FILTERED * len(index.keys)
+    docs = [(k, text(200) + " " + (items[7 * k][1] if k % 2 else "")) for k in range(200)]
+    got = d.with_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "hits").collect()
+    assert {r[0]: [h["item_id"] for h in r[1]] for r in got} == {k: [7 * k] if k % 2 else [] for k in range(200)}

@@ -7,8 +7,10 @@ alignment of the whole item decides each. Items too short for the lemma have few
 looked up as it is, between spaces, with a `shared` of 0, and is no evidence by itself, as it may be a common word. Passages of one
 item that overlap by most of it are one passage.
 
-The benchmark goes to the workers in blocks of about BLOCK_BYTES of text, one pass over the documents for each. Only one block is
-in the driver and in a worker at a time, in which it takes some 20 times its text; several blocks write the hits of each. Null or
+The benchmark goes to the workers in blocks of about BLOCK_BYTES of text, one pass over the documents for each. A block's index is
+built once, in the driver, and sent; it takes some 25 times its text, there and in a worker, and only one is about at a time. Several
+blocks write the hits of each. Where a text shares very many q-grams with a block, as common words do, hashed counts of bands, which
+are never too low, leave out nearly all of them before bands are counted as they are. Null or
 empty texts and items match nothing; repeated rows give repeated results; repeated items are reported each, and an item without
 item_id with a null one; other columns don't matter.
 """
@@ -28,8 +30,13 @@ from tidecast.llm.common import among, apart, fingerprint, materialise, slices,
 from tidecast.llm.licenses import FOLD
 
 Q, EDITS, BLOCK_BYTES = 8, 0.1, 4 << 20
-TABLE_BITS = 20
+#: Places of the filter and of the table of an index for each of its q-grams, at least.
+FILTERED, TABLED = 16, 1
+#: q-grams shared with a block that are looked at together, and bits of the hashed counts of their bands.
+SHARED, BAND_BITS = 1 << 20, (12, 22)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Added to diagonals, which may be negative.
+SHIFT = 1 << 24
 HITS = "array<struct<item_id:long,start:long,end:long,edits:long,shared:long>>"
 
 
@@ -84,44 +91,79 @@ class Index:
         self.needs = lengths + 1 - Q - Q * self.edits
         self.short = [k for k, n in enumerate(self.texts) if len(n) < Q]
         codes = [grams(n) for n in self.texts]
-        every = np.concatenate(codes) if codes else np.zeros(0, "<u8")
+        every = (np.concatenate(codes) if codes else np.zeros(0, "<u8")) * MIX  # even, and no two become equal
         item = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])
         at = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes]) if codes else np.zeros(0, np.int32)
         order = np.argsort(every, kind="stable")
         self.item, self.at = item[order], at[order]
         self.keys, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(every)).astype(np.int32)
-        self.seen = np.zeros(1 << TABLE_BITS, bool)
-        self.seen[self.place(self.keys)] = True
-
-    @staticmethod
-    def place(codes: np.ndarray) -> np.ndarray:
-        return (codes * MIX) >> np.uint64(64 - TABLE_BITS)
+        bits = lambda each: max(10, (len(self.keys) * each).bit_length())
+        self.filter_shift, self.table_shift = np.uint64(64 - bits(FILTERED)), np.uint64(64 - bits(TABLED))
+        seen = np.zeros(1 << bits(FILTERED), bool)
+        seen[self.keys >> self.filter_shift] = True
+        self.seen = np.packbits(seen, bitorder="little")
+        # keys are in order, so those of a place of the table are neighbours
+        self.table = np.searchsorted(self.keys >> self.table_shift, np.arange((1 << bits(TABLED)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def looked_up(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `mixed` keys of the index stand, in order, and which."""
+        place = mixed >> self.filter_shift
+        at = np.flatnonzero(self.seen[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+        wanted = mixed[at]
+        place = (wanted >> self.table_shift).astype(np.int64)
+        k, end = self.table[place], self.table[place + 1]
+        todo = np.flatnonzero((k < end) & (self.keys[np.minimum(k, len(self.keys) - 1)] != wanted)) if len(self.keys) else np.zeros(0, np.int64)
+        while len(todo):
+            k[todo] += 1
+            todo = todo[k[todo] < end[todo]]
+            todo = todo[self.keys[k[todo]] != wanted[todo]]
+        real = k < end
+        return at[real], k[real]
+
+    def shared(self, at: np.ndarray, k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, band) of every q-gram of the items that equals key k at position `at` of a text, SHARED of them or so at once."""
+        many = (self.first[k + 1] - self.first[k]).astype(np.int64)
+        ends = np.cumsum(many)
+        low = 0
+        while low < len(k):
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + SHARED, "right")))
+            n = many[low:high]
+            entry = np.arange(int(ends[high - 1]) - before) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k[low:high]], n)
+            item = self.item[entry].astype(np.int64)
+            yield item, (np.repeat(at[low:high], n) - self.at[entry] + SHIFT) // (self.edits[item] + 1)
+            low = high
 
     def bands(self, text: bytes) -> list[tuple[int, int, int]]:
         """(item, least diagonal, shared q-grams) of each pair of neighbouring bands with enough of the item's q-grams."""
-        codes = grams(text)
-        at = np.flatnonzero(self.seen[self.place(codes)])
-        if not len(at) or not len(self.keys):
-            return []
-        k = np.minimum(np.searchsorted(self.keys, codes[at]), len(self.keys) - 1)
-        real = self.keys[k] == codes[at]
-        at, k = at[real], k[real]
-        many = self.first[k + 1] - self.first[k]
-        total = int(many.sum())
+        at, k = self.looked_up(grams(text) * MIX)
+        total = int((self.first[k + 1] - self.first[k]).sum(dtype=np.int64))
         if not total:
             return []
-        entry = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[k], many)
-        item = self.item[entry].astype(np.int64)
-        wide = self.edits[item] + 1
-        shift = 1 << 24  # diagonals may be negative
-        band = (np.repeat(at, many) - self.at[entry] + shift) // wide
-        keys, counts = np.unique(item * (1 << 40) + band, return_counts=True)
-        upper = np.searchsorted(keys, keys + 1)
-        both = counts + np.where((upper < len(keys)) & (keys[np.minimum(upper, len(keys) - 1)] == keys + 1), counts[np.minimum(upper, len(keys) - 1)], 0)
+        bits = min(max(total.bit_length(), BAND_BITS[0]), BAND_BITS[1])
+        mask = (1 << bits) - 1
+        # neighbouring bands of an item have neighbouring places
+        place = lambda item, band: ((item.astype(np.uint64) * MIX >> np.uint64(20)).astype(np.int64) + band) & mask
+        most = np.zeros(mask + 1, np.int64)
+        held = None
+        for item, band in self.shared(at, k):
+            slot = place(item, band)
+            most += np.bincount(slot, minlength=mask + 1)
+            held = [(item, band, slot)] if len(item) == total else None  # most texts are looked at in one go
+        most += np.maximum(np.roll(most, 1), np.roll(most, -1))
+        found = []
+        for item, band, slot in held or ((i, b, place(i, b)) for i, b in self.shared(at, k)):
+            may = most[slot] >= self.needs[item]
+            found.append(item[may] * (1 << 40) + band[may])
+        keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        if not len(keys):
+            return []
+        upper = np.minimum(np.searchsorted(keys, keys + 1), len(keys) - 1)
+        both = counts + np.where(keys[upper] == keys + 1, counts[upper], 0)
         own = keys >> 40
         good = both >= self.needs[own]
-        return [(int(i), int((b & ((1 << 40) - 1)) * (self.edits[i] + 1) - shift), int(c)) for i, b, c in zip(own[good], keys[good], both[good], strict=True)]
+        return [(int(i), int((b & ((1 << 40) - 1)) * (self.edits[i] + 1) - SHIFT), int(c)) for i, b, c in zip(own[good], keys[good], both[good], strict=True)]
 
     def hits(self, raw: str | None) -> list[dict]:
         """Passages of raw that are items within their edits: item_id, start and end in the normal form, edits, shared q-grams."""
@@ -189,13 +231,13 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edi
 
 def scan_block(docs: DataFrame, items: list[tuple], edits: float, text_col: str, hits_col: str, everything: bool) -> tuple[DataFrame, Broadcast]:
     """docs with their hits of one block's items (without the text and rows that have none, unless everything is wanted), and what was sent."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
+    held = docs.sparkSession.sparkContext.broadcast(Index(items, edits))
     where = docs.columns.index(text_col)
     keep = [k for k in range(len(docs.columns)) if everything or k != where]
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "start", "end", "edits", "shared")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(held.value, edits)
+        index = held.value
         for batch in slices(batches):
             found = pa.array([index.hits(text.as_py()) for text in batch.column(where)], kind)
             out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), found], names=[*(batch.schema.names[k] for k in keep), hits_col])
