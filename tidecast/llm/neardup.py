@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import components, fingerprint, materialise, table
+from tidecast.llm.common import components, discard, fingerprint, join_spread, materialise, table
 
 #: Vectors of a block, and of the slices of it that are multiplied at once.
 BLOCK, SLICE = 4096, 1024
@@ -82,15 +82,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK
     good = rows.where("sound").select("vec_id", "label", "embedding", k1, k2)
     classes = materialise(good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "classes")
 
+    # vectors are sent as they were given, floats in half the bytes of doubles, and become doubles in the tile
     # blocks of a label, by its number of classes; each class goes to every pair of blocks that has its own
     sizes = classes.withColumn("dim", F.size("embedding")).groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = classes.withColumn("dim", F.size("embedding")).join(sizes, ["label", "dim"]).withColumn("own", F.pmod("k1", F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("label", "dim", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "n", F.col("embedding").cast("array<double>").alias("embedding"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("label", "dim", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "n", "embedding")
 
     def tile(key: tuple, t: pa.Table) -> pa.Table:
         bi, bj = key[2].as_py(), key[3].as_py()
         own, rep, n = (t.column(c).to_numpy() for c in ("own", "rep", "n"))
-        x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), key[1].as_py())
+        x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rep), key[1].as_py())
         x = x / np.abs(x).max(1, keepdims=True)
         x = x / np.sqrt((x * x).sum(1, keepdims=True))
         left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
@@ -109,8 +110,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_class = classes.select("label", "k1", "k2", "rep", "n").join(links, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    by_class = by_class.select("label", "k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = good.drop("embedding").join(by_class, ["label", "k1", "k2"]).select("vec_id", "n_links", "component_id")
+    by_class = by_class.select(F.col("label").alias("own_label"), "k1", F.col("k2").alias("own_k2"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    by_class = materialise(by_class, "by_class")
+    discard(classes, found, parts)
+    # a vector may have very many copies
+    joined = join_spread(good.drop("embedding"), by_class, "k1", "inner").where("label = own_label and k2 = own_k2").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
