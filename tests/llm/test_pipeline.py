@@ -152,7 +152,7 @@ def test_empty_tables_through_every_query(spark, tmp_path):
     from tidecast.llm import registry
 
     source = "/root/testdata/sf0.001"
-    for name in ("documents", "embeddings", "pages", "benchmark", "conversations"):
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         spark.read.parquet(f"{source}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in registry.queries().items():
         assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op2") else 0), name
