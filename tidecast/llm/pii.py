@@ -250,7 +250,7 @@ def telling_terms(docs: DataFrame, found: DataFrame, owners: DataFrame, texts: D
     total = float(found.select("k1", "k2").distinct().count())
     most = owners.agg(F.max("n_c")).first()[0]
     if not most:
-        return owners.select("k1", "k2", F.array().cast("array<bigint>").alias("terms"))
+        return docs.sparkSession.createDataFrame([], "k1 long, k2 long, terms array<long>")  # reads nothing that may be removed
     written = materialise(texts.mapInArrow(run, "k1 long, k2 long, terms array<long>"), "terms")
     held = written.select("k1", "k2", F.explode("terms").alias("t"))
     candidates = materialise(held.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= support), "candidates")
