@@ -9,6 +9,8 @@ response, so a pass costs what a linear fit does. While weights settle, the pena
 (Gu 1992). Then the penalty of lasso and ridge is chosen by deviance: the settled sums give the paths without each fold, one pass adds
 up the deviance of the rows left out along their paths, and the weights settle once more at the penalty of least deviance, or
 the largest within one standard error of it. The scaled table is written once, by blocks of groups, and a pass reads its block alone.
+
+Rows meet their group's ranges where they are: those of frequent groups go to every task, so that no group's rows are shuffled to one.
 """
 
 from __future__ import annotations
@@ -52,14 +54,35 @@ def as_array(x: list[str] | str) -> Column:
 
 
 def ranges(rows: DataFrame, p: int) -> DataFrame:
-    """(g, low, high): least and greatest values of y, then of each input, by group; summed up in every task before the shuffle."""
-    each = rows.select("g", F.posexplode(F.concat(F.array("y"), "x")).alias("i", "v")).groupBy("g", "i").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    packed = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("e"))
-    return packed.select("g", F.col("e.low").alias("low"), F.col("e.high").alias("high"))
+    """(g, low, high, n): least and greatest values of y, then of each input, by group, and its rows; summed up in every task before the shuffle."""
+    each = rows.select("g", F.posexplode(F.concat(F.array("y"), "x")).alias("i", "v")).groupBy("g", "i").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    packed = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("e"), F.max("n").alias("n"))
+    return packed.select("g", F.col("e.low").alias("low"), F.col("e.high").alias("high"), "n")
+
+
+def beside_ranges(rows: DataFrame, ends: DataFrame, p: int, most: int = SMALL) -> DataFrame:
+    """rows with their group's low and high. At most `most` numbers go to every task: all groups' or, where these are more, those of
+    the groups with the most rows; the others, each with a small share of the rows, are joined by a shuffle."""
+    sent = max(1, most // (2 * (p + 1)))
+    groups, total = ends.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if groups <= sent:
+        return rows.join(F.broadcast(ends.drop("n")), "g")
+    hot = F.broadcast(ends.where(F.col("n") > total / sent).drop("n"))  # fewer than sent
+    rest = rows.join(hot.select("g"), "g", "left_anti")
+    return rows.join(hot, "g").unionByName(rest.join(ends.drop("n"), "g"))
+
+
+def by_blocks(ready: DataFrame, blocks: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The scaled table as written, and its rows by block of groups. A single block is written as it comes, without a sort."""
+    if blocks == 1:
+        written = materialise(ready, "scaled")
+        return written, [written]
+    written = materialise(ready.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")), "scaled", "block")
+    return written, [written.where(F.col("block") == k) for k in range(blocks)]
 
 
 def scaled_rows(table: DataFrame, group: str, y: str, x: list[str] | str, scale: bool = True, least: float = -1.0) -> tuple[DataFrame, DataFrame, int]:
-    """(rows (g, fold, y, x) with all values between -1 and 1, their ranges (g, low, high), inputs); folds are by a hash of a row's values.
+    """(rows (g, fold, y, x) with all values between -1 and 1, their ranges and counts (g, low, high, n) as written, inputs); folds are by a hash of a row's values.
 
     Without scale, y is taken to lie between `least` and 1 and inputs between -1 and 1 already.
     """
@@ -70,12 +93,13 @@ def scaled_rows(table: DataFrame, group: str, y: str, x: list[str] | str, scale:
         ends = ranges(rows, p)
     elif scale:
         names = [F.col("y"), *(F.get("x", F.lit(i)) for i in range(p))]
-        ends = rows.groupBy("g").agg(F.array(*(F.min(c) for c in names)).alias("low"), F.array(*(F.max(c) for c in names)).alias("high"))
+        ends = rows.groupBy("g").agg(F.array(*(F.min(c) for c in names)).alias("low"), F.array(*(F.max(c) for c in names)).alias("high"), F.count(F.lit(1)).alias("n"))
     else:
-        ends = rows.select("g").distinct().withColumns({"low": F.concat(F.array(F.lit(least)), F.array_repeat(F.lit(-1.0), p)), "high": F.array_repeat(F.lit(1.0), p + 1)})
+        ends = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g", F.concat(F.array(F.lit(least)), F.array_repeat(F.lit(-1.0), p)).alias("low"), F.array_repeat(F.lit(1.0), p + 1).alias("high"), "n")
+    ends = materialise(ends, "ranges")
     ranged = lambda v, i: to_range(v, F.get("low", i), F.get("high", i))
     fold = F.pmod(F.xxhash64("y", "x"), F.lit(FOLDS)).cast("int")
-    ready = rows.join(ends, "g").select("g", fold.alias("fold"), ranged(F.col("y"), F.lit(0)).alias("y"), F.transform("x", lambda v, i: ranged(v, i + 1)).alias("x"))
+    ready = beside_ranges(rows, ends, p).select("g", fold.alias("fold"), ranged(F.col("y"), F.lit(0)).alias("y"), F.transform("x", lambda v, i: ranged(v, i + 1)).alias("x"))
     return ready, ends, p
 
 
@@ -262,14 +286,15 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: int =
     else:
         # the paths of all folds at all penalties are the most that a pass sends to every task
         blocks = max(1, -(-ends.count() * reps * (size - 1) * (20 * FOLDS if kind in ("lasso", "ridge") else 1) // SMALL))
-        written = materialise(ready.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")), "scaled", "block")
-        each = [materialise(settle(written.where(F.col("block") == k)), "weights") for k in range(blocks)]
+        written, own = by_blocks(ready, blocks)
+        each = [materialise(settle(some), "weights") for some in own]
         discard(written)
         weights = each[0]
         for more in each[1:]:
             weights = weights.unionByName(more)
     members = weights.mapInPandas(as_members, WEIGHTS).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rep", "w_in", "w_out", "direct"))).alias("members"), F.min("settled").alias("settled"))
-    out = materialise(members.join(ends, "g").withColumn("link", F.lit(link)).withColumn("kind", F.lit(kind)), "models")
+    out = materialise(members.join(ends.drop("n"), "g").withColumn("link", F.lit(link)).withColumn("kind", F.lit(kind)), "models")
+    discard(ends)
     if link == "logistic":
         discard(*each)
     return out
