@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import arrays as A
 from tidecast.functions import nets
-from tidecast.operators.regression import PIECE, SMALL, as_array, combined, scaled_rows, to_range
+from tidecast.operators.regression import PIECE, SMALL, as_array, by_blocks, combined, scaled_rows, to_range
 from tidecast.sources.written import discard, materialise
 
 SAVED = 50
@@ -35,14 +35,14 @@ def fit(table: DataFrame, group: str, y: str, x: list[str] | str, hidden: tuple[
     ready, ends, p = scaled_rows(table, group, y, x)
     weights = sum((a + 1) * b for a, b in zip((p, *hidden), (*hidden, 1), strict=True))
     blocks = max(1, -(-ends.count() * reps * weights // SMALL))
-    written = materialise(ready.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")), "scaled", "block")
-    each = [materialise(settle(written.where(F.col("block") == k), p, hidden, reps, steps, threshold, seed, start), "weights") for k in range(blocks)]
+    written, own = by_blocks(ready, blocks)
+    each = [materialise(settle(some, p, hidden, reps, steps, threshold, seed, start), "weights") for some in own]
     found = each[0]
     for more in each[1:]:
         found = found.unionByName(more)
     members = found.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rep", "layers", "settled", "steps", "mse"))).alias("members"))
-    out = materialise(members.join(ends, "g"), "models")
-    discard(written, *each)
+    out = materialise(members.join(ends.drop("n"), "g"), "models")
+    discard(written, ends, *each)
     return out
 
 
