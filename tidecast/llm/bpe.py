@@ -2,7 +2,8 @@
 
 Two tiers. A minimal perfect hash over the vocabulary resolves every pre-token that is itself an entry. The others are merged
 byte by byte: neighbours form a linked list, a heap yields the pair of least rank (leftmost first), and stale heap entries are
-skipped. Both tiers sit behind a bounded cache in each worker, which changes no result.
+skipped; words of a few bytes, for which a heap costs more than it saves, look for that pair
+in a list of ranks. Both tiers sit behind a bounded cache, kept by a Python process from task to task, which changes no result.
 
 Null text counts as empty, an empty text gives no ids, repeated rows give repeated results, and other columns don't matter.
 """
@@ -12,7 +13,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,9 @@ from tidecast.llm.common import slices, table
 #: Entries of a worker's cache of pre-tokens before it is set aside and a new one begun; what comes up again moves over.
 CACHE = 100_000
 MASK = (1 << 64) - 1
+#: Bytes of a pre-token up to which pairs are looked for in a list instead of a heap, and a rank above all.
+SHORT, NO_RANK = 32, 1 << 32
+ONE = [bytes([b]) for b in range(256)]
 #: Refused above this, as the vocabulary is sent to every worker.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -84,10 +90,16 @@ class Codec:
         if sum(map(len, ranks)) > MAX_VOCABULARY_BYTES:
             raise ValueError("the vocabulary is too large to send to every worker")
         self.keys, self.ids = list(ranks), list(ranks.values())
-        self.hash, self.pattern = PerfectHash(self.keys), pattern
+        self.hash, self.pattern, self.worker = PerfectHash(self.keys), pattern, None
 
     def ready(self) -> "Worker":
-        return Worker(self)
+        """This process's worker; it isn't sent anywhere."""
+        if self.worker is None:
+            self.worker = Worker(self)
+        return self.worker
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"worker": None}
 
 
 class Worker(dict):
@@ -97,6 +109,7 @@ class Worker(dict):
         self.codec, self.split = codec, regex.compile(codec.pattern).findall
         self.ranks = dict(zip(codec.keys, codec.ids, strict=True))
         self.bytes_of = {i: k for k, i in self.ranks.items()}
+        self.two = {tuple(k): i for k, i in self.ranks.items() if len(k) == 2}
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, token: str) -> bytes:
@@ -104,8 +117,8 @@ class Worker(dict):
         if found is None:
             raw, codec = token.encode("utf-8", "surrogatepass"), self.codec
             at = codec.hash.slot(raw)
-            ids = [codec.ids[at]] if codec.keys[at] == raw else merge(raw, self.ranks)
-            found = np.array(ids, "<u4").tobytes()
+            ids = [codec.ids[at]] if codec.keys[at] == raw else merge(raw, self.ranks, self.two)
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(raw) > 256:
                 return found
         if len(self) >= CACHE:
@@ -121,11 +134,33 @@ class Worker(dict):
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def merge(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of raw after merging the pair of least rank, leftmost first, until no pair is an entry."""
+def merge(raw: bytes, ranks: dict[bytes, int], two: dict[tuple[int, int], int]) -> list[int]:
+    """Ids of raw after merging the pair of least rank, leftmost first, until no pair is an entry. two: the entries of two bytes."""
     n = len(raw)
     if n < 2:
         return [ranks[raw]] if n else []
+    return merge_short(raw, ranks, two) if n <= SHORT else merge_by_heap(raw, ranks)
+
+
+def merge_short(raw: bytes, ranks: dict[bytes, int], two: dict[tuple[int, int], int]) -> list[int]:
+    """merge for two bytes and more: in time square in their number, with little work a merge."""
+    get, parts = ranks.get, list(map(ONE.__getitem__, raw))
+    pairs = list(map(two.get, zip(raw, raw[1:]), repeat(NO_RANK)))  # noqa: B905
+    while pairs and (least := min(pairs)) < NO_RANK:
+        i = pairs.index(least)
+        whole = parts[i] + parts.pop(i + 1)
+        parts[i] = whole
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(whole + parts[i + 1], NO_RANK)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + whole, NO_RANK)
+    return [ranks[part] for part in parts]
+
+
+def merge_by_heap(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """merge for two bytes and more: for long ones."""
+    n = len(raw)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
     heapq.heapify(heap)
